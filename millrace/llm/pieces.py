@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import U, chain, mix
+from .textbatch import U, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.3, 17
-DENSE, CHUNK_CHARS = 40, 3_000_000
+DENSE, CHUNK_CHARS = 40, 1_500_000
 SPACE, SIGN, LITERAL = 0x20, 0x2581, 0x110000
 
 
@@ -41,7 +41,6 @@ class Lattice:
         self.size = sp.get_piece_size()
         self.bytes = np.full(256, -1, np.int64)
         self.raw: list[bytes] = [b""] * self.size
-        by_length: dict[int, tuple[list[int], list[int]]] = {}
         self.ids: dict[str, int] = {}
         for i in range(self.size):
             p = sp.id_to_piece(i)
@@ -51,34 +50,48 @@ class Lattice:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and chr(SIGN) not in p[1:] and p:
                 self.raw[i] = p.replace(chr(SIGN), " ").encode()
                 self.ids[p.replace(chr(SIGN), " ")] = i
-                by_length.setdefault(len(p), ([], []))[0].append(i)
         if (self.bytes < 0).any():
             raise ValueError("the model has no byte pieces, so encoding could lose text")
         self.logp = -alpha * np.log(np.arange(self.size) + 30.0)
         self.byte_logp = -alpha * np.log(self.size + 30.0)
-        self.longest = max(by_length)
+        self.longest = max(map(len, self.ids))
+        # by length: hashes of all prefixes of pieces, and the id where the prefix is itself a piece
         self.tables: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        names = {i: s for s, i in self.ids.items()}
         for n in range(1, self.longest + 1):
-            ids = np.array(by_length.get(n, ([], []))[0], np.int64)
-            h = np.array([chain(mix(np.array([ord(c) for c in names[i]], np.uint64)), n)[0] for i in ids.tolist()], np.uint64)
+            names = sorted({s[:n] for s in self.ids if len(s) >= n})
+            code = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+            h = mix(code[:, 0])
+            for j in range(1, n):
+                h = _longer(h, mix(code[:, j]))
             by = np.argsort(h)
-            self.tables.append((h[by], ids[by]))
+            self.tables.append((h[by], np.array([self.ids.get(s, -1) for s in names], np.int64)[by]))
 
-    def find(self, code: np.ndarray) -> list[np.ndarray]:
-        """[n] -> id of the piece of n characters from each position on, or -1 (runs across units included)."""
+    def find(self, code: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """[n-1, i] -> id of the piece of n characters that begins at i and ends within room[i], or -1.
+
+        A position is looked at as long as what stands there begins some piece.
+        """
         h = mix(code.astype(np.uint64))
-        out, run = [np.zeros(0, np.int32)], h.copy()
+        out, at, run = [], np.arange(len(code)), h
         for n in range(1, self.longest + 1):
-            if n > 1:
-                run = mix(run[: len(code) - n + 1] * U(0xD6E8FEB86659FD93) + h[n - 1 :]) if len(code) >= n else run[:0]
             keys, ids = self.tables[n]
-            got = np.full(len(code), -1, np.int32)
-            if len(keys) and len(run):
-                k = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
-                got[: len(run)] = np.where(keys[k] == run, ids[k], -1)
+            if n > 1:
+                on = room[at] >= n
+                at, run = at[on], run[on]
+                run = _longer(run, h[at + n - 1])
+            k = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
+            on = keys[k] == run
+            at, run = at[on], run[on]
+            got = np.full(len(code), -1, np.int64)
+            got[at] = ids[k[on]]
+            if n > 1 and not len(at):
+                break
             out.append(got)
-        return out
+        return np.stack(out)
+
+
+def _longer(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return mix(h * U(0xD6E8FEB86659FD93) + more)
 
 
 @lru_cache(maxsize=2)
@@ -90,26 +103,20 @@ def _uniform(key: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (mix(key + mix(at.astype(np.uint64) + U(0x9E3779B97F4A7C15))) >> U(11)).astype(np.float64) * 2.0**-53
 
 
-def _lookup(lat: Lattice, code: np.ndarray, width: int) -> np.ndarray:
-    """width by positions: rows of ids by length, with -1; one length at a time keeps memory small."""
-    return np.stack(lat.find(code)[1 : width + 1])
-
-
 def _dense(lat: Lattice, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lattice of distinct units lying at start..start+size of code.
 
     Returns (cumulative probabilities by position and length of the piece ending there, ids by position and length of
     the piece beginning there, first row of each unit); a unit of m characters has m+1 rows.
     """
-    width = min(lat.longest, int(size.max()))
     rows = np.concatenate([[0], np.cumsum(size + 1)])
     n = int(rows[-1])
     pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     flat = code[np.repeat(start, size) + pos]
     at = np.repeat(rows[:-1], size) + pos
     room = np.repeat(size, size) - pos
-    found = _lookup(lat, flat, width)
-    found[np.arange(1, width + 1)[:, None] > room] = -1
+    found = lat.find(flat, room)
+    width = len(found)
     bare = found[0] < 0  # byte pieces stand in, marked -2 - code point
     weight = np.where(found >= 0, lat.logp[np.maximum(found, 0)], -np.inf)
     if bare.any():
@@ -142,13 +149,14 @@ def _dense(lat: Lattice, code: np.ndarray, start: np.ndarray, size: np.ndarray)
 
 def _long(lat: Lattice, code: np.ndarray, key: int, at: int) -> list[tuple[int, int]]:
     """(end, id) of the pieces of one long unit, sampled backwards; position 0 of the unit is `at` of its text."""
-    found, m = lat.find(code), len(code)
+    m = len(code)
+    found = lat.find(code, np.arange(m, 0, -1))
     alpha, terms = np.full(m + 1, -np.inf), [[]] * (m + 1)
     alpha[0] = 0.0
     for j in range(1, m + 1):
         now = []
-        for k in range(1, min(j, lat.longest) + 1):
-            i = int(found[k][j - k])
+        for k in range(1, min(j, len(found)) + 1):
+            i = int(found[k - 1][j - k])
             if i >= 0:
                 now.append((alpha[j - k] + lat.logp[i], k, i))
             elif k == 1:

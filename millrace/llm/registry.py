@@ -8,9 +8,11 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
+from .hilbert import hilbert_shards
 from .langid import identify
 from .ngram_join import ngram_jaccard_join
 from .pieces import encode_documents
+from .quality import judge
 from .secrets import scan_secrets
 
 
@@ -26,6 +28,14 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -42,6 +52,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_secret_scans": op2_secret_scans,
+        "op5_quality_rules": op5_quality_rules,
+        "op7_hilbert_sharding": op7_hilbert_sharding,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_decontamination": op9_decontamination,
         "op10_language_id": op10_language_id,

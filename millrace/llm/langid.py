@@ -117,7 +117,7 @@ def train(docs: DataFrame) -> LanguageModel:
     wide = F.lit(False)
     for r in counts:
         share = min(1.0, (1.3 * ROWS_PER_LANG + 30) / r["count"])
-        wide = wide | ((F.col("lang") == r["lang"]) & (order <= F.lit(int((2 * share - 1) * (2**63 - 1)))))
+        wide = wide | ((F.col("lang") == r["lang"]) & (order <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))))
     picked = rows.filter(wide).select("lang", order.alias("order"), "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contaminated
 from .hilbert import hilbert_shards
 from .langid import identify
+from .licenses import scan_licenses
 from .ngram_join import ngram_jaccard_join
 from .pieces import encode_documents
 from .quality import judge
 from .secrets import scan_secrets
+from .toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,14 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_secret_scans": op2_secret_scans,
+        "op3_toxicity": op3_toxicity,
+        "op4_license_scans": op4_license_scans,
         "op5_quality_rules": op5_quality_rules,
         "op7_hilbert_sharding": op7_hilbert_sharding,
         "op8_sentencepiece": op8_sentencepiece,

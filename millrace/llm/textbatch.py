@@ -69,6 +69,20 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.bounds))
 
+    def prefixes(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """Hashes of each word's first so many bytes; 0 for words that aren't longer."""
+        n = len(self.data)
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[self.data] * _power("p", n), out=run[1:])
+        back = _power("i", n)[self.start] if n else np.zeros(0, np.uint64)
+        out = []
+        for k in sizes:
+            end = np.minimum(self.start + k, self.end)
+            h = mix((run[end] - run[self.start]) * back + U(k))
+            h[self.end - self.start <= k] = 0
+            out.append(h)
+        return out
+
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string array; nulls count as empty."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .brown import score_documents
 from .decontaminate import contaminated
 from .hilbert import hilbert_shards
 from .langid import identify
@@ -42,6 +43,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_license_scans": op4_license_scans,
         "op5_quality_rules": op5_quality_rules,
+        "op6_brown_lm": op6_brown_lm,
         "op7_hilbert_sharding": op7_hilbert_sharding,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_decontamination": op9_decontamination,

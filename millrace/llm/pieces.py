@@ -209,7 +209,7 @@ def _encode_chunk(texts: list[str], keys: np.ndarray, lat: Lattice) -> list[np.n
         root, at, key = first[which], s + m, keys[text[dense]]
         offset = bounds[text[dense]]
         while len(row):
-            u = _uniform(key, at - offset).astype(np.float32)
+            u = np.minimum(_uniform(key, at - offset).astype(np.float32), np.float32(1 - 2.0**-24))  # rounding may reach 1
             k = np.minimum((cum[row] <= u[:, None]).sum(1) + 1, row - root)
             token[at - 1] = ids[k - 1, row - k]
             row, at = row - k, at - k

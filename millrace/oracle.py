@@ -199,7 +199,7 @@ sl as (select win, x, list_sort(list(y)) as l from lst group by win, x)""", "sel
     u = lambda j: f"(-ln(({draw('s', str(j), '0')} + 0.5) / 2147483647.0::double))"
     add("marginal_utility", CELLS + f", fr as (select *, count(*) over (partition by win) as n from live p where not exists (select 1 from live q where q.win = p.win and {beats('q', 'p')})), dw as (select grp, win, s, {u(0)} * a + {u(1)} * b + {u(2)} * c as sc from fr, (select unnest(range(1, 201)) as s) where n >= 3), wn as (select win, s, arg_min(grp, (sc, grp)) as grp from dw group by win, s)", "select grp, win, round((select count(*) from wn where wn.win = fr.win and wn.grp = fr.grp) / 200.0::double, 6) as utility from fr where n >= 3")
     g = lambda j: f"(sqrt(-2.0::double * ln(({draw('rep', 'no', str(2 * j))} + 0.5) / 2147483647.0::double)) * cos(2 * pi() * (({draw('rep', 'no', str(2 * j + 1))} + 0.5) / 2147483647.0::double)))"
-    add("parametric_replicates", CELLS + """, pc as (select grp, win, row_number() over (order by grp, win) as no, cost, lead_time, cost / 20 as cse, case when grp <> 'BUILDING' then 0.5 else 0.0 end as lse from cells), bd as (select min(cost) clo, max(cost) chi, min(lead_time) llo, max(lead_time) lhi from cells)""", f"select rep, grp, win, round((case when cse = 0 then cost else greatest(clo - 3 * cse, least(chi + 3 * cse, cost + cse * {g(0)})) end - clo) / (chi - clo), 5) as cost, round((case when lse = 0 then lead_time else greatest(llo - 3 * lse, least(lhi + 3 * lse, lead_time + lse * {g(1)})) end - llo) / (lhi - llo), 5) as lead_time from pc, bd, (select unnest(range(1, 21))::int as rep)")
+    add("parametric_replicates", CELLS + """, pc as (select grp, win, row_number() over (order by grp, win) as no, cost, lead_time, cost / 20 as cse, case when grp <> 'BUILDING' then 0.5 else 0.0 end as lse from cells), bd as (select min(cost) clo, max(cost) chi, min(lead_time) llo, max(lead_time) lhi from cells)""", f"select rep, grp, win, round((case when cost is null then null when cse = 0 then cost else greatest(clo - 3 * cse, least(chi + 3 * cse, cost + cse * {g(0)})) end - clo) / (chi - clo), 5) as cost, round((case when lead_time is null then null when lse = 0 then lead_time else greatest(llo - 3 * lse, least(lhi + 3 * lse, lead_time + lse * {g(1)})) end - llo) / (lhi - llo), 5) as lead_time from pc, bd, (select unnest(range(1, 21))::int as rep)")
     parts = [f"share_{c}" for c in IMPACT_CLASSES]
     zeros = " + ".join(f"(case when {p} <= 0 then 1 else 0 end)" for p in parts)
     fill = lambda p: f"ln(case when z = 0 then {p} when {p} <= 0 then dl else {p} * (1 - dl * z) / ({' + '.join(parts)}) end)"

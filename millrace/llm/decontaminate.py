@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import NOT_ALNUM, U, Words, words
+from .textbatch import NOT_ALNUM, U, Words, trim, trimmed, words
 
 BLOCK = 32
 RANK = 192
@@ -223,14 +223,14 @@ def fit(docs: DataFrame, benchmark: DataFrame, seed: int = 11) -> Index:
         return index
     sc = docs.sparkSession.sparkContext
     text = docs.select(F.col("text").cast("string").alias("text"))
-    counts = _sums(text.mapInArrow(_count(sc.broadcast(index)), _SUMS), "i8", 1).get(0)
+    counts = _sums(text.mapInArrow(trimmed(_count(sc.broadcast(index))), _SUMS), "i8", 1).get(0)
     counts = np.zeros(index.width + 1) if counts is None else counts.astype(float)
     blocks = max(1.0, counts[-1])
     index.idf = np.log((1 + blocks) / (1 + counts[:-1]))
     index.idf[counts[:-1] > max(8, MOST_BLOCKS * blocks)] = 0.0
     omega = _omega(index.width, seed)
     parts = 16
-    sums = _sums(_few(text).mapInArrow(_range_finder(sc.broadcast(index), seed, parts), _SUMS), "f4", parts)
+    sums = _sums(_few(text).mapInArrow(trimmed(_range_finder(sc.broadcast(index), seed, parts)), _SUMS), "f4", parts)
     rows, owner = _benchmark_rows(index)
     z, energy = np.zeros((index.width, RANK)), 0.0
     if sums:
@@ -326,7 +326,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index: Index | None = No
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if index.queries is None or not len(index.queries):
         return docs.sparkSession.createDataFrame([], _FOUND)
-    return rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(index)), _FOUND)
+    return rows.mapInArrow(trimmed(_search(docs.sparkSession.sparkContext.broadcast(index))), _FOUND)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -343,6 +343,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text], names=["doc_id", "text"])
         for found in search(iter([numbered])):
             bad[found.column(0).to_numpy()] = True
+        trim()
         return pa.array(~bad)
 
     return docs.filter(clean(F.col("text").cast("string")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import FOLD, U, buffers, mix
+from .textbatch import FOLD, U, buffers, mix, trim
 
 DIM = 8192
 LANDMARKS, ROWS_PER_LANG, MOST_LANGS = 160, 400, 64
@@ -153,6 +153,7 @@ def _predictor(docs: DataFrame, model: LanguageModel):
     @F.arrow_udf("struct<lang_pred string, score double>")
     def predict(text: pa.Array) -> pa.Array:
         names, scores = sent.value.predict(text)
+        trim()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return predict

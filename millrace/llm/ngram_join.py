@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import components, cut, small
-from .textbatch import U, mix, shingle_sets, words
+from .textbatch import U, mix, shingle_sets, trimmed, words
 
 SKETCH_BITS, SKETCH_PARTS = 18, 64
 #: Minimum hashes a node, and how many a node shares with the hub of its cell.  They steer work, not results.
@@ -131,7 +131,7 @@ def sets_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 kept = [(x, s) for x, s in zip(want, shingle_sets(w)) if len(s) and node_of(s) == x]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int32()), pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["node", "n", "shingles"])
 
-    return rows.mapInArrow(make, "node long, n int, shingles binary")
+    return rows.mapInArrow(trimmed(make), "node long, n int, shingles binary")
 
 
 def divide_skip(sets: list[np.ndarray], side: np.ndarray, cross: bool, links: bool = False) -> list[tuple[int, int]]:
@@ -231,7 +231,7 @@ def _links_in_cells(docs: DataFrame, cells: DataFrame) -> DataFrame:
     members = cut(members.select("node", "rep", "cell", "side", "blocks"))
     placed = sets_for(docs, members).join(small(members, BROADCAST_ROWS), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "shingles")
-    return placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_search_cells, "a long, b long")
+    return placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(trimmed(_search_cells), "a long, b long")
 
 
 def _entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -274,7 +274,7 @@ def _entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     block = np.zeros(len(token), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(block), pa.array(node), pa.array(n | side << 32)], names=["token", "block", "node", "n_side"])
 
-    return docs.select("text").mapInArrow(make, "token long, block long, node long, n_side long")
+    return docs.select("text").mapInArrow(trimmed(make), "token long, block long, node long, n_side long")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def _links_across(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sketch: n
     entries = _entries(docs, sketch)
     known = small(cells.select("node", "cell"), BROADCAST_ROWS)
     entries = entries.join(known, "node", "left").select("token", "block", "node", "n_side", F.coalesce("cell", "node").alias("cell"))
-    met = entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_meet, "a long, b long, token long, need int")
+    met = entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(trimmed(_meet), "a long, b long, token long, need int")
     # copies from several partitions repeat a pair under the same shingle, which counts once
     pairs = met.groupBy("a", "b", "token").agg(F.first("need").alias("need")).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("need").alias("need")).filter("hits >= need").select("a", "b")
     pairs = cut(pairs)
@@ -335,13 +335,13 @@ def _links_across(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sketch: n
                     kept.append(r)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(kept, pa.int64())), b.take(pa.array(kept, pa.int64()))], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(trimmed(verify), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id) for every row of docs(doc_id, text); see the module's notes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = cut(docs.mapInArrow(_scan, "doc_id long, node long, n int, keys array<long>, part int, counts binary"))
+    scanned = cut(docs.mapInArrow(trimmed(_scan), "doc_id long, node long, n int, keys array<long>, part int, counts binary"))
     table = scanned.filter("part IS NULL").select("doc_id", "node", "n", "keys")
     nodes = cut(table.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     sketch = _sketch(scanned)
@@ -361,11 +361,11 @@ def keep_first(docs: DataFrame, joined: DataFrame | None = None) -> DataFrame:
     Rows that repeat an id keep one of them.
     """
     joined = ngram_jaccard_join(docs) if joined is None else joined
-    gone = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(small(gone, BROADCAST_ROWS), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = joined.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    gone = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("_millrace_gone")).distinct()
+    left = docs.join(small(gone, BROADCAST_ROWS), F.col("doc_id") == F.col("_millrace_gone"), "left_anti")
+    again = joined.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_millrace_again"))
     if not again.limit(1).count():
         return left
     again = small(again, BROADCAST_ROWS)
-    once = left.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    return once.unionByName(left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    once = left.join(again, F.col("doc_id") == F.col("_millrace_again"), "left_anti")
+    return once.unionByName(left.join(again, F.col("doc_id") == F.col("_millrace_again"), "left_semi").dropDuplicates(["doc_id"]))

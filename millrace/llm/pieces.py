@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import U, mix
+from .textbatch import U, mix, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.3, 17
-DENSE, CHUNK_CHARS = 40, 1_500_000
+DENSE, CHUNK_CHARS = 40, 700_000
 SPACE, SIGN, LITERAL = 0x20, 0x2581, 0x110000
 
 
@@ -54,6 +54,7 @@ class Lattice:
             raise ValueError("the model has no byte pieces, so encoding could lose text")
         self.logp = -alpha * np.log(np.arange(self.size) + 30.0)
         self.byte_logp = -alpha * np.log(self.size + 30.0)
+        self.weights = np.append(self.logp, -np.inf).astype(np.float32)
         self.longest = max(map(len, self.ids))
         # by length: hashes of all prefixes of pieces, and the id where the prefix is itself a piece
         self.tables: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
@@ -82,10 +83,10 @@ class Lattice:
             k = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
             on = keys[k] == run
             at, run = at[on], run[on]
-            got = np.full(len(code), -1, np.int64)
-            got[at] = ids[k[on]]
             if n > 1 and not len(at):
                 break
+            got = np.full(len(code), -1, np.int32)
+            got[at] = ids[k[on]]
             out.append(got)
         return np.stack(out)
 
@@ -118,17 +119,18 @@ def _dense(lat: Lattice, code: np.ndarray, start: np.ndarray, size: np.ndarray)
     found = lat.find(flat, room)
     width = len(found)
     bare = found[0] < 0  # byte pieces stand in, marked -2 - code point
-    weight = np.where(found >= 0, lat.logp[np.maximum(found, 0)], -np.inf)
+    weight = lat.weights[found]  # -1 reads the last, which no piece has
     if bare.any():
         length = np.select([flat < 0x80, flat < 0x800, flat < 0x10000], [1, 2, 3], 4)
         length[flat == LITERAL] = 3
         weight[0, bare] = lat.byte_logp * length[bare]
-        found[0, bare] = -2 - flat[bare].astype(np.int64)
-    ids = np.full((width, n), -1, np.int64)
+        found[0, bare] = -2 - flat[bare]
+    ids = np.full((width, n), -1, np.int32)
     ids[:, at] = found
-    score = np.full((width, n), -np.inf)
+    score = np.full((width, n), -np.inf, np.float32)
     score[:, at] = weight
-    alpha = np.full(n, -np.inf)
+    del found, weight
+    alpha = np.full(n, -np.inf, np.float32)
     alpha[rows[:-1]] = 0.0
     cum = np.zeros((n, width), np.float32)
     order = np.argsort(-size, kind="stable")
@@ -137,10 +139,12 @@ def _dense(lat: Lattice, code: np.ndarray, start: np.ndarray, size: np.ndarray)
         first = first[: int(np.searchsorted(-longest, -j, "right"))]
         most = min(j, width)
         end = first + j
-        terms = np.stack([alpha[end - k] + score[k - 1, end - k] for k in range(1, most + 1)])
+        terms = np.empty((most, len(end)), np.float32)
+        for k in range(1, most + 1):
+            np.add(alpha[end - k], score[k - 1, end - k], out=terms[k - 1])
         top = terms.max(0)
-        p = np.exp(terms - top)
-        run = np.cumsum(p, axis=0)
+        terms -= top
+        run = np.cumsum(np.exp(terms, out=terms), axis=0, out=terms)
         alpha[end] = top + np.log(run[-1])
         cum[end, :most] = (run / run[-1]).T
         cum[end, most:] = 2.0
@@ -274,12 +278,17 @@ def encoder(model: str = MODEL, alpha: float = ALPHA, seed: int = SEED):
 
     @F.arrow_udf("struct<ids array<int>, n_pieces long, lossless boolean>")
     def run(text: pa.Array, key: pa.Array) -> pa.Array:
-        texts = text.to_pylist()
-        got = encode(texts, key.to_pylist(), model, alpha, seed)
-        same = [decode(x, model) == t for x, t in zip(got, texts)]
+        got: list[np.ndarray | None] = []
+        same: list[bool] = []
+        for lo in range(0, len(text), 500):
+            texts = text.slice(lo, 500).to_pylist()
+            some = encode(texts, key.slice(lo, 500).to_pylist(), model, alpha, seed)
+            same += [decode(x, model) == t for x, t in zip(some, texts)]
+            got += some
         sizes = np.array([0 if x is None else len(x) for x in got], np.int64)
         none = np.array([x is None for x in got], bool)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(none, False))
+        trim()
         values = np.concatenate([x for x in got if x is not None]) if (~none).any() else np.zeros(0, np.int32)
         lists = pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
         return pa.StructArray.from_arrays([lists, pa.array(sizes), pa.array(same, pa.bool_())], names=["ids", "n_pieces", "lossless"])

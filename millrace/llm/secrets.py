@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbatch import trim
+
 #: Fixed patterns of the contract.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -125,7 +127,8 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     @F.arrow_udf("struct<n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string>")
     def look(text: pa.Array) -> pa.Array:
         rows = []
-        for x in text.to_pylist():
+        for x in text:
+            x = x.as_py()
             base, every = scan(x, vocabulary)
             kinds = [k for _, k, _ in every]
             rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(render(base).encode()).hexdigest(), render(every)))
@@ -142,7 +145,9 @@ def redacted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     @F.arrow_udf("string")
     def clean(text: pa.Array) -> pa.Array:
-        return pa.array([redact(x, vocabulary) for x in text.to_pylist()], pa.string())
+        out = pa.array([redact(x.as_py(), vocabulary) for x in text], pa.string())
+        trim()
+        return out
 
     out = docs.withColumn("text", clean(F.col("text").cast("string")))
     if "n_chars" in docs.columns:

@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Features are the words of the benchmark (lower-cased, ASCII punctuation aside).  One pass over all
+1. Features are the words of the benchmark (A-Z and Latin-1 capitals lower-cased, ASCII punctuation aside).  One pass over all
    documents counts in how many 32-word blocks each occurs; features in over MOST_BLOCKS of them are dropped,
    the others weigh by IDF.
 2. A distributed randomised SVD of the TF-IDF passages (64-word windows, stride 32, of all documents, and the
@@ -62,7 +62,7 @@ class Index:
 
 def _hashes(texts: list[str | None]) -> list[np.ndarray]:
     out = []
-    for w in words(pa.array(texts, pa.string()), NOT_ALNUM):
+    for w in words(pa.array(texts, pa.string()), NOT_ALNUM, latin=True):
         out += [w.hash[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:])]
     return out
 
@@ -100,7 +100,7 @@ def _count(sent):
         index = sent.value
         total, blocks = np.zeros(index.width, np.int64), 0
         for batch in batches:
-            for w in words(batch.column(0), NOT_ALNUM):
+            for w in words(batch.column(0), NOT_ALNUM, latin=True):
                 _, ids, block, first = _blocks(w, index.feature)
                 once = np.unique(block * index.width + ids)
                 total += np.bincount(once % index.width, minlength=index.width)
@@ -168,7 +168,7 @@ def _range_finder(sent, seed: int, parts: int):
         keep = index.feature.copy()
         keep[keep >= 0] = np.where(index.idf[keep[keep >= 0]] > 0, keep[keep >= 0], -1)
         for batch in batches:
-            for w in words(batch.column(0), NOT_ALNUM):
+            for w in words(batch.column(0), NOT_ALNUM, latin=True):
                 _, ids, block, first = _blocks(w, keep)
                 if not len(ids):
                     continue
@@ -290,7 +290,7 @@ def _search(sent):
         keep = index.feature.copy()
         keep[keep >= 0] = np.where(index.idf[keep[keep >= 0]] > 0, keep[keep >= 0], -1)
         for batch in batches:
-            for w in words(batch.column(1), NOT_ALNUM):
+            for w in words(batch.column(1), NOT_ALNUM, latin=True):
                 _, ids, block, first = _blocks(w, keep)
                 if not len(ids):
                     continue

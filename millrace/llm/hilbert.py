@@ -119,7 +119,11 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Parquet files under path/shard=K, rows in the order of the curve, with the columns of docs."""
-    placed = ranked(_measured(docs), shards).select("_row.*", F.col("shard").alias("shard"), F.col("slot").alias("_slot"))
-    spread = placed.repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot")
-    spread.drop("_slot").write.partitionBy("shard").parquet(path)
+    """Parquet files under path/shard=K, rows in the order of the curve, with the columns of docs.
+
+    Where docs has a column `shard`, the folders are named hilbert_shard=K.
+    """
+    name = "hilbert_shard" if "shard" in docs.columns else "shard"
+    placed = ranked(_measured(docs), shards).select("_row.*", F.col("shard").alias(name), F.col("slot").alias("_millrace_slot"))
+    spread = placed.repartitionByRange(name, "_millrace_slot").sortWithinPartitions(name, "_millrace_slot")
+    spread.drop("_millrace_slot").write.partitionBy(name).parquet(path)

@@ -125,7 +125,8 @@ def spans(off: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(array: pa.Array, sep: np.ndarray = SPACES, fold: np.ndarray = FOLD, hashed: bool = True) -> Iterator[Words]:
+def words(array: pa.Array, sep: np.ndarray = SPACES, fold: np.ndarray = FOLD, latin: bool = False) -> Iterator[Words]:
+    """Words of each run of texts; A-Z are folded, with `latin` also the capitals from U+00C0 to U+00DE."""
     data, off = buffers(array)
     for lo, hi in spans(off):
         a, b = int(off[lo]), int(off[hi])
@@ -136,6 +137,10 @@ def words(array: pa.Array, sep: np.ndarray = SPACES, fold: np.ndarray = FOLD, ha
             none = np.zeros(0, np.int64)
             yield Words(lo, hi, chunk, own, none, none, np.zeros(hi - lo + 1, np.int64), none.astype(np.uint64))
             continue
+        if latin:  # second bytes after 0xC3, but for the multiplication sign
+            at = np.flatnonzero(chunk[:-1] == 0xC3) + 1
+            at = at[(chunk[at] >= 0x80) & (chunk[at] <= 0x9E) & (chunk[at] != 0x97)]
+            chunk[at] += 0x20
         inside = ~sep[chunk]
         edge = np.zeros(n + 1, bool)
         edge[own] = True  # no word runs on into the next text
@@ -148,11 +153,9 @@ def words(array: pa.Array, sep: np.ndarray = SPACES, fold: np.ndarray = FOLD, ha
         after[:-1] = inside[1:]
         end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         bounds = np.searchsorted(start, own)
-        h = np.zeros(0, np.uint64)
-        if hashed:
-            run = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[chunk] * _power("p", n), out=run[1:])
-            h = mix((run[end] - run[start]) * _power("i", n)[start])
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[chunk] * _power("p", n), out=run[1:])
+        h = mix((run[end] - run[start]) * _power("i", n)[start])
         yield Words(lo, hi, chunk, own, start, end, bounds, h)
 
 

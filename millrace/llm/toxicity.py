@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) ->
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in words(batch.column(batch.num_columns - 1), NOT_ALNUM):
+            for w in words(batch.column(batch.num_columns - 1), NOT_ALNUM, latin=True):
                 each, scale = buckets(w), scales(w)
                 held = []
                 for i, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())):
@@ -170,7 +170,7 @@ def scorer(docs: DataFrame, chain: Chain):
     def run(text: pa.Array) -> pa.Array:
         chain = sent.value
         out = []
-        for w in words(text, NOT_ALNUM):
+        for w in words(text, NOT_ALNUM, latin=True):
             n = w.hi - w.lo
             each, doc, scale = buckets(w), w.doc, scales(w)
             p = np.zeros((n, 0))

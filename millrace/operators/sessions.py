@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .tail import order_statistic
 
 
 def session_roots(sessions: DataFrame) -> DataFrame:
@@ -50,16 +51,18 @@ def fanout(sessions: DataFrame, roots: DataFrame) -> DataFrame:
         F.count_if(rated & (F.col("commits") != 0)).alias("landed"), F.coalesce(F.sum(F.when(rated, F.col("effort"))), F.lit(0.0)).alias("known"),
     )
     seen = (F.col("rated") > 0) & (F.col("effort") != 0)
-    shares = F.array_sort(F.collect_list(F.when(seen, F.col("blind") / F.nullif(F.col("effort"), F.lit(0.0)))))
-    out = runs.agg(
+    runs = runs.withColumn("_share", F.round(F.when(seen, F.col("blind") / F.nullif(F.col("effort"), F.lit(0.0))), 3)).withColumn("_all", F.lit(1))
+    out = runs.groupBy("_all").agg(
         F.sum("n").alias("sessions"), F.count("*").alias("runs"), F.sum("effort").alias("_total"), F.count_if(F.col("n") > 1).alias("_multi"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("effort"))), F.lit(0.0)).alias("_multi_effort"),
-        F.sum("known").alias("_known"), F.coalesce(F.sum(F.when(seen & (F.col("landed") == 0), F.col("effort"))), F.lit(0.0)).alias("_none"), shares.alias("_s"),
+        F.sum("known").alias("_known"), F.coalesce(F.sum(F.when(seen & (F.col("landed") == 0), F.col("effort"))), F.lit(0.0)).alias("_none"),
     )
-    at = lambda q: F.try_element_at("_s", (F.least(F.floor(F.lit(q) * F.size("_s")), F.size("_s") - 1) + 1).cast("int"))
+    for q, name in ((0.5, "invisible_effort_share_median"), (0.9, "invisible_effort_share_p90")):
+        place = lambda n, q=q: F.least(F.floor(F.lit(q) * n), n - 1)
+        out = out.join(order_statistic(runs, ["_all"], "_share", place, name), "_all", "left")
     part = lambda c: F.round(F.try_divide(F.col(c), F.col("_total")), 3)
     return out.select(
         "sessions", "runs", F.round("_total", 2).alias("effort_total"), F.round(F.try_divide(F.col("_multi"), F.col("runs")), 3).alias("multi_session_run_share"), part("_multi_effort").alias("multi_session_effort_share"),
-        F.round(at(0.5), 3).alias("invisible_effort_share_median"), F.round(at(0.9), 3).alias("invisible_effort_share_p90"), part("_none").alias("no_artifact_effort_share"),
+        "invisible_effort_share_median", "invisible_effort_share_p90", part("_none").alias("no_artifact_effort_share"),
         F.round(F.try_divide(F.col("_total") - F.col("_known"), F.col("_total")), 3).alias("unrated_effort_share"),
     )
 

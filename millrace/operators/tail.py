@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ FLAG = r"(?i)\bflag[:/ ]+([a-z0-9][a-z0-9._-]{2,})"
 SCOPE = r"^\w+\(([^)]{2,40})\)!?:"
 REVERT = r'^Revert .*"(.{4,60})"'
 INFRA = r"(^|/)(\.github|\.gitlab|ci|infra|terraform|helm|charts|deploy)(/|$)"
+GRAM = 4
 STOPWORDS = (
     "add added adds fix fixed fixes update updated updates remove removed chore refactor test tests wip bump merge revert the a an of to for and in on with "
     "from into make use using"
@@ -101,20 +104,24 @@ def anchored(commits: DataFrame) -> DataFrame:
 
 
 def ship_moments(clustered: DataFrame, events: DataFrame, on: list[str]) -> DataFrame:
-    """on, first_at, t0: the first event (by time, then hint) at or after the first commit whose hint is blank or
-    part of the key and subjects; infra-only commits are left out beforehand.
+    """on, first_at, t0: the first event at or after the first commit whose hint is blank or part of the key or of a
+    subject; infra-only commits are left out beforehand.
 
-    Each distinct word of a cluster meets the hints inside it: cluster and event join on time and containment.
+    Hints meet texts on their first GRAM characters, an equi-join, before containment is tested; only hints that are
+    shorter, and blank ones, meet every cluster.
     """
-    text = F.concat_ws(" ", F.sort_array(F.collect_set(F.lower("subject"))))
-    groups = clustered.groupBy(*on).agg(F.min("at").alias("first_at"), text.alias("_subjects")).withColumn("_text", F.concat_ws(" ", F.lower("key"), "_subjects"))
+    first = clustered.groupBy(*on).agg(F.min("at").alias("first_at"))
+    parts = clustered.select(*on, F.lower("subject").alias("_part")).union(clustered.select(*on, F.lower("key").alias("_part"))).distinct()
     e = events.select(F.col("at").alias("_when"), F.lower(F.trim(F.coalesce("hint", F.lit("")))).alias("_hint"))
-    named, blank = e.filter("_hint <> ''"), e.filter("_hint = ''")
-    g = groups.select(*on, "first_at", "_text")
-    hits = g.join(named, (F.col("_when") >= F.col("first_at")) & F.contains("_text", "_hint"))
-    hits = hits.unionByName(g.join(blank, F.col("_when") >= F.col("first_at")))
-    t0 = hits.groupBy(*on).agg(F.min("_when").alias("t0"))
-    return groups.select(*on, "first_at").join(t0, on, "left")
+    long, short = e.filter(F.length("_hint") >= GRAM), e.filter((F.length("_hint") < GRAM) & (F.col("_hint") != ""))
+    places = F.sequence(F.lit(1), F.length("_part") - (GRAM - 1))
+    grams = parts.filter(F.length("_part") >= GRAM).withColumn("_gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("_part", i, F.lit(GRAM))))))
+    hits = grams.join(long.withColumn("_gram", F.substring("_hint", 1, GRAM)), "_gram").filter(F.contains("_part", "_hint")).select(*on, "_when")
+    hits = hits.unionByName(parts.join(short, F.contains("_part", "_hint")).select(*on, "_when")).distinct()
+    named = hits.join(first, on).filter(F.col("_when") >= F.col("first_at")).select(*on, "_when")
+    blank = e.filter("_hint = ''").select("_when").distinct()
+    named = named.unionByName(first.join(blank, F.col("_when") >= F.col("first_at")).select(*on, "_when"))
+    return first.join(named.groupBy(*on).agg(F.min("_when").alias("t0")), on, "left")
 
 
 def quiet_split(clustered: DataFrame, moments: DataFrame, on: list[str], end: Column, quiet_days: int = QUIET_DAYS) -> DataFrame:
@@ -156,21 +163,29 @@ def survival(results: DataFrame, on: list[str]) -> DataFrame:
     return start.unionByName(curve)
 
 
-def upper_median(values: Column) -> Column:
-    """The element at n // 2 of the sorted values."""
-    s = F.array_sort(F.collect_list(values))
-    return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def order_statistic(values: DataFrame, on: list[str], value: str, index: Callable[[Column], Column], name: str) -> DataFrame:
+    """on and the value at index(n) of the sorted non-null values, counted from 0.
+
+    Values come rounded: rounding keeps order, so a count of each distinct value is all that has to be sorted.
+    """
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(*on)
+    counts = counts.withColumn("_upto", F.sum("_n").over(every.orderBy(value))).withColumn("_size", F.sum("_n").over(every))
+    return counts.filter(F.col("_upto") > index(F.col("_size"))).groupBy(*on).agg(F.min(value).alias(name))
 
 
 def summary(results: DataFrame, curve: DataFrame, on: list[str]) -> DataFrame:
     """on, counts, unattributed share, upper medians of tail mass and rework, censored share, plateau of the curve."""
     r = measured(results)
     ok = F.col("resolved")
+    r = r.withColumns({"_tail": F.when(ok, F.round("tail_mass", 3)), "_rework": F.when(ok, F.round("rework_ratio", 3))})
     sums = r.groupBy(*on).agg(
         F.count("*").alias("clusters_total"), F.count_if(ok).alias("clusters_resolved"), F.sum(F.col("pre_churn") + F.col("post_churn")).alias("churn_total"),
-        F.round(F.try_divide(F.count_if(~ok), F.count("*")), 3).alias("unattributed_share"), F.round(upper_median(F.when(ok, F.col("tail_mass"))), 3).alias("tail_mass_median"),
-        F.round(upper_median(F.when(ok, F.col("rework_ratio"))), 3).alias("rework_ratio_median"), F.round(F.try_divide(F.count_if(ok & F.col("censored")), F.count_if(ok)), 3).alias("never_stabilises_share"),
+        F.round(F.try_divide(F.count_if(~ok), F.count("*")), 3).alias("unattributed_share"), F.round(F.try_divide(F.count_if(ok & F.col("censored")), F.count_if(ok)), 3).alias("never_stabilises_share"),
     )
+    middle = lambda n: F.floor(n / 2)
+    for value, name in (("_tail", "tail_mass_median"), ("_rework", "rework_ratio_median")):
+        sums = sums.join(order_statistic(r, on, value, middle, name), on, "left")
     last = curve.groupBy(*on).agg(F.round(F.min("survival"), 3).alias("survival_plateau"))
     return sums.join(last, on, "left")
 

@@ -47,7 +47,8 @@ def classify_ingest(batch: DataFrame, stored: DataFrame, order: str | None = Non
     text = batch.withColumns({c: blank_to_null(F.col(f"`{c}`").cast("string")) for c in have}).withColumn("build_id", F.trim("build_id"))
     place = F.col(order) if order else F.monotonically_increasing_id()
     text = text.withColumn("_place", place)
-    first = Window.partitionBy("build_id").orderBy("_place")
+    # rows without an id are nobody's twin, and must not meet in one task
+    first = Window.partitionBy(F.coalesce("build_id", F.concat(F.lit("\0"), F.col("_place").cast("string")))).orderBy("_place")
     rows = text.withColumn("_k", F.row_number().over(first))
     old = stored.select(F.trim("build_id").alias("_id"), *[blank_to_null(F.col(f"`{c}`").cast("string")).alias(f"_old_{c}") for c in have if c != "build_id" and c in stored.columns], F.lit(True).alias("_known"))
     rows = rows.join(old, F.col("build_id") == F.col("_id"), "left")

@@ -37,6 +37,12 @@ def lead_time_sources() -> list[Column]:
     ]
 
 
+def mix_levels(builds: DataFrame) -> DataFrame:
+    """grp, win, n_builds and the impact shares of every cell and, with null keys, of all builds: one pass."""
+    shares = [share(F.col("impact") == c).alias(f"share_{c}") for c in IMPACT_CLASSES]
+    return builds.groupingSets([[F.col("grp"), F.col("win")], []], F.col("grp"), F.col("win")).agg(F.count(F.lit(1)).alias("n_builds"), *shares)
+
+
 def norm_parameters(deferred: DataFrame, plans: list[Plan]) -> dict[str, tuple[float | None, float | None]]:
     """Of each normaliser node: (low, high) or (mean, deviation) over all cells; one row is collected."""
     wanted = {}

@@ -233,6 +233,13 @@ def knee_2d(df: DataFrame, on: list[str], ident: list[str], x: str, y: str) -> D
     return best.select(*on, *ident, F.when(norm > 0, F.lit(np.pi) - F.acos(cosine)).otherwise(0.0).alias("bend"))
 
 
+def staircase(df: DataFrame, on: list[str], x: str, y: str) -> DataFrame:
+    """on, x, least: the least y of points at or before each x, the boundary of what two objectives attain."""
+    live = complete(df, [x, y]).groupBy(*on, F.col(x).alias("x")).agg(F.min(y).alias("_y"))
+    w = Window.partitionBy(*on).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    return live.select(*on, "x", F.min("_y").over(w).alias("least"))
+
+
 def knee_plane(df: DataFrame, on: list[str], ident: str, objectives: list[str]) -> DataFrame:
     """on, ident, score, method: distance from the plane through the front's extreme points (three and more objectives)."""
 

@@ -175,6 +175,8 @@ f as (select a, b, cast(round((1 + sqrt(1 + 8 * np)) / 2) as bigint) n, case whe
 cr as (select ms.win, mask, count(*) bits, max(a) a, max(b) b, max(c) c from ms join nf on nf.win = ms.win and (mask >> nf.i) % 2 = 1 group by ms.win, mask)""", "select w.win, round(coalesce(sum(case when bits % 2 = 1 then 1 else -1 end * (1.1 - a) * (1.1 - b) * (1.1 - c)), 0.0), 6) as hypervolume, coalesce((select count(*) from fr where fr.win = w.win), 0) as points from (select distinct win from cells) w left join cr on cr.win = w.win group by w.win")
     add("distance_to_ideal", CELLS + ", g as (select grp, win, a - min(a) over (partition by win) x, b - min(b) over (partition by win) y, c - min(c) over (partition by win) z from live)", "select grp, win, round(x + y + z, 6) as l1, round(sqrt(x * x + y * y + z * z), 6) as l2, round(greatest(x, y, z), 6) as linf from g")
     add("weighted_sum", CELLS, "select grp, win, round(a / 3 + b / 3 + c / 3, 6) as weighted_sum, round((coalesce(ra, 0) + coalesce(rb, 0) + coalesce(rc, 0)) / nullif(cast((ra is not null)::int + (rb is not null)::int + (rc is not null)::int as double), 0), 6) as average_rank from cells")
+    add("staircase_2d", CELLS + ", sx as (select win, a as x, min(b) as y from cells where a is not null and b is not null group by win, a)", "select win, round(x, 6) as x, round(min(y) over (partition by win order by x), 6) as least from sx")
+    add("mix_levels", PREPARED, "select grp, win, count(*) as n_builds, " + ", ".join(f"round(count(*) filter (where impact = '{c}') / cast(count(*) as double), 6) as share_{c}" for c in IMPACT_CLASSES) + " from prep group by grouping sets ((grp, win), ())")
     two_d = f"f2 as (select grp, win, a, b, count(*) over (partition by win) n from live p where not exists (select 1 from live q where q.win = p.win and {beats('q', 'p', ('a', 'b'))})), s2 as (select *, lag(a) over w - a ax, lag(b) over w - b ay, lead(a) over w - a bx, lead(b) over w - b by_ from f2 window w as (partition by win order by a, grp))"
     add("knee_2d", CELLS + ", " + two_d, "select grp, win, round(case when sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_) > 0 then pi() - acos(greatest(-1.0, least(1.0, (ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_))))) else 0.0 end, 6) as bend from s2 where n >= 3")
     out["expected_maxima"] = "with d1 as (select unnest(range(1, 31)) as n, 1.0::double as a), d2 as (select n, sum(a / n) over (order by n) as a from d1), d3 as (select n, sum(a / n) over (order by n) as a from d2), d4 as (select n, sum(a / n) over (order by n) as a from d3) " + " union all ".join(f"select n, cast({d} as bigint) as d, round(a, 6) as a from d{d}" for d in (1, 2, 3, 4))

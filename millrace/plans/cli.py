@@ -6,7 +6,9 @@ Exit codes: 0 done, 1 something was refused, 2 an error.
 from __future__ import annotations
 
 import argparse
+import csv
 import json
+import os
 import sys
 
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from .. import constants as K
 from ..functions.formula import Formula, FormulaError
+from ..functions.metrics import DEFAULTS
 from ..session import session
 from .analysis import Params
 from .commands import Workbench, parse_time
@@ -28,7 +31,8 @@ def parser() -> argparse.ArgumentParser:
 
     def command(name: str) -> argparse.ArgumentParser:
         c = s.add_parser(name)
-        c.add_argument("--db", help="folder of the store")
+        c.add_argument("--db", help="folder of the store; .millrace here, or in the home folder with --global, if there is one")
+        c.add_argument("--global", dest="home", action="store_true")
         return c
 
     c = command("ingest")
@@ -69,6 +73,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("b")
     c = s.add_parser("check")
     c.add_argument("expression")
+    c = s.add_parser("fixture")
+    c.add_argument("name", choices=("ground_truth", "degeneracy", "overlap", "threshold"))
+    c.add_argument("--out", required=True)
+    c.add_argument("--metrics", help="also write the shipped definitions here")
     t = sub.add_parser("tail")
     t.add_argument("--repo", default=".")
     for a in ("--since", "--until", "--deploys", "--archive", "--sessions", "--prices", "--cost", "--out"):
@@ -87,11 +95,33 @@ def _show(x) -> None:
     print(json.dumps(x, indent=2, default=str))
 
 
+def _store_path(a: argparse.Namespace) -> str | None:
+    """The folder that was named; else .millrace, where it exists or something is to be stored."""
+    if a.db:
+        return a.db
+    path = os.path.join(os.path.expanduser("~") if a.home else ".", ".millrace")
+    return path if os.path.isdir(path) or a.home or a.command in ("ingest", "define") else None
+
+
+def _fixture(a: argparse.Namespace) -> None:
+    from ..sources import fixtures
+
+    getattr(fixtures, a.name)(session()).toPandas().to_csv(a.out, index=False)
+    if a.metrics:
+        with open(a.metrics, "w", encoding="utf-8", newline="") as f:
+            w = csv.writer(f)
+            w.writerow(["name", "role", "direction", "expression", "version", "notes"])
+            w.writerows([m.name, m.role, m.direction, m.expression, m.version, m.notes] for m in DEFAULTS)
+
+
 def surface(a: argparse.Namespace) -> int:
     if a.command == "check":
         _show(Formula("expression", a.expression).reads.as_dict())
         return 0
-    bench = Workbench(session(), a.db)
+    if a.command == "fixture":
+        _fixture(a)
+        return 0
+    bench = Workbench(session(), _store_path(a))
     match a.command:
         case "ingest":
             got = bench.ingest_csv(a.csv, a.source)

@@ -73,6 +73,13 @@ def mix(classes: tuple[str, ...], spark: SparkSession, sf_dir: str) -> DataFrame
     return build_cells(b, ()).select(*KEYS, "n_builds", *[r6(f"share_{c}", f"share_{c}") for c in classes])
 
 
+def mix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.cells import mix_levels as levels
+
+    b, _ = prepared(spark, sf_dir)
+    return levels(b).select(*KEYS, "n_builds", *[r6(f"share_{c}", f"share_{c}") for c in IMPACT_CLASSES])
+
+
 def cell_column(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     b, _ = prepared(spark, sf_dir)
     return build_cells(b, ()).select(*KEYS, r6(name, name))
@@ -156,6 +163,11 @@ def weighted_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*KEYS, r6("weighted_sum", "weighted_sum"), r6("average_rank", "average_rank"))
 
 
+def staircase_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = D.staircase(cells(spark, sf_dir), ["win"], NORMS[0], NORMS[1])
+    return got.select("win", r6("x", "x"), r6("least", "least"))
+
+
 def knee_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.knee_2d(cells(spark, sf_dir), ["win"], ["grp"], NORMS[0], NORMS[1]).select(*KEYS, r6("bend", "bend"))
 
@@ -432,7 +444,7 @@ def queries() -> dict[str, Query]:
     }
     named = (
         builds_prepared, lead_time_source, impact_gate, derive_u, objective_minmax, objective_rank, kendall_tau, pareto_layers, epsilon_front, k_dominance, k_cycles, skyline_frequency, delta_moss_subsets,
-        hypervolume_exact, hypervolume_mc, distance_to_ideal, weighted_sum, knee_2d, knee_hyperplane, expected_maxima, permutation_null, bootstrap_p_on_front, prob_dominance, bootstrap_epsilon, attainment_bands,
+        hypervolume_exact, hypervolume_mc, distance_to_ideal, weighted_sum, staircase_2d, mix_levels, knee_2d, knee_hyperplane, expected_maxima, permutation_null, bootstrap_p_on_front, prob_dominance, bootstrap_epsilon, attainment_bands,
         marginal_utility, parametric_replicates, clr, aitchison_movement, direction_of_travel, persistence, threshold_sensitivity, lead_time_divergence, explain_dominators, ingest_classify, registry_latest, run_diff,
         aggregate_cells, anchor_clusters, t0_resolve, quiet_split, km_survival, tail_summary, greedy_clusters, flow_frontier, session_roots, session_fanout, agent_spend, never_landed, workflow_label, analysis_json, findings_block,
     )

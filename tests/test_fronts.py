@@ -226,3 +226,50 @@ def test_aggregate_cells(spark):
             prepare_aggregate_cells(spark.createDataFrame([bad], head), ["cost", "lead_time"])
     with pytest.raises(ValueError):
         prepare_aggregate_cells(spark.createDataFrame([rows[0], rows[0]], head), ["cost", "lead_time"])
+
+
+def test_front_is_about_order_only(spark):
+    """Swapping axes or stretching one changes neither front nor layers nor skyline frequency."""
+    rng = random.Random(11)
+    rows = [tuple(rng.random() for _ in range(3)) for _ in range(30)]
+    df, n = points(spark, rows)
+    other = df.select("k", "id", F.exp("c").alias("a"), F.col("a").alias("b"), (F.col("b") * F.col("b") * 7 + 1).alias("c"))
+    for f in (lambda d: D.front(d, ["k"], n).select("id"), lambda d: D.layers(d, ["k"], ["id"], n).select("id", "layer"), lambda d: D.skyline_frequency(d, ["k"], ["id"], n).select("id", "frequency")):
+        assert sorted(map(tuple, f(df).collect())) == sorted(map(tuple, f(other).collect()))
+
+
+def test_null_model_agrees_with_closed_form(spark):
+    typed, _ = prepare.coerce(fixtures.degeneracy(spark))
+    got = compute(typed, list(DEFAULTS), Params(as_of=AS_OF, u=1000.0, bootstrap=0, permutations=100))
+    drawn = [c["null_model"] for c in got["comparisons"] if c.get("null_model", {}).get("available")]
+    assert drawn and all(abs(m["closed_form"] - m["mean"]) < 0.6 for m in drawn)
+    assert sum(m["verdict"] == "NOT INFORMATIVE" for m in drawn) >= 0.6 * len(drawn)
+
+
+def test_reruns_agree(spark):
+    typed, _ = prepare.coerce(fixtures.overlap(spark))
+    p = Params(as_of=AS_OF, u=1000.0, bootstrap=5, permutations=5)
+    a, b = (compute(typed.repartition(n), list(DEFAULTS), p) for n in (1, 3))
+    assert [c["null_model"] for c in a["comparisons"]] == [c["null_model"] for c in b["comparisons"]]
+    assert [c["p_on_front"] for c in a["comparisons"]] == [c["p_on_front"] for c in b["comparisons"]]
+
+
+def test_cautions(spark):
+    rows = [r for i in range(8) for r in fixtures.cell(f"g{i}", "2026-04", 12 if i else 4, 100.0 + i, 5.0 + i, 1.0)]
+    for r in rows:
+        if r["group"] == "g1":
+            r["served_at"], r["question"] = None, "style"
+        if r["group"] == "g2" and r["served_at"] and r["build_id"].endswith("1"):
+            r["served_at"] = None
+    typed, _ = prepare.coerce(fixtures.frame(spark, rows))
+    quick = {"as_of": AS_OF, "u": 1000.0, "bootstrap": 0, "permutations": 0}
+    got = compute(typed, list(DEFAULTS), Params(**quick))
+    assert {"BELOW_BUILD_FLOOR", "QUESTION_UNCLASSIFIED", "CUBE_CLUTTER_CAP", "MIXED_LEAD_TIME_SOURCE"} <= {c["code"] for c in got["diagnostics"]["cautions"]}
+    assert "DIVERGENT_LEAD_TIME_SOURCE" in {c["code"] for c in got["diagnostics"]["refusals"]}
+    mixed = compute(typed, list(DEFAULTS), Params(allow_mixed_lead_time=True, **quick))
+    assert "DIVERGENT_LEAD_TIME_SOURCE" in {c["code"] for c in mixed["diagnostics"]["cautions"]} and any("front" in c for c in mixed["comparisons"])
+    assert not next(c for c in mixed["cells"] if c["group"] == "g0")["plotted"]
+    few = compute(typed.filter("grp in ('g3', 'g4', 'g5', 'g6')"), list(DEFAULTS), Params(**quick))
+    assert "PROVISIONAL_FRONT" in {c["code"] for c in few["diagnostics"]["cautions"]}
+    one = compute(typed.filter("grp in ('g3', 'g4')").unionByName(typed.filter("grp = 'g5'").limit(1)), list(DEFAULTS), Params(**(quick | {"bootstrap": 3})))
+    assert "UNCERTAINTY_UNAVAILABLE" in {c["code"] for c in one["diagnostics"]["cautions"]}

@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from millrace.functions.metrics import DEFAULTS
 from millrace.operators.prepare import RAW_COLUMNS
 from millrace.plans import cli, toolserver
 from millrace.plans.commands import Workbench
@@ -110,6 +111,10 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["surface", "render", out, "--out", str(tmp_path / "p.html")]) == 0
     assert cli.main(["surface", "list", "runs", "--db", db]) == 0
     assert cli.main(["surface", "check", "sum(bugs) / count()"]) == 0
+    assert cli.main(["surface", "fixture", "threshold", "--out", str(tmp_path / "f.csv"), "--metrics", str(tmp_path / "m.csv")]) == 0
+    from millrace.sources import files
+
+    assert [m.name for m in files.read_metrics_csv(spark, str(tmp_path / "m.csv"))] == [m.name for m in DEFAULTS] and files.read_builds_csv(spark, str(tmp_path / "f.csv")).count() == 34
     assert cli.main(["surface", "check", "import os"]) == 2
     assert cli.main(["surface", "compute", "--objectives", "cost", "nothing", "--builds", csv]) == 2
     capsys.readouterr()

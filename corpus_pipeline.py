@@ -16,7 +16,7 @@ from millrace.llm.langid import identified
 from millrace.llm.ngram_join import keep_first
 from millrace.llm.pieces import encoder
 from millrace.llm.secrets import redacted
-from millrace.llm.session import ensure_checkpoint_dir
+from millrace.llm.session import bounded_batches, ensure_checkpoint_dir
 
 #: SQL for run()'s rows: none of the stages can be put in SQL; tests hold each against a brute-force version.
 ORACLE_SQL = None
@@ -44,6 +44,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_pieces, lossless, ids) of every document."""
+    bounded_batches(spark)
     coded = docs.select("doc_id", "lang", "source", encoder()(F.col("text").cast("string"), F.col("doc_id").cast("long")).alias("_e"))
     return coded.select("doc_id", "lang", "source", "_e.n_pieces", "_e.lossless", "_e.ids")
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
 from .textbatch import NOT_ALNUM, U, Words, trim, trimmed, words
 
 BLOCK = 32
@@ -218,6 +219,7 @@ def _few(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, benchmark: DataFrame, seed: int = 11) -> Index:
+    bounded_batches(docs.sparkSession)
     index = _index(benchmark)
     if not index.items:
         return index

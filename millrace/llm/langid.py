@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
 from .textbatch import FOLD, U, buffers, mix, trim
 
 DIM = 8192
@@ -107,6 +108,7 @@ def held_out() -> Column:
 
 def train(docs: DataFrame) -> LanguageModel:
     """A model from docs(doc_id, text, lang) outside the held-out third."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> '' AND lang IS NOT NULL").filter(~held_out())
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
@@ -148,6 +150,7 @@ def train(docs: DataFrame) -> LanguageModel:
 
 
 def _predictor(docs: DataFrame, model: LanguageModel):
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred string, score double>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import small
+from .session import bounded_batches, small
 from .textbatch import NOT_ALNUM, chain, words
 
 K, DRIFT, LEAST_SHARE, LEAST_DENSITY = 4, 8, 0.6, 0.5
@@ -163,6 +163,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     score: 1 where a fixed phrase stands, else the largest verified share of a template.
     """
+    bounded_batches(docs.sparkSession)
     look = F.arrow_udf(base_places, "struct<n_words long, n_base long, first_word long, last_word long, base array<string>>")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_key"), look(text).alias("_b")).select("doc_id", "_key", "_b.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import components, cut, small
+from .session import bounded_batches, components, cut, small
 from .textbatch import U, mix, shingle_sets, trimmed, words
 
 SKETCH_BITS, SKETCH_PARTS = 18, 64
@@ -38,6 +38,8 @@ HASHES, SHARED = 8, 3
 SHORT_HITS = 4
 #: Shingles in a block of a cell; entries of a frequent shingle in one task.
 BLOCK, HEAVY = 1_500_000, 50_000
+#: Entries that a task looks at together.
+GATHER = 50_000
 #: Rows up to which node tables (three longs a row) are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 150_000
 
@@ -277,10 +279,22 @@ def _entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(trimmed(make), "token long, block long, node long, n_side long")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of narrow rows joined up to `rows` and more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different cells on one short list; rows sorted by (token, block), a list never split over tasks."""
     rest = None
-    for batch in batches:
+    for batch in gathered(batches, GATHER):
         now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now)]
@@ -340,6 +354,7 @@ def _links_across(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sketch: n
 
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id) for every row of docs(doc_id, text); see the module's notes."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = cut(docs.mapInArrow(trimmed(_scan), "doc_id long, node long, n int, keys array<long>, part int, counts binary"))
     table = scanned.filter("part IS NULL").select("doc_id", "node", "n", "keys")

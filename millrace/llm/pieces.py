@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
 from .textbatch import U, mix, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -308,6 +309,7 @@ def decoder(model: str = MODEL):
 
 def encode_documents(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """(doc_id, n_pieces, lossless, ids) for every row of docs(doc_id, text), keyed by doc_id."""
+    bounded_batches(docs.sparkSession)
     key: Column = F.col("doc_id").cast("long")
     out = docs.select(key.alias("doc_id"), encoder(model, alpha, seed)(F.col("text").cast("string"), key).alias("_e"))
     return out.select("doc_id", "_e.n_pieces", "_e.lossless", "_e.ids")

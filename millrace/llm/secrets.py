@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
 from .textbatch import trim
 
 #: Fixed patterns of the contract.
@@ -124,6 +125,8 @@ def redact(text: str | None, path: str = VOCABULARY) -> str | None:
 def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for every row of docs(doc_id, text)."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.arrow_udf("struct<n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string>")
     def look(text: pa.Array) -> pa.Array:
         rows = []
@@ -143,6 +146,8 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def redacted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with secrets blanked out of `text` (and `n_chars`, where it is a column, counted again)."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.arrow_udf("string")
     def clean(text: pa.Array) -> pa.Array:
         out = pa.array([redact(x.as_py(), vocabulary) for x in text], pa.string())

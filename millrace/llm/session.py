@@ -17,6 +17,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many texts in one Arrow batch: a batch is held whole on both sides, and texts may be very long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from the shared checkpoint folder: survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

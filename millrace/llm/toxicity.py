@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
 from .textbatch import NOT_ALNUM, U, Words, words
 
 BITS, PREFIXES = 20, (4, 5, 6, 7)
@@ -126,6 +127,7 @@ def fit_chain(row: np.ndarray, col: np.ndarray, val: np.ndarray, labels: np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) -> Chain:
     """A chain from docs(doc_id, text) and a label expression over `labels` (0, 1 or null) for each category."""
+    bounded_batches(docs.sparkSession)
     names = list(categories)
     marked = labels.select(F.col("doc_id").cast("long").alias("_id"), *[c.cast("int").alias(f"_y{k}") for k, c in enumerate(categories.values())]).filter("_id IS NOT NULL")
     some = F.lit(False)

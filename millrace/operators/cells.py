@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..constants import IMPACT_CLASSES, QUESTION_CLASSES
 from ..functions.formula import Plan, finite, normalise
 from ..functions.metrics import Metric
+from ..session import cut
 
 KEYS = ("grp", "win")
 
@@ -73,6 +74,8 @@ def evaluate(builds: DataFrame, metrics: Iterable[Metric], keys: tuple[str, ...]
     inner = {f"{p.prefix}d{k}": c for p in plans for k, c in p.inner.items()}
     if inner:
         cells = cells.withColumns(inner)
+        if frozen is None:
+            cells = cut(cells)  # read twice: for the parameters, and with them; a row a cell, so builds are read once
         parameters = frozen if frozen is not None else norm_parameters(cells, plans)
         if scales is not None:
             scales.update(parameters)

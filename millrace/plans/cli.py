@@ -1,4 +1,4 @@
-"""Command line: `millrace surface ...` for builds, `millrace tail ...` for commits and sessions.
+"""Command line: `millrace cells ...` for builds, `millrace tail ...` for commits and sessions.
 
 Exit codes: 0 done, 1 something was refused, 2 an error.
 """
@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="millrace")
     p.add_argument("--version", action="version", version=__version__)
     sub = p.add_subparsers(dest="engine", required=True)
-    s = sub.add_parser("surface").add_subparsers(dest="command", required=True)
+    s = sub.add_parser("cells").add_subparsers(dest="command", required=True)
 
     def command(name: str) -> argparse.ArgumentParser:
         c = s.add_parser(name)
@@ -114,7 +114,7 @@ def _fixture(a: argparse.Namespace) -> None:
             w.writerows([m.name, m.role, m.direction, m.expression, m.version, m.notes] for m in DEFAULTS)
 
 
-def surface(a: argparse.Namespace) -> int:
+def on_cells(a: argparse.Namespace) -> int:
     if a.command == "check":
         _show(Formula("expression", a.expression).reads.as_dict())
         return 0
@@ -211,8 +211,8 @@ def tail_front(spark, a: argparse.Namespace) -> dict:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
-        if a.engine == "surface":
-            return surface(a)
+        if a.engine == "cells":
+            return on_cells(a)
         spark = session()
         got = tail_front(spark, a) if a.front else tail_run(spark, a)
         if a.out:

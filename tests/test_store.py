@@ -105,18 +105,18 @@ def test_tool_server(bench, tmp_path):
 def test_cli(spark, tmp_path, capsys):
     db, csv, out = str(tmp_path / "db"), str(tmp_path / "b.csv"), str(tmp_path / "a.json")
     fixtures.ground_truth(spark).toPandas().to_csv(csv, index=False)
-    assert cli.main(["surface", "ingest", csv, "--db", db]) == 0
-    assert cli.main(["surface", "compute", "--db", db, "--as-of", "2026-06-01", "--u", "1000", "--bootstrap", "0", "--permutations", "0", "--out", out]) in (0, 1)
-    assert cli.main(["surface", "explain", "--cell", "legacy-owner/2026-04", "--run", out]) == 0
-    assert cli.main(["surface", "render", out, "--out", str(tmp_path / "p.html")]) == 0
-    assert cli.main(["surface", "list", "runs", "--db", db]) == 0
-    assert cli.main(["surface", "check", "sum(bugs) / count()"]) == 0
-    assert cli.main(["surface", "fixture", "threshold", "--out", str(tmp_path / "f.csv"), "--metrics", str(tmp_path / "m.csv")]) == 0
+    assert cli.main(["cells", "ingest", csv, "--db", db]) == 0
+    assert cli.main(["cells", "compute", "--db", db, "--as-of", "2026-06-01", "--u", "1000", "--bootstrap", "0", "--permutations", "0", "--out", out]) in (0, 1)
+    assert cli.main(["cells", "explain", "--cell", "legacy-owner/2026-04", "--run", out]) == 0
+    assert cli.main(["cells", "render", out, "--out", str(tmp_path / "p.html")]) == 0
+    assert cli.main(["cells", "list", "runs", "--db", db]) == 0
+    assert cli.main(["cells", "check", "sum(bugs) / count()"]) == 0
+    assert cli.main(["cells", "fixture", "threshold", "--out", str(tmp_path / "f.csv"), "--metrics", str(tmp_path / "m.csv")]) == 0
     from millrace.sources import files
 
     assert [m.name for m in files.read_metrics_csv(spark, str(tmp_path / "m.csv"))] == [m.name for m in DEFAULTS] and files.read_builds_csv(spark, str(tmp_path / "f.csv")).count() == 34
-    assert cli.main(["surface", "check", "import os"]) == 2
-    assert cli.main(["surface", "compute", "--objectives", "cost", "nothing", "--builds", csv]) == 2
+    assert cli.main(["cells", "check", "import os"]) == 2
+    assert cli.main(["cells", "compute", "--objectives", "cost", "nothing", "--builds", csv]) == 2
     capsys.readouterr()
 
 

@@ -16,12 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, small
+from .session import bounded_batches, cut, small
 from .textbatch import NOT_ALNUM, chain, words
 
 K, DRIFT, LEAST_SHARE, LEAST_DENSITY = 4, 8, 0.6, 0.5
@@ -74,41 +73,60 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[w.lo + doc[at]]), pa.array((at - w.bounds[doc[at]]).astype(np.int32)), pa.array(h[at])], names=["key", "pos", "gram"])
 
 
+def best_run(votes: list[tuple[int, np.ndarray]], n: int) -> tuple[float, int, int]:
+    """(share of a template of n words, first and last word) of the best verified run; votes are (diagonal, places), sorted."""
+    best = (0.0, -1, -1)
+    groups: list[list[tuple[int, np.ndarray]]] = []
+    for d, places in votes:
+        if groups and d - groups[-1][-1][0] <= DRIFT:
+            groups[-1].append((d, places))
+        else:
+            groups.append([(d, places)])
+    for group in groups:
+        pos = np.sort(np.concatenate([p for _, p in group]))
+        seen = np.zeros(n, bool)
+        for j in range(K):
+            seen[np.concatenate([p - d for d, p in group]) + j] = True
+        share = float(seen.mean())
+        if share < LEAST_SHARE or share <= best[0]:
+            continue
+        # runs of hits no further apart than the template is long
+        for part in np.split(pos, np.flatnonzero(np.diff(pos) > n) + 1):
+            dense = len(np.unique((part[:, None] + np.arange(K)).reshape(-1))) / (part[-1] + K - part[0])
+            if dense >= LEAST_DENSITY and share > best[0]:
+                best = (share, int(part[0]), int(part[-1] + K - 1))
+    return best
+
+
 def _verifier(sizes: list[int]):
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Of one text and template: (share of the template, first and last word) of its best verified run."""
-        key, template = keys
-        rows = rows.sort_values("diagonal", kind="stable")
-        best = (0.0, -1, -1)
-        group: list[np.ndarray] = []
-        last = None
-        n = sizes[template]
-
-        def verify() -> None:
-            nonlocal best
-            pos = np.sort(np.concatenate([p for p, _ in group]))
-            diagonal_t = np.unique(np.concatenate([t for _, t in group]))
-            covered = np.zeros(n, bool)
-            for j in range(K):
-                covered[diagonal_t + j] = True
-            share = covered.mean()
-            # runs of hits no further apart than the template is long
-            for part in np.split(pos, np.flatnonzero(np.diff(pos) > n) + 1):
-                span = part[-1] + K - part[0]
-                dense = len(np.unique((part[:, None] + np.arange(K)).reshape(-1))) / span
-                if share >= LEAST_SHARE and dense >= LEAST_DENSITY and share > best[0]:
-                    best = (float(share), int(part[0]), int(part[-1] + K - 1))
-
-        for d, places in zip(rows["diagonal"], rows["places"]):
-            if last is not None and d - last > DRIFT:
-                verify()
-                group = []
-            places = np.asarray(places, np.int64)
-            group.append((places, places - d))
-            last = d
-        if group:
-            verify()
-        return pd.DataFrame({"key": [key], "template": [template], "share": [best[0]], "start": [best[1]], "end": [best[2]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (key, template, diagonal): the votes of one text for one template in memory at a time."""
+        at: tuple[int, int] | None = None
+        votes: list[tuple[int, np.ndarray]] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if at is not None:
+                share, start, end = best_run(votes, sizes[at[1]])
+                if share:
+                    out.append((*at, share, start, end))
+
+        def rows() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
+            cols = list(zip(*out)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "template", "share", "start", "end"])
+
+        for batch in batches:
+            key, template, diagonal, places = (batch.column(k) for k in range(4))
+            for i, (k, t, d) in enumerate(zip(key.to_pylist(), template.to_pylist(), diagonal.to_pylist())):
+                if (k, t) != at:
+                    close()
+                    at, votes = (k, t), []
+                votes.append((d, places[i].values.to_numpy(zero_copy_only=False).astype(np.int64)))
+            yield rows()
+            out.clear()
+        close()
+        yield rows()
 
     return run
 
@@ -123,7 +141,8 @@ def template_spans(docs: DataFrame, templates: list[tuple[str, str]] | None = No
     hits = grams.join(F.broadcast(known), "gram").select("key", "template", "pos", "t").distinct()
     votes = hits.groupBy("key", "template", (F.col("pos") - F.col("t")).alias("diagonal")).agg(F.collect_list("pos").alias("places"))
     sizes = [len(_hashes(x)) for _, x in templates]
-    spans = votes.groupBy("key", "template").applyInPandas(_verifier(sizes), "key long, template int, share double, start int, end int").filter("share > 0")
+    votes = votes.repartition("key", "template").sortWithinPartitions("key", "template", "diagonal")
+    spans = votes.mapInArrow(_verifier(sizes), "key long, template int, share double, start int, end int")
     names = F.create_map(*[F.lit(x) for t, (label, _) in enumerate(templates) for x in (t, label)])
     return spans.select("key", F.element_at(names, F.col("template")).alias("label"), "share", "start", "end")
 
@@ -167,7 +186,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     look = F.arrow_udf(base_places, "struct<n_words long, n_base long, first_word long, last_word long, base array<string>>")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_key"), look(text).alias("_b")).select("doc_id", "_key", "_b.*")
-    found = template_spans(docs).groupBy("key").agg(F.collect_set("label").alias("_more"), F.max("share").alias("_share"))
+    found = cut(template_spans(docs).groupBy("key").agg(F.collect_set("label").alias("_more"), F.max("share").alias("_share")))
     rows = rows.join(small(found, BROADCAST_ROWS), F.col("_key") == F.col("key"), "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("_more", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_share", F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 1. Features are the words of the benchmark (A-Z and Latin-1 capitals lower-cased, ASCII punctuation aside).  One pass over all
    documents counts in how many 32-word blocks each occurs; features in over MOST_BLOCKS of them are dropped,
-   the others weigh by IDF.
+   but for the rarer half of each item's words; the others weigh by IDF.
 2. A distributed randomised SVD of the TF-IDF passages (64-word windows, stride 32, of all documents, and the
    benchmark's own passages with the same total energy): tasks add up Z = A^T (A Omega), a fixed-size matrix;
    the driver takes the Nystrom eigen-decomposition of A^T A from Z and Omega.
@@ -229,7 +229,11 @@ def fit(docs: DataFrame, benchmark: DataFrame, seed: int = 11) -> Index:
     counts = np.zeros(index.width + 1) if counts is None else counts.astype(float)
     blocks = max(1.0, counts[-1])
     index.idf = np.log((1 + blocks) / (1 + counts[:-1]))
-    index.idf[counts[:-1] > max(8, MOST_BLOCKS * blocks)] = 0.0
+    common = counts[:-1] > max(8, MOST_BLOCKS * blocks)
+    for item in index.items:  # a passage that much of the corpus holds makes its own words common
+        ids = np.unique(index.feature[_slot(np.array(item.words, np.uint64))])
+        common[ids[np.argsort(counts[ids], kind="stable")][: max(LEAST_WORDS, len(ids) // 2)]] = False
+    index.idf[common] = 0.0
     omega = _omega(index.width, seed)
     parts = 16
     sums = _sums(_few(text).mapInArrow(trimmed(_range_finder(sc.broadcast(index), seed, parts)), _SUMS), "f4", parts)

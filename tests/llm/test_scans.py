@@ -163,6 +163,17 @@ def test_benchmark_passages(spark, sf_dir, docs, texts):
     assert left == {i for i, _ in rows} - {d for d, _ in got}
 
 
+def test_passage_in_much_of_the_corpus(spark, sf_dir):
+    """A leak that a third of all documents hold is found in each, though its words are then common."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join([word() for _ in range(15)] + (items[0][1].split() if i % 3 == 0 else []) + [word() for _ in range(10)])) for i in range(600)]
+    bench = spark.createDataFrame(items[:5], "item_id long, text string")
+    got = {r["doc_id"] for r in C.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench).collect()}
+    assert got == {i for i, _ in rows if i % 3 == 0}
+
+
 def test_benchmark_edges(spark, sf_dir, odd, empty):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert C.contaminated(odd, bench).count() == 0 and C.contaminated(empty, bench).count() == 0

@@ -117,6 +117,19 @@ class Gate:
         return {"u": self.u, "u_source": self.u_source, "as_of": self.as_of.isoformat(), "L_days": self.resolution_days, "baseline": self.baseline}
 
 
+def window_start(label: str) -> datetime:
+    """The wall-clock time at which the window of a label begins."""
+    year, rest = int(label[:4]), label[5:]
+    if rest[0] == "W":
+        return datetime.fromisocalendar(year, int(rest[1:]), 1)
+    return datetime(year, 3 * int(rest[1:]) - 2 if rest[0] == "Q" else int(rest), 1)
+
+
+def within(windows: list[str]) -> Column:
+    """Builds of these windows; the bound on the time itself reaches the scan."""
+    return (F.col("ts_wall") >= F.lit(window_start(windows[0]).isoformat()).cast("timestamp_ntz")) & F.col("win").isin(*windows)
+
+
 def retained(windows: list[str], keep: int | None) -> tuple[list[str], list[str]]:
     """(kept, dropped): the last `keep` labels; labels of one spec sort by time."""
     every = sorted(windows)
@@ -132,7 +145,7 @@ def derive_gate(builds: DataFrame, as_of: datetime | None = None, u: float | Non
     as_of = as_of or datetime.now(timezone.utc)
     if u is not None:
         return Gate(float(u), "supplied with --u", as_of, resolution_days, baseline, kept, dropped)
-    pool = builds.filter(F.col("win").isin(*([baseline] if baseline else kept)) & F.col("win").isin(*kept) & F.col("served") & F.col("usage").isNotNull())
+    pool = builds.filter(within([w for w in kept if baseline in (None, w)] or ["9999-01"]) & F.col("served") & F.col("usage").isNotNull())
     r = pool.agg(F.percentile("usage", 0.5).alias("u"), F.count("*").alias("n")).first()
     source = f"median usage over {r['n']} served builds in {baseline or 'all retained windows'}" if r["n"] else "UNAVAILABLE: no served build carries a usage signal"
     return Gate(r["u"], source, as_of, resolution_days, baseline, kept, dropped)
@@ -155,7 +168,7 @@ def classify(builds: DataFrame, gate: Gate) -> DataFrame:
     """Retained builds with age, impact class and whether the gate lacked its signal."""
     u = F.lit(gate.u).cast("double")
     as_of = F.lit(gate.as_of).cast("timestamp")
-    out = builds.filter(F.col("win").isin(*gate.windows)).withColumn("age_days", days_between(F.col("ts_at"), as_of))
+    out = builds.filter(within(gate.windows)).withColumn("age_days", days_between(F.col("ts_at"), as_of))
     return out.withColumn("impact", impact_class(u, gate.resolution_days)).withColumn("gate_unavailable", F.col("deployed") & (F.col("usage").isNull() | u.isNull()))
 
 

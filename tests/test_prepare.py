@@ -31,6 +31,14 @@ def test_windows(spark):
     assert df.select(*[P.window_label(F.col("t"), s) for s in ("week", "quarter", "month")]).first()[:] == ("2020-W53", "2021-Q1", "2021-01")
 
 
+@pytest.mark.parametrize("label, start", [("2026-04", (2026, 4, 1)), ("2026-Q4", (2026, 10, 1)), ("2020-W53", (2020, 12, 28)), ("2021-W01", (2021, 1, 4))])
+def test_window_start(spark, label, start):
+    assert P.window_start(label) == datetime(*start)
+    spec = {"W": "week", "Q": "quarter"}.get(label[5], "month")
+    df = spark.createDataFrame([(P.window_start(label).isoformat(),)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    assert df.select(P.window_label(F.col("t"), spec)).first()[0] == label
+
+
 def test_warnings_and_defaults(spark):
     good, bad = P.coerce(raw(spark, build(1, group=" ", question="style", bugs="2.5", usage="nan"), build(2, loc_added=""), build(3, ts=None), build(4, build_id=None)))
     r = {x["build_id"]: x for x in good.collect()}

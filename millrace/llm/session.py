@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cluster delete shuffle files that no frame refers to any more, before the next large shuffle.
+
+    They go when the driver collects the frames that read them, and it may not for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows, else `df` for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows: the first by a hash of `key`.  Beyond twice that, tasks keep only the share that is needed,
+    so that what meets in one task does not grow with their number."""
+    order, n = F.xxhash64(key), df.count()
+    if n > 2 * rows:
+        share = (1.2 * rows + 100) / n
+        df = df.filter(order <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63))))
+    return df.orderBy(order, *df.columns).limit(rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, label), label the smallest id reachable.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches
+from .session import bounded_batches, first_by_hash
 from .textbatch import NOT_ALNUM, U, Words, words
 
 BITS, PREFIXES = 20, (4, 5, 6, 7)
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) ->
     some = F.lit(False)
     for k in range(len(names)):
         some = some | F.col(f"_y{k}").isNotNull()
-    marked = marked.filter(some).orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELLED).groupBy("_id").agg(*[F.max(f"_y{k}").alias(f"_y{k}") for k in range(len(names))])
+    marked = first_by_hash(marked.filter(some), "_id", MOST_LABELLED).groupBy("_id").agg(*[F.max(f"_y{k}").alias(f"_y{k}") for k in range(len(names))])
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_t"))
     rows = rows.join(F.broadcast(marked), F.col("_doc") == F.col("_id")).select("_id", *[f"_y{k}" for k in range(len(names))], "_t")  # MOST_LABELLED rows at most
 

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import first_by_hash
+
 MOST_LABELLED = 20_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 MOST_RULES, MOST_CONDITIONS, QUANTILES = 8, 3, 40
@@ -178,7 +180,7 @@ def learn_rules(x: dict[str, np.ndarray], low: np.ndarray) -> list[Rule]:
 def train(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules from docs(doc_id, text) and labels(doc_id, quality: 0 is low)."""
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(MOST_LABELLED).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    sample = first_by_hash(sample, "doc_id", MOST_LABELLED).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     wanted = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))  # MOST_LABELLED rows at most
     rows = statistics(wanted, "_quality").filter(~base_failed())
     got = rows.select("doc_id", "_quality", *[c.alias(f"f{i}") for i, c in enumerate(features().values())]).collect()

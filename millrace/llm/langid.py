@@ -120,7 +120,8 @@ def train(docs: DataFrame) -> LanguageModel:
     for r in counts:
         share = min(1.0, (1.3 * ROWS_PER_LANG + 30) / r["count"])
         wide = wide | ((F.col("lang") == r["lang"]) & (order <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))))
-    picked = rows.filter(wide).select("lang", order.alias("order"), "text")
+    # rows that repeat an id count once, so a much repeated one does not swell the sample
+    picked = rows.filter(wide).groupBy("lang", order.alias("order")).agg(F.min("text").alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ Documents are sets of distinct 5-word shingles; two link when 100 * intersection
   keeps nodes on at least T - L of them, and binary-probes the L long lists.
 * Nodes of different cells meet through the short lists of their rarest shingles, spread by shingle: with
   an overlap of at least T, at least SHORT_HITS of the n - T + SHORT_HITS rarest shingles agree (T - L =
-  SHORT_HITS).  What reaches that count is verified on whole sets.
+  SHORT_HITS), and more where the sizes are alike.  What reaches that count is verified on whole sets.
 * Links become connected components; the result has a row for each document, never all pairs of a group.
 
 Edge cases: null or blank text gives an empty set, `n_shingles` 0 and a component of its own; fewer than
@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, components, cut, small
+from .session import bounded_batches, components, cut, release, small
 from .textbatch import U, mix, shingle_sets, trimmed, words
 
 SKETCH_BITS, SKETCH_PARTS = 18, 64
 #: Minimum hashes a node, and how many a node shares with the hub of its cell.  They steer work, not results.
 HASHES, SHARED = 8, 3
+SALTS = 8
 SHORT_HITS = 4
 #: Shingles in a block of a cell; entries of a frequent shingle in one task.
 BLOCK, HEAVY = 1_500_000, 50_000
@@ -105,14 +106,16 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 
 def _cells(nodes: DataFrame) -> DataFrame:
     """(node, n, rep, cell): each node that shares enough minimum hashes with a hub, hubs included."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = cut(keyed.join(sizes, "key"))
+    # a key that very many nodes share is spread over SALTS tasks in both joins, and counted before it is sent
+    keyed = nodes.select("node", F.explode("keys").alias("key"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", "size", every)
+    met = cut(keyed.join(sizes, ["key", "salt"]))
     popular = met.groupBy("node").agg(F.sum("size").alias("popular"))
     ranked = met.join(popular, "node")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("hub"))
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("hub")).select("key", "hub", every)
     near = (
-        ranked.join(hubs, "key").groupBy("node", "hub").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED)
+        ranked.join(hubs, ["key", "salt"]).groupBy("node", "hub").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED)
         .groupBy("node").agg(F.max(F.struct("hub.popular", "shared", "hub.node")).alias("best")).select("node", F.col("best.node").alias("cell"))
     )
     cells = cut(near)
@@ -279,6 +282,17 @@ def _entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(trimmed(make), "token long, block long, node long, n_side long")
 
 
+def hits_needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the rarest shingles two sets of these sizes must share to link.
+
+    Of the set whose rarest shingles end first in the order, all common shingles up to there are hits, and no more
+    than its other n - p = T - SHORT_HITS can follow; hits and those must reach the overlap that the sizes need.
+    """
+    overlap = -(-3 * (a + b) // 7)
+    larger = -(-3 * np.maximum(a, b) // 4)
+    return np.maximum(np.minimum(SHORT_HITS, overlap), overlap - (larger - np.minimum(SHORT_HITS, larger)))
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of narrow rows joined up to `rows` and more."""
     held: list[pa.RecordBatch] = []
@@ -321,7 +335,7 @@ def _pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if ok.any():
             a, b = node[i[ok]], node[j[ok]]
             swap = a > b
-            need = np.minimum(SHORT_HITS, -(-3 * (n[i[ok]] + n[j[ok]]) // 7))
+            need = hits_needed(n[i[ok]], n[j[ok]])
             yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(token[i[ok]]), pa.array(need.astype(np.int32))], names=["a", "b", "token", "need"])
 
 
@@ -333,6 +347,8 @@ def _links_across(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sketch: n
     # copies from several partitions repeat a pair under the same shingle, which counts once
     pairs = met.groupBy("a", "b", "token").agg(F.first("need").alias("need")).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("need").alias("need")).filter("hits >= need").select("a", "b")
     pairs = cut(pairs)
+    del entries, met  # their shuffle is the largest, and done with
+    release(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
     whole = cut(sets_for(docs, cut(wanted)).dropDuplicates(["node"]).select("node", "n", "shingles"))
     both = pairs.join(whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
@@ -361,8 +377,11 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     nodes = cut(table.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     sketch = _sketch(scanned)
     cells = _cells(nodes)
-    edges = _links_in_cells(docs, cells).union(_links_across(docs, nodes, cells, sketch))
-    labels = components(cut(edges))
+    edges = cut(_links_in_cells(docs, cells))
+    release(docs.sparkSession)
+    edges = edges.union(cut(_links_across(docs, nodes, cells, sketch)))
+    release(docs.sparkSession)
+    labels = components(edges)
     named = nodes.select("node", "rep").join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")

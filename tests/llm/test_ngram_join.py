@@ -110,6 +110,25 @@ def test_divide_skip():
         assert {tuple(sorted(p)) for p in J.divide_skip(sets, side, cross, links=True)} == want
 
 
+def test_hits_needed():
+    """No linked pair has fewer hits among its rarest members, in any order, than are asked for."""
+    rng = np.random.default_rng(7)
+    linked = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 60))
+        a = rng.permutation(200)[:n]
+        keep = a[rng.random(n) < rng.choice([0.8, 0.9, 1.0])]
+        b = np.union1d(keep, rng.integers(200, 300, rng.integers(0, n // 5 + 1)))
+        common = len(np.intersect1d(a, b))
+        if not len(b) or 7 * common < 3 * (len(a) + len(b)):
+            continue
+        linked += 1
+        order = rng.permutation(300)
+        rare = [sorted(x, key=lambda v: order[v])[: len(x) - J.least_overlap(len(x)) + min(J.SHORT_HITS, J.least_overlap(len(x)))] for x in (a.tolist(), b.tolist())]
+        assert len(set(rare[0]) & set(rare[1])) >= J.hits_needed(np.array([len(a)]), np.array([len(b)]))[0]
+    assert linked > 500
+
+
 def test_words_and_shingles():
     texts = ["A b  c\nd e f", "", None, "ÀB àb", "x y z", "x y z"]
     got = [w for w in words(pa.array(texts))]

@@ -7,6 +7,9 @@
    benchmark's own passages with the same total energy): tasks add up Z = A^T (A Omega), a fixed-size matrix;
    the driver takes the Nystrom eigen-decomposition of A^T A from Z and Omega.
 3. Every window of every document is projected and compared by cosine with every benchmark passage, in blocks.
+   The basis has RANK columns whatever the benchmark's size, so beside it places are looked up exactly: text that holds
+   enough of an item's words to be a leak must hold some of its rarest ones, so many and so near that none is left out
+   (leaks within two lengths of the item).
 4. Candidates are checked on words: longest common subsequence with the whole item (bit-parallel), and how much
    of the item's answer - its closing words - stands in the same place.
 
@@ -15,13 +18,16 @@ the answer is found; items of under SHORT_ITEM words, which chance matches soone
 
 Edge cases: null or empty texts match nothing; null ids are carried through; repeated rows give repeated
 results, one (doc_id, item_id) pair each; an empty benchmark or table gives an empty result; other columns are
-ignored.
+ignored.  Benchmarks of over MOST_ITEMS items are searched in parts, each with its own basis.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache, reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,9 @@ MOST_BLOCKS, MOST_FEATURES, MAP_BITS = 0.05, 1 << 16, 20
 COSINE, MASS = 0.45, 0.5
 LCS_SHARE, LCS_WITH_ANSWER, ANSWER_SHARE, ANSWER_WORDS, LEAST_WORDS = 0.5, 0.45, 0.6, 8, 8
 SHORT_ITEM, SHORT_MORE = 24, 0.1
-#: The benchmark is collected to the driver; a larger one must be searched in parts.
+#: Rare features of an item that a place must hold, where its words allow that; items looked up at once.
+DISTINCT, GROUP = 6, 4096
+#: Items that the driver and the tasks hold at a time; a larger benchmark is searched in parts.
 MOST_ITEMS = 200_000
 
 
@@ -47,6 +55,17 @@ class Item:
     words: list[int]
 
 
+@dataclass
+class Rare:
+    """GROUP items by their rarest features."""
+
+    post: np.ndarray  # feature -> its first place in items
+    items: np.ndarray
+    first: int  # these three by item, from the first one on
+    size: np.ndarray
+    need: np.ndarray
+
+
 @dataclass
 class Index:
     """What tasks need: bounded by the benchmark and by fixed parameters, whatever the corpus."""
@@ -59,6 +78,7 @@ class Index:
     queries: np.ndarray | None = None  # unit rows
     query_item: np.ndarray | None = None
     least_mass: float = 0.0
+    lookup: list[Rare] = field(default_factory=list)
 
 
 def _hashes(texts: list[str | None]) -> list[np.ndarray]:
@@ -72,10 +92,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - MAP_BITS)).astype(np.int64)
 
 
-def _index(benchmark: DataFrame) -> Index:
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"a benchmark of over {MOST_ITEMS} items: search it in parts")
+def _index(rows: list) -> Index:
     items = [Item(i, h.tolist()) for (i, _), h in zip(rows, _hashes([t for _, t in rows])) if len(h)]
     feature = np.full(1 << MAP_BITS, -1, np.int32)
     if items:
@@ -199,17 +216,59 @@ def _omega(width: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).standard_normal((width, RANK)).astype(np.float32)
 
 
-def _benchmark_rows(index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """TF-IDF rows of the benchmark's passages (64 words, stride 32) and the item of each."""
+def _benchmark_rows(index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """TF-IDF rows of the benchmark's passages (64 words, stride 32) and the item of each, some items at a time."""
     rows, owner = [], []
     for k, item in enumerate(index.items):
+        if len(rows) >= 1024:
+            yield np.array(rows, np.float32), np.array(owner, np.int64)
+            rows, owner = [], []
         h = np.array(item.words, np.uint64)
         ids = index.feature[_slot(h)]
         for a in range(0, max(1, len(h) - BLOCK), BLOCK) if len(h) > 2 * BLOCK else (0,):
             part = ids[a : a + 2 * BLOCK]
             rows.append(np.bincount(part, minlength=index.width) * index.idf)
             owner.append(k)
-    return np.array(rows, np.float32).reshape(len(rows), index.width), np.array(owner, np.int64)
+    yield np.array(rows, np.float32), np.array(owner, np.int64)
+
+
+@cache
+def _least(n: int) -> int:
+    """The fewest words in common order that make an item of n words a leak."""
+    need = LCS_WITH_ANSWER + (SHORT_MORE if n < SHORT_ITEM else 0)
+    return next(t for t in range(n + 1) if t / n >= need)
+
+
+def _rarest(words_: list[int], feature: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The item's rarest features, and how many of them every text that holds _least of its words must hold."""
+    ids, times = np.unique(feature[_slot(np.array(words_, np.uint64))], return_counts=True)
+    by = np.argsort(counts[ids], kind="stable")
+    rest, least = len(words_) - np.cumsum(times[by]), _least(len(words_))
+    for need in range(min(DISTINCT, len(ids)), 0, -1):
+        most: list[int] = []  # words that under `need` of the features so far can give
+        for j, t in enumerate(times[by].tolist()):
+            insort(most, t)
+            most = most[len(most) - need + 1 :] if len(most) >= need else most
+            if rest[j] + sum(most) < least:
+                return ids[by[: j + 1]], need
+    raise AssertionError("one feature at least is held")
+
+
+def _lookup(index: Index, counts: np.ndarray) -> list[Rare]:
+    out = []
+    for lo in range(0, len(index.items), GROUP):
+        part = index.items[lo : lo + GROUP]
+        size, need = np.array([len(x.words) for x in part], np.int64), np.zeros(len(part), np.int64)
+        ids, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, item in enumerate(part):
+            if len(item.words) >= LEAST_WORDS:
+                got, need[k] = _rarest(item.words, index.feature, counts)
+                ids.append(got)
+                owner.append(np.full(len(got), k))
+        every, of = np.concatenate(ids), np.concatenate(owner)
+        by = np.argsort(every, kind="stable")
+        out.append(Rare(np.searchsorted(every[by], np.arange(index.width + 1)), of[by], lo, size, need))
+    return out
 
 
 def _few(docs: DataFrame) -> DataFrame:
@@ -218,15 +277,24 @@ def _few(docs: DataFrame) -> DataFrame:
     return docs.coalesce(max(48, n // 8)) if n > 48 else docs
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, seed: int = 11) -> Index:
+def fit(docs: DataFrame, benchmark: DataFrame, seed: int = 11) -> list[Index]:
+    """An index of each MOST_ITEMS items."""
     bounded_batches(docs.sparkSession)
-    index = _index(benchmark)
-    if not index.items:
-        return index
+    rows = iter(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator())
+    out = []
+    while part := list(islice(rows, MOST_ITEMS)):
+        index = _index(part)
+        if index.items:
+            out.append(_fit(docs, index, seed))
+    return out
+
+
+def _fit(docs: DataFrame, index: Index, seed: int) -> Index:
     sc = docs.sparkSession.sparkContext
     text = docs.select(F.col("text").cast("string").alias("text"))
     counts = _sums(text.mapInArrow(trimmed(_count(sc.broadcast(index))), _SUMS), "i8", 1).get(0)
     counts = np.zeros(index.width + 1) if counts is None else counts.astype(float)
+    index.lookup = _lookup(index, counts)
     blocks = max(1.0, counts[-1])
     index.idf = np.log((1 + blocks) / (1 + counts[:-1]))
     common = counts[:-1] > max(8, MOST_BLOCKS * blocks)
@@ -237,13 +305,16 @@ def fit(docs: DataFrame, benchmark: DataFrame, seed: int = 11) -> Index:
     omega = _omega(index.width, seed)
     parts = 16
     sums = _sums(_few(text).mapInArrow(trimmed(_range_finder(sc.broadcast(index), seed, parts)), _SUMS), "f4", parts)
-    rows, owner = _benchmark_rows(index)
     z, energy = np.zeros((index.width, RANK)), 0.0
     if sums:
         z, energy = np.concatenate([sums[k].reshape(-1, RANK) for k in range(parts)]), float(sums[parts][0])
-    own = float((rows.astype(float) ** 2).sum()) or 1.0
+    own, mine = 0.0, np.zeros((index.width, RANK))
+    for rows, _ in _benchmark_rows(index):
+        own += float((rows.astype(float) ** 2).sum())
+        mine += (rows.T @ (rows @ omega)).astype(float)
+    own = own or 1.0
     weight = (energy or own) / own
-    z = z + weight * (rows.T @ (rows @ omega)).astype(float)
+    z = z + weight * mine
     # A^T A = Z (Omega^T Z)^-1 Z^T on the range of Z
     core = omega.T.astype(float) @ z
     shift = 1e-9 * max(1e-12, np.trace(core) / RANK)
@@ -252,7 +323,8 @@ def fit(docs: DataFrame, benchmark: DataFrame, seed: int = 11) -> Index:
     left, sigma, _ = np.linalg.svd(half, full_matrices=False)
     left = left[:, sigma > 1e-7 * max(sigma[0], 1e-30)]
     index.basis = (left * index.idf[:, None]).astype(np.float32)
-    q = rows @ left.astype(np.float32)
+    passages = [(rows @ left.astype(np.float32), owner) for rows, owner in _benchmark_rows(index)]
+    q, owner = (np.concatenate(x) for x in zip(*passages))
     norm = np.sqrt((q**2).sum(1))
     some = norm > 0
     index.queries, index.query_item = (q[some] / norm[some, None]).astype(np.float32), owner[some]
@@ -262,9 +334,17 @@ def fit(docs: DataFrame, benchmark: DataFrame, seed: int = 11) -> Index:
 
 def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel over a."""
+    return _lcs(a, _masks(a), b)
+
+
+def _masks(a: list[int]) -> dict[int, int]:
     at: dict[int, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
+    return at
+
+
+def _lcs(a: list[int], at: dict[int, int], b: list[int]) -> int:
     row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
     for x in b:
         m = at.get(x)
@@ -290,23 +370,74 @@ def check(item: list[int], span: list[int]) -> tuple[float, bool, bool]:
 _FOUND = "doc_id long, item_id long, lcs_share double, cosine double, answer_found boolean, first_word long, last_word long"
 
 
+def _places(w: Words, index: Index) -> Iterator[tuple[int, int, int]]:
+    """(text, item, cell) where cells `cell` and `cell` + 1, of two lengths of the item each, hold enough of its rarest features."""
+    ids = index.feature[_slot(w.hash)]
+    for rare in index.lookup:
+        at = np.flatnonzero(ids >= 0)
+        size = rare.post[ids[at] + 1] - rare.post[ids[at]]
+        at, size = at[size > 0], size[size > 0]
+        if not len(at):
+            continue
+        f = ids[at].astype(np.int64)
+        item = rare.items[np.arange(int(size.sum())) + np.repeat(rare.post[f] - np.cumsum(size) + size, size)]
+        doc = np.searchsorted(w.bounds, at, "right") - 1
+        doc, at, f = np.repeat(doc, size), np.repeat(at, size), np.repeat(f, size)
+        lo, wide = w.bounds[doc], 2 * rare.size[item]
+        cell = (at - lo) // wide
+        # no two texts share a number: text d has those from lo // wide + 2 d on
+        number = lo // wide + 2 * doc + cell
+        key = item.astype(U) << U(46) | number.astype(U) << U(16) | f.astype(U)
+        later = np.flatnonzero(cell > 0)
+        key, at = np.unique(np.concatenate([key, key[later] - U(1 << 16)]), return_index=True)
+        one = np.flatnonzero(np.concatenate([[True], key[1:] >> U(16) != key[:-1] >> U(16)]))
+        ok = np.diff(np.append(one, len(key))) >= rare.need[(key[one] >> U(46)).astype(np.int64)]
+        for k in at[one[ok]].tolist():
+            back = k >= len(cell)
+            k = int(later[k - len(cell)]) if back else k
+            yield int(doc[k]), rare.first + int(item[k]), int(cell[k]) - back
+
+
+def _found_at(item: list[int], masks: dict[int, int], text: np.ndarray, cell: int) -> tuple[float, bool, int, int] | None:
+    """The best leak among the runs of two lengths of the item, a quarter of one apart, that start in the cell."""
+    n, best = len(item), None
+    own = [x for x in text[2 * n * cell : 2 * n * (cell + 2)].tolist() if x in masks]
+    least = _least(n)
+    if len(own) < least or _lcs(item, masks, own) < least:
+        return None
+    if not check(item, text[2 * n * cell : 2 * n * (cell + 2)].tolist())[2]:
+        return None
+    step = max(1, n // 4)
+    for a in range(-(-2 * n * cell // step) * step, min(len(text), 2 * n * (cell + 1)), step):
+        share, answer, leak = check(item, text[a : a + 2 * n].tolist())
+        if leak and (best is None or best[0] < share):
+            best = (share, answer, a, min(len(text), a + 2 * n) - 1)
+    return best
+
+
 def _search(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         keep = index.feature.copy()
         keep[keep >= 0] = np.where(index.idf[keep[keep >= 0]] > 0, keep[keep >= 0], -1)
+        masks: dict[int, dict[int, int]] = {}
         for batch in batches:
             for w in words(batch.column(1), NOT_ALNUM, latin=True):
                 _, ids, block, first = _blocks(w, keep)
-                if not len(ids):
-                    continue
                 start, z, mass = _windows(ids, block, first, index.basis, index.idf)
-                rich = np.flatnonzero(mass >= index.least_mass)
+                z /= np.maximum(np.sqrt((z**2).sum(1)), 1e-12)[:, None]
+                rich = np.flatnonzero(mass >= index.least_mass) if len(ids) else np.zeros(0, np.int64)
                 best: dict[tuple[int, int], tuple] = {}
-                for k in range(0, len(rich), 4096):
-                    part = rich[k : k + 4096]
-                    norm = np.sqrt((z[part] ** 2).sum(1))
-                    cos = (z[part] / np.maximum(norm, 1e-12)[:, None]) @ index.queries.T
+
+                def cosine(doc: int, item: int, a: int, e: int) -> float:
+                    lo, hi = np.searchsorted(start, [max(first[doc], first[doc] + a // BLOCK - 1), min(first[doc + 1], first[doc] + e // BLOCK + 1)])
+                    own = index.queries[slice(*np.searchsorted(index.query_item, [item, item + 1]))]
+                    return float((z[lo:hi] @ own.T).max()) if lo < hi and len(own) else 0.0
+
+                many = max(16, min(4096, (1 << 24) // max(1, len(index.queries))))
+                for k in range(0, len(rich), many):
+                    part = rich[k : k + many]
+                    cos = z[part] @ index.queries.T
                     for i, q in zip(*np.nonzero(cos >= COSINE)):
                         b = int(start[part[i]])
                         doc = int(np.searchsorted(first, b, "right")) - 1
@@ -318,6 +449,15 @@ def _search(sent):
                         share, answer, leak = check(index.items[item].words, w.hash[a:e].tolist())
                         if leak and ((doc, item) not in best or best[doc, item][0] < share):
                             best[doc, item] = (share, float(cos[i, q]), answer, a - lo, e - lo - 1)
+                for doc, item, cell in _places(w, index):
+                    if (doc, item) in best and best[doc, item][0] == 1.0:
+                        continue
+                    if item not in masks:
+                        masks[item] = _masks(index.items[item].words)
+                    got = _found_at(index.items[item].words, masks[item], w.hash[w.bounds[doc] : w.bounds[doc + 1]], cell)
+                    if got and ((doc, item) not in best or best[doc, item][0] < got[0]):
+                        share, answer, a, e = got
+                        best[doc, item] = (share, cosine(doc, item, a, e), answer, a, e)
                 if best:
                     ids_of = batch.column(0)
                     rows = [(ids_of[w.lo + d].as_py(), index.items[i].item_id, *v) for (d, i), v in best.items()]
@@ -326,21 +466,24 @@ def _search(sent):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, index: Index | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, index: list[Index] | None = None) -> DataFrame:
     """(doc_id, item_id, lcs_share, cosine, answer_found, first_word, last_word) for each contaminated document and item."""
-    index = index or fit(docs, benchmark)
+    index = fit(docs, benchmark) if index is None else index
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if index.queries is None or not len(index.queries):
+    if not index:
         return docs.sparkSession.createDataFrame([], _FOUND)
-    return rows.mapInArrow(trimmed(_search(docs.sparkSession.sparkContext.broadcast(index))), _FOUND)
+    sc = docs.sparkSession.sparkContext
+    return reduce(DataFrame.unionAll, [rows.mapInArrow(trimmed(_search(sc.broadcast(x))), _FOUND) for x in index])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents (rows without an id are judged by their text all the same)."""
-    index = fit(docs, benchmark)
-    if index.queries is None or not len(index.queries):
-        return docs
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    for index in fit(docs, benchmark):
+        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col("text").cast("string")))
+    return docs
+
+
+def _clean(sent):
     search = _search(sent)
 
     @F.arrow_udf("boolean")
@@ -352,4 +495,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         trim()
         return pa.array(~bad)
 
-    return docs.filter(clean(F.col("text").cast("string")))
+    return clean

@@ -14,7 +14,8 @@
    of the item's answer - its closing words - stands in the same place.
 
 A document is contaminated by an item when LCS >= LCS_SHARE of the item's words, or LCS >= LCS_WITH_ANSWER and
-the answer is found; items of under SHORT_ITEM words, which chance matches sooner, need SHORT_MORE more.  Items of under LEAST_WORDS words are matched only as consecutive words.
+the answer is found; items of under SHORT_ITEM words, which chance matches sooner, need SHORT_MORE more.  Items of under LEAST_WORDS words are matched only as consecutive
+words, and looked up by a hash of them.
 
 Edge cases: null or empty texts match nothing; null ids are carried through; repeated rows give repeated
 results, one (doc_id, item_id) pair each; an empty benchmark or table gives an empty result; other columns are
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import bounded_batches
-from .textbatch import NOT_ALNUM, U, Words, trim, trimmed, words
+from .textbatch import NOT_ALNUM, U, Words, chain, trim, trimmed, words
 
 BLOCK = 32
 RANK = 192
@@ -79,6 +80,7 @@ class Index:
     query_item: np.ndarray | None = None
     least_mass: float = 0.0
     lookup: list[Rare] = field(default_factory=list)
+    runs: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # words -> sorted hashes of items of so many, items
 
 
 def _hashes(texts: list[str | None]) -> list[np.ndarray]:
@@ -294,7 +296,7 @@ def _fit(docs: DataFrame, index: Index, seed: int) -> Index:
     text = docs.select(F.col("text").cast("string").alias("text"))
     counts = _sums(text.mapInArrow(trimmed(_count(sc.broadcast(index))), _SUMS), "i8", 1).get(0)
     counts = np.zeros(index.width + 1) if counts is None else counts.astype(float)
-    index.lookup = _lookup(index, counts)
+    index.lookup, index.runs = _lookup(index, counts), _runs(index.items)
     blocks = max(1.0, counts[-1])
     index.idf = np.log((1 + blocks) / (1 + counts[:-1]))
     common = counts[:-1] > max(8, MOST_BLOCKS * blocks)
@@ -398,6 +400,33 @@ def _places(w: Words, index: Index) -> Iterator[tuple[int, int, int]]:
             yield int(doc[k]), rare.first + int(item[k]), int(cell[k]) - back
 
 
+def _runs(items: list[Item]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    out = {}
+    for n in range(1, LEAST_WORDS):
+        of = np.array([k for k, x in enumerate(items) if len(x.words) == n], np.int64)
+        if len(of):
+            h = chain(np.concatenate([np.array(items[k].words, np.uint64) for k in of]), n)[::n]
+            by = np.argsort(h, kind="stable")
+            out[n] = h[by], of[by]
+    return out
+
+
+def _whole(w: Words, index: Index) -> Iterator[tuple[int, int, int]]:
+    """(text, item, first word) of the first place of each item of under LEAST_WORDS words in each text."""
+    for n, (h, of) in index.runs.items():
+        c = chain(w.hash, n)
+        at = np.flatnonzero(np.isin(c, h))
+        doc = np.searchsorted(w.bounds, at, "right") - 1
+        inside = at + n <= w.bounds[doc + 1]
+        at, doc = at[inside], doc[inside]
+        lo = np.searchsorted(h, c[at], "left")
+        size = np.searchsorted(h, c[at], "right") - lo
+        item = of[np.arange(int(size.sum())) + np.repeat(lo - np.cumsum(size) + size, size)]
+        at, doc = np.repeat(at, size), np.repeat(doc, size)
+        _, one = np.unique(doc * len(index.items) + item, return_index=True)
+        yield from zip(doc[one].tolist(), item[one].tolist(), (at - w.bounds[doc])[one].tolist())
+
+
 def _found_at(item: list[int], masks: dict[int, int], text: np.ndarray, cell: int) -> tuple[float, bool, int, int] | None:
     """The best leak among the runs of two lengths of the item, a quarter of one apart, that start in the cell."""
     n, best = len(item), None
@@ -458,6 +487,10 @@ def _search(sent):
                     if got and ((doc, item) not in best or best[doc, item][0] < got[0]):
                         share, answer, a, e = got
                         best[doc, item] = (share, cosine(doc, item, a, e), answer, a, e)
+                for doc, item, a in _whole(w, index):
+                    e = a + len(index.items[item].words) - 1
+                    if (doc, item) not in best:
+                        best[doc, item] = (1.0, cosine(doc, item, a, e), True, a, e)
                 if best:
                     ids_of = batch.column(0)
                     rows = [(ids_of[w.lo + d].as_py(), index.items[i].item_id, *v) for (d, i), v in best.items()]

@@ -39,3 +39,15 @@ def test_benchmark_in_parts(spark, monkeypatch):
     assert len(C.fit(df, bench)) == 3
     assert planted <= {(r["doc_id"], r["item_id"]) for r in C.contaminated(df, bench).collect()}
     assert not {r["doc_id"] for r in C.decontaminated(df, bench).collect()} & {d for d, _ in planted}
+
+
+def test_short_items(spark):
+    """Whole copies of items of 1 to 23 words are found, and those of under 8 words nowhere else."""
+    df, bench, _ = planted_in(spark, [1 + k % 23 for k in range(460)], 0.0, 14)
+    items = {r["item_id"]: f" {r['text']} " for r in bench.collect()}
+    truth = {(r["doc_id"], k) for r in df.collect() for k, t in items.items() if t in f" {r['text']} "}
+    rows = C.contaminated(df, bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert len(got) == len(rows) and truth <= got
+    few = {k for k, t in items.items() if len(t.split()) < C.LEAST_WORDS}
+    assert {p for p in got if p[1] in few} == {p for p in truth if p[1] in few}

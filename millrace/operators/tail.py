@@ -18,7 +18,6 @@ FLAG = r"(?i)\bflag[:/ ]+([a-z0-9][a-z0-9._-]{2,})"
 SCOPE = r"^\w+\(([^)]{2,40})\)!?:"
 REVERT = r'^Revert .*"(.{4,60})"'
 INFRA = r"(^|/)(\.github|\.gitlab|ci|infra|terraform|helm|charts|deploy)(/|$)"
-GRAM = 4
 STOPWORDS = (
     "add added adds fix fixed fixes update updated updates remove removed chore refactor test tests wip bump merge revert the a an of to for and in on with "
     "from into make use using"
@@ -107,17 +106,18 @@ def ship_moments(clustered: DataFrame, events: DataFrame, on: list[str]) -> Data
     """on, first_at, t0: the first event at or after the first commit whose hint is blank or part of the key or of a
     subject; infra-only commits are left out beforehand.
 
-    Hints meet texts on their first GRAM characters, an equi-join, before containment is tested; only hints that are
-    shorter, and blank ones, meet every cluster.
+    Containment is an equi-join of whole hints with the pieces of a text that are as long as any hint; only blank hints
+    meet every cluster.
     """
     first = clustered.groupBy(*on).agg(F.min("at").alias("first_at"))
     parts = clustered.select(*on, F.lower("subject").alias("_part")).union(clustered.select(*on, F.lower("key").alias("_part"))).distinct()
     e = events.select(F.col("at").alias("_when"), F.lower(F.trim(F.coalesce("hint", F.lit("")))).alias("_hint"))
-    long, short = e.filter(F.length("_hint") >= GRAM), e.filter((F.length("_hint") < GRAM) & (F.col("_hint") != ""))
-    places = F.sequence(F.lit(1), F.length("_part") - (GRAM - 1))
-    grams = parts.filter(F.length("_part") >= GRAM).withColumn("_gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("_part", i, F.lit(GRAM))))))
-    hits = grams.join(long.withColumn("_gram", F.substring("_hint", 1, GRAM)), "_gram").filter(F.contains("_part", "_hint")).select(*on, "_when")
-    hits = hits.unionByName(parts.join(short, F.contains("_part", "_hint")).select(*on, "_when")).distinct()
+    hints = e.filter("_hint <> ''").distinct()
+    sizes = hints.select(F.length("_hint").alias("_size")).distinct()
+    places = F.sequence(F.lit(1), F.length("_part") - F.col("_size") + 1)
+    pieces = parts.join(F.broadcast(sizes), F.length("_part") >= F.col("_size"))
+    pieces = pieces.select(*on, F.explode(F.transform(places, lambda i: F.substring("_part", i, F.col("_size")))).alias("_hint")).distinct()
+    hits = pieces.join(hints, "_hint").select(*on, "_when").distinct()
     named = hits.join(first, on).filter(F.col("_when") >= F.col("first_at")).select(*on, "_when")
     blank = e.filter("_hint = ''").select("_when").distinct()
     named = named.unionByName(first.join(blank, F.col("_when") >= F.col("first_at")).select(*on, "_when"))

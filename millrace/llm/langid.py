@@ -5,8 +5,8 @@ k(x, y) = |x & y| / sqrt(|x| |y|).  The regression lives in the span of LANDMARK
 (subset-of-regressors form of the Nystrom approximation); its scores k(x, L) @ alpha are matrix products over
 batches.  The kernel is bilinear in normalised presence vectors, so (X L^T) alpha is computed as X (L^T alpha).
 
-Training takes at most ROWS_PER_LANG texts of each of the MOST_LANGS most frequent languages: those first in
-the order of a hash of the id.  That bound is a parameter; every text is read and scored whole.
+Training takes at most ROWS_PER_LANG texts of each language: those first in the order of a hash of the id.  That
+bound is a parameter; every language with a usable text is learned, every text is read and scored whole.
 
 Edge cases: null text, or text without a letter (Unicode): `und`, score 0; no usable training row: every text
 is `und`; one learned language: it gets score 1; ties go to the language first in order; a null doc_id is never
@@ -29,7 +29,7 @@ from .session import bounded_batches
 from .textbatch import FOLD, U, buffers, mix, trim
 
 DIM = 8192
-LANDMARKS, ROWS_PER_LANG, MOST_LANGS = 160, 400, 64
+LANDMARKS, ROWS_PER_LANG = 160, 400
 RIDGE, SHARPNESS = 1e-3, 6.0
 #: Below this score the pipeline rejects a document.
 REJECT_BELOW = 0.4
@@ -111,17 +111,16 @@ def train(docs: DataFrame) -> LanguageModel:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> '' AND lang IS NOT NULL").filter(~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel([], np.zeros((DIM, 0), np.float32))
     # a share of each language's ids that gives ROWS_PER_LANG with room to spare; the first by hash are then kept
     order = F.xxhash64("doc_id")
-    wide = F.lit(False)
-    for r in counts:
-        share = min(1.0, (1.3 * ROWS_PER_LANG + 30) / r["count"])
-        wide = wide | ((F.col("lang") == r["lang"]) & (order <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))))
+    shares = [(r["lang"], min(1.0, (1.3 * ROWS_PER_LANG + 30) / r["count"])) for r in counts]
+    bounds = docs.sparkSession.createDataFrame([(x, min(2**63 - 1, int((2 * share - 1) * 2**63))) for x, share in shares], "lang string, _most long")
+    wide = rows.join(F.broadcast(bounds), "lang").filter(order <= F.col("_most"))
     # rows that repeat an id count once, so a much repeated one does not swell the sample
-    picked = rows.filter(wide).groupBy("lang", order.alias("order")).agg(F.min("text").alias("text"))
+    picked = wide.groupBy("lang", order.alias("order")).agg(F.min("text").alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,17 +136,22 @@ def train(docs: DataFrame) -> LanguageModel:
     langs = sorted(x for x, rows in kept.items() if rows)
     if not langs:
         return LanguageModel([], np.zeros((DIM, 0), np.float32))
-    x = unit(np.unpackbits(np.array([np.frombuffer(b, np.uint8) for y in langs for b in kept[y]]), axis=1))
-    label = np.repeat(np.arange(len(langs)), [len(kept[y]) for y in langs])
     each = max(4, LANDMARKS // len(langs))
-    land = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(langs))])
-    k_nm = (x @ x[land].T).astype(float)
-    k_mm = k_nm[land]
-    weight = 1.0 / np.bincount(label)[label]  # languages count alike
-    target = np.where(label[:, None] == np.arange(len(langs)), 1.0, -1.0)
-    left = (k_nm * weight[:, None]).T @ k_nm + RIDGE * len(langs) * k_mm + 1e-9 * np.eye(len(land))
-    alpha = np.linalg.solve(left, (k_nm * weight[:, None]).T @ target)
-    return LanguageModel(langs, (x[land].T.astype(float) @ alpha).astype(np.float32))
+    land = np.concatenate([_unpacked(kept[y][:each]) for y in langs])
+    left = RIDGE * len(langs) * (land @ land.T).astype(float) + 1e-9 * np.eye(len(land))
+    right = np.zeros((len(land), len(langs)))
+    for k, y in enumerate(langs):  # one language's texts at a time; languages count alike
+        k_nm = (_unpacked(kept[y]) @ land.T).astype(float)
+        left += k_nm.T @ k_nm / len(k_nm)
+        mean = k_nm.mean(0)
+        right -= mean[:, None]
+        right[:, k] += 2 * mean
+    alpha = np.linalg.solve(left, right)
+    return LanguageModel(langs, (land.T @ alpha).astype(np.float32))
+
+
+def _unpacked(bits: list[bytes]) -> np.ndarray:
+    return unit(np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in bits]), axis=1))
 
 
 def _predictor(docs: DataFrame, model: LanguageModel):

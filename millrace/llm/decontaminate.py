@@ -40,12 +40,15 @@ from .textbatch import NOT_ALNUM, U, Words, chain, trim, trimmed, words
 
 BLOCK = 32
 RANK = 192
+#: Beyond MOST_FEATURES distinct words, words share features, which adds candidates and loses none.
 MOST_BLOCKS, MOST_FEATURES, MAP_BITS = 0.05, 1 << 16, 20
 COSINE, MASS = 0.45, 0.5
 LCS_SHARE, LCS_WITH_ANSWER, ANSWER_SHARE, ANSWER_WORDS, LEAST_WORDS = 0.5, 0.45, 0.6, 8, 8
 SHORT_ITEM, SHORT_MORE = 24, 0.1
 #: Rare features of an item that a place must hold, where its words allow that; items looked up at once.
 DISTINCT, GROUP = 6, 4096
+#: Runs up to which sums of rows are taken together.
+RUN = 64
 #: Items that the driver and the tasks hold at a time; a larger benchmark is searched in parts.
 MOST_ITEMS = 200_000
 
@@ -122,9 +125,13 @@ def _count(sent):
         for batch in batches:
             for w in words(batch.column(0), NOT_ALNUM, latin=True):
                 _, ids, block, first = _blocks(w, index.feature)
-                once = np.unique(block * index.width + ids)
-                total += np.bincount(once % index.width, minlength=index.width)
-                blocks += int(first[-1])
+                n = int(first[-1])
+                for lo in range(0, n, step := max(1, (1 << 24) // index.width)):
+                    a, e = np.searchsorted(block, [lo, lo + step])
+                    held = np.zeros((min(step, n - lo), index.width), bool)
+                    held[block[a:e] - lo, ids[a:e]] = True
+                    total += np.count_nonzero(held, axis=0)
+                blocks += n
         if blocks:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.append(total, blocks).tobytes()], pa.binary())], names=["part", "numbers"])
 
@@ -157,15 +164,41 @@ def _sums(numbers: DataFrame, kind: str, parts: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _row_sums(matrix: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of matrix[rows] over consecutive runs of so many rows each (none empty).
+
+    Long runs are summed one by one; the others all at once, their first rows, their second rows and so on.
+    """
+    out = np.zeros((len(size), matrix.shape[1]), np.float32)
+    start = np.cumsum(size) - size
+    for j in np.flatnonzero(size > RUN).tolist():
+        for a in range(int(start[j]), int(start[j] + size[j]), 4096):
+            out[j] += matrix[rows[a : min(a + 4096, int(start[j] + size[j]))]].sum(axis=0)
+    by = np.flatnonzero(size <= RUN)
+    by = by[np.argsort(-size[by], kind="stable")]
+    start, size = start[by], size[by]
+    some, held = np.zeros((len(by), matrix.shape[1]), np.float32), np.empty((len(by), matrix.shape[1]), np.float32)
+    for k in range(int(size[0]) if len(by) else 0):
+        m = int(np.searchsorted(-size, -k, "left"))
+        some[:m] += np.take(matrix, rows[start[:m] + k], axis=0, out=held[:m], mode="clip")
+    out[by] = some
+    return out
+
+
+def _runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and how long it is."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(x)))
+
+
 def _windows(ids: np.ndarray, block: np.ndarray, first: np.ndarray, matrix: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first block of each window, projected windows, squared TF-IDF mass); windows are two blocks of one text,
     or the one block there is."""
     n = int(first[-1])
     z = np.zeros((n, matrix.shape[1]), np.float32)
     mass = np.bincount(block, idf[ids] ** 2, n)
-    if len(ids):
-        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        z[block[starts]] = np.add.reduceat(matrix[ids], starts, axis=0)
+    at, size = _runs_of(block)
+    z[block[at]] = _row_sums(matrix, ids, size)
     last = np.zeros(n, bool)
     size = np.diff(first)
     last[first[1:][size > 0] - 1] = True
@@ -203,8 +236,8 @@ def _range_finder(sent, seed: int, parts: int):
                 pair = start[np.isin(start, first[1:] - 1, invert=True)]
                 per[pair + 1] += y[of[pair]]
                 by = np.argsort(ids, kind="stable")
-                at = np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]]))
-                total[ids[by][at]] += np.add.reduceat(per[block[by]], at, axis=0)
+                at, size = _runs_of(ids[by])
+                total[ids[by][at]] += _row_sums(per, block[by], size)
         if any_rows:
             total *= index.idf[:, None]
             pieces = np.array_split(total.astype(np.float32), parts)
@@ -218,20 +251,17 @@ def _omega(width: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).standard_normal((width, RANK)).astype(np.float32)
 
 
-def _benchmark_rows(index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """TF-IDF rows of the benchmark's passages (64 words, stride 32) and the item of each, some items at a time."""
-    rows, owner = [], []
+def _passages(index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the benchmark's passages (64 words, stride 32) one after the other, their number in each, and its item."""
+    ids, size, owner = [], [], []
     for k, item in enumerate(index.items):
-        if len(rows) >= 1024:
-            yield np.array(rows, np.float32), np.array(owner, np.int64)
-            rows, owner = [], []
         h = np.array(item.words, np.uint64)
-        ids = index.feature[_slot(h)]
+        f = index.feature[_slot(h)]
         for a in range(0, max(1, len(h) - BLOCK), BLOCK) if len(h) > 2 * BLOCK else (0,):
-            part = ids[a : a + 2 * BLOCK]
-            rows.append(np.bincount(part, minlength=index.width) * index.idf)
+            ids.append(f[a : a + 2 * BLOCK])
+            size.append(len(ids[-1]))
             owner.append(k)
-    yield np.array(rows, np.float32), np.array(owner, np.int64)
+    return np.concatenate(ids), np.array(size, np.int64), np.array(owner, np.int64)
 
 
 @cache
@@ -310,13 +340,14 @@ def _fit(docs: DataFrame, index: Index, seed: int) -> Index:
     z, energy = np.zeros((index.width, RANK)), 0.0
     if sums:
         z, energy = np.concatenate([sums[k].reshape(-1, RANK) for k in range(parts)]), float(sums[parts][0])
-    own, mine = 0.0, np.zeros((index.width, RANK))
-    for rows, _ in _benchmark_rows(index):
-        own += float((rows.astype(float) ** 2).sum())
-        mine += (rows.T @ (rows @ omega)).astype(float)
-    own = own or 1.0
-    weight = (energy or own) / own
-    z = z + weight * mine
+    ids, size, owner = _passages(index)
+    seen = _row_sums(omega * index.idf[:, None].astype(np.float32), ids, size)
+    by = np.argsort(ids, kind="stable")
+    at, times = _runs_of(ids[by])
+    mine = np.zeros((index.width, RANK))
+    mine[ids[by][at]] = _row_sums(seen, np.repeat(np.arange(len(size)), size)[by], times)
+    own = float((index.idf[ids] ** 2).sum()) or 1.0
+    z += (energy or own) / own * mine * index.idf[:, None]
     # A^T A = Z (Omega^T Z)^-1 Z^T on the range of Z
     core = omega.T.astype(float) @ z
     shift = 1e-9 * max(1e-12, np.trace(core) / RANK)
@@ -324,9 +355,8 @@ def _fit(docs: DataFrame, index: Index, seed: int) -> Index:
     half = z @ (vec / np.sqrt(np.maximum(lam, shift)))
     left, sigma, _ = np.linalg.svd(half, full_matrices=False)
     left = left[:, sigma > 1e-7 * max(sigma[0], 1e-30)]
-    index.basis = (left * index.idf[:, None]).astype(np.float32)
-    passages = [(rows @ left.astype(np.float32), owner) for rows, owner in _benchmark_rows(index)]
-    q, owner = (np.concatenate(x) for x in zip(*passages))
+    index.basis = np.ascontiguousarray(left * index.idf[:, None], np.float32)
+    q = _row_sums(index.basis, ids, size)
     norm = np.sqrt((q**2).sum(1))
     some = norm > 0
     index.queries, index.query_item = (q[some] / norm[some, None]).astype(np.float32), owner[some]
@@ -372,9 +402,8 @@ def check(item: list[int], span: list[int]) -> tuple[float, bool, bool]:
 _FOUND = "doc_id long, item_id long, lcs_share double, cosine double, answer_found boolean, first_word long, last_word long"
 
 
-def _places(w: Words, index: Index) -> Iterator[tuple[int, int, int]]:
+def _places(w: Words, ids: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(text, item, cell) where cells `cell` and `cell` + 1, of two lengths of the item each, hold enough of its rarest features."""
-    ids = index.feature[_slot(w.hash)]
     for rare in index.lookup:
         at = np.flatnonzero(ids >= 0)
         size = rare.post[ids[at] + 1] - rare.post[ids[at]]
@@ -394,10 +423,53 @@ def _places(w: Words, index: Index) -> Iterator[tuple[int, int, int]]:
         key, at = np.unique(np.concatenate([key, key[later] - U(1 << 16)]), return_index=True)
         one = np.flatnonzero(np.concatenate([[True], key[1:] >> U(16) != key[:-1] >> U(16)]))
         ok = np.diff(np.append(one, len(key))) >= rare.need[(key[one] >> U(46)).astype(np.int64)]
-        for k in at[one[ok]].tolist():
-            back = k >= len(cell)
-            k = int(later[k - len(cell)]) if back else k
-            yield int(doc[k]), rare.first + int(item[k]), int(cell[k]) - back
+        k = at[one[ok]]
+        back = k >= len(cell)
+        k[back] = later[k[back] - len(cell)]
+        yield doc[k], rare.first + item[k], cell[k] - back
+
+
+def _likely(w: Words, ids: np.ndarray, index: Index, doc: np.ndarray, item: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Which places hold _least of the item's features in common order: the bit-parallel LCS of all places at once.
+
+    Features stand for words, so no place that `check` would take is lost.  Items of over 64 words are left to it.
+    """
+    by = np.argsort(item, kind="stable")
+    at, size = _runs_of(item[by])
+    bits = np.zeros(index.width + 1, U)  # feature -> its places in one item; the last is for words that are none
+    keep, mask, of, full, least = [], [], [], np.zeros(len(item), U), np.zeros(len(item), np.int64)
+    for a, m in zip(at.tolist(), size.tolist()):
+        mine = by[a : a + m]
+        own = index.items[int(item[mine[0]])].words
+        n = len(own)
+        if n > 64:
+            keep.append(mine)
+            continue
+        f = index.feature[_slot(np.array(own, U))]
+        np.bitwise_or.at(bits, f, U(1) << np.arange(n, dtype=U))
+        lo = w.bounds[doc[mine]] + 2 * n * cell[mine]
+        span = lo[:, None] + np.arange(4 * n)
+        inside = span < w.bounds[doc[mine] + 1][:, None]
+        got = np.where(inside, bits[ids[np.where(inside, span, 0)]], U(0))
+        bits[f] = 0
+        row, _ = np.nonzero(got)
+        mask.append(got[got > 0])
+        of.append(mine[row])
+        full[mine], least[mine] = U((1 << n) - 1), _least(n)
+    if mask:
+        mask, of = np.concatenate(mask), np.concatenate(of)
+        at, size = _runs_of(of)
+        place = of[at]
+        rich = np.flatnonzero(size >= least[place])
+        rich = rich[np.argsort(-size[rich], kind="stable")]
+        at, size, place = at[rich], size[rich], place[rich]
+        row = full[place]
+        for k in range(int(size[0]) if len(size) else 0):
+            m = int(np.searchsorted(-size, -k, "left"))
+            u = row[:m] & mask[at[:m] + k]
+            row[:m] = (row[:m] + u | row[:m] - u) & full[place[:m]]
+        keep.append(place[np.bitwise_count(full[place] ^ row) >= least[place]])
+    return np.sort(np.concatenate(keep)) if keep else np.zeros(0, np.int64)
 
 
 def _runs(items: list[Item]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -478,7 +550,12 @@ def _search(sent):
                         share, answer, leak = check(index.items[item].words, w.hash[a:e].tolist())
                         if leak and ((doc, item) not in best or best[doc, item][0] < share):
                             best[doc, item] = (share, float(cos[i, q]), answer, a - lo, e - lo - 1)
-                for doc, item, cell in _places(w, index):
+                every = index.feature[_slot(w.hash)]
+                likely = []
+                for place in _places(w, every, index):
+                    some = _likely(w, every, index, *place)
+                    likely += zip(*(x[some].tolist() for x in place))
+                for doc, item, cell in likely:
                     if (doc, item) in best and best[doc, item][0] == 1.0:
                         continue
                     if item not in masks:

@@ -13,6 +13,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,8 +74,32 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[w.lo + doc[at]]), pa.array((at - w.bounds[doc[at]]).astype(np.int32)), pa.array(h[at])], names=["key", "pos", "gram"])
 
 
+def rising(values: list[int]) -> list[int]:
+    """Indices of a longest strictly rising subsequence."""
+    ends: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(values)
+    for i, v in enumerate(values):
+        k = bisect_left(ends, v)
+        before[i] = at[k - 1] if k else -1
+        ends[k : k + 1], at[k : k + 1] = [v], [i]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def _covered(places: np.ndarray) -> int:
+    """Words in the K-word pieces at these rising places."""
+    return int(np.minimum(K, np.diff(places, append=places[-1] + K)).sum())
+
+
 def best_run(votes: list[tuple[int, np.ndarray]], n: int) -> tuple[float, int, int]:
-    """(share of a template of n words, first and last word) of the best verified run; votes are (diagonal, places), sorted."""
+    """(share of a template of n words, first and last word) of the best verified run; votes are (diagonal, places), sorted.
+
+    Verified are the hits of one run of the text that follow each other in the template too: pieces in another order don't count.
+    """
     best = (0.0, -1, -1)
     groups: list[list[tuple[int, np.ndarray]]] = []
     for d, places in votes:
@@ -83,18 +108,17 @@ def best_run(votes: list[tuple[int, np.ndarray]], n: int) -> tuple[float, int, i
         else:
             groups.append([(d, places)])
     for group in groups:
-        pos = np.sort(np.concatenate([p for _, p in group]))
-        seen = np.zeros(n, bool)
-        for j in range(K):
-            seen[np.concatenate([p - d for d, p in group]) + j] = True
-        share = float(seen.mean())
-        if share < LEAST_SHARE or share <= best[0]:
-            continue
+        pos, own = (np.concatenate(x) for x in zip(*[(p, p - d) for d, p in group]))
+        by = np.lexsort((-own, pos))
+        pos, own = pos[by], own[by]
         # runs of hits no further apart than the template is long
-        for part in np.split(pos, np.flatnonzero(np.diff(pos) > n) + 1):
-            dense = len(np.unique((part[:, None] + np.arange(K)).reshape(-1))) / (part[-1] + K - part[0])
-            if dense >= LEAST_DENSITY and share > best[0]:
-                best = (share, int(part[0]), int(part[-1] + K - 1))
+        for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > n) + 1):
+            if len(part) + K - 1 < LEAST_SHARE * n / K:
+                continue
+            held = part[rising(own[part].tolist())]
+            share = _covered(own[held]) / n
+            if share >= LEAST_SHARE and share > best[0] and _covered(pos[held]) >= LEAST_DENSITY * (pos[held[-1]] + K - pos[held[0]]):
+                best = (share, int(pos[held[0]]), int(pos[held[-1]] + K - 1))
     return best
 
 

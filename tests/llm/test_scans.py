@@ -6,6 +6,8 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
+
 from millrace.llm import decontaminate as C
 from millrace.llm import licenses as L
 from millrace.llm import secrets as S
@@ -182,3 +184,23 @@ def test_benchmark_edges(spark, sf_dir, odd, empty):
     short = spark.createDataFrame([(7, "one two three"), (None, "words here and there again and again and again and again")], "item_id long, text string")
     assert {r["doc_id"] for r in C.contaminated(odd, short).filter("item_id = 7").collect()} <= {4, None, 10}
     assert C.decontaminated(odd, bench).columns == odd.columns
+
+
+def test_pieces_in_another_order_are_no_run():
+    """The words of a template count only where they follow each other as they do in it."""
+    n, k = 36, L.K
+    whole = [(0, np.arange(n - k + 1))]
+    assert L.best_run(whole, n) == (1.0, 0, n - 1)
+    # 4-word pieces in reverse order: piece i of the template stands at place n - 4 - 4 i
+    turned = sorted((n - 4 - 8 * i, np.array([n - 4 - 4 * i])) for i in range(n // 4))
+    assert L.best_run(turned, n)[0] == 0.0
+    # a word put in between
+    assert L.best_run([(0, np.arange(15)), (1, np.arange(19, n - k + 2))], n)[0] == 1.0
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        v = rng.integers(0, 12, rng.integers(0, 12)).tolist()
+        got = [v[i] for i in L.rising(v)]
+        best = [0] * len(v)  # longest that ends here
+        for i, x in enumerate(v):
+            best[i] = 1 + max((best[j] for j in range(i) if v[j] < x), default=0)
+        assert len(got) == max(best, default=0) and all(a < b for a, b in zip(got, got[1:]))

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SHARDS, BITS, SLICE = 40, 4, 50_000
+#: Hexadecimal digits by which a prefix grows; the part of a quantile step that is not looked into.
+STEP, PART = 4, 64
 SIDE = 1 << BITS
 DIMENSIONS = ("source", "lang")
 
@@ -31,9 +33,39 @@ def size_of(text: Column) -> Column:
 
 
 def _code(c: Column) -> Column:
-    """The first six bytes of a string as a number: same order as the strings, null lowest."""
-    head = F.rpad(F.coalesce(F.substring(F.hex(c), 1, 12), F.lit("")), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(0))
+    """The bytes of a string as hexadecimal digits: same order as the strings, null lowest."""
+    return F.coalesce(F.hex(c), F.lit(""))
+
+
+def string_cuts(rows: DataFrame, names: list[str], n: int) -> dict[str, list[str]]:
+    """The values at the SIDE-quantiles of each column of hexadecimal strings, exactly, or prefixes that part them as well.
+
+    Counts by prefix, STEP digits longer a round: only prefixes in which a quantile falls, SIDE - 1 at most, are followed,
+    until one value is left under each or what is under it is less than a PART-th of a step.
+    """
+    out: dict[str, list[str]] = {}
+    for name in names:
+        goal = [n * k / SIDE for k in range(1, SIDE)]
+        found: set[str] = set()
+        open_ = {"": (0, goal)}  # prefix -> rows below it, quantiles in it
+        length = 0
+        while open_:
+            length += STEP
+            head = F.substring(name, 1, length)
+            some = rows if length == STEP else rows.filter(F.substring(name, 1, length - STEP).isin(sorted(open_)))
+            counts = some.groupBy(head.alias("head")).agg(F.count("*").alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi")).orderBy("head").collect()
+            above, open_, below = open_, {}, dict.fromkeys(open_, 0)
+            for r in counts:
+                parent = r["head"][: length - STEP]
+                at = above[parent][0] + below[parent]
+                below[parent] += r["n"]
+                mine = [g for g in above[parent][1] if at <= g < at + r["n"]]
+                if mine and (r["lo"] == r["hi"] or r["n"] < n / SIDE / PART):
+                    found.add(r["lo"])
+                elif mine:
+                    open_[r["head"]] = (at, mine)
+        out[name] = sorted(found)
+    return out
 
 
 def hilbert_index(axes: Column, bits: int = BITS) -> Column:
@@ -68,16 +100,17 @@ def hilbert_index(axes: Column, bits: int = BITS) -> Column:
     return F.aggregate(every, F.lit(0).cast("long"), lambda h, b: h * 2 + b)
 
 
-def _steps(value: Column, cuts: list[int]) -> Column:
+def _steps(value: Column, cuts: list) -> Column:
     """How many cuts lie at or below the value."""
     return reduce(lambda a, b: a + b, [F.when(value >= F.lit(c), 1).otherwise(0) for c in cuts], F.lit(0)).cast("int")
 
 
 def ranked(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """rows(doc_id, size, text_crc32, d0, d1, d2, ...) with shard and slot; d0..d2 are the numeric dimensions."""
+    """rows(doc_id, size, text_crc32, d0, d1, d2, ...) with shard and slot; d0 and d1 are strings, d2 a number."""
     probabilities = [k / SIDE for k in range(1, SIDE)]
-    cuts = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(d, probabilities, 100_000).alias(d) for d in ("d0", "d1", "d2")]).first()
-    n = max(1, cuts["n"])
+    numbers = rows.agg(F.count("*").alias("n"), F.percentile_approx("d2", probabilities, 100_000).alias("d2")).first()
+    n = max(1, numbers["n"])
+    cuts = string_cuts(rows, ["d0", "d1"], numbers["n"]) | {"d2": numbers["d2"]}
     # a value that fills several quantiles is one cut, so that equal values share a step
     cell = reduce(lambda a, d: a * SIDE + _steps(F.col(d), sorted(set(cuts[d] or []))), ("d0", "d1", "d2"), F.lit(0)).cast("int")
     rows = rows.withColumn("_cell", cell).withColumn("_hash", F.xxhash64("doc_id", "text_crc32", "size"))
@@ -104,7 +137,7 @@ def ranked(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def _measured(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    dims = [_code(F.col(c).cast("string")) if c in docs.columns else F.lit(0).cast("long") for c in DIMENSIONS]
+    dims = [_code(F.col(c).cast("string")) if c in docs.columns else F.lit("") for c in DIMENSIONS]
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), size_of(text).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),

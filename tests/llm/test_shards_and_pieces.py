@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,3 +133,22 @@ def test_reproducible(spark, docs, odd, empty):
     back = P.encode_documents(odd).select("doc_id", P.decoder()("ids").alias("t")).collect()
     assert Counter((r["doc_id"], r["t"]) for r in back) == Counter((r["doc_id"], r["text"]) for r in odd.collect())
     assert P.encode_documents(empty).count() == 0
+
+
+def test_string_cuts(spark):
+    """Quantiles of strings that share long prefixes, against sorting; any string has its own order."""
+    rng = random.Random(2)
+    values = [f"https://example.org/shard/{rng.randrange(40):03d}" if rng.random() < 0.7 else rng.choice(["", "x", "https:", "é" * 9]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "s string").select(H._code(F.col("s")).alias("h"))
+    order = sorted(v.encode().hex().upper() for v in values)
+    assert H.string_cuts(df, ["h"], len(values))["h"] == sorted({order[int(len(values) * k / H.SIDE)] for k in range(1, H.SIDE)})
+    assert H.string_cuts(df.limit(0), ["h"], 0) == {"h": []}
+
+
+def test_shards_part_sources_with_one_prefix(spark):
+    rows = [(i, "a b c", "en", f"https://example.org/{i % 8}") for i in range(800)]
+    got = H.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r["shard"], set()).add(r["doc_id"] % 8)
+    assert len(got) == 800 and all(len(s) == 1 for s in held.values())

@@ -182,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL")
     sample = first_by_hash(sample, "doc_id", MOST_LABELLED).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     wanted = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))  # MOST_LABELLED rows at most
+    wanted = wanted.groupBy("doc_id", "_quality").agg(F.min("text").alias("text"))  # one text of an id, however many rows repeat it
     rows = statistics(wanted, "_quality").filter(~base_failed())
     got = rows.select("doc_id", "_quality", *[c.alias(f"f{i}") for i, c in enumerate(features().values())]).collect()
     got.sort(key=lambda r: tuple(r))

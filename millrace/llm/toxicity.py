@@ -136,6 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) ->
     marked = first_by_hash(marked.filter(some), "_id", MOST_LABELLED).groupBy("_id").agg(*[F.max(f"_y{k}").alias(f"_y{k}") for k in range(len(names))])
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_t"))
     rows = rows.join(F.broadcast(marked), F.col("_doc") == F.col("_id")).select("_id", *[f"_y{k}" for k in range(len(names))], "_t")  # MOST_LABELLED rows at most
+    # one text of an id, however many rows repeat it
+    rows = rows.groupBy("_id", *[f"_y{k}" for k in range(len(names))]).agg(F.min("_t").alias("_t"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

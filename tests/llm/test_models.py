@@ -3,11 +3,14 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import brown, langid, quality, toxicity
 
@@ -202,3 +205,19 @@ def test_exchange_finds_classes():
 
     rng.shuffle(start[:m])
     assert likelihood(of) >= likelihood(start)
+
+
+def test_repeated_ids_give_one_text_to_learn_from(spark, more):
+    """However many rows repeat a labelled id, the models are those of the first text of each id."""
+    docs = more.select("doc_id", "text").limit(150).cache()
+    labels = docs.select("doc_id", (F.length("text") % 2).alias("quality"), (F.length("text") % 3 == 0).cast("int").alias("toxic"))
+    again = docs.unionAll(docs).unionAll(docs)
+    assert quality.train(docs, labels) == quality.train(again, labels)
+    a, b = ([m.weights for m in toxicity.train(x, labels, {"toxic": F.col("toxic")}).models] for x in (docs, again))
+    assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
+def test_number_signs_are_no_letters(spark):
+    texts = ["½ ²", "12 ⅷ", "Ⅷ", "٣", "a", "日", "ª", None, "1 ь"]
+    for w in [x for x in langid.presence(pa.array(texts))]:
+        assert w[3].tolist() == [bool(t) and any(unicodedata.category(c).startswith("L") for c in t) for t in texts]

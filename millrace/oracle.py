@@ -220,8 +220,9 @@ sl as (select win, x, list_sort(list(y)) as l from lst group by win, x)""", "sel
     base = BUILDS + """, base as (select build_id, cast(substr(build_id, 3) as bigint) as n, grp, strftime(ts, '%Y-%m-%d') as ts, strftime(first_commit, '%Y-%m-%d') as fc, loc_added, loc_removed, round(cost_usd, 2) as cost from b1),
 inc as (select build_id, n, n * 2 as ord, grp, case when n % 14 = 0 then null else ts end as ts, fc, loc_added, loc_removed, case when n % 10 = 0 then 1.0 else cost end as cost from base where n % 2 = 0 union all select build_id, n, n * 2 + 1, grp, ts, fc, loc_added, loc_removed, cost from base where n % 8 = 0),
 nn as (select *, row_number() over (partition by build_id order by ord) as k from inc), st as (select * from base where n % 3 <> 0),
-cl as (select case when k > 1 then 'duplicate' when nn.ts is null then 'rejected' when nn.fc is null then 'rejected' when nn.loc_added is null then 'rejected' when nn.loc_removed is null then 'rejected' when st.build_id is null then 'accepted' when nn.ts is distinct from st.ts then 'conflict' when nn.cost is not distinct from st.cost then 'duplicate' else 'conflict' end as status,
-  case when k > 1 then null when nn.ts is null then 'ts' when nn.fc is null then 'first_commit_ts' when nn.loc_added is null then 'loc_added' when nn.loc_removed is null then 'loc_removed' when st.build_id is null then null when nn.ts is distinct from st.ts then 'ts' when nn.cost is not distinct from st.cost then null else 'cost_usd' end as field from nn left join st using (build_id))"""
+lk as (select nn.*, nullif(concat_ws(', ', case when nn.ts is null then 'ts' end, case when nn.fc is null then 'first_commit_ts' end, case when nn.loc_added is null then 'loc_added' end, case when nn.loc_removed is null then 'loc_removed' end), '') as lacks from nn),
+cl as (select case when k > 1 or lacks is not null then 'rejected' when st.build_id is null then 'accepted' when lk.ts is distinct from st.ts then 'conflict' when lk.cost is not distinct from st.cost then 'duplicate' else 'conflict' end as status,
+  case when k > 1 then 'build_id repeats' when lacks is not null then lacks when st.build_id is null then null when lk.ts is distinct from st.ts then 'ts' when lk.cost is not distinct from st.cost then null else 'cost_usd' end as field from lk left join st using (build_id))"""
     add("ingest_classify", base, "select status, field, count(*) as n from cl group by status, field")
     out["registry_latest"] = "with t as (select p_brand as name, cast(p_size as bigint) as version, min(p_partkey) as defined from part group by 1, 2) select name, version, defined from t qualify row_number() over (partition by name order by version desc) = 1"
     diff = "w as (select min(win) lo, max(win) hi from cells), x as (select grp, win, cost, lead_time, debt_defect from cells, w where win <> hi), y as (select grp, win, cost * 1.1 as cost, lead_time, debt_defect from cells, w where win <> lo)"

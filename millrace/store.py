@@ -11,7 +11,10 @@ from pyspark.sql.window import Window
 
 from .functions.metrics import DEFAULTS, Metric, definitions_hash
 from .operators.prepare import RAW_COLUMNS, blank_to_null
+from .session import cut
 
+#: Why a row whose id stands earlier in its batch is rejected.
+TWIN = "build_id repeats"
 REQUIRED = ("ts", "first_commit_ts", "loc_added", "loc_removed")
 _BUILDS = ", ".join(f"`{c}` string" for c in RAW_COLUMNS) + ", source string, ingested_at timestamp"
 SCHEMAS = {
@@ -20,6 +23,7 @@ SCHEMAS = {
     "runs": "run_id string, ts timestamp, objectives string, roles_hash string, metric_versions string, params string, analysis string",
     "results": "run_id string, grp string, win string, n_builds long, layer long, p_on_front double, objectives string, descriptors string, impact_mix string",
     "ingests": "ingest_id string, ts timestamp, source string, accepted long, duplicate long, conflict long, rejected long",
+    "issues": "ingest_id string, build_id string, status string, field string",
     "meta": "key string, value string",
 }
 SCHEMA_VERSION = "2"
@@ -38,32 +42,35 @@ def differs(a: Column, b: Column) -> Column:
 
 
 def classify_ingest(batch: DataFrame, stored: DataFrame, order: str | None = None) -> DataFrame:
-    """batch with status (accepted, duplicate, conflict, rejected) and field (missing, or first that differs).
+    """batch with status (accepted, duplicate, conflict, rejected) and field (all that are missing, or the first that differs).
 
-    The first row of an id in input order stands for it, even if it is then rejected; later ones are duplicates.
-    Nothing stored is ever changed.
+    The first row of an id in input order stands for it, even if it is then rejected; later ones are rejected as TWIN.
+    A column that the batch lacks counts as null throughout.  Nothing stored is ever changed.
     """
-    have = [c for c in RAW_COLUMNS if c in batch.columns]
-    text = batch.withColumns({c: blank_to_null(F.col(f"`{c}`").cast("string")) for c in have}).withColumn("build_id", F.trim("build_id"))
+    given = batch.columns
+    for c in RAW_COLUMNS:
+        if c not in batch.columns:
+            batch = batch.withColumn(c, F.lit(None).cast("string"))
+    have = list(RAW_COLUMNS)
+    text = batch.withColumns({c: blank_to_null(F.col(f"`{c}`").cast("string")) for c in have}).withColumn("build_id", blank_to_null(F.trim("build_id")))
     place = F.col(order) if order else F.monotonically_increasing_id()
     text = text.withColumn("_place", place)
     # rows without an id are nobody's twin, and must not meet in one task
     first = Window.partitionBy(F.coalesce("build_id", F.concat(F.lit("\0"), F.col("_place").cast("string")))).orderBy("_place")
     rows = text.withColumn("_k", F.row_number().over(first))
-    old = stored.select(F.trim("build_id").alias("_id"), *[blank_to_null(F.col(f"`{c}`").cast("string")).alias(f"_old_{c}") for c in have if c != "build_id" and c in stored.columns], F.lit(True).alias("_known"))
+    old = stored.select(F.trim("build_id").alias("_id"), *[(blank_to_null(F.col(f"`{c}`").cast("string")) if c in stored.columns else F.lit(None).cast("string")).alias(f"_old_{c}") for c in have if c != "build_id"], F.lit(True).alias("_known"))
     rows = rows.join(old, F.col("build_id") == F.col("_id"), "left")
-    missing = F.lit(None).cast("string")
-    for c in reversed([c for c in ("build_id", *REQUIRED) if c in have]):
-        missing = F.when(F.col(f"`{c}`").isNull(), c).otherwise(missing)
+    none = [F.when(F.col(f"`{c}`").isNull(), c) for c in REQUIRED]
+    missing = F.when(F.col("build_id").isNull(), "build_id").otherwise(F.nullif(F.concat_ws(", ", *none), F.lit("")))
     other = F.lit(None).cast("string")
-    for c in reversed([c for c in have if c != "build_id" and c in stored.columns]):
+    for c in reversed([c for c in have if c != "build_id"]):
         other = F.when(differs(F.col(f"`{c}`"), F.col(f"_old_{c}")), c).otherwise(other)
     rows = rows.withColumn("_missing", missing).withColumn("_other", other)
     repeat = F.col("build_id").isNotNull() & (F.col("_k") > 1)
-    status = F.when(repeat, "duplicate").when(F.col("_missing").isNotNull(), "rejected").when(F.col("_known").isNull(), "accepted").when(F.col("_other").isNull(), "duplicate").otherwise("conflict")
-    field = F.when(repeat, None).when(F.col("_missing").isNotNull(), F.col("_missing")).when(F.col("_known").isNotNull(), F.col("_other"))
+    status = F.when(repeat | F.col("_missing").isNotNull(), "rejected").when(F.col("_known").isNull(), "accepted").when(F.col("_other").isNull(), "duplicate").otherwise("conflict")
+    field = F.when(repeat, TWIN).when(F.col("_missing").isNotNull(), F.col("_missing")).when(F.col("_known").isNotNull(), F.col("_other"))
     out = rows.withColumn("status", status).withColumn("field", field)
-    return out.select(*[F.col(f"`{c}`") for c in batch.columns], "status", "field")
+    return out.select(*[F.col(f"`{c}`") for c in given], "status", "field")
 
 
 class Store:
@@ -92,9 +99,7 @@ class Store:
     # -- builds -------------------------------------------------------------
 
     def ingest(self, batch: DataFrame, source: str, order: str | None = None) -> dict:
-        """Append what is new; report counts, conflicts with their field, rejections, the first accepted ids."""
-        from .session import cut
-
+        """Append what is new; report counts and, of each kind, the first rows.  The table `issues` has every conflict and rejection."""
         have = [c for c in RAW_COLUMNS if c in batch.columns]
         marked = cut(classify_ingest(batch, self.read("builds"), order))
         fresh = marked.filter("status = 'accepted'")
@@ -105,6 +110,7 @@ class Store:
         sizes = {s: counts.get(s, 0) for s in ("accepted", "duplicate", "conflict", "rejected")}
         ident = f"i-{self.read('ingests').count() + 1:05d}"
         self._append("ingests", self.spark.createDataFrame([(ident, datetime.now(timezone.utc), source, *sizes.values())], SCHEMAS["ingests"]))
+        self._append("issues", marked.filter(F.col("status").isin("conflict", "rejected")).select(F.lit(ident).alias("ingest_id"), "build_id", "status", "field"))
         some = lambda s: [(r["build_id"], r["field"]) for r in marked.filter(F.col("status") == s).select("build_id", "field").limit(50).collect()]
         return {"ingest_id": ident, **sizes, "conflicts": some("conflict"), "rejections": some("rejected"), "accepted_ids": [b for b, _ in some("accepted")]}
 
@@ -165,6 +171,9 @@ class Store:
         run = analysis["run"]
         metrics = run["metrics"]
         row = (run["run_id"], datetime.now(timezone.utc), json.dumps(run["objectives"]), run["roles_hash"], json.dumps({m["name"]: m["version"] for m in metrics}), json.dumps(run["params"], default=str), json.dumps(analysis, default=str))
+        for name in ("runs", "results"):  # a run saved again replaces what it was
+            if (old := self.read(name)).filter(F.col("run_id") == run["run_id"]).limit(1).count():
+                cut(old.filter(F.col("run_id") != run["run_id"])).write.mode("overwrite").parquet(f"{self.path}/{name}")
         self._append("runs", self.spark.createDataFrame([row], SCHEMAS["runs"]))
         cells = [(run["run_id"], c["group"], c["window"], c["n_builds"], c["layer"], c["p_on_front"], json.dumps(c["objectives"]), json.dumps(c["descriptors"]), json.dumps(c["impact_mix"])) for c in analysis["cells"]]
         if cells:

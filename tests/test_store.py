@@ -2,6 +2,7 @@ import io
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions.metrics import DEFAULTS
 from millrace.operators.prepare import RAW_COLUMNS
@@ -23,13 +24,33 @@ def b(i, **more):
 def test_ingest(spark, tmp_path):
     s = Store(spark, str(tmp_path / "db"))
     first = s.ingest(rows(spark, b(1), b(2, cost_usd=""), b(2), b(3, ts=None), b(3)), "one")
-    assert {k: first[k] for k in ("accepted", "duplicate", "conflict", "rejected")} == {"accepted": 2, "duplicate": 2, "conflict": 0, "rejected": 1}
+    assert {k: first[k] for k in ("accepted", "duplicate", "conflict", "rejected")} == {"accepted": 2, "duplicate": 0, "conflict": 0, "rejected": 3}
+    assert sorted(first["rejections"]) == [("b2", "build_id repeats"), ("b3", "build_id repeats"), ("b3", "ts")]
     again = s.ingest(rows(spark, b(1, cost_usd="5.0"), b(1, build_id=" b1 "), b(2, cost_usd="7"), b(4)), "two")
-    assert (again["accepted"], again["duplicate"], again["conflict"]) == (1, 2, 1) and again["conflicts"] == [("b2", "cost_usd")]
+    assert (again["accepted"], again["duplicate"], again["conflict"], again["rejected"]) == (1, 1, 1, 1) and s.read("issues").count() == 5 and again["conflicts"] == [("b2", "cost_usd")]
     assert s.build_count() == 3 and s.groups() == ["g"] and s.builds(["h"]).count() == 0
     assert {r["build_id"]: r["cost_usd"] for r in s.builds().collect()}["b2"] is None
 
 
+def test_absent_columns_count_as_null(spark):
+    batch = spark.createDataFrame([("b1", "2026-01-02", "2026-01-01", "1")], "build_id string, ts string, first_commit_ts string, loc_added string")
+    got = classify_ingest(batch, rows(spark, b(1))).first()
+    assert (got["status"], got["field"]) == ("rejected", "loc_removed") and len(got) == 6
+    got = classify_ingest(batch.withColumn("loc_removed", F.lit("0")), rows(spark, b(1))).first()
+    assert (got["status"], got["field"]) == ("conflict", "group")
+    got = classify_ingest(batch.select("build_id", "ts"), rows(spark, b(2))).first()
+    assert (got["status"], got["field"]) == ("rejected", "first_commit_ts, loc_added, loc_removed")
+
+
+def test_run_saved_again_replaces(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    cell = {"group": "g", "window": "2026-01", "n_builds": 3, "layer": 1, "p_on_front": None, "objectives": {}, "descriptors": {}, "impact_mix": {}}
+    run = lambda i, n: {"run": {"run_id": i, "metrics": [], "objectives": [], "roles_hash": "", "params": {"n": n}}, "cells": [cell] * n}
+    for i, n in (("r-1", 2), ("r-2", 1), ("r-1", 3)):
+        s.save_run(run(i, n))
+    assert s.read("runs").count() == 2 and s.read("results").count() == 4 and s.load_run("r-1")["run"]["params"]["n"] == 3
+
+
 def test_empty_batch(spark):
     none = spark.createDataFrame([], RAW_SCHEMA)
     assert classify_ingest(none, none).count() == 0

@@ -3,14 +3,16 @@
 Documents are sets of distinct 5-word shingles; two link when 100 * intersection >= 75 * union.
 
 * Equal sets collapse to one *node* before anything is compared, so exact copies never meet as pairs.
-* A fixed-size sketch of shingle counts over the whole corpus tells short inverted lists from long ones.
-  It only fixes an order: any order gives exact results.
+* A fixed-size sketch of shingle counts over the whole corpus tells short inverted lists from long ones, as far as its
+  noise lets it; lists that turn out long all the same, counted over the nodes' rarest shingles, are marked in a
+  fixed-size bitmap and go last.  Both only fix an order: any order gives exact results.
 * Nodes gather in *cells* around the most popular node they share minimum hashes with.  Inside a cell
   (blocks of bounded bytes, block against block) a task runs DivideSkip: it merges a query's short lists,
   keeps nodes on at least T - L of them, and binary-probes the L long lists.
 * Nodes of different cells meet through the short lists of their rarest shingles, spread by shingle: with
   an overlap of at least T, at least SHORT_HITS of the n - T + SHORT_HITS rarest shingles agree (T - L =
-  SHORT_HITS), and more where the sizes are alike.  What reaches that count is verified on whole sets.
+  SHORT_HITS), and more where the sizes are alike.  What reaches that count is verified on whole sets.  One node of each
+  component found so far meets the others first, so that only pairs of still different components are made.
 * Links become connected components; the result has a row for each document, never all pairs of a group.
 
 Edge cases: null or blank text gives an empty set, `n_shingles` 0 and a component of its own; fewer than
@@ -28,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .session import bounded_batches, components, cut, release, small
-from .textbatch import U, mix, shingle_sets, trimmed, words
+from .textbatch import U, Words, mix, shingle_sets, trim, trimmed, words
 
 SKETCH_BITS, SKETCH_PARTS = 18, 64
 #: Minimum hashes a node, and how many a node shares with the hub of its cell.  They steer work, not results.
@@ -41,6 +44,8 @@ SHORT_HITS = 4
 BLOCK, HEAVY = 1_500_000, 50_000
 #: Entries that a task looks at together.
 GATHER = 50_000
+#: Nodes that make a list long; bits of the map of long lists, in parts.
+LONG, MAP_BITS, MAP_PART = 6, 26, 20
 #: Rows up to which node tables (three longs a row) are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 150_000
 
@@ -125,16 +130,18 @@ def _cells(nodes: DataFrame) -> DataFrame:
 
 
 def sets_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, shingles binary) of the wanted (node, rep): whole sets, made again from the text of document rep."""
-    ask = small(wanted.select(F.col("node").alias("_node"), F.col("rep").alias("_rep")), BROADCAST_ROWS)
-    rows = docs.join(ask, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("_node", "text")
+    """(node, n, shingles binary) of each row with an id, or none, that a wanted (node, rep) has, made again from the text.
+
+    The caller joins on node: however many rows share an id, or have none, each is one row here.
+    """
+    ids = small(wanted.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct(), BROADCAST_ROWS)
+    rows = docs.join(ids, "doc_id", "left_semi").select("text").union(docs.filter("doc_id IS NULL").select("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in words(batch.column(1)):
-                want = batch.column(0).slice(w.lo, w.hi - w.lo).to_pylist()
-                kept = [(x, s) for x, s in zip(want, shingle_sets(w)) if len(s) and node_of(s) == x]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int32()), pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["node", "n", "shingles"])
+            for w in words(batch.column(0)):
+                kept = [s for s in shingle_sets(w) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in kept], pa.int64()), pa.array([len(s) for s in kept], pa.int32()), pa.array([s.tobytes() for s in kept], pa.binary())], names=["node", "n", "shingles"])
 
     return rows.mapInArrow(trimmed(make), "node long, n int, shingles binary")
 
@@ -239,36 +246,86 @@ def _links_in_cells(docs: DataFrame, cells: DataFrame) -> DataFrame:
     return placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(trimmed(_search_cells), "a long, b long")
 
 
-def _entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _ordered(sketch: np.ndarray, often: np.ndarray):
+    """Shingles -> (sort key, slot of the sketch): the rarer by the sketch the earlier, those marked as long lists last."""
+    level = np.minimum(127, np.round(4 * np.log2(sketch.astype(float) + 1))).astype(np.uint64) << U(56)
+
+    def key(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = (s >> U(64 - SKETCH_BITS)).astype(np.int64)
+        bit = s & U((1 << MAP_BITS) - 1)
+        last = (often[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8) & np.uint8(1)).astype(np.uint64)
+        return last << U(63) | level[slot] | (s & U((1 << 56) - 1)), slot
+
+    return key
+
+
+def _rarest(w: Words, key, seen: set[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(node, n, keys, slots) of each set not seen in this task: its n - T + SHORT_HITS rarest shingles."""
+    for s in shingle_sets(w):
+        n = len(s)
+        if not n or (node := node_of(s)) in seen:
+            continue
+        if len(seen) < 1_000_000:
+            seen.add(node)
+        t = least_overlap(n)
+        p = n - t + min(SHORT_HITS, t)
+        keys, slots = key(s)
+        part = np.argpartition(keys, p - 1)[:p] if p < n else np.arange(n)
+        yield node, n, keys[part], slots[part]
+
+
+def _long_lists(docs: DataFrame, sketch: np.ndarray) -> np.ndarray:
+    """A map of 2^MAP_BITS bits, by the last bits of a shingle: set for shingles among the rarest of LONG texts and more.
+
+    Copies in several tasks count several times, which marks more and changes no result.
+    """
+    often = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    sc = docs.sparkSession.sparkContext
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, bit = (batch.column(k).to_numpy() for k in range(2))
+            for p in np.unique(part).tolist():
+                parts.setdefault(p, np.zeros(1 << MAP_PART, bool))[bit[part == p]] = True
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(np.packbits(x, bitorder="little").tobytes(), 1) for x in parts.values()], pa.binary())], names=["part", "bits"])
+
+    sent = sc.broadcast((sketch, often))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen = _ordered(*sent.value), set()
+        for batch in batches:
+            for w in words(batch.column(0)):
+                some = [k for _, _, k, _ in _rarest(w, key, seen)]
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64))], names=["token"])
+
+    counted = docs.select("text").mapInArrow(trimmed(tokens), "token long").groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") >= LONG)
+    bits = counted.select(F.expr(f"cast(token >> {MAP_PART} & {(1 << (MAP_BITS - MAP_PART)) - 1} AS int)").alias("part"), F.expr(f"cast(token & {(1 << MAP_PART) - 1} AS int)").alias("bit"))
+    for r in bits.repartition("part").mapInArrow(mark, "part int, bits binary").collect():
+        got = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
+        often[r.part * len(got) : (r.part + 1) * len(got)] |= got
+    return often
+
+
+def _entries(docs: DataFrame, sketch: np.ndarray, often: np.ndarray) -> DataFrame:
     """(token, block, node, n, side): the rarest shingles of each node, the lists that DivideSkip merges."""
-    level = np.minimum(255, np.round(8 * np.log2(sketch.astype(float) + 1))).astype(np.uint64) << U(56)
     blocks = 1 + np.maximum(0, sketch.astype(float) - 3 * sketch.mean() - 1) // HEAVY
-    sent = docs.sparkSession.sparkContext.broadcast((level, blocks.astype(np.int64)))
+    sent = docs.sparkSession.sparkContext.broadcast((sketch, often, blocks.astype(np.int64)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, blocks = sent.value
+        *order, blocks = sent.value
+        key = _ordered(*order)
         seen: set[int] = set()  # copies in this partition send their entries once
         for batch in batches:
             for w in words(batch.column(0)):
-                tokens, nodes, sizes, slots = [], [], [], []
-                for s in shingle_sets(w):
-                    n = len(s)
-                    if not n or (node := node_of(s)) in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    t = least_overlap(n)
-                    p = n - t + min(SHORT_HITS, t)
-                    slot = (s >> U(64 - SKETCH_BITS)).astype(np.int64)
-                    key = level[slot] | (s & U((1 << 56) - 1))
-                    part = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
-                    tokens.append(key[part])
-                    slots.append(slot[part])
-                    nodes.append(np.full(p, node, np.int64))
-                    sizes.append(np.full(p, n, np.int64))
-                if not tokens:
+                some = list(_rarest(w, key, seen))
+                if not some:
                     continue
-                token, node, n, nb = np.concatenate(tokens).view(np.int64), np.concatenate(nodes), np.concatenate(sizes), blocks[np.concatenate(slots)]
+                nodes, sizes, tokens, slots = zip(*some)
+                each = [len(x) for x in tokens]
+                token, node, n, nb = np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int64), each), blocks[np.concatenate(slots)]
                 side = np.mod(node, nb)
                 if nb.max() > 1:  # each block of a frequent shingle's list meets each other
                     again = np.repeat(np.arange(len(nb)), nb)
@@ -305,23 +362,67 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different cells on one short list; rows sorted by (token, block), a list never split over tasks."""
-    rest = None
-    for batch in gathered(batches, GATHER):
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+def _lists(run):
+    """A partition function that calls run(columns) on whole lists: rows come sorted by (token, block), a list in one task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in gathered(batches, GATHER):
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now)]
+            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
+            done = len(same) - int(same.sum())  # the last list may go on
+            rest = [x[done:] for x in now]
+            if done:
+                yield from run([x[:done] for x in now])
         if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
-        same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-        done = len(same) - int(same.sum())  # the last list may go on
-        rest = [x[done:] for x in now]
-        yield from _pairs([x[:done] for x in now])
-    if rest is not None:
-        yield from _pairs(rest)
+            yield from run(rest)
+
+    return trimmed(whole)
+
+
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return np.flatnonzero(new)
+
+
+def _live(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The lists on which nodes of different cells meet."""
+    token, block, *_, cell = cols
+    at = _starts(token, block)
+    mixed = np.minimum.reduceat(cell, at) != np.maximum.reduceat(cell, at)
+    kept = np.flatnonzero(np.repeat(mixed, np.diff(np.append(at, len(token)))))
+    if len(kept):
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in cols], names=["token", "block", "node", "n_side", "cell"])
+
+
+def _met(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, token: np.ndarray) -> Iterator[pa.RecordBatch]:
+    ok = np.flatnonzero(4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
+    if len(ok):
+        a, b = np.minimum(a, b)[ok], np.maximum(a, b)[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(token[ok]), pa.array(hits_needed(na[ok], nb[ok]).astype(np.int32))], names=["a", "b", "token", "need"])
+
+
+def _stars(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """On each list one node of each component meets one of the list's largest; rows sorted by label and node within a list."""
+    token, block, node, n_side, _, label = cols
+    n = n_side & 0xFFFFFFFF
+    rep = _starts(token, block, label)
+    size = np.diff(np.append(rep, len(token)))
+    of = _starts(token[rep], block[rep])
+    each = np.diff(np.append(of, len(rep)))
+    by = np.lexsort((-size, np.repeat(np.arange(len(of)), each)))
+    hub = np.repeat(rep[by[of]], each)
+    rep, hub = rep[rep != hub], hub[rep != hub]
+    yield from _met(node[rep], node[hub], n[rep], n[hub], token[rep])
 
 
 def _pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    token, block, node, n_side, cell = cols
+    """On each list, the pairs of nodes of different cells and components."""
+    token, block, node, n_side, cell, label = cols
     n, side = n_side & 0xFFFFFFFF, n_side >> 32
     crossed = (block >> 20) != (block & 0xFFFFF)
     alive, d = np.arange(len(token)), 0
@@ -330,27 +431,18 @@ def _pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         alive = alive[alive + d < len(token)]
         alive = alive[(token[alive] == token[alive + d]) & (block[alive] == block[alive + d])]
         i, j = alive, alive + d
-        small_n, large_n = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (cell[i] != cell[j]) & (4 * small_n >= 3 * large_n) & (node[i] != node[j]) & (~crossed[i] | (side[i] != side[j]))
-        if ok.any():
-            a, b = node[i[ok]], node[j[ok]]
-            swap = a > b
-            need = hits_needed(n[i[ok]], n[j[ok]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(token[i[ok]]), pa.array(need.astype(np.int32))], names=["a", "b", "token", "need"])
+        ok = (cell[i] != cell[j]) & (label[i] != label[j]) & (~crossed[i] | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
+        yield from _met(node[i], node[j], n[i], n[j], token[i])
 
 
-def _links_across(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sketch: np.ndarray) -> DataFrame:
-    entries = _entries(docs, sketch)
-    known = small(cells.select("node", "cell"), BROADCAST_ROWS)
-    entries = entries.join(known, "node", "left").select("token", "block", "node", "n_side", F.coalesce("cell", "node").alias("cell"))
-    met = entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(trimmed(_meet), "a long, b long, token long, need int")
+def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """Links (a, b) among the pairs that met on lists enough, compared on whole sets."""
     # copies from several partitions repeat a pair under the same shingle, which counts once
     pairs = met.groupBy("a", "b", "token").agg(F.first("need").alias("need")).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("need").alias("need")).filter("hits >= need").select("a", "b")
     pairs = cut(pairs)
-    del entries, met  # their shuffle is the largest, and done with
-    release(docs.sparkSession)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
-    whole = cut(sets_for(docs, cut(wanted)).dropDuplicates(["node"]).select("node", "n", "shingles"))
+    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"))
+    whole = cut(sets_for(docs, wanted).join(small(wanted.select("node"), BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
     both = both.join(whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
 
@@ -365,11 +457,36 @@ def _links_across(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sketch: n
                     kept.append(r)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(kept, pa.int64())), b.take(pa.array(kept, pa.int64()))], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(trimmed(verify), "a long, b long")
+    return cut(both.select("a", "b", "sa", "sb").mapInArrow(trimmed(verify), "a long, b long"))
 
 
-def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) for every row of docs(doc_id, text); see the module's notes."""
+def _links_across(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sketch: np.ndarray, edges: DataFrame) -> DataFrame:
+    """Links between cells that, with `edges`, span every component.
+
+    First one node of each component on a list meets one of the largest there, and components grow by what links; then
+    the nodes of still different components meet.  So a group of near copies spread over cells makes no pairs of its own.
+    """
+    often = _long_lists(docs, sketch)
+    release(docs.sparkSession)
+    entries = _entries(docs, sketch, often)
+    known = small(cells.select("node", "cell"), BROADCAST_ROWS)
+    entries = entries.join(known, "node", "left").select("token", "block", "node", "n_side", F.coalesce("cell", "node").alias("cell"))
+    live = cut(entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_lists(_live), "token long, block long, node long, n_side long, cell long"))
+    del entries  # their shuffle is the largest, and done with
+    release(docs.sparkSession)
+    found = edges
+    for run in (_stars, _pairs):
+        if not live.limit(1).count():
+            break
+        labels = small(components(found).select(F.col("id").alias("node"), "label"), BROADCAST_ROWS)
+        named = live.join(labels, "node", "left").select("token", "block", "node", "n_side", "cell", F.coalesce("label", "node").alias("label"))
+        named = named.repartition("token", "block").sortWithinPartitions("token", "block", "label", "node")
+        found = found.union(_verified(docs, nodes, named.mapInArrow(_lists(run), "a long, b long, token long, need int")))
+    return found
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n) of every row, and (node, rep, label, component_id) of every set; rep is its smallest id."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = cut(docs.mapInArrow(trimmed(_scan), "doc_id long, node long, n int, keys array<long>, part int, counts binary"))
@@ -379,27 +496,52 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     cells = _cells(nodes)
     edges = cut(_links_in_cells(docs, cells))
     release(docs.sparkSession)
-    edges = edges.union(cut(_links_across(docs, nodes, cells, sketch)))
+    edges = _links_across(docs, nodes, cells, sketch, edges)
     release(docs.sparkSession)
     labels = components(edges)
     named = nodes.select("node", "rep").join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "label").select("node", "component_id")
-    out = table.select("doc_id", "node", "n").join(named, "node", "left")
+    return table.select("doc_id", "node", "n"), named.join(least, "label").select("node", "rep", "label", "component_id")
+
+
+def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id) for every row of docs(doc_id, text); see the module's notes."""
+    table, named = _classes(docs)
+    out = table.join(named, "node", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("node").alias("set_id"))
 
 
-def keep_first(docs: DataFrame, joined: DataFrame | None = None) -> DataFrame:
-    """One document of each group stays: the one that names the component (documents without an id stay too).
+@F.arrow_udf(LongType())
+def _node(text: pa.Array) -> pa.Array:
+    """The set of each text, null where it has none."""
+    out = [node_of(s) if len(s) else None for w in words(text) for s in shingle_sets(w)]
+    trim()
+    return pa.array(out, pa.int64())
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each group stays: one that has the smallest id of the group, among several the one of the smallest set,
+    and of equal rows one.  Rows without words are nobody's copy and stay, however many share an id.
 
-    Rows that repeat an id keep one of them.
+    Rows are judged one by one, not by id: where an id repeats, or is null, its rows are told apart by their sets.  A
+    group without any id keeps one row.
     """
-    joined = ngram_jaccard_join(docs) if joined is None else joined
-    gone = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("_millrace_gone")).distinct()
-    left = docs.join(small(gone, BROADCAST_ROWS), F.col("doc_id") == F.col("_millrace_gone"), "left_anti")
-    again = joined.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_millrace_again"))
-    if not again.limit(1).count():
-        return left
-    again = small(again, BROADCAST_ROWS)
-    once = left.join(again, F.col("doc_id") == F.col("_millrace_again"), "left_anti")
-    return once.unionByName(left.join(again, F.col("doc_id") == F.col("_millrace_again"), "left_semi").dropDuplicates(["doc_id"]))
+    table, named = _classes(docs)
+    kept = cut(named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("k")).select(F.col("k.rep").alias("_millrace_rep"), F.col("k.node").alias("_millrace_node")))
+    several = cut(table.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 OR doc_id IS NULL").select("doc_id"))
+    # an id that stands once is judged by its one row
+    gone = table.filter("node IS NOT NULL AND doc_id IS NOT NULL").join(kept, F.col("node") == F.col("_millrace_node"), "left")
+    gone = gone.filter("NOT doc_id <=> _millrace_rep").select(F.col("doc_id").alias("_millrace_gone")).distinct()
+    several = several.select(F.col("doc_id").alias("_millrace_again"))
+    odd = several.limit(1).count() > 0
+    plain = docs.join(small(gone, BROADCAST_ROWS), F.col("doc_id").cast("long") == F.col("_millrace_gone"), "left_anti")
+    if not odd:
+        return plain
+    ids = small(several.filter("_millrace_again IS NOT NULL"), BROADCAST_ROWS)
+    same = F.col("doc_id").cast("long") == F.col("_millrace_again")
+    plain = plain.filter("doc_id IS NOT NULL").join(ids, same, "left_anti")
+    again = docs.join(ids, same, "left_semi").unionByName(docs.filter(F.col("doc_id").cast("long").isNull()))
+    again = again.withColumn("_millrace_set", _node(F.col("text").cast("string")))
+    blank = again.filter("_millrace_set IS NULL")
+    first = again.join(kept, (F.col("_millrace_set") == F.col("_millrace_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_millrace_rep"))).dropDuplicates(["_millrace_set"])
+    return plain.unionByName(blank.select(docs.columns)).unionByName(first.select(docs.columns))

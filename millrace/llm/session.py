@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def rewritten(df: DataFrame, path: str) -> DataFrame:
+    """The same rows, written to `path` and read again.
+
+    Unlike `cut`, the plan forgets its estimated sizes: those of a join are a product, so that in a loop of checkpoints
+    their digits grow by the round, until the driver has no memory left.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let the cluster delete shuffle files that no frame refers to any more, before the next large shuffle.
 
@@ -63,17 +85,23 @@ def components(edges: DataFrame) -> DataFrame:
     are ignored; an empty input gives an empty result.
     """
     spark = edges.sparkSession
+    folder = shared_folder(spark, "components")
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL")
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    lab = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"))
+    both = rewritten(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/both")
+    lab = rewritten(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"), f"{folder}/0")
+    k = 0
     while True:
         far = lab.select(F.col("id").alias("b"), F.col("label").alias("far"))
         near = both.join(far, "b").groupBy(F.col("a").alias("id")).agg(F.min("far").alias("near"))
         step = lab.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # a label is itself an id: follow it once
         jump = lab.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = cut(step.join(jump, "label").select("id", "old", F.least("label", "next").alias("label")))
+        new = rewritten(step.join(jump, "label").select("id", "old", F.least("label", "next").alias("label")), f"{folder}/{k + 1}")
+        delete(spark, f"{folder}/{k}")
+        k += 1
         moved = new.filter("label <> old").limit(1).count()
         lab = new.select("id", "label")
         if not moved:
+            lab = cut(lab)
+            delete(spark, folder)
             return lab

@@ -90,7 +90,42 @@ def test_odd(odd):
     assert answer(odd) == brute(rows)
     kept = J.keep_first(odd)
     assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_keep_first_judges_rows_not_ids(spark):
+    """Repeated and missing ids: of each group one row stays, and texts that are nobody's copy all stay."""
+    text = {x: " ".join(f"{x}{i}" for i in range(30)) for x in "abcdefg"}
+    rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (6, text["c"]), (6, text["d"]), (6, text["d"]), (None, text["e"]), (None, text["e"]), (None, text["c"]), (7, text["f"]), (7, text["f"] + " z"), (8, ""), (8, None), (None, ""), (9, text["g"])]
+    kept = [(r["doc_id"], r["text"]) for r in J.keep_first(frame(spark, rows)).collect()]
+    of = lambda t: next((x for x in "abcdefg" if t.startswith(text[x])), "")
+    assert sorted(of(t or "") for _, t in kept) == ["", "", "", *"abcdefg"]
+    assert {(d, of(t or "")) for d, t in kept} == {(1, "a"), (5, "b"), (6, "c"), (6, "d"), (None, "e"), (7, "f"), (8, ""), (None, ""), (9, "g")}
+
+
+def test_many_rows_without_an_id(spark):
+    """Near copies without ids, or all with one, are found without joining row to row."""
+    rng = random.Random(4)
+    for ident in (None, 3):
+        rows = [(ident, " ".join(f"{g}w{i}" if rng.random() > 0.01 else f"x{rng.random()}" for i in range(60))) for g in range(8) for _ in range(6)]
+        assert answer(frame(spark, rows)) == brute(rows)
+
+
+def test_long_lists_go_last(spark, monkeypatch):
+    """Texts that share a passage but are no copies: their meetings grow with the texts, and links stay exact."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(d, " ".join([f"{d}u{i}" for i in range(rng.randrange(40, 90))] + passage)) for d in range(160)] + [(900 + d, " ".join([f"{d}u{i}" for i in range(60)] + passage[: rng.randrange(50, 60)])) for d in range(20)]
+    made = []
+    df = frame(spark, rows)
+    docs = df.select("doc_id", "text")
+    sketch = np.zeros(1 << J.SKETCH_BITS, np.uint64)
+    for least in (10**9, J.LONG):
+        monkeypatch.setattr(J, "LONG", least)
+        entries = J._entries(docs, sketch, J._long_lists(docs, sketch)).withColumn("cell", J.F.col("node")).withColumn("label", J.F.col("node"))
+        made.append(entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(J._lists(J._pairs), "a long, b long, token long, need int").count())
+    assert made[0] > 20 * max(1, made[1])
+    assert answer(df) == brute(rows)
 
 
 def test_empty(empty):
@@ -162,3 +197,16 @@ def test_components(spark):
 def test_plan_has_no_cross_join(docs):
     plan = J.ngram_jaccard_join(docs)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_near_copies_over_many_cells_make_few_pairs(spark, monkeypatch):
+    """One large group, no two of its nodes in a cell: what meets grows with its size, not with the square."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(d, " ".join(f"x{rng.random()}" if rng.random() < 0.008 else x for x in base)) for d in range(240)]
+    made = []
+    verified = J._verified
+    monkeypatch.setattr(J, "SHARED", 99)
+    monkeypatch.setattr(J, "_verified", lambda docs, nodes, met: (made.append(met.count()), verified(docs, nodes, met))[1])
+    assert answer(frame(spark, rows)) == brute(rows)
+    assert sum(made) < 240 * 239 / 2 * 8

@@ -112,7 +112,7 @@ def test_many_rows_without_an_id(spark):
 
 
 def test_long_lists_go_last(spark, monkeypatch):
-    """Texts that share a passage but are no copies: their meetings grow with the texts, and links stay exact."""
+    """Texts that share a passage but are no copies meet less often, and links stay exact."""
     rng = random.Random(6)
     passage = [f"p{i}" for i in range(60)]
     rows = [(d, " ".join([f"{d}u{i}" for i in range(rng.randrange(40, 90))] + passage)) for d in range(160)] + [(900 + d, " ".join([f"{d}u{i}" for i in range(60)] + passage[: rng.randrange(50, 60)])) for d in range(20)]
@@ -124,7 +124,7 @@ def test_long_lists_go_last(spark, monkeypatch):
         monkeypatch.setattr(J, "LONG", least)
         entries = J._entries(docs, sketch, J._long_lists(docs, sketch)).withColumn("cell", J.F.col("node")).withColumn("label", J.F.col("node"))
         made.append(entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(J._lists(J._pairs), "a long, b long, token long, need int").count())
-    assert made[0] > 20 * max(1, made[1])
+    assert made[0] > 4 * made[1]  # one round of marking; what takes the marked ones' place is not counted again
     assert answer(df) == brute(rows)
 
 

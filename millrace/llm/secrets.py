@@ -2,10 +2,12 @@ r"""Secret scans: fixed patterns, and random strings exposed by how badly a publ
 
 Base kinds, leftmost non-overlapping each: `assign` (a key word, `:` or `=`, a value of 8+ characters), `access`
 (AKIA..., 16+ characters), `hex` (32+ lower-case hex digits).  The method adds `random`: runs of 20 or more of
-`[A-Za-z0-9+/_=-]` holding a digit and a letter, whose characters per token under a tiktoken vocabulary fall below
-LEAST_RATIO, unless they are a known digest (hex of a digest's length), an identifier (UUID, a decimal
-number, a path or file name of plain words) or lie within a base span.  Prose compresses to 2 and more characters
-a token, random base-62 to about 1.5.
+`[A-Za-z0-9+/_=-]` holding a letter, whose characters per token under a tiktoken vocabulary fall below LEAST_RATIO,
+unless they are a known digest (hex of a digest's length), an identifier (UUID, a decimal number) or lie within a base
+span.  Runs without a digit, and plain words and short numbers joined by signs, must fall below the stricter PLAIN_RATIO,
+and are a path or a name if their parts have under LEAST_PART characters on average.  Prose compresses to 2 and more
+characters a token, random base-62 to about 1.5, random letters of both cases to 1.4; of random lower-case letters
+alone (1.7) about two thirds are told from long words.
 
 Spans are code points, end exclusive, as kind:start:end in the order of start, then kind as listed.
 
@@ -37,6 +39,9 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
 LEAST_RUN, LEAST_RATIO = 20, 1.9
+PLAIN_RATIO, LEAST_PART = 1.7, 5
+#: Characters that are encoded at once; a longer run is counted piece by piece.
+PIECE = 4096
 #: Lengths, in hex digits, of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -50,6 +55,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _NUMBER = re.compile(r"[0-9/_=+-]+")
+_PART = re.compile(r"[A-Za-z0-9]+")
 _PLAIN = re.compile(r"(?:[A-Za-z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Za-z]+|[0-9]{1,4}))*")
 
 
@@ -63,8 +69,22 @@ def tokenizer(path: str):
 
 
 def is_known(run: str) -> bool:
-    """A digest, UUID, number, or a path or name of plain words and short numbers: not a secret by itself."""
-    return bool(_UUID.fullmatch(run) or (_DIGEST.fullmatch(run) and len(run) in DIGESTS) or _NUMBER.fullmatch(run) or _PLAIN.fullmatch(run))
+    """A digest, UUID or number: not a secret by itself."""
+    return bool(_UUID.fullmatch(run) or (_DIGEST.fullmatch(run) and len(run) in DIGESTS) or _NUMBER.fullmatch(run))
+
+
+def is_random(run: str, path: str = VOCABULARY) -> bool:
+    """Few characters a token, and neither known nor a path or name."""
+    if is_known(run):
+        return False
+    least = LEAST_RATIO
+    if _PLAIN.fullmatch(run) or not any(c.isdigit() for c in run):
+        parts = _PART.findall(run)
+        if sum(map(len, parts)) < LEAST_PART * len(parts):
+            return False
+        least = PLAIN_RATIO
+    encode = tokenizer(path).encode_ordinary
+    return len(run) < least * sum(len(encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -80,13 +100,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def random_spans(text: str, base: list[tuple[int, int, int]], path: str = VOCABULARY) -> list[tuple[int, int, int]]:
     """(start, kind, end) of runs with few characters a token."""
     out = []
+    i, covered = 0, 0  # base spans that start by here, and the last place they cover
     for m in _RUN.finditer(text):
-        run, a, b = m[0], m.start(), m.end()
-        if not any(c.isdigit() for c in run) or run.isdigit() or is_known(run):
-            continue
-        if any(s <= a and b <= e for s, _, e in base):
-            continue
-        if len(run) < LEAST_RATIO * len(tokenizer(path).encode_ordinary(run)):
+        a, b = m.span()
+        while i < len(base) and base[i][0] <= a:
+            covered = max(covered, base[i][2])
+            i += 1
+        if b > covered and is_random(m[0], path):
             out.append((a, 3, b))
     return out
 

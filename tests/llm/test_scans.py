@@ -49,11 +49,27 @@ def test_random_strings_show():
         key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(32))
         found += any(k == 3 for _, k, _ in S.scan(f"see {key} there")[1])
     assert found >= 195
-    clean = ["123e4567-e89b-12d3-a456-426614174000", "d41d8cd98f00b204e9800998ecf8427e", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "1234567890123456789012345", "some/long/path/with_words/file-2024-01-02", "incomprehensibilities"]
+    for letters, least in ((string.ascii_letters, 190), (string.ascii_letters + "+/", 190), (string.ascii_uppercase, 170)):
+        keys = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)]
+        assert sum(any(k == 3 for _, k, _ in S.scan(f"see {key} there")[1]) for key in keys) >= least
+    clean = ["123e4567-e89b-12d3-a456-426614174000", "d41d8cd98f00b204e9800998ecf8427e", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "1234567890123456789012345", "some/long/path/with_words/file-2024-01-02", "incomprehensibilities", "getElementsByClassNameAndSelector", "Donaudampfschifffahrtsgesellschaft", "a/b/c/d/e/f/g/h/i/j/k/l", "/usr/local/share/doc/libxml", "-" * 30, "=_" * 20, "ha" * 30]
     for c in clean:
         assert not any(k == 3 for _, k, _ in S.scan(f"see {c} there")[1])
 
 
+def test_random_spans_are_judged_one_by_one():
+    """Every run against every base span, and a run far beyond one piece."""
+    rng = random.Random(5)
+    pieces = ["token=", "password: ", "AKIAAKIAAKIAAKIA99", "f" * 32, " ", "\n", "kF9dQx2LmZ7pRt4vWb8nYc3s", "QwPzKxVbRtYmNcLdGhJf", "/plain/words/of/a/path", '"']
+    for _ in range(300):
+        t = "".join(rng.choice(pieces) for _ in range(10))
+        base = S.base_spans(t)
+        want = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t) if S.is_random(m[0]) and not any(s <= m.start() and m.end() <= e for s, _, e in base)]
+        assert S.random_spans(t, base) == want
+    long = "".join(rng.choice(string.ascii_letters) for _ in range(300_000))
+    assert S.scan(long)[1] == [(0, 3, len(long))] and S.scan("a" * 300_000)[1] == []
+
+
 def test_redaction(odd, empty):
     assert S.redact('password = "hunter2hunter2" x') == 'password = "[SECRET]" x'
     assert S.redact(None) is None and S.redact("") == ""

@@ -67,7 +67,7 @@ def test_random_spans_are_judged_one_by_one():
         want = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t) if S.is_random(m[0]) and not any(s <= m.start() and m.end() <= e for s, _, e in base)]
         assert S.random_spans(t, base) == want
     long = "".join(rng.choice(string.ascii_letters) for _ in range(300_000))
-    assert S.scan(long)[1] == [(0, 3, len(long))] and S.scan("a" * 300_000)[1] == []
+    assert S.scan(long)[1] == [(0, 3, len(long))] and S.scan("z" * 300_000)[1] == []
 
 
 def test_redaction(odd, empty):

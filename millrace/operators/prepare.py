@@ -141,13 +141,13 @@ def derive_gate(builds: DataFrame, as_of: datetime | None = None, u: float | Non
     """Windows to keep, and the usage threshold: the median usage of served builds in them, unless given."""
     kept, dropped = retained([r["win"] for r in builds.select("win").distinct().collect()], keep)  # as many as there are windows
     if not kept:
-        raise ValueError("no usable builds: every row was rejected, see warnings")
+        raise ValueError("nothing to analyse: the warnings say why each build was left out")
     as_of = as_of or datetime.now(timezone.utc)
     if u is not None:
         return Gate(float(u), "supplied with --u", as_of, resolution_days, baseline, kept, dropped)
     pool = builds.filter(within([w for w in kept if baseline in (None, w)] or ["9999-01"]) & F.col("served") & F.col("usage").isNotNull())
     r = pool.agg(F.percentile("usage", 0.5).alias("u"), F.count("*").alias("n")).first()
-    source = f"median usage over {r['n']} served builds in {baseline or 'all retained windows'}" if r["n"] else "UNAVAILABLE: no served build carries a usage signal"
+    source = f"median usage over {r['n']} served builds in {baseline or 'all retained windows'}" if r["n"] else "UNAVAILABLE: usage is missing from all served builds"
     return Gate(r["u"], source, as_of, resolution_days, baseline, kept, dropped)
 
 

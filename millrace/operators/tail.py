@@ -225,7 +225,7 @@ def flow_frontier(runs: DataFrame) -> DataFrame:
 def frontier_note(rows: list[dict], axes: int = 3) -> str | None:
     """DEGENERATE when every flow wins everywhere, CAUTION when there are few flows for the axes."""
     if len(rows) > 1 and all(r["wins"] == r["thresholds"] for r in rows):
-        return f"DEGENERATE: all {len(rows)} flows are non-dominated"
+        return f"DEGENERATE: none of {len(rows)} flows is ever beaten"
     if len(rows) < 2 * axes:
-        return f"CAUTION: {len(rows)} flows against {axes} objectives is thin"
+        return f"CAUTION: {axes} axes tell {len(rows)} flows apart poorly"
     return None

@@ -229,7 +229,7 @@ cl as (select case when k > 1 or lacks is not null then 'rejected' when st.build
     add("run_diff", CELLS + ", " + diff, "select coalesce(x.grp, y.grp) as grp, coalesce(x.win, y.win) as win, case when x.grp is null then 'added' when y.grp is null then 'removed' when coalesce(y.cost - x.cost, 0) = 0 and coalesce(y.lead_time - x.lead_time, 0) = 0 and coalesce(y.debt_defect - x.debt_defect, 0) = 0 then 'same' else 'changed' end as status, round(y.cost - x.cost, 6) as delta_cost, round(y.lead_time - x.lead_time, 6) as delta_lead_time, round(y.debt_defect - x.debt_defect, 6) as delta_debt_defect from x full join y on x.grp = y.grp and x.win = y.win")
     add("aggregate_cells", CELLS + ", kw as (select distinct win from cells order by win desc limit 4)", "select grp, win, n_builds, round(cost, 6) as cost, round(lead_time, 6) as lead_time, round(debt_defect, 6) as debt_defect from cells where win in (select win from kw)")
     add("anchor_clusters", COMMITS, "select key, count(*) as commits, cast(sum(churn) as bigint) as churn, count(*) filter (where infra) as infra from keyed where key is not null group by key")
-    add("t0_resolve", COMMITS + ", fe as (select key, min(tm) as first_at, string_agg(distinct lower(subject), ' ' order by lower(subject)) as subj from keyed where key like 'ticket:%' and not infra and tick < 60 group by key)", "select key, epoch_us(first_at) as first_us, epoch_us((select min(d.tm) from deploys d where d.tm >= first_at and length(hint) <= 7 and contains(lower(key) || ' ' || subj, hint))) as t0_us from fe")
+    add("t0_resolve", COMMITS + ", fe as (select key, min(tm) as first_at, string_agg(distinct lower(subject), ' ' order by lower(subject)) as subj from keyed where key like 'ticket:%' and not infra group by key)", "select key, epoch_us(first_at) as first_us, epoch_us((select min(d.tm) from deploys d where d.tm >= first_at and contains(lower(key) || ' ' || subj, hint))) as t0_us from fe")
     add("quiet_split", TICKETS, "select key, commits, pre_churn, post_churn, cast(dts as bigint) as deploys_to_stability, censored, resolved, round(rework_ratio, 6) as rework_ratio, round(tail_mass, 6) as tail_mass from tickets")
     add("km_survival", TICKETS, "select cast(t as bigint) as t, round(survival, 6) as survival from curve")
     upper = lambda c: f"round(list_sort(list({c}) filter (where resolved and {c} is not null))[(count(*) filter (where resolved and {c} is not null)) // 2 + 1], 3)"

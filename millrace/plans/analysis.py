@@ -65,7 +65,7 @@ def compute(builds: DataFrame, metrics: list[Metric] | None = None, params: Para
     gate = prepare.derive_gate(builds, params.as_of, params.u, params.windows_retained, params.baseline, params.L_days)
     warnings = list(warnings or [])
     if gate.dropped:
-        warnings.append(_note("WINDOWS_DROPPED", f"retaining the last {len(gate.windows)} windows; dropped {', '.join(gate.dropped)}"))
+        warnings.append(_note("WINDOWS_DROPPED", f"older than the {len(gate.windows)} newest windows: {', '.join(gate.dropped)}"))
     prepared = prepare.classify(builds, gate)
     used = [m for m in metrics if m.role == "descriptor" or m.name in params.objectives]
     objectives = by_name(metrics, params.objectives)

@@ -164,7 +164,7 @@ def tail_run(spark, a: argparse.Namespace) -> dict:
     sweep = tuple(int(x) for x in a.sweep.split(","))
     results = cut(T.analyse(commits, events, sweep, a.quiet_days))
     curve = cut(T.survival(results, ["threshold"]))
-    out: dict = {"window": {"first": ends["first"].isoformat(), "last": ends["last"].isoformat()}, "workflow": "unknown (no session archive supplied)", "t0": a.deploys or "none supplied: every cluster is unattributed", "quiet_days": a.quiet_days, "sweep": {}}
+    out: dict = {"window": {"first": ends["first"].isoformat(), "last": ends["last"].isoformat()}, "workflow": "unknown: needs --archive", "t0": a.deploys or "none supplied: every cluster is unattributed", "quiet_days": a.quiet_days, "sweep": {}}
     curves: dict[int, list] = {}
     for r in curve.orderBy("threshold", "t").collect():
         curves.setdefault(r["threshold"], []).append([r["t"], round(r["survival"], 4)])
@@ -180,7 +180,7 @@ def tail_run(spark, a: argparse.Namespace) -> dict:
         if a.prices:
             out["agent_spend"] = [r.asDict() for r in S.agent_spend(parts["tokens"], files.read_prices(spark, a.prices)).collect()]
         else:
-            out["agent_spend"] = [{"status": "tokens found, no price table supplied", **r.asDict()} for r in parts["tokens"].groupBy("model").agg(F.sum("tokens").alias("tokens")).collect()]
+            out["agent_spend"] = [{"status": "unpriced: needs --prices", **r.asDict()} for r in parts["tokens"].groupBy("model").agg(F.sum("tokens").alias("tokens")).collect()]
     if a.sessions:
         rows, unit = files.read_sessions(spark, a.sessions)
         out["fanout"] = {"unit": unit, **S.fanout(rows, S.session_roots(rows)).first().asDict()}

@@ -343,17 +343,9 @@ def anchor_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchored(spark, sf_dir).groupBy("key").agg(F.count("*").alias("commits"), F.sum(F.col("insertions") + F.col("deletions")).alias("churn"), F.count_if(tail.infra_only(F.col("files"))).alias("infra"))
 
 
-def t0_resolve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ship moments of all tickets by all hints; no SQL, whose containment test takes tickets times hints."""
-    got = tail.ship_moments(_feature(spark, sf_dir), views.deploy_events(spark, sf_dir), ["key"])
-    return got.select("key", F.unix_micros("first_at").alias("first_us"), F.unix_micros("t0").alias("t0_us"))
-
-
 def t0_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part of t0_resolve_whole that its SQL can follow: tickets under 60, hints of at most 7 characters."""
-    feature = _feature(spark, sf_dir).filter("tick < 60")
-    events = views.deploy_events(spark, sf_dir).filter(F.length("hint") <= 7)
-    got = tail.ship_moments(feature, events, ["key"])
+    """Ship moments of all tickets by all hints."""
+    got = tail.ship_moments(_feature(spark, sf_dir), views.deploy_events(spark, sf_dir), ["key"])
     return got.select("key", F.unix_micros("first_at").alias("first_us"), F.unix_micros("t0").alias("t0_us"))
 
 
@@ -453,7 +445,7 @@ def queries() -> dict[str, Query]:
         builds_prepared, lead_time_source, impact_gate, derive_u, objective_minmax, objective_rank, kendall_tau, pareto_layers, epsilon_front, k_dominance, k_cycles, skyline_frequency, delta_moss_subsets,
         hypervolume_exact, hypervolume_mc, distance_to_ideal, weighted_sum, staircase_2d, mix_levels, knee_2d, knee_hyperplane, expected_maxima, permutation_null, bootstrap_p_on_front, prob_dominance, bootstrap_epsilon, attainment_bands,
         marginal_utility, parametric_replicates, clr, aitchison_movement, direction_of_travel, persistence, threshold_sensitivity, lead_time_divergence, explain_dominators, ingest_classify, registry_latest, run_diff,
-        aggregate_cells, anchor_clusters, t0_resolve, t0_resolve_whole, quiet_split, km_survival, tail_summary, greedy_clusters, flow_frontier, session_roots, session_fanout, agent_spend, never_landed, workflow_label, analysis_json, findings_block,
+        aggregate_cells, anchor_clusters, t0_resolve, quiet_split, km_survival, tail_summary, greedy_clusters, flow_frontier, session_roots, session_fanout, agent_spend, never_landed, workflow_label, analysis_json, findings_block,
     )
     return out | {f.__name__: f for f in named}
 

@@ -16,9 +16,18 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder the cluster names; a temporary one only where driver and executors are one process."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Rows read back from the checkpoint folder that the cluster names (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    """Rows read back from the checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -46,7 +46,7 @@ def prepare_aggregate_cells(raw: DataFrame, metrics: list[str], window_spec: str
         raise ValueError(f"{twice[0]['group']}/{twice[0]['window']}: given more than once")
     kept, dropped = retained([r[0] for r in typed.select("window").distinct().collect()], keep)
     if dropped:
-        warnings.append({"code": "WINDOWS_DROPPED", "message": f"retaining the last {len(kept)} windows; dropped {', '.join(dropped)}"})
+        warnings.append({"code": "WINDOWS_DROPPED", "message": f"older than the {len(kept)} newest windows: {', '.join(dropped)}"})
     if "lead_time_fallback_share" not in numbers:
         warnings.append({"code": "LEAD_TIME_SOURCE_UNAVAILABLE", "message": "no lead_time_fallback_share"})
         typed = typed.withColumn("_lead_time_fallback_share", F.lit(None).cast("double"))

@@ -16,7 +16,7 @@ def test_every_ticket_and_hint(spark, sf_dir):
     events = [(r["hint"], r["at"]) for r in views.deploy_events(spark, sf_dir).select("hint", F.unix_micros("at").alias("at")).collect()]
     assert any(len(h) > 7 for h, _ in events) and len(texts) > 60
     want = {(k, first[k], min((at for h, at in events if at >= first[k] and any(h in t for t in texts[k])), default=None)) for k in texts}
-    assert {tuple(r) for r in registry.queries()["t0_resolve_whole"](spark, sf_dir).select("key", "first_us", "t0_us").collect()} == want
+    assert {tuple(r) for r in registry.queries()["t0_resolve"](spark, sf_dir).select("key", "first_us", "t0_us").collect()} == want
 
 
 def test_hints_of_any_length(spark):

@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; choose one only where none is set (tests, local runs)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    """Use the shared folder the cluster names; without one only local masters get a temporary folder."""
+    checkpoint_dir(spark)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -182,6 +182,75 @@ def test_brown_is_a_model(more, spark):
     assert np.allclose(total, model.class_norm[: model.clusters])
 
 
+def plain_likelihood(b, of, c):
+    """The exchange objective, from the bigrams of symbols."""
+    t = np.zeros((c, c))
+    np.add.at(t, (of[:, None], of[None, :]), b)
+    x = lambda v: sum(i * math.log(i) for i in v.ravel() if i > 0)
+    return x(t) - x(t.sum(0)) - x(t.sum(1))
+
+
+def test_best_class_against_whole_likelihoods():
+    """A word joins the class whose whole likelihood is largest (bigrams of a word with itself aside)."""
+    rng = np.random.default_rng(4)
+    n, clusters, c = 30, 4, 7
+    for _ in range(5):
+        b = rng.poisson(rng.gamma(0.3, 6, (n, n))).astype(float)
+        np.fill_diagonal(b, 0)
+        of = np.concatenate([np.arange(16) % clusters, clusters + np.arange(14) % (c - clusters)])
+        one = np.eye(c)[of]
+        table = one.T @ b @ one
+        loose = np.arange(16, n)
+        got = brown.best_class(table, (b.T @ one)[loose], (b @ one)[loose], of[loose], clusters)
+        for w, d in zip(loose, got):
+            moved = [plain_likelihood(b, np.where(np.arange(n) == w, k, of), c) for k in range(clusters)]
+            assert moved[d] >= max(moved) - 1e-6
+
+
+def test_exchange_moves_to_the_best_class():
+    """One word, one sweep: the class whose whole likelihood is largest, own bigrams included."""
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        b = rng.poisson(rng.gamma(0.3, 6, (13, 13))).astype(float)
+        start = np.concatenate([np.arange(12) % 3, [3]])
+        want = start.copy()
+        for w in range(12):
+            moved = [plain_likelihood(b, np.where(np.arange(13) == w, k, want), 4) for k in range(3)]
+            want[w] = int(np.argmax(moved)) if max(moved) > moved[want[w]] + 1e-9 else want[w]
+        assert plain_likelihood(b, brown.exchange(b, 12, 3, 1), 4) == pytest.approx(plain_likelihood(b, want, 4))
+
+
+def test_brown_score_against_plain_bigrams(more, monkeypatch):
+    """The score of every document from the learned classes and counts of single tokens; every head word has a learned class."""
+    monkeypatch.setattr(brown, "HEAD", 700)
+    monkeypatch.setattr(brown, "CLUSTERED", 60)
+    model, counts = brown.train(more)
+    assert 60 < len(model.head) <= 700 and model.head_class.min() >= 0 and model.head_class.max() < model.clusters
+    rows = [(r["doc_id"], r["text"]) for r in more.select("doc_id", "text").collect()]
+    words = {i: WORD.findall((t or "").translate(FOLD)) for i, t in enumerate(t for _, t in rows)}
+    train = [i for i, (d, _) in enumerate(rows) if d is not None and zlib.crc32(str(d).encode()) % 7 != 2]
+    count = Counter(w for i in train for w in words[i])
+    vocabulary = sorted({w for x in words.values() for w in x})
+    hashed = next(brown.words(pa.array([" ".join(vocabulary)])))
+    key = dict(zip(vocabulary, brown.keys(hashed).tolist()))
+    of = dict(zip(model.head.tolist(), model.head_class.tolist()))
+    klass = {w: of.get(k, model.clusters + (k & 3)) for w, k in key.items()}
+    c = model.clusters + brown.TAILS + 1
+    table, mass, end = np.zeros((c, c)), np.ones(c), c - 1
+    for i in train:
+        chain = [end, *(klass[w] for w in words[i]), end]
+        for x, y in zip(chain, chain[1:]):
+            table[x, y] += 1
+    for w, n in count.items():
+        mass[klass[w]] += n + 1
+    step = np.log10((table + brown.DELTA) / (table.sum(1, keepdims=True) + brown.DELTA * c))
+    want = Counter()
+    for i, (d, _) in enumerate(rows):
+        chain = [end, *(klass[w] for w in words[i]), end]
+        want[d, round(sum(step[x, y] for x, y in zip(chain, chain[1:])) + sum(math.log10((count[w] + 1) / mass[klass[w]]) for w in words[i]), 3)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 3)) for r in brown.score_documents(more).collect()) == want
+
+
 def test_exchange_finds_classes():
     """Words that alternate between two classes are told apart, and no move lowers the likelihood."""
     rng = np.random.default_rng(3)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from . import divergence, infill, linededup
 from .brown import score_documents
 from .decontaminate import contaminated
 from .hilbert import hilbert_shards
@@ -63,6 +64,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents")).drop("keep")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -75,10 +88,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_decontamination": op9_decontamination,
         "op10_language_id": op10_language_id,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be put in SQL; tests/llm holds them against brute force."""
-    return {}
+    """SQL of the operators that it can express whole; tests/llm holds the others against brute force."""
+    return {"op11_fill_in_middle": infill.SQL, "op12_line_dedup": linededup.SQL, "op13_source_divergence": divergence.SQL}

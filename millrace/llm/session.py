@@ -23,6 +23,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def bounded_bytes(spark: SparkSession, size: int = 32 << 20) -> None:
+    """At most so many bytes in one Arrow batch, where a single row does not exceed them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not now or not now.isdigit() or not 0 < int(now) <= size:
+        spark.conf.set(name, str(size))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from the shared checkpoint folder: survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -237,42 +237,65 @@ class Formula:
         return Reads(frozenset(columns), frozenset(impact), frozenset(question), frozenset(filter(None, map(_called, ast.walk(self.body)))))
 
 
+@dataclass(frozen=True)
+class Term:
+    """A number of a cell, over a value or a flag of each build (over the builds alone for `rows`)."""
+
+    kind: str
+    over: Column
+
+    def column(self) -> Column:
+        match self.kind:
+            case "sum":
+                return F.sum(self.over)
+            case "mean":
+                return F.avg(self.over)
+            case "min":
+                return F.min(self.over)
+            case "max":
+                return F.max(self.over)
+            case "rows":
+                return F.count(F.lit(1)).cast("double")
+            case "hits":
+                return F.count_if(self.over).cast("double")
+            case "share":
+                return F.count_if(self.over).cast("double") / F.count(F.lit(1))
+        raise FormulaError(f"{self.kind} is not an aggregate")
+
+
+#: Reducers that need an order of the values.
+PERCENTILES = {"median": 0.5, "p10": 0.1, "p90": 0.9}
+
+
 @dataclass
 class Plan:
-    """Columns of one formula: hoisted window columns, aggregates of a cell, a scalar over them."""
+    """Columns of one formula: terms of a cell, and a scalar over them.
+
+    Bounds of `clip` that are taken over the cell are plans of their own, `hoisted`, whose value builds are given first.
+    """
 
     formula: Formula
     prefix: str
-    keys: tuple[str, ...]
-    hoisted: dict[str, Column] = field(default_factory=dict)
-    aggregates: dict[str, Column] = field(default_factory=dict)
+    hoisted: dict[str, Plan] = field(default_factory=dict)
+    terms: dict[str, Term] = field(default_factory=dict)
     nulls: list[str] = field(default_factory=list)
     notes: list[tuple[Column, str]] = field(default_factory=list)
     inner: dict[int, Column] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.value = self._scalar(self.formula.body, lambda name: F.col(name))
+        self.value = self._scalar(self.formula.body, F.col)
+
+    @property
+    def percentiles(self) -> dict[str, tuple[Column, float]]:
+        return {n: (t.over, PERCENTILES[t.kind]) for n, t in self.terms.items() if t.kind in PERCENTILES}
 
     # -- a cell's numbers ---------------------------------------------------
 
-    def _aggregate(self, column: Column, tag: str = "a") -> str:
-        name = f"{self.prefix}{tag}{len(self.aggregates)}"
-        self.aggregates[name] = column
+    def _term(self, kind: str, over: Column, tag: str = "a") -> str:
+        name = f"{self.prefix}{tag}{len(self.terms)}"
+        self.terms[name] = Term(kind, over)
         return name
 
-    def _reduced(self, f: str, values: Column) -> Column:
-        match f:
-            case "sum":
-                return F.sum(values)
-            case "mean":
-                return F.avg(values)
-            case "min":
-                return F.min(values)
-            case "max":
-                return F.max(values)
-            case _:
-                return F.percentile(values, {"median": 0.5, "p10": 0.1, "p90": 0.9}[f])
-
     def _scalar(self, node: ast.AST, of) -> Column:
         f = _called(node)
         match node:
@@ -286,13 +309,12 @@ class Plan:
                 return self._binary(node.op, self._scalar(node.left, of), self._scalar(node.right, of), self._note)
         if f in REDUCERS:
             values = self._build(node.args[0])
-            self.nulls.append(self._aggregate(F.count_if(values.isNull()), "n"))
-            return of(self._aggregate(self._reduced(f, values)))
+            self.nulls.append(self._term("hits", values.isNull(), "n"))
+            return of(self._term(f, values))
         if f in COUNTERS:
             if not node.args:
-                return of(self._aggregate(F.count(F.lit(1)).cast("double")))
-            hits = F.count_if(F.coalesce(self._flag(node.args[0]), F.lit(False))).cast("double")
-            return of(self._aggregate(hits if f == "count" else hits / F.count(F.lit(1))))
+                return of(self._term("rows", F.lit(True)))
+            return of(self._term("hits" if f == "count" else "share", F.coalesce(self._flag(node.args[0]), F.lit(False))))
         if f in NORMALISERS:
             k = self.formula.normalisers.index(node)
             self.inner[k] = finite(self._scalar(node.args[0], of))
@@ -352,20 +374,17 @@ class Plan:
         return _plain(f, self._build(node.args[0]))
 
     def _build_note(self, when: Column, message: str) -> None:
-        self._note(F.col(self._aggregate(F.count_if(when), "e")) > 0, message)
+        self._note(F.col(self._term("hits", when, "e")) > 0, message)
 
     def _hoist(self, node: ast.AST) -> Column:
         if not any(_called(x) in REDUCERS + COUNTERS for x in ast.walk(node)):
             return self._scalar(node, F.col)
-        from pyspark.sql.window import Window
-
         inner = Plan.__new__(Plan)
-        inner.formula, inner.prefix, inner.keys = self.formula, f"{self.prefix}h{len(self.hoisted)}_", self.keys
-        inner.hoisted, inner.aggregates, inner.nulls, inner.notes, inner.inner = {}, {}, [], [], {}
-        over = Window.partitionBy(*self.keys)
-        value = inner._scalar(node, lambda name: inner.aggregates[name].over(over))
+        inner.formula, inner.prefix = self.formula, f"{self.prefix}h{len(self.hoisted)}_"
+        inner.hoisted, inner.terms, inner.nulls, inner.notes, inner.inner = {}, {}, [], [], {}
+        inner.value = inner._scalar(node, F.col)
         name = f"{inner.prefix}v"
-        self.hoisted[name] = value
+        self.hoisted[name] = inner
         return F.col(name)
 
     def _flag(self, node: ast.AST) -> Column:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import IMPACT_CLASSES, QUESTION_CLASSES
-from ..functions.formula import Plan, finite, normalise
+from ..functions import selection
+from ..functions.formula import PERCENTILES, Plan, finite, normalise
 from ..functions.metrics import Metric
-from ..session import cut
+from ..session import cut, small
 
 KEYS = ("grp", "win")
 
@@ -57,19 +59,44 @@ def norm_parameters(deferred: DataFrame, plans: list[Plan]) -> dict[str, tuple[f
     return {n: (row[f"{n}_0"], row[f"{n}_1"]) for n in wanted}
 
 
-def evaluate(builds: DataFrame, metrics: Iterable[Metric], keys: tuple[str, ...] = KEYS, extra: Iterable[Column] = (), frozen: dict | None = None, scales: dict | None = None) -> DataFrame:
+def cell_terms(builds: DataFrame, plans: Iterable[Plan], keys: Iterable[str], extra: Iterable[Column] = ()) -> DataFrame:
+    """keys, n_builds, extra and the terms of all plans, in one aggregation.
+
+    Percentiles are taken from sorted arrays where every cell is small, by selection beside the aggregation where one is not.
+    """
+    plans, keys = list(plans), list(keys)
+    bounds = [(n, inner) for p in plans for n, inner in p.hoisted.items()]
+    if bounds:  # a row a cell
+        own = cell_terms(builds, [inner for _, inner in bounds], keys).select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[inner.value.alias(n) for n, inner in bounds])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.lit(True))
+        builds = builds.join(small(cut(own), selection.FEW), same).drop(*[f"_of_{k}" for k in keys])
+    terms = {n: t.column() for p in plans for n, t in p.terms.items() if t.kind not in PERCENTILES}
+    wanted = {n: w for p in plans for n, w in p.percentiles.items()}
+    ordered: dict[str, Column] = {}
+    apart = bool(wanted) and selection.largest(builds, keys) > selection.DIRECT
+    if wanted and not apart:
+        lists, ordered = selection.inline(wanted)
+        terms |= lists
+    cells = builds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_builds"), *extra, *[c.alias(n) for n, c in terms.items()])
+    if apart:
+        found = selection.percentiles(builds, keys, wanted)
+        same = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys], F.lit(True))
+        cells = cells.alias("c").join(found.alias("p"), same, "left").select("c.*", *[f"p.{n}" for n in wanted])
+    return cells.withColumns(ordered) if ordered else cells
+
+
+def evaluate(builds: DataFrame, metrics: Iterable[Metric], keys: tuple[str, ...] = KEYS, extra: Iterable[Column] = (), scales: dict | None = None) -> DataFrame:
     """keys, n_builds, extra, a column for each metric, and null_<metric> (nulls skipped), note_<metric>.
 
-    Normalisers pool every row of the result; `frozen` gives their parameters instead, and `scales` (a dict) is
-    filled with those that were used.
+    Normalisers pool every row of the result; `scales` (a dict) is filled with the parameters that were used.
     """
     metrics = list(metrics)
-    plans = [Plan(m.formula, f"_m{i}_", keys) for i, m in enumerate(metrics)]
-    hoisted = {n: c for p in plans for n, c in p.hoisted.items()}
-    if hoisted:
-        builds = builds.withColumns(hoisted)
-    extra = list(extra)
-    cells = builds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_builds"), *extra, *[c.alias(n) for p in plans for n, c in p.aggregates.items()])
+    plans = [Plan(m.formula, f"_m{i}_") for i, m in enumerate(metrics)]
+    return metric_values(cell_terms(builds, plans, keys, extra), metrics, plans, scales=scales)
+
+
+def metric_values(cells: DataFrame, metrics: list[Metric], plans: list[Plan], frozen: dict | None = None, scales: dict | None = None) -> DataFrame:
+    """Metrics over the terms of cells; `frozen` gives the normalisers' parameters instead of taking them from these cells."""
     kept = [c for c in cells.columns if not c.startswith("_m")]
     inner = {f"{p.prefix}d{k}": c for p in plans for k, c in p.inner.items()}
     if inner:
@@ -94,9 +121,9 @@ def evaluate(builds: DataFrame, metrics: Iterable[Metric], keys: tuple[str, ...]
     return cells.select(*out)
 
 
-def build_cells(builds: DataFrame, metrics: Iterable[Metric], frozen: dict | None = None, scales: dict | None = None) -> DataFrame:
+def build_cells(builds: DataFrame, metrics: Iterable[Metric], scales: dict | None = None) -> DataFrame:
     """A row for each (grp, win): n_builds, compositions, lead-time sources and metrics."""
-    return evaluate(builds, metrics, KEYS, [*compositions(), *lead_time_sources()], frozen, scales)
+    return evaluate(builds, metrics, KEYS, [*compositions(), *lead_time_sources()], scales)
 
 
 def scaled(cells: DataFrame, objectives: Iterable[Metric]) -> DataFrame:

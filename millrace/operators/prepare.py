@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import IMPACT_CLASSES, QUESTION_CLASSES, RESOLUTION_DAYS, WINDOW_SPEC, WINDOWS_RETAINED
+from ..functions import selection
+from ..session import cut
 
 RAW_COLUMNS = ("build_id", "group", "first_commit_ts", "ts", "deployed_at", "served_at", "usage", "loc_added", "loc_removed", "bugs", "cost_usd", "question", "carried_into")
 _ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
@@ -137,18 +139,29 @@ def retained(windows: list[str], keep: int | None) -> tuple[list[str], list[str]
     return kept, [w for w in every if w not in kept]
 
 
+def windows_of(builds: DataFrame, keep: int | None = WINDOWS_RETAINED) -> tuple[list[str], list[str]]:
+    """(kept, dropped) labels of the builds' windows; as many rows are collected as there are windows."""
+    return retained([r["win"] for r in builds.select("win").distinct().collect()], keep)
+
+
 def derive_gate(builds: DataFrame, as_of: datetime | None = None, u: float | None = None, keep: int | None = WINDOWS_RETAINED, baseline: str | None = None, resolution_days: int = RESOLUTION_DAYS) -> Gate:
     """Windows to keep, and the usage threshold: the median usage of served builds in them, unless given."""
-    kept, dropped = retained([r["win"] for r in builds.select("win").distinct().collect()], keep)  # as many as there are windows
+    kept, dropped = windows_of(builds, keep)
     if not kept:
         raise ValueError("nothing to analyse: the warnings say why each build was left out")
     as_of = as_of or datetime.now(timezone.utc)
     if u is not None:
         return Gate(float(u), "supplied with --u", as_of, resolution_days, baseline, kept, dropped)
     pool = builds.filter(within([w for w in kept if baseline in (None, w)] or ["9999-01"]) & F.col("served") & F.col("usage").isNotNull())
-    r = pool.agg(F.percentile("usage", 0.5).alias("u"), F.count("*").alias("n")).first()
-    source = f"median usage over {r['n']} served builds in {baseline or 'all retained windows'}" if r["n"] else "UNAVAILABLE: usage is missing from all served builds"
-    return Gate(r["u"], source, as_of, resolution_days, baseline, kept, dropped)
+    pool = cut(pool.select("usage"))
+    n, middle = pool.count(), {"u": (F.col("usage"), 0.5)}
+    if n > selection.DIRECT:
+        middle_usage = selection.percentiles(pool, [], middle).first()["u"]
+    else:
+        lists, columns = selection.inline(middle)
+        middle_usage = pool.agg(*[c.alias(k) for k, c in lists.items()]).select(columns["u"].alias("u")).first()["u"]
+    source = f"median usage over {n} served builds in {baseline or 'all retained windows'}" if n else "UNAVAILABLE: usage is missing from all served builds"
+    return Gate(middle_usage, source, as_of, resolution_days, baseline, kept, dropped)
 
 
 def impact_class(u: Column, resolution_days: int | Column = RESOLUTION_DAYS) -> Column:

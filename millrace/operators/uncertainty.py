@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import ATTAINMENT_GRID, SEED, UTILITY_SAMPLES
+from ..functions.formula import Plan
 from ..functions.metrics import Metric
-from ..functions.rng import draw, gaussian, uniform
-from .cells import KEYS, evaluate
+from ..functions.rng import gaussian, uniform
+from ..session import cut
+from . import resample
+from .cells import KEYS, evaluate, metric_values
 from .dominance import beats, both, complete, front
 
 
@@ -20,29 +23,19 @@ def to_reference(value: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi == lo, 0.5 + (value - lo) / F.greatest(F.lit(1.0), F.abs(lo))).otherwise((value - lo) / F.nullif(hi - lo, F.lit(0.0)))
 
 
-def numbered(builds: DataFrame) -> DataFrame:
-    """Builds with their cell's number, their index in it and its size; cells in order of group, then window."""
-    cells = builds.groupBy(*KEYS).agg(F.count("*").alias("_size")).withColumn("_cell", F.row_number().over(Window.orderBy(*KEYS)))
-    inside = Window.partitionBy(*KEYS).orderBy("build_id")
-    return builds.withColumn("_index", F.row_number().over(inside) - 1).join(F.broadcast(cells), list(KEYS))  # a row a cell
-
-
 def bootstrap(builds: DataFrame, objectives: Iterable[Metric], replicates: int, seed: int = SEED) -> DataFrame:
-    """rep, grp, win and each objective, scaled: builds drawn with replacement inside each cell.
+    """rep, grp, win and each objective, scaled: builds drawn with replacement inside each cell, as many as it has.
 
-    Parameters of formula normalisers and of the chart scale stay at their observed values.
+    Parameters of formula normalisers and of the chart scale stay at their observed values.  Draws are counts that weigh
+    builds (see `resample`); no build is written out once for each replicate.
     """
     objectives = list(objectives)
     frozen: dict = {}
-    observed = evaluate(builds, objectives, KEYS, scales=frozen)
+    observed = cut(evaluate(builds, objectives, KEYS, scales=frozen))
     signed = {m.name: F.col(m.name) * m.sign for m in objectives}
     bounds = observed.agg(*[f(c).alias(f"{k}_{n}") for n, c in signed.items() for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    own = numbered(builds)
-    picks = own.select(*KEYS, "_cell", "_size", "_index", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    picks = picks.withColumn("_pick", draw(F.col("rep"), F.col("_cell"), F.col("_index"), seed) % F.col("_size"))
-    counted = picks.groupBy("rep", "_cell", "_pick").agg(F.count("*").alias("_times"))  # few rows for a build drawn often
-    drawn = counted.join(own.withColumnRenamed("_index", "_pick"), ["_cell", "_pick"]).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    values = evaluate(drawn, objectives, ("rep", *KEYS), frozen=frozen)
+    plans = [Plan(m.formula, f"_m{i}_") for i, m in enumerate(objectives)]
+    values = metric_values(resample.replicate_terms(builds, plans, KEYS, replicates, seed), objectives, plans, frozen=frozen)
     return values.select("rep", *KEYS, *[to_reference(c, F.lit(bounds[f"lo_{n}"]).cast("double"), F.lit(bounds[f"hi_{n}"]).cast("double")).alias(n) for n, c in signed.items()])
 
 

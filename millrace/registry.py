@@ -33,6 +33,8 @@ def r6(c, name: str):
 
 def prepared(spark: SparkSession, sf_dir: str, window_spec: str = "month") -> tuple[DataFrame, prepare.Gate]:
     builds = views.builds(spark, sf_dir, window_spec)
+    kept, _ = prepare.windows_of(builds)
+    builds = cut(builds.filter(prepare.within(kept)))  # read for the gate, for sizes and for cells: the joins run once
     gate = prepare.derive_gate(builds, as_of=views.AS_OF)
     return prepare.classify(builds, gate), gate
 

@@ -31,12 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import bounded_batches, bounded_bytes, cut
+from .session import bounded_batches, bounded_bytes, cut, small
 from .textbatch import trimmed
 
 MIN_DOCS, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of a text that are split at a time; counts that a task holds before it hands them on.
 PIECE, HELD = 1 << 20, 200_000
+#: Groups whose table is broadcast; more of them are joined by shuffle.
+FEW = 50_000
 #: Letters are folded, other ASCII becomes a blank; bytes of longer code points belong to terms.
 _TERMS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -130,7 +132,7 @@ def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pair_values(groups: DataFrame, postings: DataFrame) -> DataFrame:
     """lang, source, item, value for each two different sources of a language, both ways round."""
     one = groups.select("lang", F.col("source").alias("s"), "v", F.col("p0").alias("s0"))
-    two = groups.select("lang", F.col("source").alias("t"), F.col("p0").alias("t0"))
+    two = small(groups.select("lang", F.col("source").alias("t"), F.col("p0").alias("t0")), FEW)  # so that a frequent language stays spread
     zeros = F.abs(F.col("s0") - F.col("t0"))
     baseline = one.join(two, "lang").filter("s <> t").select("lang", "s", "t", F.coalesce(F.col("v") * zeros, F.lit(0)).alias("value"))
     # each count of s against the zero of t, for both orders of the pair

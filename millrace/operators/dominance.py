@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import HV_EXACT_POINTS, HV_REFERENCE, HV_SAMPLES
+from ..session import rewritten, small
+
+#: Rows of a comparison that are layered in one task, and nodes of a graph whose cycles are; more are spread.
+LAYER_BLOCK, CYCLE_NODES = 4096, 500
 
 
 def both(a: Iterable[Column]) -> Column:
@@ -76,29 +80,71 @@ def flagged(df: DataFrame, on: list[str], ident: list[str], objectives: list[str
     return out.withColumn(name, F.when(both(F.col(c).isNotNull() for c in objectives), F.coalesce("_on", F.lit(False)))).drop("_on")
 
 
-def _per_comparison(df: DataFrame, on: list[str], schema: str, run) -> DataFrame:
-    """A comparison holds cells - groups times windows - so its matrix fits a task whatever the builds behind it."""
-    return df.groupBy(*on).applyInPandas(run, schema)
+def _inside(x: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Layers of the rows of x, which are in an order where none dominates an earlier one; base: the layers behind them already."""
+    layer = base + 1
+    for i in range(len(x)):
+        over = (x[:i] <= x[i]).all(1) & (x[:i] < x[i]).any(1)
+        if over.any():
+            layer[i] = max(layer[i], layer[:i][over].max() + 1)
+    return layer
 
 
 def layers(df: DataFrame, on: list[str], ident: list[str], objectives: list[str]) -> DataFrame:
-    """on, ident, layer: 1 for the front, 2 for the front of the rest, and so on; null if incomplete."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[objectives].to_numpy(float)
-        layer = np.full(len(x), np.nan)
-        left = np.flatnonzero(~np.isnan(x).any(1))
-        depth = 0
-        while len(left):
-            depth += 1
-            y = x[left]
-            worse = ((y[None] <= y[:, None]).all(2) & (y[None] < y[:, None]).any(2)).any(1)
-            layer[left[~worse]] = depth
-            left = left[worse]
-        return rows[[*on, *ident]].assign(layer=pd.array([None if np.isnan(v) else int(v) for v in layer], dtype="Int64"))
+    """on, ident, layer: 1 for the front, 2 for the front of the rest, and so on; null if incomplete.
 
-    fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    return _per_comparison(df.select(*on, *ident, *objectives), on, ", ".join([*(f"`{c}` {fields[c]}" for c in [*on, *ident]), "layer long"]), run)
+    A row's layer is one more than the highest layer among the rows that dominate it.  In the order of (sum of the
+    objectives, objectives) none dominates an earlier one, so ranges of that order, of about LAYER_BLOCK rows, are settled one
+    after another, in all comparisons at once: a range meets the settled rows in a join that keeps a maximum for each
+    of its rows, then itself in a task.
+    """
+    keys = [*on, *ident]
+    whole = complete(df.select(*keys, *objectives), objectives)
+    total = sum((F.col(c).cast("double") for c in objectives[1:]), F.col(objectives[0]).cast("double"))
+    numbers = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(objectives)]
+    x = [f"_x{i}" for i in range(len(objectives))]
+    rows = rewritten(whole.select(*keys, total.alias("_sum"), *numbers))
+    order = ["_sum", *x, *ident]
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, *x]) + ", layer long"
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ["_sum", *x]])
+        values = np.column_stack([table[c].to_numpy() for c in x]) if table.num_rows else np.zeros((0, len(x)))
+        return table.select([*keys, *x]).append_column("layer", pa.array(_inside(values, table["_base"].to_numpy().copy()), pa.int64()))
+
+    def settled(part: DataFrame) -> DataFrame:
+        return part.groupBy(*on, "_range").applyInArrow(settle, schema)
+
+    most = rows.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    if most <= LAYER_BLOCK:
+        done = settled(rows.withColumns({"_range": F.lit(0), "_base": F.lit(0).cast("long")}))
+    else:
+        n = -(-rows.count() // LAYER_BLOCK)
+        dealt = rewritten(rows.repartitionByRange(n, *on, *order).withColumn("_range", F.spark_partition_id()))
+        turn = F.dense_rank().over(Window.partitionBy(*on).orderBy("_range")).alias("_turn")
+        turns = dealt.select(*on, "_range").distinct().select(*on, "_range", turn)  # a row a range
+        turns = rewritten(turns)
+        same = both(F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*on, "_range"])
+        dealt = dealt.alias("d").join(small(turns, LAYER_BLOCK * 16).alias("t"), same).select("d.*", "t._turn")
+        done = None
+        for k in range(1, (turns.agg(F.max("_turn")).first()[0] or 0) + 1):
+            now = dealt.filter(F.col("_turn") == k)
+            if done is None:
+                now = now.withColumn("_base", F.lit(0).cast("long"))
+            else:
+                # a row dominated by one of an upper layer is dominated by one of each layer below: the highest counts
+                held = small(now.select(*on, *ident, *x), LAYER_BLOCK * 16).alias("p")
+                pairs = done.alias("q").join(held, both([*(F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in on), beats("p", "q", x)]))
+                base = pairs.groupBy(*[F.col(f"p.{c}").alias(c) for c in [*keys, *x]]).agg(F.max("q.layer").alias("_base"))
+                same = both(F.col(f"n.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, *x])
+                now = now.alias("n").join(base.alias("b"), same, "left").select("n.*", F.coalesce("b._base", F.lit(0)).cast("long").alias("_base"))
+            now = rewritten(settled(now))
+            done = now if done is None else done.unionByName(now)
+            if k % 16 == 0:
+                done = rewritten(done)
+    lost = df.filter(either(F.col(c).isNull() for c in objectives)).select(*keys, F.lit(None).cast("long").alias("layer"))
+    return done.select(*keys, "layer").unionByName(lost)
 
 
 def epsilon_front(df: DataFrame, on: list[str], objectives: list[str], epsilon: dict[str, float | Column]) -> DataFrame:
@@ -132,15 +178,90 @@ def k_edges(df: DataFrame, on: list[str], ident: str, objectives: list[str], k:
 
 
 def cycles(edges: DataFrame, on: list[str]) -> DataFrame:
-    """on, cycle (smallest member), member: strongly connected components of more than one node."""
+    """on, cycle (smallest member), member: strongly connected components of more than one node.
+
+    Forward and backward reach: what lies on no cycle is trimmed; each node takes the least node that reaches it, along
+    links; those of a colour that reach the node it is named after are its component.  Components are taken out and the rest
+    is coloured anew.  All of it is joins over links and nodes, keyed by comparison, so that no task holds a graph;
+    graphs of at most CYCLE_NODES nodes are closed as matrices, one a task.
+    """
+    links = rewritten(edges.filter("src <> dst").select(*on, "src", "dst").distinct())
+    nodes = links.select(*on, F.col("src").alias("v")).union(links.select(*on, F.col("dst").alias("v"))).distinct()
+    if (nodes.groupBy(*on).count().agg(F.max("count")).first()[0] or 0) <= CYCLE_NODES:
+        return _closed(links, on)
+    kind = links.schema["src"].dataType.simpleString()
+    found = None
+    while True:
+        links = _trimmed(links, on)
+        if not links.limit(1).count():
+            break
+        colour = _coloured(links, on)
+        ends = [F.col(f"a.{c}").eqNullSafe(F.col(f"l.{c}")) for c in on]
+        of = links.alias("l").join(colour.alias("a"), both([*ends, F.col("a.v") == F.col("l.src")])).select("l.*", F.col("a.colour").alias("_src"))
+        of = of.alias("l").join(colour.alias("a"), both([*ends, F.col("a.v") == F.col("l.dst")])).select("l.*", F.col("a.colour").alias("_dst"))
+        inner = rewritten(of.filter("_src = _dst").select(*on, "src", "dst", F.col("_src").alias("colour")))
+        reached = rewritten(colour.filter("v = colour"))
+        edge = reached
+        while edge.limit(1).count():
+            back = inner.alias("l").join(edge.alias("a"), both([*ends, F.col("a.v") == F.col("l.dst")])).select(*[F.col(f"l.{c}").alias(c) for c in on], F.col("l.src").alias("v"), "l.colour").distinct()
+            edge = rewritten(back.alias("n").join(reached.alias("r"), both([*(F.col(f"n.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on), F.col("n.v") == F.col("r.v")]), "left_anti"))
+            reached = rewritten(reached.unionByName(edge))
+        several = reached.groupBy(*on, "colour").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+        same = both([*(F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in on), F.col("r.colour") == F.col("s.colour")])
+        part = rewritten(reached.alias("r").join(several.alias("s"), same, "left_semi").select(*on, F.col("colour").alias("cycle"), F.col("v").alias("member")))
+        found = part if found is None else rewritten(found.unionByName(part))
+        for end in ("src", "dst"):
+            gone = both([*(F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on), F.col(f"l.{end}") == F.col("r.v")])
+            links = links.alias("l").join(reached.alias("r"), gone, "left_anti")
+        links = rewritten(links)
+    if found is None:
+        return links.select(*on, F.lit(None).cast(kind).alias("cycle"), F.lit(None).cast(kind).alias("member")).filter("false")
+    return found
+
+
+def _trimmed(links: DataFrame, on: list[str]) -> DataFrame:
+    """Links between nodes that are entered and left: the rest is on no cycle."""
+    n = links.count()
+    while n:
+        def ends(end: str) -> DataFrame:
+            return links.select(*[F.col(c).alias(f"_{c}") for c in on], F.col(end).alias("_v")).distinct()
+
+        def meets(end: str) -> Column:
+            return both([*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on), F.col(end) == F.col("_v")])
+
+        less = rewritten(links.join(ends("dst"), meets("src"), "left_semi").join(ends("src"), meets("dst"), "left_semi"))
+        m = less.count()
+        if m == n:
+            break
+        links, n = less, m
+    return links
+
+
+def _coloured(links: DataFrame, on: list[str]) -> DataFrame:
+    """on, v, colour: the least node from which v is reached, itself included."""
+    nodes = links.select(*on, F.col("src").alias("v")).distinct()  # trimmed: every node is left
+    colour = rewritten(nodes.withColumn("colour", F.col("v")))
+    moved = colour
+    while moved.limit(1).count():
+        step = links.alias("l").join(moved.alias("m"), both([*(F.col(f"l.{c}").eqNullSafe(F.col(f"m.{c}")) for c in on), F.col("l.src") == F.col("m.v")]))
+        least = step.groupBy(*[F.col(f"l.{c}").alias(c) for c in on], F.col("l.dst").alias("v")).agg(F.min("m.colour").alias("_new"))
+        same = both([*(F.col(f"c.{c}").eqNullSafe(F.col(f"n.{c}")) for c in on), F.col("c.v") == F.col("n.v")])
+        both_ = rewritten(colour.alias("c").join(least.alias("n"), same, "left").select("c.*", (F.coalesce("n._new", "c.colour") < F.col("c.colour")).alias("_moved"), F.least("c.colour", "n._new").alias("_least")))
+        colour = both_.select(*on, "v", F.col("_least").alias("colour"))
+        moved = both_.filter("_moved").select(*on, "v", F.col("_least").alias("colour"))
+    return colour
+
+
+def _closed(links: DataFrame, on: list[str]) -> DataFrame:
+    """`cycles` of graphs of bounded size, by squaring their matrices."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(rows["src"]) | set(rows["dst"]))
         at = {x: i for i, x in enumerate(names)}
         reach = np.zeros((len(names), len(names)), bool)
         reach[[at[x] for x in rows["src"]], [at[x] for x in rows["dst"]]] = True
-        while True:  # squaring: paths twice as long each time
-            more = reach | (reach.astype(np.int32) @ reach.astype(np.int32) > 0)
+        while True:  # paths twice as long each time
+            more = reach | (reach.astype(np.float32) @ reach.astype(np.float32) > 0)
             if (more == reach).all():
                 break
             reach = more
@@ -151,8 +272,8 @@ def cycles(edges: DataFrame, on: list[str]) -> DataFrame:
             got[c] = rows[c].iloc[0]
         return got[[*on, "cycle", "member"]]
 
-    fields = {f.name: f.dataType.simpleString() for f in edges.schema}
-    return _per_comparison(edges, on, ", ".join([*(f"`{c}` {fields[c]}" for c in on), "cycle string", "member string"]), run)
+    fields = {f.name: f.dataType.simpleString() for f in links.schema}
+    return links.groupBy(*on).applyInPandas(run, ", ".join([*(f"`{c}` {fields[c]}" for c in on), f"cycle {fields['src']}, member {fields['src']}"]))
 
 
 def skyline_frequency(df: DataFrame, on: list[str], ident: list[str], objectives: list[str]) -> DataFrame:
@@ -255,7 +376,8 @@ def knee_plane(df: DataFrame, on: list[str], ident: str, objectives: list[str])
         return out if len(rows) >= 3 else out.iloc[:0]
 
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    return _per_comparison(front(df, on, objectives).select(*on, ident, *objectives), on, ", ".join([*(f"`{c}` {fields[c]}" for c in [*on, ident]), "score double", "method string"]), run)
+    best = front(df, on, objectives).select(*on, ident, *objectives)
+    return best.groupBy(*on).applyInPandas(run, ", ".join([*(f"`{c}` {fields[c]}" for c in [*on, ident]), "score double", "method string"]))
 
 
 def delta_subsets(df: DataFrame, on: list[str], objectives: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, rewritten
 from .tail import order_statistic
 
 
@@ -13,35 +13,40 @@ def session_roots(sessions: DataFrame) -> DataFrame:
     """sid, root: the end of each parent chain; an unknown parent makes a root, each node of a loop is its own root
     and a chain that leads into a loop takes the node where it enters.
 
-    Pointer doubling: after k rounds a pointer spans 2^k links, so the rounds grow with the log of the depth.  A
-    node that never comes to rest leads into a loop; a node is on a loop if it is among its own ancestors.
+    Pointer doubling: after k rounds a pointer spans 2^k links, so the rounds grow with the log of the depth.  Where
+    pointers of nodes that never come to rest stand is a set that only shrinks; once a round leaves it as large as it
+    was, links permute it, so it is the loops, whole, however long they are.
     """
     known = sessions.select(F.col("sid").alias("parent"))
     up = sessions.select("sid", "parent").dropDuplicates(["sid"]).join(known.distinct().withColumn("_k", F.lit(True)), "parent", "left")
     links = cut(up.select("sid", F.when(F.col("_k"), F.col("parent")).alias("up")))
-    state = links.select("sid", F.coalesce("up", "sid").alias("at"), F.col("up").isNull().alias("done"))
-    n = max(1, links.count())
-    for _ in range(n.bit_length() + 1):
-        far = state.select(F.col("sid").alias("at"), F.col("at").alias("_at"), F.col("done").alias("_done"))
-        state = cut(state.join(far, "at").select("sid", F.col("_at").alias("at"), (F.col("done") | F.col("_done")).alias("done")))
-        if not state.filter("NOT done").limit(1).count():
-            return state.select("sid", F.col("at").alias("root"))
-    # the rest leads into loops; after so many links a pointer stands on its loop, whose nodes these are
-    ring = state.filter("NOT done").select(F.col("at").alias("sid")).distinct()
-    grown = cut(ring)
-    while True:
-        more = cut(grown.join(links, "sid").select(F.col("up").alias("sid")).union(grown).distinct())
-        if more.count() == grown.count():
-            break
-        grown = more
-    on_ring = grown.withColumn("_ring", F.lit(True))
-    stop = links.join(on_ring, "sid", "left").select("sid", F.when(F.col("_ring") | F.col("up").isNull(), F.col("sid")).otherwise(F.col("up")).alias("at"))
-    state = cut(stop)
-    for _ in range(n.bit_length() + 1):
-        state = cut(state.join(state.select(F.col("sid").alias("at"), F.col("at").alias("_at")), "at").select("sid", F.col("_at").alias("at")))
+    state, loops = _doubled(links.select("sid", F.coalesce("up", "sid").alias("at"), F.col("up").isNull().alias("done")))
+    if loops is None:
+        return state.select("sid", F.col("at").alias("root"))
+    # every node of a loop is an end of its own; what leads into one comes to rest there
+    ends = links.join(loops.withColumn("_loop", F.lit(True)), "sid", "left")
+    rests = F.coalesce("_loop", F.lit(False)) | F.col("up").isNull()
+    state, _ = _doubled(ends.select("sid", F.when(rests, F.col("sid")).otherwise(F.col("up")).alias("at"), rests.alias("done")))
     return state.select("sid", F.col("at").alias("root"))
 
 
+def _doubled(state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(sid, at, done) with pointers followed to their ends, and the nodes of loops (sid) if any pointer has no end.
+
+    A node that is done points at itself.
+    """
+    state, before = rewritten(state), -1
+    while True:
+        moving = state.filter("NOT done").agg(F.count_distinct("at").alias("n")).first()["n"]
+        if not moving:
+            return state, None
+        if moving == before:
+            return state, cut(state.filter("NOT done").select(F.col("at").alias("sid")).distinct())
+        before = moving
+        far = state.select(F.col("sid").alias("at"), F.col("at").alias("_at"), F.col("done").alias("_done"))
+        state = rewritten(state.join(far, "at").select("sid", F.col("_at").alias("at"), (F.col("done") | F.col("_done")).alias("done")))
+
+
 def fanout(sessions: DataFrame, roots: DataFrame) -> DataFrame:
     """One row: how much effort lies in sessions that no commit shows; upper percentiles over runs."""
     rows = sessions.join(roots, "sid")

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import DAYS_PER_MONTH, QUIET_DAYS
+from ..session import cut, small
+from .asof import next_event
 from .dominance import front
 
+#: Hints that are broadcast; more are joined by shuffle.
+FEW_HINTS = 100_000
+
 # Fixed patterns and words of the clustering rules.
 TICKET = r"\b([A-Z][A-Z0-9]{1,9}-\d+)\b"
 FLAG = r"(?i)\bflag[:/ ]+([a-z0-9][a-z0-9._-]{2,})"
@@ -102,26 +107,33 @@ def anchored(commits: DataFrame) -> DataFrame:
     return commits.withColumn("key", anchor(F.col("subject"))).filter("key IS NOT NULL")
 
 
+def hinted(clustered: DataFrame, hints: DataFrame, on: list[str]) -> DataFrame:
+    """on, hint: the hints (one column, `hint`, lower case) that lie within a cluster's key or within one of its subjects.
+
+    Containment is an equi-join of whole hints with the pieces of a text that are as long as any hint.
+    """
+    parts = clustered.select(*on, F.lower("subject").alias("_part")).union(clustered.select(*on, F.lower("key").alias("_part"))).distinct()
+    sizes = hints.select(F.length("hint").alias("_size")).distinct()
+    pieces = parts.join(F.broadcast(sizes), F.length("_part") >= F.col("_size"))  # as many sizes as a hint has characters
+    places = F.sequence(F.lit(1), F.length("_part") - F.col("_size") + 1)
+    pieces = pieces.select(*on, F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("_part", i, F.col("_size"))))).alias("hint"))
+    return pieces.join(small(hints.distinct(), FEW_HINTS), "hint").select(*on, "hint").distinct()
+
+
 def ship_moments(clustered: DataFrame, events: DataFrame, on: list[str]) -> DataFrame:
     """on, first_at, t0: the first event at or after the first commit whose hint is blank or part of the key or of a
     subject; infra-only commits are left out beforehand.
 
-    Containment is an equi-join of whole hints with the pieces of a text that are as long as any hint; only blank hints
-    meet every cluster.
+    A cluster looks up the next event of each of its hints (`asof.next_event`); blank hints are one more key that all
+    clusters have, if there is such an event.
     """
-    first = clustered.groupBy(*on).agg(F.min("at").alias("first_at"))
-    parts = clustered.select(*on, F.lower("subject").alias("_part")).union(clustered.select(*on, F.lower("key").alias("_part"))).distinct()
-    e = events.select(F.col("at").alias("_when"), F.lower(F.trim(F.coalesce("hint", F.lit("")))).alias("_hint"))
-    hints = e.filter("_hint <> ''").distinct()
-    sizes = hints.select(F.length("_hint").alias("_size")).distinct()
-    places = F.sequence(F.lit(1), F.length("_part") - F.col("_size") + 1)
-    pieces = parts.join(F.broadcast(sizes), F.length("_part") >= F.col("_size"))
-    pieces = pieces.select(*on, F.explode(F.transform(places, lambda i: F.substring("_part", i, F.col("_size")))).alias("_hint")).distinct()
-    hits = pieces.join(hints, "_hint").select(*on, "_when").distinct()
-    named = hits.join(first, on).filter(F.col("_when") >= F.col("first_at")).select(*on, "_when")
-    blank = e.filter("_hint = ''").select("_when").distinct()
-    named = named.unionByName(first.join(blank, F.col("_when") >= F.col("first_at")).select(*on, "_when"))
-    return first.join(named.groupBy(*on).agg(F.min("_when").alias("t0")), on, "left")
+    first = cut(clustered.groupBy(*on).agg(F.min("at").alias("first_at")))
+    e = cut(events.select(F.col("at").alias("_when"), F.lower(F.trim(F.coalesce("hint", F.lit("")))).alias("hint")).distinct())
+    pairs = hinted(clustered, e.filter("hint <> ''").select("hint"), on)
+    if e.filter("hint = ''").limit(1).count():
+        pairs = pairs.unionByName(first.select(*on, F.lit("").alias("hint")))
+    found = next_event(pairs.join(first, on), e, ["hint"], "first_at", "_when", "_next")
+    return first.join(found.groupBy(*on).agg(F.min("_next").alias("t0")), on, "left")
 
 
 def quiet_split(clustered: DataFrame, moments: DataFrame, on: list[str], end: Column, quiet_days: int = QUIET_DAYS) -> DataFrame:

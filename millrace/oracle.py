@@ -95,9 +95,9 @@ deploys as (select min(tm) + interval 3 days as tm, 'proj-' || tick as hint from
 TICKETS = (
     COMMITS
     + """,
-feature as (select * from keyed where key like 'ticket:%' and not infra),
-firsts as (select key, min(tm) as first_at from feature group by key),
-moments as (select key, min(deploys.tm) filter (where deploys.tm >= first_at) as t0 from firsts left join deploys on 'ticket:' || hint = key group by key),
+feature as (select * from keyed where key is not null and not infra),
+firsts as (select key, min(tm) as first_at, string_agg(distinct lower(subject), ' ' order by lower(subject)) as subj from feature group by key),
+moments as (select key, first_at, (select min(d.tm) from deploys d where d.tm >= first_at and contains(lower(key) || ' ' || subj, hint)) as t0 from firsts),
 post as (select feature.*, t0, tm >= t0 and t0 is not null as after from feature join moments using (key)),
 seq as (select *, lead(tm) over (partition by key, after order by tm, sha) as nxt, row_number() over (partition by key, after order by tm, sha) as i from post),
 split as (select key, any_value(t0) as t0, count(*) as commits, cast(coalesce(sum(churn) filter (where t0 is not null and not after), 0) as bigint) as pre_churn, cast(coalesce(sum(churn) filter (where after), 0) as bigint) as post_churn,
@@ -229,7 +229,7 @@ cl as (select case when k > 1 or lacks is not null then 'rejected' when st.build
     add("run_diff", CELLS + ", " + diff, "select coalesce(x.grp, y.grp) as grp, coalesce(x.win, y.win) as win, case when x.grp is null then 'added' when y.grp is null then 'removed' when coalesce(y.cost - x.cost, 0) = 0 and coalesce(y.lead_time - x.lead_time, 0) = 0 and coalesce(y.debt_defect - x.debt_defect, 0) = 0 then 'same' else 'changed' end as status, round(y.cost - x.cost, 6) as delta_cost, round(y.lead_time - x.lead_time, 6) as delta_lead_time, round(y.debt_defect - x.debt_defect, 6) as delta_debt_defect from x full join y on x.grp = y.grp and x.win = y.win")
     add("aggregate_cells", CELLS + ", kw as (select distinct win from cells order by win desc limit 4)", "select grp, win, n_builds, round(cost, 6) as cost, round(lead_time, 6) as lead_time, round(debt_defect, 6) as debt_defect from cells where win in (select win from kw)")
     add("anchor_clusters", COMMITS, "select key, count(*) as commits, cast(sum(churn) as bigint) as churn, count(*) filter (where infra) as infra from keyed where key is not null group by key")
-    add("t0_resolve", COMMITS + ", fe as (select key, min(tm) as first_at, string_agg(distinct lower(subject), ' ' order by lower(subject)) as subj from keyed where key like 'ticket:%' and not infra group by key)", "select key, epoch_us(first_at) as first_us, epoch_us((select min(d.tm) from deploys d where d.tm >= first_at and contains(lower(key) || ' ' || subj, hint))) as t0_us from fe")
+    add("t0_resolve", TICKETS, "select key, epoch_us(first_at) as first_us, epoch_us(t0) as t0_us from moments")
     add("quiet_split", TICKETS, "select key, commits, pre_churn, post_churn, cast(dts as bigint) as deploys_to_stability, censored, resolved, round(rework_ratio, 6) as rework_ratio, round(tail_mass, 6) as tail_mass from tickets")
     add("km_survival", TICKETS, "select cast(t as bigint) as t, round(survival, 6) as survival from curve")
     upper = lambda c: f"round(list_sort(list({c}) filter (where resolved and {c} is not null))[(count(*) filter (where resolved and {c} is not null)) // 2 + 1], 3)"
@@ -240,6 +240,10 @@ cst as (select *, label in ('BUILDING', 'MACHINERY') as costed from rn), sh as (
 fp as (select label, threshold, -(case when costed then delivered / (delivered * 25.0 / 10000) else delivered / (churn / 1000) end) as a, -(case when costed then delivered / 24.0 else delivered / (greatest(floor(date_diff('microsecond', f, l) / 86400000000), 1) / 30.44) end) as b, -(1 - never) as c from cst join sh using (threshold) where delivered > 0 and never is not null and (costed or churn > 0))"""
     add("flow_frontier", ff, f"select label, count(*) filter (where not exists (select 1 from fp q where q.threshold = p.threshold and {beats('q', 'p')})) as wins, (select count(*) from sh) as thresholds from fp p group by label")
     add("session_roots", SESSIONS, "select sid, root from roots")
+    loops = """ses as (select event_id as id, event_id - event_id % 12 + case event_id % 12 when 0 then 3 when 1 then 0 when 2 then 1 when 3 then 2 when 4 then 0 when 5 then 4 when 6 then 5 when 7 then 7 when 8 then 7 when 10 then 9 when 11 then 18 end as up from events),
+known as (select id, case when up in (select id from ses) then up end as up from ses),
+walk as (select id, id as node, 0 as steps, cast([] as bigint[]) as seen from known union all select walk.id, known.up, steps + 1, list_append(seen, node) from walk join known on known.id = node where known.up is not null and not list_contains(seen, node))"""
+    add("session_loops", loops, "select 's-' || id as sid, 's-' || arg_max(node, steps) as root from walk group by id")
     fan = SESSIONS + """, rr as (select root, count(*) n, sum(effort) effort, count(commits) rated, coalesce(sum(effort) filter (where commits = 0), 0) blind, count(*) filter (where commits <> 0) landed, coalesce(sum(effort) filter (where commits is not null), 0) known from ses join roots using (sid) group by root),
 tt as (select *, rated > 0 and effort <> 0 as seen from rr), sl as (select list_sort(list(blind / effort) filter (where seen)) as l from tt)"""
     pick = lambda q: f"(select round(l[least(cast(floor({q} * len(l)) as int), len(l) - 1) + 1], 3) from sl)"

@@ -327,16 +327,14 @@ def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tickets only, without infra commits: clusters whose hints the events carry."""
-    return _anchored(spark, sf_dir).filter(F.col("key").startswith("ticket:") & ~tail.infra_only(F.col("files")))
+    """Commits with an anchor of any kind, without infra commits."""
+    return _anchored(spark, sf_dir).filter(~tail.infra_only(F.col("files")))
 
 
-def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """quiet_split's rows of every ticket; moments by exact hint, so that both engines can join on it."""
+def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quiet_split's rows of every anchored cluster."""
     feature = cut(_feature(spark, sf_dir))
-    first = feature.groupBy("key").agg(F.min("at").alias("first_at"))
-    events = views.deploy_events(spark, sf_dir).select(F.concat(F.lit("ticket:"), "hint").alias("key"), F.col("at").alias("_when"))
-    t0 = first.join(events, "key", "left").groupBy("key", "first_at").agg(F.min(F.when(F.col("_when") >= F.col("first_at"), F.col("_when"))).alias("t0"))
+    t0 = tail.ship_moments(feature, views.deploy_events(spark, sf_dir), ["key"])
     end = views.table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("e")).first()["e"]
     return tail.quiet_split(feature, t0.select("key", "t0"), ["key"], F.lit(end).cast("timestamp"), QUIET)
 
@@ -346,23 +344,23 @@ def anchor_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t0_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ship moments of all tickets by all hints."""
+    """Ship moments of all anchored clusters by all hints."""
     got = tail.ship_moments(_feature(spark, sf_dir), views.deploy_events(spark, sf_dir), ["key"])
     return got.select("key", F.unix_micros("first_at").alias("first_us"), F.unix_micros("t0").alias("t0_us"))
 
 
 def quiet_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = tail.measured(_tickets(spark, sf_dir))
+    got = tail.measured(_shipped(spark, sf_dir))
     return got.select("key", "commits", "pre_churn", "post_churn", F.col("deploys_to_stability").cast("long").alias("deploys_to_stability"), "censored", "resolved", r6("rework_ratio", "rework_ratio"), r6("tail_mass", "tail_mass"))
 
 
 def km_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = tail.survival(_tickets(spark, sf_dir).withColumn("all", F.lit(1)), ["all"])
+    got = tail.survival(_shipped(spark, sf_dir).withColumn("all", F.lit(1)), ["all"])
     return got.select("t", r6("survival", "survival"))
 
 
 def tail_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = cut(_tickets(spark, sf_dir).withColumn("threshold", F.lit(1)))
+    t = cut(_shipped(spark, sf_dir).withColumn("threshold", F.lit(1)))
     got = tail.summary(t, tail.survival(t, ["threshold"]), ["threshold"])
     return got.drop("threshold")
 
@@ -388,6 +386,13 @@ def session_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_roots(views.sessions(spark, sf_dir))
 
 
+def session_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions whose parent links run in loops: of four, of one, with tails that lead into them, and into the next ones' tails."""
+    ups = F.expr("case event_id % 12 when 0 then 3 when 1 then 0 when 2 then 1 when 3 then 2 when 4 then 0 when 5 then 4 when 6 then 5 when 7 then 7 when 8 then 7 when 10 then 9 when 11 then 18 end")
+    links = views.table(spark, sf_dir, "events").select(F.concat(F.lit("s-"), "event_id").alias("sid"), F.concat(F.lit("s-"), F.col("event_id") - F.col("event_id") % 12 + ups).alias("parent"))
+    return sessions.session_roots(links)
+
+
 def session_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.sessions(spark, sf_dir)
     return sessions.fanout(s, sessions.session_roots(s))
@@ -447,7 +452,7 @@ def queries() -> dict[str, Query]:
         builds_prepared, lead_time_source, impact_gate, derive_u, objective_minmax, objective_rank, kendall_tau, pareto_layers, epsilon_front, k_dominance, k_cycles, skyline_frequency, delta_moss_subsets,
         hypervolume_exact, hypervolume_mc, distance_to_ideal, weighted_sum, staircase_2d, mix_levels, knee_2d, knee_hyperplane, expected_maxima, permutation_null, bootstrap_p_on_front, prob_dominance, bootstrap_epsilon, attainment_bands,
         marginal_utility, parametric_replicates, clr, aitchison_movement, direction_of_travel, persistence, threshold_sensitivity, lead_time_divergence, explain_dominators, ingest_classify, registry_latest, run_diff,
-        aggregate_cells, anchor_clusters, t0_resolve, quiet_split, km_survival, tail_summary, greedy_clusters, flow_frontier, session_roots, session_fanout, agent_spend, never_landed, workflow_label, analysis_json, findings_block,
+        aggregate_cells, anchor_clusters, t0_resolve, quiet_split, km_survival, tail_summary, greedy_clusters, flow_frontier, session_roots, session_loops, session_fanout, agent_spend, never_landed, workflow_label, analysis_json, findings_block,
     )
     return out | {f.__name__: f for f in named}
 

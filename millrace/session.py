@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """The same rows, written to the checkpoint folder and read again.
+
+    Unlike `cut`, the plan forgets its estimated sizes: those of a join are a product, so in a loop of checkpoints
+    their digits would double by the round.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows, else `df` for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -273,3 +273,53 @@ def test_cautions(spark):
     assert "PROVISIONAL_FRONT" in {c["code"] for c in few["diagnostics"]["cautions"]}
     one = compute(typed.filter("grp in ('g3', 'g4')").unionByName(typed.filter("grp = 'g5'").limit(1)), list(DEFAULTS), Params(**(quick | {"bootstrap": 3})))
     assert "UNCERTAINTY_UNAVAILABLE" in {c["code"] for c in one["diagnostics"]["cautions"]}
+
+
+@pytest.mark.parametrize("block", [4096, 17])
+def test_layers_in_blocks(spark, monkeypatch, block):
+    """Settled range by range or in one task: the same layers as peeling, with ties, nulls and a null key."""
+    monkeypatch.setattr(D, "LAYER_BLOCK", block)
+    rng = random.Random(12)
+    rows = []
+    for k, n in (("big", 150), ("small", 9), (None, 40), ("chain", 45)):
+        for i in range(n):
+            x = [float(i), i + 0.5, -1.0] if k == "chain" else [rng.choice([None, 0.0, 0.1, 0.2, 0.7, 1.0, rng.random()]) if rng.random() < 0.9 else None for _ in range(3)]
+            rows.append((k, f"r{k}{i}", *x))
+    names = ["a", "b", "c"]
+    got = {r["id"]: r["layer"] for r in D.layers(spark.createDataFrame(rows, "k string, id string, a double, b double, c double").repartition(4), ["k"], ["id"], names).collect()}
+    assert len(got) == len(rows)
+    for k in ("big", "small", None, "chain"):
+        left = {r[1]: r[2:] for r in rows if r[0] == k}
+        for i in [i for i, x in left.items() if None in x]:
+            assert got[i] is None
+            del left[i]
+        depth = 0
+        while left:
+            depth += 1
+            top = [i for i, x in left.items() if not any(all(p <= q for p, q in zip(y, x)) and y != x for y in left.values())]
+            for i in top:
+                assert got[i] == depth
+                del left[i]
+
+
+@pytest.mark.parametrize("nodes", [500, 2])
+def test_cycles_by_reach(spark, monkeypatch, nodes):
+    """Components by joins and by matrices against mutual reach."""
+    monkeypatch.setattr(D, "CYCLE_NODES", nodes)
+    rng = random.Random(13)
+    edges = [("ring", f"n{i}", f"n{(i + 1) % 7}") for i in range(7)] + [("ring", "x", "n0"), ("ring", "n3", "y"), ("ring", "y", "z")] + [("none", "a", "b"), ("none", "b", "c"), ("none", "a", "a")]
+    edges += [("two", "a", "b"), ("two", "b", "a"), ("two", "b", "c"), ("two", "c", "d"), ("two", "d", "c"), ("two", "d", "d")]
+    edges += [("wild", f"w{rng.randrange(25)}", f"w{rng.randrange(25)}") for _ in range(34)]
+    want = set()
+    for k in ("ring", "none", "two", "wild"):
+        mine = {(a, b) for g, a, b in edges if g == k}
+        reach = {a: {b for x, b in mine if x == a} for a in {v for e in mine for v in e}}
+        for _ in reach:
+            reach = {a: r | {c for b in r for c in reach[b]} for a, r in reach.items()}
+        for a in reach:
+            mates = {b for b in reach[a] if a in reach[b]} | {a}
+            if len(mates) > 1:
+                want.add((k, min(mates), a))
+    got = {tuple(r) for r in D.cycles(spark.createDataFrame(edges, "k string, src string, dst string"), ["k"]).collect()}
+    assert got == want and any(k == "wild" for k, _, _ in got)
+    assert D.cycles(spark.createDataFrame([], "k string, src string, dst string"), ["k"]).collect() == []

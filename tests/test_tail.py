@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import asof as A
 from millrace.operators import sessions as S
 from millrace.operators import tail as T
 from millrace.sources import files
@@ -81,6 +82,57 @@ def test_session_roots(spark):
     assert got == walk(parent)
 
 
+def test_long_loops_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    plain = S.rewritten
+    monkeypatch.setattr(S, "rewritten", lambda df: rounds.append(1) or plain(df))
+    n = 100_000
+    ring = spark.range(n).select(F.concat(F.lit("r"), "id").alias("sid"), F.concat(F.lit("r"), ((F.col("id") + 1) % n)).alias("parent"))
+    assert S.session_roots(ring).filter("sid <> root").count() == 0 and len(rounds) < 5
+    rounds.clear()
+    into = spark.range(300).select(F.concat(F.lit("t"), "id").alias("sid"), F.when(F.col("id") == 0, F.lit("r7")).otherwise(F.concat(F.lit("t"), F.col("id") - 1)).alias("parent"))
+    got = S.session_roots(ring.union(into))
+    assert got.filter(F.col("sid").startswith("r") & (F.col("sid") != F.col("root"))).count() == 0
+    assert got.filter(F.col("sid").startswith("t") & (F.col("root") != "r7")).count() == 0
+    assert got.count() == n + 300 and len(rounds) <= 2 * 9 + 4  # both walks take the log of the longest tail
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_next_event(spark, parts):
+    rng = random.Random(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        # one key with most of the rows, many equal times, keys without events, null keys and times
+        key = lambda: rng.choice(["hot"] * 6 + ["a", "b", None, f"k{rng.randrange(5)}"])
+        rows = [(i, key(), rng.choice([None, rng.randrange(50)])) for i in range(400)]
+        events = [(rng.choice(["hot", "hot", "a", None, "k1", "z"]), rng.choice([None, rng.randrange(60)])) for _ in range(60)]
+        left = spark.createDataFrame(rows, "i int, k string, at int").repartition(3)
+        got = {r["i"]: r["nx"] for r in A.next_event(left, spark.createDataFrame(events, "k string, e int"), ["k"], "at", "e", "nx").collect()}
+        assert len(got) == 400
+        for i, k, at in rows:
+            assert got[i] == (None if at is None else min((e for h, e in events if h == k and e is not None and e >= at), default=None))
+        plan = A.next_event(left, spark.createDataFrame(events, "k string, e int"), ["k"], "at", "e", "nx")._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ship_moments(spark):
+    """Hints blank, shared, within the key, within one subject but not across two."""
+    c = commits(spark, (0, "ONE-1 start", [], 1), (9, "ONE-1 more", [], 1), (3, "TWO-2 red", [], 1), (4, "TWO-2 blue", [], 1), (20, "SIX-3 x", [], 1))
+    clustered = T.anchored(c)
+    at = lambda d: DAY0 + timedelta(days=d)
+    events = [(at(1), "one-1"), (at(-1), "one-1"), (at(5), "red two"), (at(6), "BLUE"), (at(3), "six"), (at(30), None)]
+    got = {r["key"]: r["t0"] for r in T.ship_moments(clustered, spark.createDataFrame(events, "at timestamp, hint string"), ["key"]).collect()}
+    day = lambda d: (DAY0 + timedelta(days=d)).replace(tzinfo=None)
+    assert got == {"ticket:one-1": day(1), "ticket:two-2": day(6), "ticket:six-3": day(30)}
+    none = {r["key"]: r["t0"] for r in T.ship_moments(clustered, spark.createDataFrame([], "at timestamp, hint string"), ["key"]).collect()}
+    assert set(none.values()) == {None}
+
+
 def test_fanout(spark):
     rows = [("a", None, 10.0, 1), ("b", "a", 30.0, 0), ("c", None, 5.0, None), ("d", None, 5.0, 0)]
     df = spark.createDataFrame(rows, "sid string, parent string, effort double, commits long")

@@ -14,12 +14,14 @@
    of the item's answer - its closing words - stands in the same place.
 
 A document is contaminated by an item when LCS >= LCS_SHARE of the item's words, or LCS >= LCS_WITH_ANSWER and
-the answer is found; items of under SHORT_ITEM words, which chance matches sooner, need SHORT_MORE more.  Items of under LEAST_WORDS words are matched only as consecutive
+the answer is found; items of under SHORT_ITEM words, which chance matches sooner, need SHORT_MORE more, and those of under
+TINY_ITEM words TINY_MORE (three words in four).  Items of under LEAST_WORDS words are matched only as consecutive
 words, and looked up by a hash of them.
 
 Edge cases: null or empty texts match nothing; null ids are carried through; repeated rows give repeated
-results, one (doc_id, item_id) pair each; an empty benchmark or table gives an empty result; other columns are
-ignored.  Benchmarks of over MOST_ITEMS items are searched in parts, each with its own basis.
+results, one (doc_id, item_id) pair each; of places with equal shares the cosine search's, then the first, is told; an
+empty benchmark or table gives an empty result; other columns are ignored.  Benchmarks of over MOST_ITEMS items
+or MOST_CHARS characters are searched in parts, each with its own basis.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,18 +46,19 @@ MOST_BLOCKS, MOST_FEATURES, MAP_BITS = 0.05, 1 << 16, 20
 COSINE, MASS = 0.45, 0.5
 LCS_SHARE, LCS_WITH_ANSWER, ANSWER_SHARE, ANSWER_WORDS, LEAST_WORDS = 0.5, 0.45, 0.6, 8, 8
 SHORT_ITEM, SHORT_MORE = 24, 0.1
+TINY_ITEM, TINY_MORE = 12, 0.25
 #: Rare features of an item that a place must hold, where its words allow that; items looked up at once.
 DISTINCT, GROUP = 6, 4096
 #: Runs up to which sums of rows are taken together.
 RUN = 64
-#: Items that the driver and the tasks hold at a time; a larger benchmark is searched in parts.
-MOST_ITEMS = 200_000
+#: Items and their characters that the driver and the tasks hold at a time; a larger benchmark is searched in parts.
+MOST_ITEMS, MOST_CHARS = 200_000, 40_000_000
 
 
 @dataclass
 class Item:
     item_id: int | None
-    words: list[int]
+    words: np.ndarray  # uint64
 
 
 @dataclass
@@ -98,10 +100,10 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _index(rows: list) -> Index:
-    items = [Item(i, h.tolist()) for (i, _), h in zip(rows, _hashes([t for _, t in rows])) if len(h)]
+    items = [Item(i, h.copy()) for (i, _), h in zip(rows, _hashes([t for _, t in rows])) if len(h)]
     feature = np.full(1 << MAP_BITS, -1, np.int32)
     if items:
-        slots = np.unique(_slot(np.unique(np.concatenate([np.array(x.words, np.uint64) for x in items]))))
+        slots = np.unique(_slot(np.unique(np.concatenate([x.words for x in items]))))
         feature[slots] = np.arange(len(slots)) % MOST_FEATURES
         return Index(items, feature, min(len(slots), MOST_FEATURES))
     return Index(items, feature, 0)
@@ -255,7 +257,7 @@ def _passages(index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of the benchmark's passages (64 words, stride 32) one after the other, their number in each, and its item."""
     ids, size, owner = [], [], []
     for k, item in enumerate(index.items):
-        h = np.array(item.words, np.uint64)
+        h = item.words
         f = index.feature[_slot(h)]
         for a in range(0, max(1, len(h) - BLOCK), BLOCK) if len(h) > 2 * BLOCK else (0,):
             ids.append(f[a : a + 2 * BLOCK])
@@ -264,16 +266,21 @@ def _passages(index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.array(size, np.int64), np.array(owner, np.int64)
 
 
+def _more(n: int) -> float:
+    """What an item of n words needs beyond a long one's share."""
+    return TINY_MORE if n < TINY_ITEM else SHORT_MORE if n < SHORT_ITEM else 0.0
+
+
 @cache
 def _least(n: int) -> int:
     """The fewest words in common order that make an item of n words a leak."""
-    need = LCS_WITH_ANSWER + (SHORT_MORE if n < SHORT_ITEM else 0)
+    need = LCS_WITH_ANSWER + _more(n)
     return next(t for t in range(n + 1) if t / n >= need)
 
 
-def _rarest(words_: list[int], feature: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+def _rarest(words_: np.ndarray, feature: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """The item's rarest features, and how many of them every text that holds _least of its words must hold."""
-    ids, times = np.unique(feature[_slot(np.array(words_, np.uint64))], return_counts=True)
+    ids, times = np.unique(feature[_slot(words_)], return_counts=True)
     by = np.argsort(counts[ids], kind="stable")
     rest, least = len(words_) - np.cumsum(times[by]), _least(len(words_))
     for need in range(min(DISTINCT, len(ids)), 0, -1):
@@ -310,17 +317,31 @@ def _few(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, benchmark: DataFrame, seed: int = 11) -> list[Index]:
-    """An index of each MOST_ITEMS items."""
+    """An index of each part of the benchmark."""
     bounded_batches(docs.sparkSession)
-    rows = iter(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator())
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()
     out = []
-    while part := list(islice(rows, MOST_ITEMS)):
+    for part in _parts(rows):
         index = _index(part)
         if index.items:
             out.append(_fit(docs, index, seed))
     return out
 
 
+def _parts(rows: Iterator) -> Iterator[list]:
+    """Runs of rows of at most MOST_ITEMS items and, but for a longer item alone, MOST_CHARS characters."""
+    held, size = [], 0
+    for row in rows:
+        n = len(row[1] or "")
+        if held and (len(held) >= MOST_ITEMS or size + n > MOST_CHARS):
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield held
+
+
 def _fit(docs: DataFrame, index: Index, seed: int) -> Index:
     sc = docs.sparkSession.sparkContext
     text = docs.select(F.col("text").cast("string").alias("text"))
@@ -331,7 +352,7 @@ def _fit(docs: DataFrame, index: Index, seed: int) -> Index:
     index.idf = np.log((1 + blocks) / (1 + counts[:-1]))
     common = counts[:-1] > max(8, MOST_BLOCKS * blocks)
     for item in index.items:  # a passage that much of the corpus holds makes its own words common
-        ids = np.unique(index.feature[_slot(np.array(item.words, np.uint64))])
+        ids = np.unique(index.feature[_slot(item.words)])
         common[ids[np.argsort(counts[ids], kind="stable")][: max(LEAST_WORDS, len(ids) // 2)]] = False
     index.idf[common] = 0.0
     omega = _omega(index.width, seed)
@@ -396,7 +417,7 @@ def check(item: list[int], span: list[int]) -> tuple[float, bool, bool]:
     answer = item[-min(ANSWER_WORDS, n // 2) :]
     found = lcs(answer, span) >= ANSWER_SHARE * len(answer)
     need = LCS_WITH_ANSWER if found else LCS_SHARE
-    return share, found, share >= need + (SHORT_MORE if n < SHORT_ITEM else 0)
+    return share, found, share >= need + _more(n)
 
 
 _FOUND = "doc_id long, item_id long, lcs_share double, cosine double, answer_found boolean, first_word long, last_word long"
@@ -445,7 +466,7 @@ def _likely(w: Words, ids: np.ndarray, index: Index, doc: np.ndarray, item: np.n
         if n > 64:
             keep.append(mine)
             continue
-        f = index.feature[_slot(np.array(own, U))]
+        f = index.feature[_slot(own)]
         np.bitwise_or.at(bits, f, U(1) << np.arange(n, dtype=U))
         lo = w.bounds[doc[mine]] + 2 * n * cell[mine]
         span = lo[:, None] + np.arange(4 * n)
@@ -477,7 +498,7 @@ def _runs(items: list[Item]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     for n in range(1, LEAST_WORDS):
         of = np.array([k for k, x in enumerate(items) if len(x.words) == n], np.int64)
         if len(of):
-            h = chain(np.concatenate([np.array(items[k].words, np.uint64) for k in of]), n)[::n]
+            h = chain(np.concatenate([items[k].words for k in of]), n)[::n]
             by = np.argsort(h, kind="stable")
             out[n] = h[by], of[by]
     return out
@@ -547,7 +568,7 @@ def _search(sent):
                         lo, hi = int(w.bounds[doc]), int(w.bounds[doc + 1])
                         at = lo + (b - int(first[doc])) * BLOCK
                         a, e = max(lo, at - n // 2), min(hi, at + 2 * BLOCK + n // 2)
-                        share, answer, leak = check(index.items[item].words, w.hash[a:e].tolist())
+                        share, answer, leak = check(index.items[item].words.tolist(), w.hash[a:e].tolist())
                         if leak and ((doc, item) not in best or best[doc, item][0] < share):
                             best[doc, item] = (share, float(cos[i, q]), answer, a - lo, e - lo - 1)
                 every = index.feature[_slot(w.hash)]
@@ -559,8 +580,8 @@ def _search(sent):
                     if (doc, item) in best and best[doc, item][0] == 1.0:
                         continue
                     if item not in masks:
-                        masks[item] = _masks(index.items[item].words)
-                    got = _found_at(index.items[item].words, masks[item], w.hash[w.bounds[doc] : w.bounds[doc + 1]], cell)
+                        masks[item] = _masks(index.items[item].words.tolist())
+                    got = _found_at(index.items[item].words.tolist(), masks[item], w.hash[w.bounds[doc] : w.bounds[doc + 1]], cell)
                     if got and ((doc, item) not in best or best[doc, item][0] < got[0]):
                         share, answer, a, e = got
                         best[doc, item] = (share, cosine(doc, item, a, e), answer, a, e)

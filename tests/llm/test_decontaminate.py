@@ -51,3 +51,37 @@ def test_short_items(spark):
     assert len(got) == len(rows) and truth <= got
     few = {k for k, t in items.items() if len(t.split()) < C.LEAST_WORDS}
     assert {p for p in got if p[1] in few} == {p for p in truth if p[1] in few}
+
+
+def test_clean_documents_stay(spark):
+    """Unrelated items over the same vocabulary, short ones among them, flag no document."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    weights = [1 / (k + 20) for k in range(len(vocabulary))]
+    say = lambda n: " ".join(rng.choices(vocabulary, weights, k=n))
+    bench = spark.createDataFrame([(k, say(8 + k % 33)) for k in range(440)], "item_id long, text string")
+    df = spark.createDataFrame([(d, say(300)) for d in range(600)], "doc_id long, text string").repartition(4)
+    assert C.contaminated(df, bench).collect() == []
+    assert C.decontaminated(df, bench).count() == 600
+
+
+@pytest.mark.parametrize("n", [8, 9, 10, 11])
+def test_short_items_with_words_replaced(spark, n):
+    """Items of 8 to 11 words are found with a quarter of their words, rounded down, replaced."""
+    rng = random.Random(22)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    items, rows = [rng.sample(vocabulary, n) for _ in range(40)], []
+    for k, item in enumerate(items):
+        w = list(item)
+        for j in rng.sample(range(n), n // 4):
+            w[j] = "zzz"
+        rows.append((k, " ".join([*rng.choices(vocabulary, k=90), *w, *rng.choices(vocabulary, k=90)])))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in C.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {(k, k) for k in range(40)} <= got
+
+
+def test_parts_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(C, "MOST_CHARS", 10)
+    rows = [(0, "abcd"), (1, "abcdef"), (2, "x" * 30), (3, None), (4, "abc")]
+    assert [[i for i, _ in part] for part in C._parts(iter(rows))] == [[0, 1], [2], [3, 4]]

@@ -5,8 +5,9 @@ k(x, y) = |x & y| / sqrt(|x| |y|).  The regression lives in the span of LANDMARK
 (subset-of-regressors form of the Nystrom approximation); its scores k(x, L) @ alpha are matrix products over
 batches.  The kernel is bilinear in normalised presence vectors, so (X L^T) alpha is computed as X (L^T alpha).
 
-Training takes at most ROWS_PER_LANG texts of each language: those first in the order of a hash of the id.  That
-bound is a parameter; every language with a usable text is learned, every text is read and scored whole.
+Training takes at most ROWS_PER_LANG texts of each language, fewer (down to four) where there are so many languages that
+MOST_ROWS are reached: those first in the order of a hash of the id.  These bounds are parameters; every language
+with a usable text is learned, every text is read and scored whole.
 
 Edge cases: null text, or text without a letter (Unicode): `und`, score 0; no usable training row: every text
 is `und`; one learned language: it gets score 1; ties go to the language first in order; a null doc_id is never
@@ -16,6 +17,7 @@ columns are ignored, or passed through by `identified`.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches
+from .session import bounded_batches, small
 from .textbatch import FOLD, U, buffers, mix, trim
 
 DIM = 8192
-LANDMARKS, ROWS_PER_LANG = 160, 400
+LANDMARKS, ROWS_PER_LANG, MOST_ROWS = 160, 400, 65_536
 RIDGE, SHARPNESS = 1e-3, 6.0
 #: Below this score the pipeline rejects a document.
 REJECT_BELOW = 0.4
@@ -82,7 +84,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 @dataclass
 class LanguageModel:
     langs: list[str]
-    weights: np.ndarray  # DIM by languages: landmarks' transpose times alpha
+    weights: np.ndarray  # DIM by languages: landmarks' transpose times alpha; DIM by landmarks with very many languages
+    alpha: np.ndarray | None = None  # landmarks by languages, then
 
     def predict(self, array: pa.Array) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
@@ -91,7 +94,8 @@ class LanguageModel:
                 names += ["und"] * (hi - lo)
                 scores.append(np.zeros(hi - lo))
                 continue
-            got = (unit(seen) @ self.weights).astype(float) * SHARPNESS
+            got = unit(seen) @ self.weights
+            got = (got if self.alpha is None else got @ self.alpha).astype(float) * SHARPNESS
             p = np.exp(got - got.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             best = p.argmax(1)
@@ -114,9 +118,10 @@ def train(docs: DataFrame) -> LanguageModel:
         return LanguageModel([], np.zeros((DIM, 0), np.float32))
     # a share of each language's ids that gives ROWS_PER_LANG with room to spare; the first by hash are then kept
     order = F.xxhash64("doc_id")
-    shares = [(r["lang"], min(1.0, (1.3 * ROWS_PER_LANG + 30) / r["count"])) for r in counts]
+    most = max(4, min(ROWS_PER_LANG, MOST_ROWS // len(counts)))
+    shares = [(r["lang"], min(1.0, (1.3 * most + 30) / r["count"])) for r in counts]
     bounds = docs.sparkSession.createDataFrame([(x, min(2**63 - 1, int((2 * share - 1) * 2**63))) for x, share in shares], "lang string, _most long")
-    wide = rows.join(F.broadcast(bounds), "lang").filter(order <= F.col("_most"))
+    wide = rows.join(small(bounds, MOST_ROWS), "lang").filter(order <= F.col("_most"))
     # rows that repeat an id count once, so a much repeated one does not swell the sample
     picked = wide.groupBy("lang", order.alias("order")).agg(F.min("text").alias("text"))
 
@@ -129,13 +134,15 @@ def train(docs: DataFrame) -> LanguageModel:
 
     kept: dict[str, list] = {r["lang"]: [] for r in counts}
     for r in sorted(picked.mapInArrow(make, "lang string, order long, bits binary").collect(), key=lambda r: (r["order"], bytes(r["bits"]))):
-        if len(kept[r["lang"]]) < ROWS_PER_LANG:
+        if len(kept[r["lang"]]) < most:
             kept[r["lang"]].append(bytes(r["bits"]))
     langs = sorted(x for x, rows in kept.items() if rows)
     if not langs:
         return LanguageModel([], np.zeros((DIM, 0), np.float32))
+    # at most 4 * LANDMARKS in all, whatever the number of languages: of more than LANDMARKS, those first by name's hash give four each
     each = max(4, LANDMARKS // len(langs))
-    land = np.concatenate([_unpacked(kept[y][:each]) for y in langs])
+    named = sorted(langs, key=lambda y: zlib.crc32(y.encode()))[:LANDMARKS] if len(langs) > LANDMARKS else langs
+    land = np.concatenate([_unpacked(kept[y][:each]) for y in named])
     left = RIDGE * len(langs) * (land @ land.T).astype(float) + 1e-9 * np.eye(len(land))
     right = np.zeros((len(land), len(langs)))
     for k, y in enumerate(langs):  # one language's texts at a time; languages count alike
@@ -145,6 +152,8 @@ def train(docs: DataFrame) -> LanguageModel:
         right -= mean[:, None]
         right[:, k] += 2 * mean
     alpha = np.linalg.solve(left, right)
+    if len(langs) > LANDMARKS:
+        return LanguageModel(langs, np.ascontiguousarray(land.T), alpha.astype(np.float32))
     return LanguageModel(langs, (land.T @ alpha).astype(np.float32))
 
 

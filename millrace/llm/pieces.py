@@ -28,7 +28,7 @@ from .textbatch import U, mix, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.3, 17
-DENSE, CHUNK_CHARS = 40, 700_000
+DENSE, CHUNK_CHARS = 40, 200_000
 SPACE, SIGN, LITERAL = 0x20, 0x2581, 0x110000
 
 

@@ -1,10 +1,24 @@
-"""Parquet store: builds, metrics, runs, results, ingests.  One writer at a time; rows are appended, never changed."""
+"""Parquet store: builds, metrics, runs, results, ingests.
+
+Data lie in folders that are written once.  What a table consists of is named by a manifest, one small file a version,
+and a change - rows of several tables, or a run in place of its older self - is there when the next version's manifest
+is: it is written aside and moved to its name last, which fails if another writer was faster, and the change is then made
+again on what that one left.  A failure before that leaves folders that no manifest names; `vacuum` deletes them.
+
+Builds are partitioned by a hash of the id, so an ingest reads the buckets of its batch only; runs and their results are
+folders of their own, so one run is read, or replaced, without the others.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,50 +87,164 @@ def classify_ingest(batch: DataFrame, stored: DataFrame, order: str | None = Non
     return out.select(*[F.col(f"`{c}`") for c in given], "status", "field")
 
 
+class StoreChanged(RuntimeError):
+    """Other writers were faster every time."""
+
+
+#: Parts of the builds table by a hash of the id; attempts of a change; manifests that stay.
+BUCKETS, ATTEMPTS, KEPT_VERSIONS = 64, 8, 20
+Tables = dict[str, list[dict]]
+
+
+def bucket_of(build_id: Column) -> Column:
+    return F.pmod(F.xxhash64(build_id), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
     """Datasets under one folder, in any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._fs_path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        if not self._exists("meta"):
-            self._append("meta", spark.createDataFrame([("schema_version", SCHEMA_VERSION)], SCHEMAS["meta"]))
-
-    def _exists(self, name: str) -> bool:
-        p = self._fs_path(f"{self.path}/{name}")
-        return p.getFileSystem(self._conf).exists(p)
-
-    def read(self, name: str) -> DataFrame:
-        if not self._exists(name):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        self._fs = self._at("").getFileSystem(self._conf)
+        if not self._versions():
+            # folders of a store without manifests are its first version
+            tables: Tables = {n: [{"path": n}] for n in SCHEMAS if self._fs.exists(self._at(n))}
+            if "meta" not in tables:
+                tables["meta"] = [self._written("meta", spark.createDataFrame([("schema_version", SCHEMA_VERSION)], SCHEMAS["meta"]))]
+            self._publish(1, tables)
+
+    # -- versions -----------------------------------------------------------
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _versions(self) -> list[int]:
+        folder = self._at("_versions")
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def snapshot(self) -> tuple[int, Tables]:
+        """The newest version and the folders of its tables."""
+        version = self._versions()[-1]
+        with_ = self._fs.open(self._at(f"_versions/{version:012d}.json"))
+        try:
+            return version, json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(with_, "UTF-8"))
+        finally:
+            with_.close()
+
+    def _publish(self, version: int, tables: Tables) -> bool:
+        """Make `tables` the given version; False if there is one already."""
+        aside = self._at(f"_versions/_{uuid.uuid4().hex}")
+        out = self._fs.create(aside)
+        out.write(bytearray(json.dumps(tables).encode()))
+        out.close()
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        try:
+            files.rename(self._fs.makeQualified(aside), self._fs.makeQualified(self._at(f"_versions/{version:012d}.json")), self.spark.sparkContext._gateway.new_array(rename, 0))
+        except Py4JJavaError as e:
+            self._fs.delete(aside, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        for old in self._versions()[:-KEPT_VERSIONS]:
+            self._fs.delete(self._at(f"_versions/{old:012d}.json"), False)
+        return True
+
+    def _change(self, make: Callable[[Tables], tuple[Tables, object]]):
+        """Publish make(tables)'s new tables, made again if another change came first; what it returned beside them."""
+        for _ in range(ATTEMPTS):
+            version, tables = self.snapshot()
+            changed, result = make({n: list(parts) for n, parts in tables.items()})
+            if self._publish(version + 1, changed):
+                return result
+        raise StoreChanged(f"{ATTEMPTS} attempts at {self.path}")
+
+    def vacuum(self) -> int:
+        """Delete folders of data that no kept version names, such as failed changes leave; no writer may be at work."""
+        named = set()
+        for version in self._versions():
+            with_ = self._fs.open(self._at(f"_versions/{version:012d}.json"))
+            named |= {part["path"] for parts in json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(with_, "UTF-8")).values() for part in parts}
+            with_.close()
+        gone = 0
+        for name in SCHEMAS:
+            folder = self._at(f"data/{name}")
+            for f in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                if f"data/{name}/{f.getPath().getName()}" not in named:
+                    self._fs.delete(f.getPath(), True)
+                    gone += 1
+        return gone
+
+    def _written(self, name: str, df: DataFrame, **tags) -> dict:
+        """A new folder of the table with these rows; it counts once a version names it."""
+        path = f"data/{name}/part={uuid.uuid4().hex}"
+        if name == "builds":
+            rows = df.withColumn("bucket", bucket_of(F.col("build_id")))
+            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{path}")
+        else:
+            df.write.parquet(f"{self.path}/{path}")
+        return {"path": path, **tags}
+
+    def read(self, name: str, tables: Tables | None = None, buckets: list[int] | None = None, **tags) -> DataFrame:
+        """A table, or its builds of some buckets, or its folders with the given tags."""
+        parts = (self.snapshot()[1] if tables is None else tables).get(name, [])
+        parts = [p for p in parts if all(p.get(k, v) == v for k, v in tags.items())]
+        cut_ = [f"{self.path}/{p['path']}" for p in parts if p["path"].startswith("data/builds/")]
+        whole = [f"{self.path}/{p['path']}" for p in parts if not p["path"].startswith("data/builds/")]
+        out = []
+        if cut_:
+            rows = self.spark.read.option("basePath", f"{self.path}/data/builds").schema(f"{SCHEMAS[name]}, part string, bucket int").parquet(*cut_)
+            out.append((rows.filter(F.col("bucket").isin(buckets)) if buckets is not None else rows).drop("part", "bucket"))
+        if whole:
+            out.append(self.spark.read.schema(SCHEMAS[name]).parquet(*whole))
+        return reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.path}/{name}")
+        part = self._written(name, df)
+        self._change(lambda tables: (tables | {name: [*tables.get(name, []), part]}, None))
 
     # -- builds -------------------------------------------------------------
 
     def ingest(self, batch: DataFrame, source: str, order: str | None = None) -> dict:
-        """Append what is new; report counts and, of each kind, the first rows.  The table `issues` has every conflict and rejection."""
+        """Append what is new; report counts and, of each kind, the first rows.  The table `issues` has every conflict and rejection.
+
+        Builds, report and issues appear together.
+        """
         have = [c for c in RAW_COLUMNS if c in batch.columns]
-        marked = cut(classify_ingest(batch, self.read("builds"), order))
-        fresh = marked.filter("status = 'accepted'")
-        rows = fresh.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast("string").alias(c) for c in RAW_COLUMNS], F.lit(source).alias("source"), F.current_timestamp().alias("ingested_at"))
-        rows = rows.withColumns({c: blank_to_null(F.trim(F.col(f"`{c}`")) if c == "build_id" else F.col(f"`{c}`")) for c in RAW_COLUMNS})
-        self._append("builds", rows)
-        counts = {r["status"]: r["n"] for r in marked.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        sizes = {s: counts.get(s, 0) for s in ("accepted", "duplicate", "conflict", "rejected")}
-        ident = f"i-{self.read('ingests').count() + 1:05d}"
-        self._append("ingests", self.spark.createDataFrame([(ident, datetime.now(timezone.utc), source, *sizes.values())], SCHEMAS["ingests"]))
-        self._append("issues", marked.filter(F.col("status").isin("conflict", "rejected")).select(F.lit(ident).alias("ingest_id"), "build_id", "status", "field"))
-        some = lambda s: [(r["build_id"], r["field"]) for r in marked.filter(F.col("status") == s).select("build_id", "field").limit(50).collect()]
-        return {"ingest_id": ident, **sizes, "conflicts": some("conflict"), "rejections": some("rejected"), "accepted_ids": [b for b, _ in some("accepted")]}
+        if order is None:  # the order of the input, kept for every attempt
+            batch, order = cut(batch.withColumn("_input", F.monotonically_increasing_id())), "_input"
+
+        def make(tables: Tables) -> tuple[Tables, dict]:
+            ids = blank_to_null(F.trim(F.col("build_id").cast("string"))) if "build_id" in batch.columns else F.lit(None).cast("string")
+            buckets = [r[0] for r in batch.select(bucket_of(ids)).distinct().collect()]  # BUCKETS at most
+            marked = cut(classify_ingest(batch, self.read("builds", tables, buckets), order))
+            rows = marked.filter("status = 'accepted'").select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast("string").alias(c) for c in RAW_COLUMNS], F.lit(source).alias("source"), F.current_timestamp().alias("ingested_at"))
+            rows = rows.withColumns({c: blank_to_null(F.trim(F.col(f"`{c}`")) if c == "build_id" else F.col(f"`{c}`")) for c in RAW_COLUMNS})
+            counts = {r["status"]: r["n"] for r in marked.groupBy("status").agg(F.count("*").alias("n")).collect()}
+            sizes = {s: counts.get(s, 0) for s in ("accepted", "duplicate", "conflict", "rejected")}
+            ident = f"i-{len(tables.get('ingests', [])) + 1:05d}"  # a folder an ingest
+            report = self.spark.createDataFrame([(ident, datetime.now(timezone.utc), source, *sizes.values())], SCHEMAS["ingests"])
+            new = {"ingests": self._written("ingests", report)}
+            if sizes["accepted"]:
+                new["builds"] = self._written("builds", rows)
+            if sizes["conflict"] or sizes["rejected"]:
+                new["issues"] = self._written("issues", marked.filter(F.col("status").isin("conflict", "rejected")).select(F.lit(ident).alias("ingest_id"), "build_id", "status", "field"))
+            some = lambda s: [(r["build_id"], r["field"]) for r in marked.filter(F.col("status") == s).select("build_id", "field").limit(50).collect()]
+            done = {"ingest_id": ident, **sizes, "conflicts": some("conflict"), "rejections": some("rejected"), "accepted_ids": [b for b, _ in some("accepted")]}
+            return tables | {n: [*tables.get(n, []), part] for n, part in new.items()}, done
+
+        return self._change(make)
 
     def builds(self, groups: list[str] | None = None) -> DataFrame:
+        """In order of time, then id, as the texts were given."""
         rows = self.read("builds")
-        return rows.filter(F.coalesce("group", F.lit("all")).isin(*groups)) if groups else rows
+        rows = rows.filter(F.coalesce("group", F.lit("all")).isin(*groups)) if groups else rows
+        return rows.orderBy("ts", "build_id")
 
     def groups(self) -> list[str]:
         return sorted(r[0] for r in self.read("builds").select(F.coalesce("group", F.lit("all"))).distinct().collect())
@@ -171,18 +299,28 @@ class Store:
         run = analysis["run"]
         metrics = run["metrics"]
         row = (run["run_id"], datetime.now(timezone.utc), json.dumps(run["objectives"]), run["roles_hash"], json.dumps({m["name"]: m["version"] for m in metrics}), json.dumps(run["params"], default=str), json.dumps(analysis, default=str))
-        for name in ("runs", "results"):  # a run saved again replaces what it was
-            if (old := self.read(name)).filter(F.col("run_id") == run["run_id"]).limit(1).count():
-                cut(old.filter(F.col("run_id") != run["run_id"])).write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self._append("runs", self.spark.createDataFrame([row], SCHEMAS["runs"]))
         cells = [(run["run_id"], c["group"], c["window"], c["n_builds"], c["layer"], c["p_on_front"], json.dumps(c["objectives"]), json.dumps(c["descriptors"]), json.dumps(c["impact_mix"])) for c in analysis["cells"]]
+        new = {"runs": self._written("runs", self.spark.createDataFrame([row], SCHEMAS["runs"]), run_id=run["run_id"])}
         if cells:
-            df = self.spark.createDataFrame(cells, SCHEMAS["results"])
-            df.write.mode("append").parquet(f"{self.path}/results")
+            new["results"] = self._written("results", self.spark.createDataFrame(cells, SCHEMAS["results"]), run_id=run["run_id"])
+
+        def make(tables: Tables) -> tuple[Tables, None]:
+            """A run saved again replaces what it was, in both tables at once."""
+            for name in ("runs", "results"):
+                kept = []
+                for part in tables.get(name, []):
+                    if "run_id" not in part and self.read(name, {name: [part]}).filter(F.col("run_id") == run["run_id"]).limit(1).count():
+                        part = self._written(name, self.read(name, {name: [part]}).filter(F.col("run_id") != run["run_id"]))  # a folder of several runs
+                    if part.get("run_id") != run["run_id"]:
+                        kept.append(part)
+                tables[name] = [*kept, *([new[name]] if name in new else [])]
+            return tables, None
+
+        self._change(make)
         return run["run_id"]
 
     def load_run(self, run_id: str | None = None) -> dict:
-        rows = self.read("runs")
+        rows = self.read("runs", **({"run_id": run_id} if run_id else {}))
         r = (rows.filter(F.col("run_id") == run_id) if run_id else rows).orderBy(F.desc("ts"), F.desc("run_id")).first()
         if r is None:
             raise KeyError(f"no such run: {run_id or 'none stored'}")

@@ -9,7 +9,7 @@ from millrace.operators.prepare import RAW_COLUMNS
 from millrace.plans import cli, toolserver
 from millrace.plans.commands import Workbench
 from millrace.sources import fixtures
-from millrace.store import Store, classify_ingest
+from millrace.store import SCHEMAS, Store, StoreChanged, bucket_of, classify_ingest
 from millrace.streaming.ingest import RAW_SCHEMA, daily_counts, ingest_stream
 
 
@@ -51,6 +51,72 @@ def test_run_saved_again_replaces(spark, tmp_path):
     assert s.read("runs").count() == 2 and s.read("results").count() == 4 and s.load_run("r-1")["run"]["params"]["n"] == 3
 
 
+def test_failure_before_the_manifest_loses_nothing(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "db"))
+    s.ingest(rows(spark, b(1), b(2)), "one")
+    cell = {"group": "g", "window": "2026-01", "n_builds": 3, "layer": 1, "p_on_front": None, "objectives": {}, "descriptors": {}, "impact_mix": {}}
+    run = lambda n: {"run": {"run_id": "r-1", "metrics": [], "objectives": [], "roles_hash": "", "params": {"n": n}}, "cells": [cell] * n}
+    s.save_run(run(2))
+    before = {n: sorted(map(str, s.read(n).collect())) for n in ("builds", "runs", "results", "ingests", "issues")}
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        for step in (lambda: s.ingest(rows(spark, b(3), b(1, cost_usd="9")), "two"), lambda: s.save_run(run(3))):
+            with pytest.raises(OSError):
+                step()
+    assert before == {n: sorted(map(str, s.read(n).collect())) for n in before}
+    # half-written data too
+    with monkeypatch.context() as m:
+        whole = Store._written
+        m.setattr(Store, "_written", lambda self, name, df, **t: (_ for _ in ()).throw(OSError("full")) if name == "issues" else whole(self, name, df, **t))
+        with pytest.raises(OSError):
+            s.ingest(rows(spark, b(3), b(1, cost_usd="9")), "two")
+    assert before == {n: sorted(map(str, s.read(n).collect())) for n in before}
+    assert s.vacuum() >= 4 and before == {n: sorted(map(str, s.read(n).collect())) for n in before}
+    again = s.ingest(rows(spark, b(3), b(1, cost_usd="9")), "two")
+    assert (again["accepted"], again["conflict"], again["ingest_id"]) == (1, 1, "i-00002") and s.build_count() == 3
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """A change that another one overtakes is made again on what that one left."""
+    s, other = Store(spark, str(tmp_path / "db")), Store(spark, str(tmp_path / "db"))
+    whole, overtaken = Store._publish, []
+
+    def slow(self, version, tables):
+        if self is s and not overtaken:
+            overtaken.append(1)
+            other.ingest(rows(spark, b(1, cost_usd="6"), b(2)), "other")
+        return whole(self, version, tables)
+
+    monkeypatch.setattr(Store, "_publish", slow)
+    got = s.ingest(rows(spark, b(1), b(3)), "one")
+    assert (got["accepted"], got["conflict"], got["ingest_id"]) == (1, 1, "i-00002") and s.build_count() == 3
+    assert {r["build_id"]: r["cost_usd"] for r in s.builds().collect()} == {"b1": "6", "b2": "5", "b3": "5"}
+    monkeypatch.setattr(Store, "_publish", lambda *a: False)
+    with pytest.raises(StoreChanged):
+        s.define("late", "descriptor", "min", "count()")
+
+
+def test_a_batch_reads_its_buckets(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    s.ingest(rows(spark, *[b(i) for i in range(200)]), "one")
+    few = rows(spark, b(7), b(8))
+    buckets = [r[0] for r in few.select(bucket_of(F.col("build_id"))).distinct().collect()]
+    read = s.read("builds", None, buckets)
+    scan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket#" in scan and read.count() < 40 and {"b7", "b8"} <= {r["build_id"] for r in read.collect()}
+    assert [r["build_id"] for r in s.builds().limit(3).collect()] == ["b0", "b1", "b10"]
+
+
+def test_folders_without_manifests_are_taken_over(spark, tmp_path):
+    path = str(tmp_path / "db")
+    rows(spark, b(1), b(2)).withColumns({"source": F.lit("old"), "ingested_at": F.current_timestamp()}).write.parquet(f"{path}/builds")
+    spark.createDataFrame([(r, None, "[]", "", "{}", "{}", json.dumps({"of": r})) for r in ("r-1", "r-2")], SCHEMAS["runs"]).write.parquet(f"{path}/runs")
+    s = Store(spark, path)
+    assert s.ingest(rows(spark, b(1), b(3)), "new")["duplicate"] == 1 and s.build_count() == 3
+    s.save_run({"run": {"run_id": "r-2", "metrics": [], "objectives": [], "roles_hash": "", "params": {}}, "cells": []})
+    assert s.read("runs").count() == 2 and s.load_run("r-1") == {"of": "r-1"} and s.load_run("r-2")["cells"] == []
+
+
 def test_empty_batch(spark):
     none = spark.createDataFrame([], RAW_SCHEMA)
     assert classify_ingest(none, none).count() == 0

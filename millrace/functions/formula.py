@@ -280,7 +280,9 @@ class Plan:
     terms: dict[str, Term] = field(default_factory=dict)
     nulls: list[str] = field(default_factory=list)
     notes: list[tuple[Column, str]] = field(default_factory=list)
+    overflows: list[Column] = field(default_factory=list)
     inner: dict[int, Column] = field(default_factory=dict)
+    flags: dict[str, tuple[Column, str | None]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.value = self._scalar(self.formula.body, F.col)
@@ -310,14 +312,19 @@ class Plan:
         if f in REDUCERS:
             values = self._build(node.args[0])
             self.nulls.append(self._term("hits", values.isNull(), "n"))
-            return of(self._term(f, values))
+            got = of(self._term(f, values))
+            if f in ("sum", "mean"):
+                # finite values whose sum is not, or infinities of both signs: what no number stands for
+                most = of(self._term("max", F.abs(values), "b"))
+                self.overflows.append(F.coalesce(finite(got).isNull() & got.isNotNull() & (finite(most).isNotNull() | (F.isnan(got) & ~F.isnan(most))), F.lit(False)))
+            return got
         if f in COUNTERS:
             if not node.args:
                 return of(self._term("rows", F.lit(True)))
             return of(self._term("hits" if f == "count" else "share", F.coalesce(self._flag(node.args[0]), F.lit(False))))
         if f in NORMALISERS:
             k = self.formula.normalisers.index(node)
-            self.inner[k] = finite(self._scalar(node.args[0], of))
+            self.inner[k] = self._scalar(node.args[0], of)
             return F.col(f"{self.prefix}z{k}")
         if f == "clip":
             return clip(*(self._scalar(a, of) for a in node.args))
@@ -381,10 +388,21 @@ class Plan:
             return self._scalar(node, F.col)
         inner = Plan.__new__(Plan)
         inner.formula, inner.prefix = self.formula, f"{self.prefix}h{len(self.hoisted)}_"
-        inner.hoisted, inner.terms, inner.nulls, inner.notes, inner.inner = {}, {}, [], [], {}
+        inner.hoisted, inner.terms, inner.nulls, inner.notes, inner.overflows, inner.inner, inner.flags = {}, {}, [], [], [], {}, {}
         inner.value = inner._scalar(node, F.col)
         name = f"{inner.prefix}v"
         self.hoisted[name] = inner
+        # what its terms have to say is the cell's, so it is taken from any of its builds
+        for flag, message in inner.notes:
+            inner.flags[f"{inner.prefix}f{len(inner.flags)}"] = (flag, message)
+        for flag in inner.overflows:
+            inner.flags[f"{inner.prefix}f{len(inner.flags)}"] = (flag, None)
+        for flag, (_, message) in inner.flags.items():
+            seen = F.col(self._term("hits", F.coalesce(F.col(flag), F.lit(False)), "e")) > 0
+            if message is None:
+                self.overflows.append(seen)
+            else:
+                self.notes.append((seen, message))
         return F.col(name)
 
     def _flag(self, node: ast.AST) -> Column:

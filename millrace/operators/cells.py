@@ -67,7 +67,7 @@ def cell_terms(builds: DataFrame, plans: Iterable[Plan], keys: Iterable[str], ex
     plans, keys = list(plans), list(keys)
     bounds = [(n, inner) for p in plans for n, inner in p.hoisted.items()]
     if bounds:  # a row a cell
-        own = cell_terms(builds, [inner for _, inner in bounds], keys).select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[inner.value.alias(n) for n, inner in bounds])
+        own = cell_terms(builds, [inner for _, inner in bounds], keys).select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[inner.value.alias(n) for n, inner in bounds], *[c.alias(f) for _, inner in bounds for f, (c, _) in inner.flags.items()])
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.lit(True))
         builds = builds.join(small(cut(own), selection.FEW), same).drop(*[f"_of_{k}" for k in keys])
     terms = {n: t.column() for p in plans for n, t in p.terms.items() if t.kind not in PERCENTILES}
@@ -96,28 +96,45 @@ def evaluate(builds: DataFrame, metrics: Iterable[Metric], keys: tuple[str, ...]
 
 
 def metric_values(cells: DataFrame, metrics: list[Metric], plans: list[Plan], frozen: dict | None = None, scales: dict | None = None) -> DataFrame:
-    """Metrics over the terms of cells; `frozen` gives the normalisers' parameters instead of taking them from these cells."""
+    """Metrics over the terms of cells, with notes on what became null on the way; `frozen` gives the normalisers' parameters
+    instead of taking them from these cells.
+
+    A sum that leaves the range of doubles, though none of its values does, ends the query with an error.
+    """
     kept = [c for c in cells.columns if not c.startswith("_m")]
-    inner = {f"{p.prefix}d{k}": c for p in plans for k, c in p.inner.items()}
-    if inner:
-        cells = cells.withColumns(inner)
+    raw = {f"{p.prefix}r{k}": c for p in plans for k, c in p.inner.items()}
+    notes = {m.name: list(p.notes) for m, p in zip(metrics, plans)}
+    if raw:
+        cells = cells.withColumns(raw).withColumns({f"{p.prefix}d{k}": finite(F.col(f"{p.prefix}r{k}")) for p in plans for k in p.inner})
         if frozen is None:
             cells = cut(cells)  # read twice: for the parameters, and with them; a row a cell, so builds are read once
         parameters = frozen if frozen is not None else norm_parameters(cells, plans)
         if scales is not None:
             scales.update(parameters)
         normed = {}
-        for p in plans:
+        for m, p in zip(metrics, plans):
             for k, node in enumerate(p.formula.normalisers):
-                a, b = (F.lit(x).cast("double") for x in parameters[f"{p.prefix}z{k}"])
-                normed[f"{p.prefix}z{k}"] = normalise(node.func.id, F.col(f"{p.prefix}d{k}"), a, b)
+                a, b = parameters[f"{p.prefix}z{k}"]
+                d, kind = F.col(f"{p.prefix}d{k}"), node.func.id
+                normed[f"{p.prefix}z{k}"] = normalise(kind, d, F.lit(a).cast("double"), F.lit(b).cast("double"))
+                notes[m.name].append((F.col(f"{p.prefix}r{k}").isNotNull() & d.isNull(), f"{m.name}: {kind} of a number that is not finite -> null"))
+                if a is not None and (a == b if kind == "minmax" else b == 0):
+                    notes[m.name].append((d.isNotNull(), f"{m.name}: {kind} of a constant -> {'0.5' if kind == 'minmax' else '0.0'}"))
         cells = cells.withColumns(normed)
+    values = {f"_m{i}_value": p.value.cast("double") for i, p in enumerate(plans)}
+    cells = cells.withColumns(values)
     out = [F.col(c) for c in kept]
-    for m, p in zip(metrics, plans):
-        out.append(finite(p.value).cast("double").alias(m.name))
+    for i, (m, p) in enumerate(zip(metrics, plans)):
+        value = F.col(f"_m{i}_value")
+        notes[m.name].append((value.isNotNull() & finite(value).isNull(), f"{m.name}: the result is not finite -> null"))
+        value = finite(value)
+        for flag in p.overflows:
+            value = F.when(flag, F.raise_error(F.lit(f"{m.name}: a sum lies outside the range of numbers")).cast("double")).otherwise(value)
+        out.append(value.alias(m.name))
     for m, p in zip(metrics, plans):
         out.append(sum((F.col(n) for n in p.nulls), F.lit(0)).cast("long").alias(f"null_{m.name}"))
-        out.append(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in p.notes])).alias(f"note_{m.name}") if p.notes else F.array().cast("array<string>").alias(f"note_{m.name}"))
+        said = F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in notes[m.name]])))
+        out.append(said.alias(f"note_{m.name}"))
     return cells.select(*out)
 
 

@@ -393,6 +393,27 @@ def delta_subsets(df: DataFrame, on: list[str], objectives: list[str]) -> DataFr
     return pairs.groupBy(*on, "mask").agg(F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(ranks, F.col("_gap"))), F.lit(0.0))).alias("delta")).withColumn("size", F.bit_count("mask"))
 
 
+def moss_ladders(subsets: DataFrame, on: list[str], names: list[str]) -> DataFrame:
+    """on, size, added, mask, delta, smallest_exact: the ladder of each comparison from its delta_subsets.
+
+    A comparison is a row, the mask it has reached; each round it takes the larger mask of least delta, the objective
+    named first on ties.  The smallest exact rung is the first whose delta is 0, to 1e-9.
+    """
+    bits = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(1 << j).alias("bit"), F.lit(n).alias("added")) for j, n in enumerate(names)]))
+    at, rungs = subsets.select(*on).distinct().withColumn("mask", F.lit(0)), []
+    of = subsets.select(*on, F.col("mask").alias("to"), "delta")
+    for size in range(1, len(names) + 1):
+        more = at.select(*on, "mask", bits.alias("_b")).filter(F.col("mask").bitwiseAND(F.col("_b.bit")) == 0)
+        more = more.select(*on, F.col("_b.j").alias("j"), F.col("_b.added").alias("added"), F.col("mask").bitwiseOR(F.col("_b.bit")).alias("to")).join(of, [*on, "to"])
+        best = more.groupBy(*on).agg(F.min_by(F.struct("added", "to", "delta"), F.struct("delta", "j")).alias("_r"))
+        rung = best.select(*on, F.lit(size).alias("size"), "_r.added", F.col("_r.to").cast("long").alias("mask"), "_r.delta")
+        rungs.append(rung)
+        at = best.select(*on, F.col("_r.to").alias("mask"))
+    ladder = reduce(DataFrame.unionByName, rungs)
+    first = F.min(F.when(F.col("delta") <= 1e-9, F.col("size"))).over(Window.partitionBy(*on))  # a row an objective
+    return ladder.withColumn("smallest_exact", F.coalesce(F.col("size") == first, F.lit(False)))
+
+
 def moss_ladder(subsets: list[dict], names: list[str]) -> dict:
     """Greedy order of objectives, each step the one with the least delta; at most 255 subsets come from the cluster."""
     delta = {r["mask"]: r["delta"] for r in subsets}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import IMPACT_CLASSES, QUESTION_CLASSES, RESOLUTION_DAYS, WINDOW_SPEC, WINDOWS_RETAINED
 from ..functions import selection
-from ..session import cut
+from ..session import cut, rewritten
 
 RAW_COLUMNS = ("build_id", "group", "first_commit_ts", "ts", "deployed_at", "served_at", "usage", "loc_added", "loc_removed", "bugs", "cost_usd", "question", "carried_into")
 _ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
@@ -35,13 +35,23 @@ def parse_timestamp(raw: Column) -> Column:
     t = F.trim(raw)
     t = F.regexp_replace(t, r"^(\d{4})/(\d{2})/(\d{2})$", "$1-$2-$3")
     t = F.regexp_replace(t, r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$2-$1")
-    part = lambda k: F.regexp_extract(t, _ISO, k)
-    clock = F.concat(part(1), F.lit(" "), F.when(part(2) == "", "00:00").otherwise(part(2)), F.when(part(3) == "", ":00").otherwise(part(3)), part(4))
-    offset = F.when(part(5).isin("", "Z"), "+00:00").otherwise(part(5))
-    wall = F.when(part(1) != "", clock.try_cast("timestamp_ntz"))
-    at = F.when(part(1) != "", F.concat(clock, offset).try_cast("timestamp"))
-    text = F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), part(4), offset)
-    return F.when(at.isNotNull() & wall.isNotNull(), F.struct(at.alias("at"), wall.alias("wall"), text.alias("text")))
+
+    def parts(t: Column) -> Column:  # bound to variables, so that nothing is worked out, or compiled, once for each use
+        return F.transform(F.array(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.call_function("regexp_extract", t, F.lit(_ISO), k))), built)
+
+    def built(part: Column) -> Column:
+        at = lambda k: F.get(part, F.lit(k))
+        clock = F.concat(at(0), F.lit(" "), F.when(at(1) == "", "00:00").otherwise(at(1)), F.when(at(2) == "", ":00").otherwise(at(2)), at(3))
+        offset = F.when(at(4).isin("", "Z"), "+00:00").otherwise(at(4))
+        return F.when(at(0) != "", F.struct(clock.alias("clock"), offset.alias("offset"), at(3).alias("fraction")))
+
+    def read(p: Column) -> Column:
+        wall, at = p["clock"].try_cast("timestamp_ntz"), F.concat(p["clock"], p["offset"]).try_cast("timestamp")
+        text = F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), p["fraction"], p["offset"])
+        return F.when(at.isNotNull() & wall.isNotNull(), F.struct(at.alias("at"), wall.alias("wall"), text.alias("text")))
+
+    got = F.flatten(F.transform(F.array(t), parts))
+    return F.get(F.transform(got, read), F.lit(0))
 
 
 def number(c: Column) -> Column:
@@ -59,30 +69,46 @@ def window_label(wall: Column, spec: str = WINDOW_SPEC) -> Column:
     return F.date_format(wall, "yyyy-MM")
 
 
-def coerce(raw: DataFrame, window_spec: str = WINDOW_SPEC) -> tuple[DataFrame, DataFrame]:
-    """(typed builds, warnings(code, row, message)) from all-string rows; unusable rows become warnings only."""
+#: What is told of a row that is left out, or of a question that is not counted.
+MESSAGES = {"BAD_TIMESTAMP": "cannot parse a timestamp", "MISSING_REQUIRED": ("ts and first_commit_ts are required", "loc_added and loc_removed are required")}
+CODES = ("BAD_TIMESTAMP", "MISSING_REQUIRED", "UNKNOWN_QUESTION")
+
+
+def coerced(raw: DataFrame, window_spec: str = WINDOW_SPEC) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(typed builds, warnings(code, row, message), number of rows and of each code) from all-string rows.
+
+    One pass parses the rows, marks each with what is wrong with it, counts while it writes, and leaves a table in the
+    checkpoint folder from which both the builds and the warnings, a row each, are read.
+    """
     have = [c for c in RAW_COLUMNS if c in raw.columns]
     text = raw.select(*[blank_to_null(F.col(f"`{c}`").cast("string")).alias(c) for c in have], *[F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS if c not in have], F.monotonically_increasing_id().alias("_row"))
     stamps = ("ts", "first_commit_ts", "deployed_at", "served_at")
-    typed = text.withColumns({f"_{c}": parse_timestamp(F.col(c)) for c in stamps}).withColumns({f"_{c}": number(F.col(c)) for c in ("loc_added", "loc_removed")})
+    typed = text.withColumns({f"_{c}": parse_timestamp(F.col(c)) for c in stamps}).withColumns({f"_{c}": number(F.col(c)) for c in ("loc_added", "loc_removed", "usage", "bugs", "cost_usd")})
     bad = F.lit(False)
     for c in stamps:
         bad = bad | (F.col(c).isNotNull() & F.col(f"_{c}").isNull())
     missing = F.col("_ts").isNull() | F.col("_first_commit_ts").isNull()
     no_loc = F.col("_loc_added").isNull() | F.col("_loc_removed").isNull()
-    typed = typed.withColumn("_code", F.when(bad, "BAD_TIMESTAMP").when(missing | no_loc, "MISSING_REQUIRED"))
-    name = F.coalesce("build_id", F.concat(F.lit("row-"), F.col("_row").cast("string")))
-    refused = typed.filter("_code IS NOT NULL").select(F.col("_code").alias("code"), name.alias("row"), F.when(F.col("_code") == "BAD_TIMESTAMP", "cannot parse a timestamp").when(missing, "ts and first_commit_ts are required").otherwise("loc_added and loc_removed are required").alias("message"))
-    good = typed.filter("_code IS NULL").select(
-        name.alias("build_id"), F.coalesce("group", F.lit("all")).alias("grp"),
-        F.col("_ts.at").alias("ts_at"), F.col("_first_commit_ts.at").alias("first_commit_at"), F.col("_deployed_at.at").alias("deployed_at"), F.col("_served_at.at").alias("served_at"),
-        F.col("_ts.wall").alias("ts_wall"),
+    odd = F.col("question").isNotNull() & ~F.col("question").isin(*QUESTION_CLASSES)
+    no_stamp, no_lines = MESSAGES["MISSING_REQUIRED"]
+    message = F.when(F.col("code") == CODES[0], MESSAGES[CODES[0]]).when(F.col("code") == CODES[1], F.when(missing, no_stamp).otherwise(no_lines)).when(F.col("code") == CODES[2], F.concat(F.lit("question '"), "question", F.lit("' is unclassified")))
+    marked = typed.withColumn("code", F.when(bad, CODES[0]).when(missing | no_loc, CODES[1]).when(odd, CODES[2])).withColumn("message", message)
+    marked = marked.select(
+        "code", "message", F.coalesce("build_id", F.concat(F.lit("row-"), F.col("_row").cast("string"))).alias("build_id"), F.coalesce("group", F.lit("all")).alias("grp"),
+        F.col("_ts.at").alias("ts_at"), F.col("_first_commit_ts.at").alias("first_commit_at"), F.col("_deployed_at.at").alias("deployed_at"), F.col("_served_at.at").alias("served_at"), F.col("_ts.wall").alias("ts_wall"),
         F.col("_ts.text").alias("ts_text"), F.col("_first_commit_ts.text").alias("first_commit_text"), F.col("_deployed_at.text").alias("deployed_text"), F.col("_served_at.text").alias("served_text"),
-        number(F.col("usage")).alias("usage"), F.col("_loc_added").alias("loc_added"), F.col("_loc_removed").alias("loc_removed"),
-        F.rint(number(F.col("bugs"))).alias("bugs"), number(F.col("cost_usd")).alias("cost_usd"), "question", "carried_into",
+        F.col("_usage").alias("usage"), F.col("_loc_added").alias("loc_added"), F.col("_loc_removed").alias("loc_removed"), F.rint("_bugs").alias("bugs"), F.col("_cost_usd").alias("cost_usd"), "question", "carried_into",
     )
-    odd = good.filter(F.col("question").isNotNull() & ~F.col("question").isin(*QUESTION_CLASSES)).select(F.lit("UNKNOWN_QUESTION").alias("code"), F.col("build_id").alias("row"), F.concat(F.lit("question '"), "question", F.lit("' is unclassified")).alias("message"))
-    return derive(good, window_spec), refused.unionByName(odd)
+    seen = Observation()
+    table = rewritten(marked.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("code") == c).alias(c) for c in CODES]))
+    warnings = table.filter("code IS NOT NULL").select("code", F.col("build_id").alias("row"), "message")
+    good = table.filter(F.col("code").isNull() | (F.col("code") == CODES[2])).drop("code", "message")
+    return derive(good, window_spec), warnings, dict(seen.get)
+
+
+def coerce(raw: DataFrame, window_spec: str = WINDOW_SPEC) -> tuple[DataFrame, DataFrame]:
+    """(typed builds, warnings(code, row, message)) from all-string rows; unusable rows become warnings only."""
+    return coerced(raw, window_spec)[:2]
 
 
 def derive(typed: DataFrame, window_spec: str = WINDOW_SPEC) -> DataFrame:

@@ -122,15 +122,18 @@ def replicate_terms(builds: DataFrame, plans: Iterable[Plan], keys: Iterable[str
         cell, block, n, path = (table[c][0].as_py() for c in ("cell", "block", "n", "path"))
         values = {t: table[t].to_numpy() for t in names}
         known = {t: ~np.isnan(v) for t, v in values.items()}
-        sums = np.stack([np.where(known[t], values[t], 0.0) for t in names] + [known[t].astype(float) for t in names] + [np.ones(size)], axis=1)
+        far = {t: np.flatnonzero(np.isinf(values[t])) for t in names}  # a draw count of 0 takes no part of an infinity
+        sums = np.stack([np.where(np.isfinite(values[t]), values[t], 0.0) for t in names] + [known[t].astype(float) for t in names] + [np.ones(size)], axis=1)
         for reps, w in counts(seed, cell, block, n, size, path, replicates):
             got = w.astype(np.float64) @ sums
             out = {"rep": pa.array(reps, pa.int32()), "cell": pa.array(np.full(len(reps), cell), pa.int32()), "drawn": pa.array(got[:, -1])}
             for i, t in enumerate(names):
                 s, c = got[:, i], got[:, len(names) + i]
+                for j in far[t]:
+                    s = s + np.where(w[:, j] > 0, values[t][j], 0.0)
                 if kinds[t] in ("min", "max"):
-                    far = np.inf if kinds[t] == "min" else -np.inf
-                    ends = np.where((w > 0) & known[t][None, :], values[t][None, :], far)
+                    none = np.inf if kinds[t] == "min" else -np.inf
+                    ends = np.where((w > 0) & known[t][None, :], values[t][None, :], none)
                     s = ends.min(axis=1) if kinds[t] == "min" else ends.max(axis=1)
                 elif kinds[t] in PERCENTILES:
                     up = np.argsort(values[t][known[t]], kind="stable")

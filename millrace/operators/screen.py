@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..constants import CONFLICTING_TAU, NULL_BAND, REDUNDANT_TAU, SEED
 from ..functions.rng import draw
+from ..session import cut
 from .dominance import complete, front
 
 
@@ -44,6 +45,67 @@ def verdict(tau: Column) -> Column:
     return F.when(tau.isNull(), None).when(F.abs(tau) >= REDUNDANT_TAU, "redundant").when(tau <= CONFLICTING_TAU, "conflicting").otherwise("independent")
 
 
+def screen_within(cells: DataFrame, on: list[str], ident: list[str], series: dict[str, Column]) -> DataFrame:
+    """on, a, b, tau for each two series (a before b in the given order) over the rows of each comparison, in one job."""
+    place = F.array_position(F.array(*[F.lit(n) for n in series]), F.col("series"))
+    rows = long_series(cells, [*on, *ident], series).withColumn("_p", place)
+    a = rows.withColumnsRenamed({"series": "a", "value": "x", "_p": "_pa"})
+    b = rows.withColumnsRenamed({"series": "b", "value": "y", "_p": "_pb"})
+    pairs = a.join(b, [*on, *ident]).filter("_pa < _pb")
+    return kendall(pairs, [*on, "a", "b"], ident, "x", "y").drop("n")
+
+
+def _both_ways(taus: DataFrame, on: list[str], names: list[str]) -> DataFrame:
+    """on, i, j, tau with the places of the names, both ways round."""
+    place = lambda c: (F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)) - 1).cast("int")
+    one = taus.filter("tau IS NOT NULL").select(*on, place("a").alias("i"), place("b").alias("j"), "tau").filter("i >= 0 AND j >= 0 AND i <> j")
+    return one.union(one.select(*on, F.col("j").alias("i"), F.col("i").alias("j"), "tau"))
+
+
+def axis_orders(taus: DataFrame, on: list[str], names: list[str]) -> DataFrame:
+    """on, position, axis: a chain from the most conflicting pair of each comparison, each time on to the axis that conflicts most
+    with its end; an unknown tau counts as 1, ties go to the axis named first.  Without any tau, or with fewer than three axes, the order is as given.
+
+    A comparison is a row - the axes it has as a mask, and its end - that grows by an axis a round, at most 8.
+    """
+    links = cut(_both_ways(taus, on, names))
+    start = links.filter("i < j").groupBy(*on).agg(F.min_by(F.struct("i", "j"), F.struct("tau", "i", "j")).alias("p"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1), c)
+    chain = start.select(*on, F.array("p.i", "p.j").alias("order"), bit(F.col("p.i")).bitwiseOR(bit(F.col("p.j"))).alias("mask"))
+    every = F.array(*[F.lit(k) for k in range(len(names))])
+    for _ in range(len(names) - 2):
+        left = chain.withColumn("j", F.explode(F.filter(every, lambda k: ~F.array_contains("order", k))))
+        left = left.withColumn("i", F.element_at("order", -1)).join(links, [*on, "i", "j"], "left")
+        best = left.groupBy(*on, "order").agg(F.min_by("j", F.struct(F.coalesce("tau", F.lit(1.0)), "j")).alias("j"))
+        chain = best.select(*on, F.concat("order", F.array("j")).alias("order"))
+    if len(names) < 3:
+        chain = chain.filter("false").select(*on, "order")
+    plain = taus.select(*on).distinct().join(chain.select(*on, "order"), on, "left").select(*on, F.coalesce("order", every).alias("order"))
+    named = F.transform("order", lambda k: F.element_at(F.array(*[F.lit(n) for n in names]), k + 1))
+    return plain.select(*on, F.posexplode(named).alias("position", "axis"))
+
+
+def reductions(taus: DataFrame, on: list[str], names: list[str]) -> DataFrame:
+    """on, objective, representative, kept: single linkage of objectives by |tau| of REDUNDANT_TAU and more, the first by name kept.
+
+    An objective's cluster is a mask; it takes in the masks of those it holds, so that chains twice as long are closed a round.
+    """
+    order = sorted(names)
+    bits = F.explode(F.array(*[F.struct(F.lit(k).alias("i"), F.lit(n).alias("objective")) for k, n in enumerate(order)]))
+    own = taus.select(*on).distinct().select(*on, bits.alias("_b")).select(*on, "_b.i", "_b.objective")
+    links = _both_ways(taus, on, order).filter(F.abs("tau") >= REDUNDANT_TAU)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1), F.col(c))
+    near = links.groupBy(*on, "i").agg(F.bit_or(bit("j")).alias("near"))
+    held = cut(own.join(near, [*on, "i"], "left").select(*on, "i", "objective", bit("i").bitwiseOR(F.coalesce("near", F.lit(0))).alias("mask")))
+    for _ in range(max(1, (len(names) - 1).bit_length())):
+        other = held.select(*on, F.col("i").alias("_i"), F.col("mask").alias("_mask"))
+        joined = held.join(other, on).filter(F.col("mask").bitwiseAND(bit("_i")) != 0)
+        held = joined.groupBy(*on, "i", "objective").agg(F.bit_or("_mask").alias("mask"))
+    first = F.log2(F.col("mask").bitwiseAND(-F.col("mask")).cast("double")).cast("int")
+    named = F.element_at(F.array(*[F.lit(n) for n in order]), first + 1)
+    return held.select(*on, "objective", named.alias("representative"), (named == F.col("objective")).alias("kept"))
+
+
 def axis_order(names: list[str], taus: dict[tuple[str, str], float | None]) -> list[str]:
     """A chain from the most conflicting pair, each time on to the axis that conflicts most with its end (at most 8 axes)."""
     of = lambda a, b: taus.get((a, b), taus.get((b, a)))

@@ -213,25 +213,45 @@ def analyse(commits: DataFrame, events: DataFrame, thresholds: tuple[int, ...],
 
 
 def flow_points(runs: DataFrame) -> DataFrame:
-    """label, threshold, per_spend, per_month, settled, spend_per_month from runs with delivered, never_stabilises_share,
-    churn_total, first_at, last_at and (null without a cost) dollars, engineer_months."""
+    """label, threshold, why, per_spend, per_month, settled, spend_per_month from runs with delivered, never_stabilises_share,
+    churn_total, first_at, last_at and (null without a cost) dollars, engineer_months.
+
+    `why` says what a run lacks for a point; it is null, and the axes are known, where it has one.
+    """
     days = F.greatest(F.floor((F.unix_micros("last_at") - F.unix_micros("first_at")) / 86_400_000_000), F.lit(1))
     costed = F.col("dollars").isNotNull()
     per_spend = F.when(costed, F.try_divide(F.col("delivered"), F.col("dollars") / 10_000)).otherwise(F.try_divide(F.col("delivered"), F.col("churn_total") / 1000))
     per_month = F.when(costed, F.try_divide(F.col("delivered"), F.col("engineer_months"))).otherwise(F.col("delivered") / (days / DAYS_PER_MONTH))
-    usable = (F.col("delivered") > 0) & F.col("never_stabilises_share").isNotNull() & F.when(costed, (F.col("dollars") > 0) & (F.col("engineer_months") > 0)).otherwise(F.col("churn_total") > 0)
-    return runs.filter(usable).select("label", "threshold", per_spend.alias("per_spend"), per_month.alias("per_month"), (1 - F.col("never_stabilises_share")).alias("settled"), F.when(costed, F.try_divide("dollars", "engineer_months")).alias("spend_per_month"))
+    spent = F.when(costed, (F.col("dollars") > 0) & (F.col("engineer_months") > 0)).otherwise(F.col("churn_total") > 0)
+    why = (
+        F.when(~F.coalesce(F.col("delivered") > 0, F.lit(False)), "nothing delivered").when(F.col("never_stabilises_share").isNull(), "no share that settles").when(~F.coalesce(spent, F.lit(False)), "nothing spent")
+    )
+    known = lambda c: F.when(F.col("why").isNull(), c)
+    points = runs.withColumn("why", why)
+    return points.select("label", "threshold", "why", known(per_spend).alias("per_spend"), known(per_month).alias("per_month"), known(1 - F.col("never_stabilises_share")).alias("settled"), known(F.when(costed, F.try_divide("dollars", "engineer_months"))).alias("spend_per_month"))
 
 
 def flow_frontier(runs: DataFrame) -> DataFrame:
-    """label, wins, thresholds: at how many of the thresholds that all runs share no other flow is better on all axes."""
+    """label, wins, thresholds, won, used, standing, skipped, why: of each flow, the thresholds that all runs share and at
+    which no other flow is better on all axes.
+
+    `won` and `used` are masks, a bit for each shared threshold from the smallest up (63 at most): where the flow is on the frontier, and where
+    it has a point at all.  Its standing is always, sometimes or never, over all shared thresholds; it is skipped if it
+    lacks a point at any, and `why` names what it lacks there.
+    """
     n = runs.select("label").distinct().agg(F.count("*").alias("_runs"))
     shared = runs.groupBy("threshold").agg(F.count_distinct("label").alias("_have")).crossJoin(F.broadcast(n)).filter("_have = _runs").select("threshold")
-    points = flow_points(runs.join(F.broadcast(shared), "threshold"))
+    shared = shared.withColumn("_bit", F.expr("shiftleft(1L, row_number() over (order by threshold) - 1)"))  # a row a threshold
+    points = flow_points(runs.join(F.broadcast(shared), "threshold")).join(F.broadcast(shared), "threshold")
     axes = {f"_{a}": -F.col(a) for a in ("per_spend", "per_month", "settled")}
-    wins = front(points.withColumns(axes), ["threshold"], list(axes)).groupBy("label").agg(F.count("*").alias("wins"))
+    best = front(points.withColumns(axes), ["threshold"], list(axes)).groupBy("label").agg(F.bit_or("_bit").alias("won"))
+    own = points.groupBy("label").agg(F.coalesce(F.bit_or(F.when(F.col("why").isNull(), F.col("_bit"))), F.lit(0).cast("long")).alias("used"), F.array_join(F.array_sort(F.collect_set("why")), ", ").alias("_why"))
     total = shared.agg(F.count("*").alias("thresholds"))
-    return points.select("label").distinct().join(wins, "label", "left").crossJoin(F.broadcast(total)).withColumn("wins", F.coalesce("wins", F.lit(0)).cast("long"))
+    out = own.join(best, "label", "left").withColumn("won", F.coalesce("won", F.lit(0).cast("long"))).crossJoin(F.broadcast(total))
+    out = out.withColumn("wins", F.bit_count("won").cast("long"))
+    standing = F.when(F.col("wins") == F.col("thresholds"), "always").when(F.col("wins") > 0, "sometimes").otherwise("never")
+    skipped = F.bit_count("used") < F.col("thresholds")
+    return out.select("label", "wins", "thresholds", "won", "used", standing.alias("standing"), skipped.alias("skipped"), F.when(skipped, F.col("_why")).alias("why"))
 
 
 def frontier_note(rows: list[dict], axes: int = 3) -> str | None:

@@ -9,7 +9,29 @@ FORMULAS = {
     "clip_pow": "sum(clip(bugs, 0, median(bugs))) + mean(loc_total) ** 0.5",
     "z": "z(mean(cost_usd))",
     "zero_division": "count(impact == bogus) + sum(cost_usd) / (count() - count())",
+    "abs_sqrt_log": "abs(mean(bugs) - 2) + sqrt(mean(loc_total)) + log(+count()) - -mean(usage)",
+    "elementwise": "sum(sqrt(bugs - 1)) + sum(log(usage)) + sum(abs(loc_added - loc_removed)) + p10(-loc_total)",
+    "outside_domain": "sqrt(0 - count()) + count()",
 }
+#: Formulas that have something to say beside their value.
+NOTED = {
+    "divided": "sum(cost_usd) / (count() - count())",
+    "inside": "sum(loc_total / bugs)",
+    "power": "(0 - count()) ** 0.5",
+    "level": "minmax(count() - count())",
+    "flat": "z(count() * 0) + 1",
+    "huge": "sum(cost_usd) * 10 ** 308 * 10 ** 5",
+    "beyond": "minmax(sum(cost_usd) * 10 ** 308 * 10 ** 5)",
+    "bounded": "sum(clip(bugs, 0, sum(bugs) / (count() - count())))",
+    "plain": "count()",
+}
+
+_WRITTEN = """
+w0 as (select *, date_trunc('day', ts) as day, case when o_orderkey % 47 = 0 then 'whim' when question = 'unspecified' then null else question end as asked,
+  case when o_orderkey % 29 = 0 or (o_orderkey % 37 = 0 and deployed_at is not null) then 'BAD_TIMESTAMP' when o_orderkey % 31 = 0 or loc_added is null or o_orderkey % 41 = 0 or loc_removed is null then 'MISSING_REQUIRED' when o_orderkey % 47 = 0 then 'UNKNOWN_QUESTION' end as code from b1),
+w1 as (select * replace (case when o_orderkey % 43 = 0 then null else usage end as usage, case when o_orderkey % 3 = 0 then round_even(bugs + 0.5, 0) else bugs end as bugs, date_trunc('day', first_commit) as first_commit),
+  case when o_orderkey % 7 = 2 then day + interval 29 hours when o_orderkey % 7 in (3, 4) then date_trunc('second', ts) else day end as moment from w0 where code is null or code = 'UNKNOWN_QUESTION'),
+w2 as (select *, case when served_at is not null then 'SERVED' when deployed_at is not null and (usage is null or usage > 0) then 'DEPLOYED' end as src from w1)"""
 
 BUILDS = """li as (select l_orderkey, sum(l_quantity) q, count(*) n, count(*) filter (where l_returnflag = 'R') r from lineitem group by 1),
 b0 as (select 'b-' || o_orderkey as build_id, o_orderkey, c_mktsegment as grp, o_orderdate - to_days(cast(1 + o_orderkey % 14 as int)) as first_commit, o_orderdate as ts,
@@ -124,6 +146,8 @@ def statements() -> dict[str, str]:
     metric = lambda expr, nulls: f"select grp, win, count(*) as n_builds, round({expr}, 6) as value, {nulls} as nulls_skipped from prep group by grp, win"
     nul = lambda *c: "cast(" + " + ".join(f"count(*) filter (where {x} is null)" for x in c) + " as bigint)"
     add("builds_prepared", PREPARED, "select build_id, grp, win, round(lead_time_days, 6) as lead_time_days, lead_time_source, round(age_days, 6) as age_days, impact, gate_unavailable, deployed, served, loc_total from prep")
+    add("coerced_builds", BUILDS + "," + _WRITTEN, "select build_id, case when o_orderkey % 53 = 0 then 'all' else grp end as grp, strftime(day, '%Y-%m') as win, epoch_us(moment) as ts_us, src as lead_time_source, round(date_diff('microsecond', first_commit, date_trunc('second', case src when 'SERVED' then served_at when 'DEPLOYED' then deployed_at end)) / 86400000000.0, 6) as lead_time_days, usage, loc_added + loc_removed as loc_total, bugs, round(cost_usd, 6) as cost_usd, asked as question, deployed_at is not null as deployed from w2")
+    add("coerce_warnings", BUILDS + "," + _WRITTEN, "select code, build_id as row, case code when 'BAD_TIMESTAMP' then 'cannot parse a timestamp' when 'UNKNOWN_QUESTION' then 'question ''whim'' is unclassified' else case when o_orderkey % 31 = 0 then 'ts and first_commit_ts are required' else 'loc_added and loc_removed are required' end end as message from w0 where code is not null")
     add("lead_time_source", PREPARED, "select grp, lead_time_source, count(*) as n, round(avg(lead_time_days), 6) as mean_days from prep group by grp, lead_time_source")
     for spec, label in (("week", "strftime(ts, '%G-W%V')"), ("quarter", "year(ts) || '-Q' || quarter(ts)")):
         add(f"window_{spec}", BUILDS, f"select {label} as win, count(*) as n_builds from b1 where loc_added is not null group by 1")
@@ -148,6 +172,13 @@ def statements() -> dict[str, str]:
     add("formula_clip_pow", PREPARED + ", med as (select grp, win, quantile_cont(bugs, 0.5) m from prep group by grp, win)", "select grp, win, round(sum(case when bugs is not null and m is not null then greatest(0.0, least(m, bugs)) end) + pow(avg(loc_total), 0.5), 6) as value from prep join med using (grp, win) group by grp, win")
     add("formula_z", CELLS, "select grp, win, round(case when coalesce(stddev_samp(cost) over (), 0) = 0 then (cost - avg(cost) over ()) / greatest(1.0, abs(avg(cost) over ())) else (cost - avg(cost) over ()) / stddev_samp(cost) over () end, 6) as value from cells")
     add("formula_zero_division", CELLS, "select grp, win, cast(null as double) as value from cells")
+    add("formula_abs_sqrt_log", PREPARED, "select grp, win, round(abs(avg(bugs) - 2) + sqrt(avg(loc_total)) + ln(count(*)) + avg(usage), 6) as value from prep group by grp, win")
+    add("formula_elementwise", PREPARED, "select grp, win, round(sum(case when bugs >= 1 then sqrt(bugs - 1) end) + sum(case when usage > 0 then ln(usage) end) + sum(abs(loc_added - loc_removed)) + quantile_cont(-loc_total, 0.1), 6) as value from prep group by grp, win")
+    add("formula_outside_domain", PREPARED, "select distinct grp, win, cast(null as double) as value from prep")
+    add("formula_notes", PREPARED + ", ce as (select grp, win, sum(cost_usd) as cost, count(*) filter (where bugs = 0 and loc_total is not null) as none from prep group by grp, win)", " union all ".join(
+        f"select grp, win, '{m}' as metric, '{m}: {text}' as note from ce where {when}" for m, text, when in (
+            ("divided", "division by zero -> null", "cost is not null"), ("inside", "division by zero -> null", "none > 0"), ("power", "power outside finite real numbers -> null", "true"), ("level", "minmax of a constant -> 0.5", "true"), ("flat", "z of a constant -> 0.0", "true"),
+            ("huge", "the result is not finite -> null", "cost > 0"), ("beyond", "minmax of a number that is not finite -> null", "cost > 0"), ("bounded", "division by zero -> null", "(select count(bugs) from prep p where p.grp = ce.grp and p.win = ce.win) > 0"))))
     add("objective_minmax", CELLS, "select grp, win, round(a, 6) as cost_norm, round(b, 6) as lead_time_norm, round(c, 6) as debt_defect_norm from cells")
     add("objective_rank", CELLS, "select grp, win, round(ra, 6) as cost_rank, round(rb, 6) as lead_time_rank, round(rc, 6) as debt_defect_rank from cells")
     series = [("cost", "ra"), ("lead_time", "rb"), ("debt_defect", "rc")]
@@ -158,6 +189,18 @@ def statements() -> dict[str, str]:
 pr as (select s.a, s.b, sign(s.x - t.x) dx, sign(s.y - t.y) dy from s join s t on s.a = t.a and s.b = t.b and (s.grp, s.win) < (t.grp, t.win)),
 k as (select a, b, count(*) np, sum(dx * dy) sm, cast(count(*) filter (where dx <> 0) as double) nx, cast(count(*) filter (where dy <> 0) as double) ny from pr group by a, b),
 f as (select a, b, cast(round((1 + sqrt(1 + 8 * np)) / 2) as bigint) n, case when nx * ny > 0 and np >= 3 then sm / sqrt(nx * ny) end tau from k)""", "select a, b, n, round(tau, 6) as tau, case when tau is null then null when abs(tau) >= 0.8 then 'redundant' when tau <= -0.4 then 'conflicting' else 'independent' end as verdict from f")
+    axes = [("cost", "ra"), ("lead_time", "rb"), ("debt_defect", "rc"), ("share_sunk", "share_sunk"), ("share_impactful", "share_impactful")]
+    long = " union all ".join(f"select {k} as i, '{n}' as name, grp, win, cast({c} as double) as x from cells" for k, (n, c) in enumerate(axes))
+    within = f""", ax as ({long}), aj as (select p.win, p.i, q.i as j, p.grp, p.x, q.x as y from ax p join ax q on p.win = q.win and p.grp = q.grp and p.i < q.i where p.x is not null and q.x is not null),
+aq as (select s.win, s.i, s.j, sign(s.x - t.x) dx, sign(s.y - t.y) dy from aj s join aj t on s.win = t.win and s.i = t.i and s.j = t.j and s.grp < t.grp),
+ak as (select win, i, j, count(*) np, sum(dx * dy) sm, cast(count(*) filter (where dx <> 0) as double) nx, cast(count(*) filter (where dy <> 0) as double) ny from aq group by win, i, j),
+tau1 as (select win, i, j, case when nx * ny > 0 and np >= 3 then sm / sqrt(nx * ny) end as tau from ak),
+tau as (select * from tau1 where tau is not null union all select win, j, i, tau from tau1 where tau is not null), names as (select distinct i, name from ax)"""
+    chain = within + """, ch as (select win, [i, j] as o from (select win, i, j, row_number() over (partition by win order by tau, i, j) as k from tau where i < j) where k = 1
+union all select win, list_append(o, nxt) from (select ch.win, ch.o, n.i as nxt, row_number() over (partition by ch.win order by coalesce(tau.tau, 1.0), n.i) as k from ch join names n on not list_contains(ch.o, n.i) left join tau on tau.win = ch.win and tau.i = ch.o[len(ch.o)] and tau.j = n.i) where k = 1),
+full_ as (select w.win, coalesce((select any_value(o) from ch where ch.win = w.win and len(o) = 5), [0, 1, 2, 3, 4]) as o from (select distinct win from tau1) w)"""
+    out["axis_order"] = f"with recursive {CELLS}{chain}\nselect win, cast(p as int) as position, name as axis from (select win, unnest(o) as i, generate_subscripts(o, 1) - 1 as p from full_) join names using (i)"
+    out["greedy_reduction"] = f"with recursive {CELLS}{within}, rc_ as (select w.win, n.i, n.i as j from (select distinct win from tau1) w, names n union select rc_.win, rc_.i, tau.j from rc_ join tau on tau.win = rc_.win and tau.i = rc_.j and abs(tau.tau) >= 0.8)\nselect win, a.name as objective, min(b.name) as representative, min(b.name) = a.name as kept from rc_ join names a on a.i = rc_.i join names b on b.i = rc_.j group by win, a.name"
     for on in ("win", "grp"):
         add(f"pareto_front_{'across' if on == 'win' else 'within'}", CELLS, f"select grp, win, n_builds, round(cost, 6) as cost, round(lead_time, 6) as lead_time, round(debt_defect, 6) as debt_defect from live p where not exists (select 1 from live q where q.{on} = p.{on} and {beats('q', 'p')})")
     out["pareto_layers"] = f"with recursive {CELLS}, e as (select p.win, q.grp as src, p.grp as dst from live p join live q on p.win = q.win and {beats('q', 'p')}), ch as (select win, grp, 1 as d from live union select e.win, e.dst, ch.d + 1 from ch join e on e.win = ch.win and e.src = ch.grp)\nselect grp, win, cast(max(d) as bigint) as layer from ch group by grp, win union all select grp, win, null from cells where a is null or b is null or c is null"
@@ -170,6 +213,9 @@ f as (select a, b, cast(round((1 + sqrt(1 + 8 * np)) / 2) as bigint) n, case whe
     under = "(" + " and ".join(f"(not ({u}) or q.{c} <= p.{c})" for u, c in zip(bit, "abc")) + " and (" + " or ".join(f"({u} and q.{c} < p.{c})" for u, c in zip(bit, "abc")) + "))"
     add("skyline_frequency", CELLS + f", {masks}, best as (select p.grp, p.win, mask from live p, mk where not exists (select 1 from live q where q.win = p.win and {under}))", "select win, grp, (select count(*) from best where best.grp = live.grp and best.win = live.win) as frequency from live")
     add("delta_moss_subsets", CELLS + f", {masks}", f"select p.win, cast(mask as bigint) as mask, round(greatest(0.0, coalesce(max(case when {under} then greatest(q.a - p.a, q.b - p.b, q.c - p.c) end), 0.0)), 6) as delta from live p join live q on p.win = q.win and p.grp <> q.grp, mk group by p.win, mask")
+    rung = lambda k: f"s{k} as (select * from (select s.win, {k} as size, b.added, sub.mask, sub.delta, row_number() over (partition by s.win order by sub.delta, b.j) as k from {'(select distinct win, 0 as mask from sub)' if k == 1 else f's{k - 1}'} s join bits b on s.mask & b.bit = 0 join sub on sub.win = s.win and sub.mask = s.mask | b.bit) where k = 1)"
+    add("delta_moss_ladder", CELLS + f", {masks}, sub as (select p.win, mask, greatest(0.0, coalesce(max(case when {under} then greatest(q.a - p.a, q.b - p.b, q.c - p.c) end), 0.0)) as delta from live p join live q on p.win = q.win and p.grp <> q.grp, mk group by p.win, mask), bits as (select * from (values (0, 1, 'cost'), (1, 2, 'lead_time'), (2, 4, 'debt_defect')) t(j, bit, added)), {rung(1)}, {rung(2)}, {rung(3)}, st as (select * from s1 union all select * from s2 union all select * from s3)",
+        "select win, size, added, cast(mask as bigint) as mask, round(delta, 6) as delta, coalesce(size = min(case when delta <= 1e-9 then size end) over (partition by win), false) as smallest_exact from st")
     front = f"fr as (select distinct win, a, b, c from live p where not exists (select 1 from live q where q.win = p.win and {beats('q', 'p')}) and a < 1.1 and b < 1.1 and c < 1.1)"
     add("hypervolume_exact", CELLS + f", {front}, nf as (select *, row_number() over (partition by win order by a, b, c) - 1 as i, count(*) over (partition by win) as n from fr), ms as (select win, any_value(n) n, unnest(range(1, cast(pow(2, any_value(n)) as int))) as mask from nf group by win), " + """
 cr as (select ms.win, mask, count(*) bits, max(a) a, max(b) b, max(c) c from ms join nf on nf.win = ms.win and (mask >> nf.i) % 2 = 1 group by ms.win, mask)""", "select w.win, round(coalesce(sum(case when bits % 2 = 1 then 1 else -1 end * (1.1 - a) * (1.1 - b) * (1.1 - c)), 0.0), 6) as hypervolume, coalesce((select count(*) from fr where fr.win = w.win), 0) as points from (select distinct win from cells) w left join cr on cr.win = w.win group by w.win")
@@ -236,9 +282,12 @@ cl as (select case when k > 1 or lacks is not null then 'rejected' when st.build
     add("tail_summary", TICKETS, f"select count(*) as clusters_total, count(*) filter (where resolved) as clusters_resolved, cast(sum(pre_churn + post_churn) as bigint) as churn_total, round(count(*) filter (where not resolved) / cast(count(*) as double), 3) as unattributed_share, {upper('tail_mass')} as tail_mass_median, {upper('rework_ratio')} as rework_ratio_median, round(count(*) filter (where resolved and censored) / cast(count(*) filter (where resolved) as double), 3) as never_stabilises_share, (select round(min(survival), 3) from curve) as survival_plateau from tickets")
     lv = ", ".join(f"({t})" for t in SWEEP)
     ff = BUILDS + f", th as (select * from (values {lv}) t(threshold)), rn as (select grp as label, threshold, count(*) filter (where served_at is not null) as delivered, round(count(*) filter (where bugs > 1) / cast(count(*) as double), 3) as never, sum(loc_added + loc_removed) as churn, min(ts) as f, max(ts) as l from b1, th where loc_added is not null and loc_added >= threshold * 20 group by 1, 2)," + """
-cst as (select *, label in ('BUILDING', 'MACHINERY') as costed from rn), sh as (select threshold from rn group by threshold having count(distinct label) = (select count(distinct label) from rn)),
+cst as (select * replace (case when label <> 'FURNITURE' or threshold < """ + str(max(SWEEP)) + """ then never end as never), label in ('BUILDING', 'MACHINERY') as costed from rn), sh as (select threshold from rn group by threshold having count(distinct label) = (select count(distinct label) from rn)),
 fp as (select label, threshold, -(case when costed then delivered / (delivered * 25.0 / 10000) else delivered / (churn / 1000) end) as a, -(case when costed then delivered / 24.0 else delivered / (greatest(floor(date_diff('microsecond', f, l) / 86400000000), 1) / 30.44) end) as b, -(1 - never) as c from cst join sh using (threshold) where delivered > 0 and never is not null and (costed or churn > 0))"""
-    add("flow_frontier", ff, f"select label, count(*) filter (where not exists (select 1 from fp q where q.threshold = p.threshold and {beats('q', 'p')})) as wins, (select count(*) from sh) as thresholds from fp p group by label")
+    add("flow_frontier", ff, f"""select label, bit_count(won) as wins, thresholds, won, used, case when bit_count(won) = thresholds then 'always' when bit_count(won) > 0 then 'sometimes' else 'never' end as standing, bit_count(used) < thresholds as skipped, case when bit_count(used) < thresholds then why end as why
+from (select b.label, coalesce(bit_or(1::bigint << no) filter (where p.label is not null and not exists (select 1 from fp q where q.threshold = p.threshold and {beats('q', 'p')})), 0) as won, coalesce(bit_or(1::bigint << no) filter (where p.label is not null), 0) as used,
+  any_value((select count(*) from sh)) as thresholds, string_agg(distinct case when b.delivered = 0 then 'nothing delivered' when b.never is null then 'no share that settles' when p.label is null then 'nothing spent' end, ', ') as why
+  from cst b join (select threshold, cast(row_number() over (order by threshold) - 1 as int) as no from sh) using (threshold) left join fp p on p.label = b.label and p.threshold = b.threshold group by b.label)""")
     add("session_roots", SESSIONS, "select sid, root from roots")
     loops = """ses as (select event_id as id, event_id - event_id % 12 + case event_id % 12 when 0 then 3 when 1 then 0 when 2 then 1 when 3 then 2 when 4 then 0 when 5 then 4 when 6 then 5 when 7 then 7 when 8 then 7 when 10 then 9 when 11 then 18 end as up from events),
 known as (select id, case when up in (select id from ses) then up end as up from ses),

@@ -202,10 +202,12 @@ def tail_front(spark, a: argparse.Namespace) -> dict:
             cost = costs.get(r["label"])
             rows.append((r["label"], int(t), int(s["shipped_capability_count"]), s["never_stabilises_share"], int(s.get("churn_total") or 0), parse_time(r["window"]["first"]), parse_time(r["window"]["last"]), cost["dollars"] if cost else None, cost["engineer_months"] if cost else None))
     df = spark.createDataFrame(rows, "label string, threshold int, delivered long, never_stabilises_share double, churn_total long, first_at timestamp, last_at timestamp, dollars double, engineer_months double")
-    got = [r.asDict() for r in T.flow_frontier(df).orderBy(F.desc("wins"), "label").collect()]
-    if not got or not got[0]["thresholds"]:
+    every = [r.asDict() for r in T.flow_frontier(df).orderBy(F.desc("wins"), "label").collect()]
+    if not every or not every[0]["thresholds"]:
         raise ValueError("the runs share no threshold")
-    return {"flows": got, "note": T.frontier_note(got), "skipped": sorted({r["label"] for r in runs} - {r["label"] for r in got})}
+    got = [r for r in every if r["used"]]
+    by = {s: sorted(r["label"] for r in got if r["standing"] == s) for s in ("always", "sometimes")}
+    return {"flows": got, "note": T.frontier_note(got), **by, "skipped": {r["label"]: r["why"] for r in every if r["skipped"]}}
 
 
 def main(argv: list[str] | None = None) -> int:

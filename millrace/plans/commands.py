@@ -18,6 +18,10 @@ from .explain import explain_cell
 from .report import render
 
 
+#: Warnings of each code that an analysis lists; the store's table has every one.
+SHOWN_WARNINGS = 50
+
+
 def parse_time(text: str | None) -> datetime | None:
     if not text:
         return None
@@ -63,6 +67,7 @@ class Workbench:
     def compute(self, params: Params, builds_csv: str | None = None, cells_csv: str | None = None, metrics_csv: str | None = None, groups: list[str] | None = None, save: bool = True) -> dict:
         metrics = self.metrics(metrics_csv)
         run_id = self.store.next_run_id(datetime.now(timezone.utc)) if self.store else "r-0"
+        refused = None
         if cells_csv:
             typed, notes = aggregate.prepare_aggregate_cells(files.read_cells_csv(self.spark, cells_csv), [m.name for m in metrics], params.window_spec, params.windows_retained)
             analysis = compute_aggregate(typed, metrics, params, run_id, notes)
@@ -70,12 +75,12 @@ class Workbench:
             raw = files.read_builds_csv(self.spark, builds_csv) if builds_csv else self._need_store().builds()
             if groups:
                 raw = raw.filter(F.coalesce("group", F.lit("all")).isin(*groups))
-            typed, refused = prepare.coerce(raw, params.window_spec)
-            # as many as there are kinds of trouble, with a few rows each
-            kinds = refused.groupBy("code").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("message").alias("message")).collect()
-            analysis = compute(typed, metrics, params, run_id, [{"code": r["code"], "message": r["message"], "rows": r["n"], "first_row": r["row"]} for r in kinds])
+            typed, refused, seen = prepare.coerced(raw, params.window_spec)
+            some = lambda code: [r.asDict() for r in refused.filter(F.col("code") == code).select("row", "message").orderBy("row").limit(SHOWN_WARNINGS).collect()]
+            notes = [{"code": c, "message": f"{seen[c]} rows; the first are listed, the store has all", "rows": seen[c], "listed": some(c)} for c in prepare.CODES if seen[c]]
+            analysis = compute(typed, metrics, params, run_id, notes)
         if self.store and save and analysis["cells"]:
-            self.store.save_run(analysis)
+            self.store.save_run(analysis, refused)
         return analysis
 
     def run(self, ref: str | None) -> dict:

@@ -51,6 +51,17 @@ def builds_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("build_id", "grp", "win", r6("lead_time_days", "lead_time_days"), "lead_time_source", r6("age_days", "age_days"), "impact", "gate_unavailable", "deployed", "served", "loc_total")
 
 
+def coerced_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds written as text, read again."""
+    typed, _ = prepare.coerce(views.written_builds(spark, sf_dir))
+    return typed.select("build_id", "grp", "win", F.unix_micros("ts_at").alias("ts_us"), "lead_time_source", r6("lead_time_days", "lead_time_days"), "usage", "loc_total", "bugs", r6("cost_usd", "cost_usd"), "question", "deployed")
+
+
+def coerce_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that was left out, or whose question is not counted, and why."""
+    return prepare.coerce(views.written_builds(spark, sf_dir))[1]
+
+
 def lead_time_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, _ = prepared(spark, sf_dir)
     return b.groupBy("grp", "lead_time_source").agg(F.count("*").alias("n"), r6(F.avg("lead_time_days"), "mean_days"))
@@ -97,6 +108,14 @@ def formula(expression: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(b, [Metric("value", "descriptor", "min", expression)]).select(*KEYS, r6("value", "value"))
 
 
+def formula_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What formulas say beside their values, a row a note."""
+    b, _ = prepared(spark, sf_dir)
+    metrics = [Metric(n, "descriptor", "min", e) for n, e in oracle.NOTED.items()]
+    said = F.explode(F.array(*[F.struct(F.lit(m.name).alias("metric"), F.col(f"note_{m.name}").alias("notes")) for m in metrics]))
+    return evaluate(b, metrics).select(*KEYS, said.alias("_n")).select(*KEYS, "_n.metric", F.explode("_n.notes").alias("note"))
+
+
 def objective_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select(*KEYS, *[r6(n, n) for n in NORMS])
 
@@ -182,6 +201,28 @@ def expected_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.expected_maxima_table(spark, 30, 4).select("n", "d", r6("a", "a"))
 
 
+def _taus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """win, a, b, tau of the ranks of objectives and of two shares, over the groups of each window."""
+    names = [*OBJECTIVES, "share_sunk", "share_impactful"]
+    ranks = {n: F.col(f"{n}_rank") for n in OBJECTIVES} | {n: F.col(n) for n in names[3:]}
+    return screen.screen_within(cells(spark, sf_dir), ["win"], ["grp"], ranks)
+
+
+def axis_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [*OBJECTIVES, "share_sunk", "share_impactful"]
+    return screen.axis_orders(_taus(spark, sf_dir), ["win"], names)
+
+
+def greedy_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [*OBJECTIVES, "share_sunk", "share_impactful"]
+    return screen.reductions(_taus(spark, sf_dir), ["win"], names)
+
+
+def delta_moss_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = D.moss_ladders(cut(D.delta_subsets(cells(spark, sf_dir), ["win"], NORMS)), ["win"], list(OBJECTIVES))
+    return got.select("win", "size", "added", "mask", r6("delta", "delta"), "smallest_exact")
+
+
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
     sizes = screen.permuted_fronts(c, ["win"], ["grp"], NORMS, PERMUTED)
@@ -377,9 +418,11 @@ def flow_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("served").isNotNull()).alias("delivered"), F.round(F.count_if(F.col("bugs") > 1) / F.count("*"), 3).alias("never_stabilises_share"), F.sum(F.col("loc_added") + F.col("loc_removed")).alias("churn_total"),
         F.min("ts").cast("timestamp").alias("first_at"), F.max("ts").cast("timestamp").alias("last_at"),
     )
+    # one flow has too few settled builds to tell at the largest size
+    runs = runs.withColumn("never_stabilises_share", F.when((F.col("label") != "FURNITURE") | (F.col("threshold") < max(SWEEP)), F.col("never_stabilises_share")))
     costed = F.col("label").isin("BUILDING", "MACHINERY")
     runs = runs.withColumns({"dollars": F.when(costed, F.col("delivered") * 25.0), "engineer_months": F.when(costed, F.lit(24.0))})
-    return tail.flow_frontier(cut(runs)).select("label", "wins", "thresholds")
+    return tail.flow_frontier(cut(runs))
 
 
 def session_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,7 +492,7 @@ def queries() -> dict[str, Query]:
         **{f"formula_{k}": partial(formula, e) for k, e in oracle.FORMULAS.items()},
     }
     named = (
-        builds_prepared, lead_time_source, impact_gate, derive_u, objective_minmax, objective_rank, kendall_tau, pareto_layers, epsilon_front, k_dominance, k_cycles, skyline_frequency, delta_moss_subsets,
+        builds_prepared, coerced_builds, coerce_warnings, lead_time_source, impact_gate, derive_u, formula_notes, objective_minmax, objective_rank, kendall_tau, pareto_layers, epsilon_front, k_dominance, k_cycles, skyline_frequency, delta_moss_subsets, delta_moss_ladder, axis_order, greedy_reduction,
         hypervolume_exact, hypervolume_mc, distance_to_ideal, weighted_sum, staircase_2d, mix_levels, knee_2d, knee_hyperplane, expected_maxima, permutation_null, bootstrap_p_on_front, prob_dominance, bootstrap_epsilon, attainment_bands,
         marginal_utility, parametric_replicates, clr, aitchison_movement, direction_of_travel, persistence, threshold_sensitivity, lead_time_divergence, explain_dominators, ingest_classify, registry_latest, run_diff,
         aggregate_cells, anchor_clusters, t0_resolve, quiet_split, km_survival, tail_summary, greedy_clusters, flow_frontier, session_roots, session_loops, session_fanout, agent_spend, never_landed, workflow_label, analysis_json, findings_block,

@@ -50,6 +50,22 @@ def builds(spark: SparkSession, sf_dir: str, window_spec: str = "month") -> Data
     return derive(b, window_spec)
 
 
+def written_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The builds as text, as a CSV may have them: five ways of writing a time, blanks, and values that are none."""
+    b = raw_builds(spark, sf_dir).withColumn("n", F.expr("cast(substr(build_id, 3) as bigint)"))
+    iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    day = "date_format(ts, 'yyyy-MM-dd')"
+    stamp = (
+        f"case when n % 29 = 0 then 'not a date' when n % 31 = 0 then '   ' when n % 7 = 0 then date_format(ts, 'dd/MM/yyyy') when n % 7 = 1 then date_format(ts, 'yyyy/MM/dd') when n % 7 = 2 then concat({day}, 'T23:30:00-05:30') "
+        f"when n % 7 = 3 then date_format(ts, 'yyyy-MM-dd HH:mm:ss') when n % 7 = 4 then concat({iso.format('ts')}, 'Z') else {day} end"
+    )
+    return b.selectExpr(
+        "build_id", "case when n % 53 = 0 then ' ' else grp end as `group`", "date_format(first_commit, 'yyyy-MM-dd') as first_commit_ts", f"{stamp} as ts", f"case when n % 37 = 0 and deployed is not null then '2001-13-45' else {iso.format('deployed')} end as deployed_at", f"{iso.format('served')} as served_at",
+        "case when n % 43 = 0 then 'nan' else cast(usage as string) end as usage", "case when n % 41 = 0 then 'many' else cast(loc_added as string) end as loc_added", "cast(loc_removed as string) as loc_removed", "case when n % 3 = 0 then concat(cast(bugs as bigint), '.5') else cast(cast(bugs as bigint) as string) end as bugs",
+        "cast(cost_usd as string) as cost_usd", "case when n % 47 = 0 then 'whim' when question = 'unspecified' then null else question end as question", "carried_into",
+    )
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sha, at, author, subject, files, insertions, deletions of one commit an event."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))

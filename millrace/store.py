@@ -38,6 +38,7 @@ SCHEMAS = {
     "results": "run_id string, grp string, win string, n_builds long, layer long, p_on_front double, objectives string, descriptors string, impact_mix string",
     "ingests": "ingest_id string, ts timestamp, source string, accepted long, duplicate long, conflict long, rejected long",
     "issues": "ingest_id string, build_id string, status string, field string",
+    "warnings": "run_id string, code string, row string, message string",
     "meta": "key string, value string",
 }
 SCHEMA_VERSION = "2"
@@ -294,8 +295,8 @@ class Store:
         stem = f"r-{day:%Y%m%d}-"
         return f"{stem}{self.read('runs').filter(F.col('run_id').startswith(stem)).count() + 1:03d}"
 
-    def save_run(self, analysis: dict) -> str:
-        """The run's document and a row for each of its cells."""
+    def save_run(self, analysis: dict, warnings: DataFrame | None = None) -> str:
+        """The run's document, a row for each of its cells, and every warning(code, row, message) about its input."""
         run = analysis["run"]
         metrics = run["metrics"]
         row = (run["run_id"], datetime.now(timezone.utc), json.dumps(run["objectives"]), run["roles_hash"], json.dumps({m["name"]: m["version"] for m in metrics}), json.dumps(run["params"], default=str), json.dumps(analysis, default=str))
@@ -303,10 +304,12 @@ class Store:
         new = {"runs": self._written("runs", self.spark.createDataFrame([row], SCHEMAS["runs"]), run_id=run["run_id"])}
         if cells:
             new["results"] = self._written("results", self.spark.createDataFrame(cells, SCHEMAS["results"]), run_id=run["run_id"])
+        if warnings is not None:
+            new["warnings"] = self._written("warnings", warnings.select(F.lit(run["run_id"]).alias("run_id"), "code", "row", "message"), run_id=run["run_id"])
 
         def make(tables: Tables) -> tuple[Tables, None]:
-            """A run saved again replaces what it was, in both tables at once."""
-            for name in ("runs", "results"):
+            """A run saved again replaces what it was, in all tables at once."""
+            for name in ("runs", "results", "warnings"):
                 kept = []
                 for part in tables.get(name, []):
                     if "run_id" not in part and self.read(name, {name: [part]}).filter(F.col("run_id") == run["run_id"]).limit(1).count():

@@ -60,6 +60,23 @@ def test_nulls_and_notes(four):
     assert r["null_x"] == 1 and r["note_x"] == ["x: division by zero -> null"]
 
 
+def test_notes_of_normalisers_and_overflow(four):
+    ask = lambda e: evaluate(four, [Metric("x", "descriptor", "min", e)]).first()
+    r = ask("minmax(count())")
+    assert r["x"] == 0.5 and r["note_x"] == ["x: minmax of a constant -> 0.5"]
+    r = ask("z(count())")
+    assert r["x"] == 0.0 and r["note_x"] == ["x: z of a constant -> 0.0"]
+    r = ask("count() * 10 ** 308 * 10 ** 5")
+    assert r["x"] is None and r["note_x"] == ["x: the result is not finite -> null"]
+    r = ask("minmax(count() * 10 ** 308 * 10 ** 5)")
+    assert r["x"] is None and r["note_x"] == ["x: minmax of a number that is not finite -> null"]
+    assert ask("sum(clip(bugs, 0, sum(bugs) / 0))")["note_x"] == ["x: division by zero -> null"]
+    assert ask("sum(usage * 10 ** 308)")["note_x"] == ["x: the result is not finite -> null"]  # an infinity among its values
+    for e in ("sum(loc_total * 0 + 10 ** 308)", "mean(loc_total * 0 + 10 ** 308)", "sum((bugs - 0.5) * 10 ** 308 * 10 ** 5)", "sum(clip(bugs, 0, sum(loc_total * 0 + 10 ** 308)))"):
+        with pytest.raises(Exception, match="outside the range"):
+            ask(e)
+
+
 def test_empty_and_all_null(spark):
     none = spark.createDataFrame([], BUILDS)
     assert build_cells(none, DEFAULTS).collect() == []

@@ -56,7 +56,10 @@ def test_split_and_survival(spark):
 def test_frontier(spark):
     rows = [(n, t, d, nv, ch, DAY0, DAY0 + timedelta(days=61), None, None) for t in (2, 3) for n, d, nv, ch in (("a", 10, 0.1, 1000), ("b", 10, 0.2, 1000), ("c", 4, 0.0, 9000), ("d", 0, None, 1))]
     df = spark.createDataFrame(rows, "label string, threshold int, delivered long, never_stabilises_share double, churn_total long, first_at timestamp, last_at timestamp, dollars double, engineer_months double")
-    got = {r["label"]: (r["wins"], r["thresholds"]) for r in T.flow_frontier(df).collect()}
+    every = {r["label"]: r for r in T.flow_frontier(df).collect()}
+    assert (every["d"]["used"], every["d"]["skipped"], every["d"]["why"]) == (0, True, "nothing delivered")
+    assert [every[x]["standing"] for x in "abcd"] == ["always", "never", "always", "never"] and every["a"]["won"] == every["a"]["used"] == 3 and every["a"]["why"] is None
+    got = {x: (r["wins"], r["thresholds"]) for x, r in every.items() if r["used"]}
     assert got == {"a": (2, 2), "b": (0, 2), "c": (2, 2)}
     assert T.frontier_note([{"wins": 1, "thresholds": 1}] * 2).startswith("DEGENERATE")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.metrics import DEFAULTS, Metric, by_name, definitions_hash, greyed, overlaps
+from ..functions.metrics import DEFAULTS, Metric, by_name, definitions_hash, greyed, readings, told
 from ..operators import dominance as D
 from ..operators import movement, prepare, screen, uncertainty
 from ..operators.cells import KEYS, build_cells, ranked, scaled
@@ -115,9 +115,9 @@ def _early(run_id: str, params: Params, metrics: list[Metric]) -> dict | None:
     code = "TOO_MANY_OBJECTIVES" if m > K.MOST_OBJECTIVES else "TOO_FEW_OBJECTIVES" if m < K.LEAST_OBJECTIVES else None
     if not code:
         return None
-    found = overlaps(objectives)
+    read = readings(objectives)
     return {
-        "run": _header(run_id, params, metrics), "stage0": {"overlaps": found, "greyed": greyed(found)}, "cells": [], "comparisons": [], "windows": [], "groups": [], "gate": None,
+        "run": _header(run_id, params, metrics), "stage0": {"overlaps": told(read), "greyed": greyed(read)}, "cells": [], "comparisons": [], "windows": [], "groups": [], "gate": None,
         "diagnostics": {"refusals": [_note(code, f"{m} objectives; from {K.LEAST_OBJECTIVES} to {K.MOST_OBJECTIVES} are allowed")], "cautions": [], "warnings": []},
     }
 
@@ -201,10 +201,10 @@ def _analyse(run_id, params: Params, metrics, cells: DataFrame, objectives: list
         if c["kind"] == ("within_group" if len(groups) == 1 else "across_groups") and not c.get("front_not_drawn"):
             best_layer |= c["layers"]
             best_p |= c["p_on_front"]
-    found = overlaps(objectives)
+    read = readings(objectives)
     return {
         "run": _header(run_id, params, metrics), "schema": 2, "gate": gate, "windows": windows, "groups": groups, "self_comparison": len(groups) == 1,
-        "stage0": {"overlaps": found, "greyed": greyed(found)},
+        "stage0": {"overlaps": told(read), "greyed": greyed(read)},
         "stage2": {"taus": {f"{a}|{b}": t for (a, b), t in taus.items() if a != b}, "verdicts": verdicts, "axis_order": screen.axis_order(names, pairs)},
         "stage3": {"reduction": screen.reduction(names, pairs), "delta_moss": moss},
         "stage7": {"persistence": persist, "direction_of_travel": _rows(movement.travel(plotted, norms)), "mix_movement": _rows(movement.mix_movement(plotted))},

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.functions.formula import Formula, FormulaError
-from millrace.functions.metrics import DEFAULTS, Metric, by_name, definitions_hash, greyed, overlaps
+from millrace.functions.metrics import DEFAULTS, Metric, by_name, definitions_hash, greyed, readings, told
 from millrace.operators.cells import build_cells, evaluate
 
 FORBIDDEN = [
@@ -86,11 +86,13 @@ def test_empty_and_all_null(spark):
 
 def test_reads_and_overlaps():
     m = by_name(DEFAULTS, ["cost", "lead_time", "debt_composite"])
-    found = overlaps(m)
-    assert [o["kind"] for o in found] == ["mix_part"] and greyed(found) == {"liability": ["debt_composite"], "sunk": ["debt_composite"]}
+    found = readings(m)
+    assert [o["kind"] for o in told(found)] == ["mix_part"] and greyed(found) == {"liability": ["debt_composite"], "sunk": ["debt_composite"]}
     gate = Metric("g", "objective", "min", "mean(usage)")
-    assert overlaps([gate])[0]["line"].startswith("SHARED_INPUT")
+    assert told(readings([gate]))[0]["line"].startswith("SHARED_INPUT")
     assert len(definitions_hash(m)) == 16 and definitions_hash(m) == definitions_hash(m[::-1])
+    both = Metric("both", "objective", "min", "share(features) + count(impact == sunk) + mean(usage)")
+    assert [tuple(r) for r in readings([gate, both])] == [("g", "gate", "usage"), ("both", "impact", "sunk"), ("both", "question", "features")]
     with pytest.raises(ValueError):
         by_name(DEFAULTS, ["nothing"])
 

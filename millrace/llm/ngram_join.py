@@ -13,6 +13,8 @@ Documents are sets of distinct 5-word shingles; two link when 100 * intersection
   an overlap of at least T, at least SHORT_HITS of the n - T + SHORT_HITS rarest shingles agree (T - L =
   SHORT_HITS), and more where the sizes are alike.  What reaches that count is verified on whole sets.  One node of each
   component found so far meets the others first, so that only pairs of still different components are made.
+  Lists that are equal, as those of a passage's shingles, are one list of their number's weight; on a list of more than
+  MANY nodes, pairs are counted in the task over all lists they share, so what falls short of the hits is never a row.
 * Links become connected components; the result has a row for each document, never all pairs of a group.
 
 Edge cases: null or blank text gives an empty set, `n_shingles` 0 and a component of its own; fewer than
@@ -46,11 +48,15 @@ BLOCK, HEAVY = 1_500_000, 50_000
 GATHER = 50_000
 #: Nodes that make a list long; bits of the map of long lists, in parts.
 LONG, MAP_BITS, MAP_PART = 6, 26, 20
+#: Nodes from which on a list's pairs are counted in arrays and not as rows.
+MANY = 4
+#: Counts in a node's signature: its shingles by a byte of their hash.
+SIGN = 256
 #: Rows up to which node tables (three longs a row) are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 150_000
 
 _ODD = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
-_DOCS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
+_DOCS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sign", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
 def least_overlap(n: int) -> int:
@@ -64,6 +70,22 @@ def node_of(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ U(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64) + U(len(s))]))[0].view(np.int64))
 
 
+def sign_of(s: np.ndarray) -> bytes:
+    """How many members of a set have each value of a byte of their hash, 255 at most.
+
+    Two sets share no more members than the smaller counts of all values add up to, as long as none is cut off.
+    """
+    return np.minimum(255, np.bincount((s >> U(20) & U(SIGN - 1)).astype(np.int64), minlength=SIGN)).astype(np.uint8).tobytes()
+
+
+def shareable(some: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The most members that sets with the signatures `some` (rows) can share with one of signature `one`."""
+    least = np.minimum(some, one)
+    out = least.sum(axis=1, dtype=np.int64)
+    out[(least == 255).any(axis=1)] = np.iinfo(np.int64).max  # cut off: no bound
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
     for batch in batches:
@@ -82,12 +104,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * HASHES + 1, HASHES, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), nodes, pa.array(sizes), lists, none.cast(pa.int32()), none.cast(pa.binary())], schema=_DOCS)
+            signs = pa.array([sign_of(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), nodes, pa.array(sizes), lists, signs, none.cast(pa.int32()), none.cast(pa.binary())], schema=_DOCS)
     parts = np.split(sketch, SKETCH_PARTS)
     some = [i for i, p in enumerate(parts) if p.any()]
     if some:
         none = pa.nulls(len(some))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(_DOCS.field("keys").type), pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], schema=_DOCS)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(_DOCS.field("keys").type), none.cast(pa.binary()), pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], schema=_DOCS)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,56 +413,112 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
 
 
 def _live(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The lists on which nodes of different cells meet."""
-    token, block, *_, cell = cols
+    """The lists on which nodes of different cells meet, each node once; a list is named by a hash of its nodes, not by its token."""
+    at = _starts(*cols[:3])  # copies from several partitions
+    token, block, node, n_side, cell = cols = [c[at] for c in cols]
     at = _starts(token, block)
+    size = np.diff(np.append(at, len(token)))
     mixed = np.minimum.reduceat(cell, at) != np.maximum.reduceat(cell, at)
-    kept = np.flatnonzero(np.repeat(mixed, np.diff(np.append(at, len(token)))))
+    kept = np.flatnonzero(np.repeat(mixed, size))
     if len(kept):
-        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in cols], names=["token", "block", "node", "n_side", "cell"])
+        with np.errstate(over="ignore"):
+            name = mix(np.add.reduceat(mix(node.view(np.uint64) ^ U(0x6C8E9CF570932BD5)), at) ^ mix(block[at].view(np.uint64)) ^ size.astype(np.uint64)).view(np.int64)
+        out = [np.repeat(name, size), block, node, n_side, cell, np.repeat(size, size)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in out], names=["list", "block", "node", "n_side", "cell", "m"])
+
 
+_MET = "a long, b long, list long, need int, weight int"
 
-def _met(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, token: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _met(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, name: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
     ok = np.flatnonzero(4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
     if len(ok):
         a, b = np.minimum(a, b)[ok], np.maximum(a, b)[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(token[ok]), pa.array(hits_needed(na[ok], nb[ok]).astype(np.int32))], names=["a", "b", "token", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(name[ok]), pa.array(hits_needed(na[ok], nb[ok]).astype(np.int32)), pa.array(weight[ok].astype(np.int32))], names=["a", "b", "list", "need", "weight"])
 
 
 def _stars(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """On each list one node of each component meets one of the list's largest; rows sorted by label and node within a list."""
-    token, block, node, n_side, _, label = cols
+    name, block, node, n_side, _, weight, label = cols
     n = n_side & 0xFFFFFFFF
-    rep = _starts(token, block, label)
-    size = np.diff(np.append(rep, len(token)))
-    of = _starts(token[rep], block[rep])
+    rep = _starts(name, block, label)
+    size = np.diff(np.append(rep, len(name)))
+    of = _starts(name[rep], block[rep])
     each = np.diff(np.append(of, len(rep)))
     by = np.lexsort((-size, np.repeat(np.arange(len(of)), each)))
     hub = np.repeat(rep[by[of]], each)
     rep, hub = rep[rep != hub], hub[rep != hub]
-    yield from _met(node[rep], node[hub], n[rep], n[hub], token[rep])
+    yield from _met(node[rep], node[hub], n[rep], n[hub], name[rep], weight[rep])
 
 
 def _pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """On each list, the pairs of nodes of different cells and components."""
-    token, block, node, n_side, cell, label = cols
+    """On each short list, the pairs of nodes of different cells and components."""
+    name, block, node, n_side, cell, weight, label = cols
     n, side = n_side & 0xFFFFFFFF, n_side >> 32
     crossed = (block >> 20) != (block & 0xFFFFF)
-    alive, d = np.arange(len(token)), 0
+    alive, d = np.arange(len(name)), 0
     while len(alive):
         d += 1
-        alive = alive[alive + d < len(token)]
-        alive = alive[(token[alive] == token[alive + d]) & (block[alive] == block[alive + d])]
+        alive = alive[alive + d < len(name)]
+        alive = alive[(name[alive] == name[alive + d]) & (block[alive] == block[alive + d])]
         i, j = alive, alive + d
         ok = (cell[i] != cell[j]) & (label[i] != label[j]) & (~crossed[i] | (side[i] != side[j]))
         i, j = i[ok], j[ok]
-        yield from _met(node[i], node[j], n[i], n[j], token[i])
+        yield from _met(node[i], node[j], n[i], n[j], name[i], weight[i])
+
+
+def _counted(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """On each long list, the pairs of nodes of different cells and components that all the lists they share, long and short,
+    give hits enough: T-occurrence in arrays, so that what falls short is never a row.
+
+    Of each node the profile is known, the lists it is on and their weights, and its signature, which bounds what two sets share.
+    """
+    name, block, node, n_side, cell, _, label, lists, weights, signs = cols
+    at = np.append(_starts(name, block), len(name))
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        m = hi - lo
+        if m < 2:
+            continue
+        n, side, own = n_side[lo:hi] & 0xFFFFFFFF, n_side[lo:hi] >> 32, node[lo:hi]
+        crossed = (block[lo] >> 20) != (block[lo] & 0xFFFFF)
+        sign = np.frombuffer(b"".join(signs[lo:hi]), np.uint8).reshape(m, SIGN)
+        each = np.array([len(x) for x in lists[lo:hi]])
+        flat, weight = np.concatenate(lists[lo:hi]), np.concatenate(weights[lo:hi]).astype(np.int64)
+        owner = np.repeat(np.arange(m), each)
+        by = np.argsort(flat, kind="stable")
+        post, start = owner[by], _starts(flat[by])
+        size = np.diff(np.append(start, len(flat)))
+        place = np.empty(len(flat), np.int64)
+        place[by] = np.repeat(np.arange(len(start)), size)
+        first = np.append(0, np.cumsum(each))
+        total = np.add.reduceat(weight, first[:-1])
+        least = np.minimum(SHORT_HITS, hits_needed(n, -(-3 * n // 4)))  # with the smallest partner; larger ones ask for as many
+        for q in range(1, m):
+            if total[q] < least[q]:
+                continue
+            mine = place[first[q] : first[q + 1]]
+            some = size[mine] > 1
+            runs = [post[start[x] : start[x] + size[x]] for x in mine[some].tolist()]
+            if not runs:
+                continue
+            seen = np.concatenate(runs)
+            gained = np.repeat(weight[first[q] : first[q + 1]][some], size[mine[some]])
+            back = seen < q
+            hits = np.bincount(seen[back], gained[back], minlength=q)
+            cand = np.flatnonzero(hits >= least[q])
+            ok = (cell[lo + cand] != cell[lo + q]) & (label[lo + cand] != label[lo + q]) & (hits[cand] >= hits_needed(n[cand], np.full(len(cand), n[q])))
+            cand = cand[ok & ((side[cand] != side[q]) if crossed else True)]
+            if len(cand):
+                cand = cand[7 * np.minimum(shareable(sign[cand], sign[q]), 1 << 40) >= 3 * (n[cand] + n[q])]
+            if len(cand):
+                yield from _met(own[cand], np.full(len(cand), own[q]), n[cand], np.full(len(cand), n[q]), np.full(len(cand), -1, np.int64), hits[cand])
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
     """Links (a, b) among the pairs that met on lists enough, compared on whole sets."""
-    # copies from several partitions repeat a pair under the same shingle, which counts once
-    pairs = met.groupBy("a", "b", "token").agg(F.first("need").alias("need")).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("need").alias("need")).filter("hits >= need").select("a", "b")
+    # a pair that several long lists counted, each all there is, is one of them
+    pairs = met.groupBy("a", "b", "list").agg(F.first("need").alias("need"), F.max("weight").alias("weight"))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("weight").alias("hits"), F.first("need").alias("need")).filter("hits >= need").select("a", "b")
     pairs = cut(pairs)
     wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"))
     whole = cut(sets_for(docs, wanted).join(small(wanted.select("node"), BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"]))
@@ -471,27 +550,43 @@ def _links_across(docs: DataFrame, nodes: DataFrame, cells: DataFrame, sketch: n
     entries = _entries(docs, sketch, often)
     known = small(cells.select("node", "cell"), BROADCAST_ROWS)
     entries = entries.join(known, "node", "left").select("token", "block", "node", "n_side", F.coalesce("cell", "node").alias("cell"))
-    live = cut(entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_lists(_live), "token long, block long, node long, n_side long, cell long"))
+    live = cut(entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_lists(_live), "list long, block long, node long, n_side long, cell long, m long"))
     del entries  # their shuffle is the largest, and done with
     release(docs.sparkSession)
+    # shingles whose lists are equal, as those of a passage are, count as one list of their number's weight
+    one = [F.first(c).alias(c) for c in ("n_side", "cell", "m")]
+    merged = cut(live.groupBy("list", "block", "node").agg(*one, F.count("*").cast("int").alias("weight")))
     found = edges
     for run in (_stars, _pairs):
-        if not live.limit(1).count():
+        if not merged.limit(1).count():
             break
         labels = small(components(found).select(F.col("id").alias("node"), "label"), BROADCAST_ROWS)
-        named = live.join(labels, "node", "left").select("token", "block", "node", "n_side", "cell", F.coalesce("label", "node").alias("label"))
-        named = named.repartition("token", "block").sortWithinPartitions("token", "block", "label", "node")
-        found = found.union(_verified(docs, nodes, named.mapInArrow(_lists(run), "a long, b long, token long, need int")))
+        named = merged.join(labels, "node", "left").select("list", "block", "node", "n_side", "cell", "weight", F.coalesce("label", "node").alias("label"), "m")
+        if run is _pairs:
+            met = _in_order(named.filter(F.col("m") <= MANY).drop("m")).mapInArrow(_lists(_pairs), _MET)
+            many = named.filter(F.col("m") > MANY).drop("m")
+            on_many = many.select("node").distinct()
+            profile = merged.join(on_many, "node", "left_semi").groupBy("node").agg(F.collect_list(F.struct("list", "weight")).alias("p"))
+            profile = profile.join(nodes.select("node", "sign"), "node").select("node", F.col("p.list").alias("lists"), F.col("p.weight").alias("weights"), "sign")
+            many = many.join(profile, "node").select("list", "block", "node", "n_side", "cell", "weight", "label", "lists", "weights", "sign")
+            met = met.union(_in_order(many).mapInArrow(_lists(_counted), _MET))
+        else:
+            met = _in_order(named.drop("m")).mapInArrow(_lists(_stars), _MET)
+        found = found.union(_verified(docs, nodes, met))
     return found
 
 
+def _in_order(named: DataFrame) -> DataFrame:
+    return named.repartition("list", "block").sortWithinPartitions("list", "block", "label", "node")
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of every row, and (node, rep, label, component_id) of every set; rep is its smallest id."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = cut(docs.mapInArrow(trimmed(_scan), "doc_id long, node long, n int, keys array<long>, part int, counts binary"))
-    table = scanned.filter("part IS NULL").select("doc_id", "node", "n", "keys")
-    nodes = cut(table.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    scanned = cut(docs.mapInArrow(trimmed(_scan), "doc_id long, node long, n int, keys array<long>, sign binary, part int, counts binary"))
+    table = scanned.filter("part IS NULL").select("doc_id", "node", "n", "keys", "sign")
+    nodes = cut(table.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sign").alias("sign")))
     sketch = _sketch(scanned)
     cells = _cells(nodes)
     edges = cut(_links_in_cells(docs, cells))

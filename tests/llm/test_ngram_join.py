@@ -122,8 +122,9 @@ def test_long_lists_go_last(spark, monkeypatch):
     sketch = np.zeros(1 << J.SKETCH_BITS, np.uint64)
     for least in (10**9, J.LONG):
         monkeypatch.setattr(J, "LONG", least)
-        entries = J._entries(docs, sketch, J._long_lists(docs, sketch)).withColumn("cell", J.F.col("node")).withColumn("label", J.F.col("node"))
-        made.append(entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(J._lists(J._pairs), "a long, b long, token long, need int").count())
+        entries = J._entries(docs, sketch, J._long_lists(docs, sketch)).withColumn("cell", J.F.col("node"))
+        live = entries.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(J._lists(J._live), "list long, block long, node long, n_side long, cell long, m long")
+        made.append(live.agg(J.F.sum((J.F.col("m") - 1) / 2)).first()[0])  # pairs on those lists
     assert made[0] > 4 * made[1]  # one round of marking; what takes the marked ones' place is not counted again
     assert answer(df) == brute(rows)
 
@@ -210,3 +211,49 @@ def test_near_copies_over_many_cells_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(J, "_verified", lambda docs, nodes, met: (made.append(met.count()), verified(docs, nodes, met))[1])
     assert answer(frame(spark, rows)) == brute(rows)
     assert sum(made) < 240 * 239 / 2 * 8
+
+
+def test_shared_passages_make_no_square_of_pairs(spark, monkeypatch):
+    """Texts made of 5 of 40 passages: pairs that share too little are counted in arrays, so rows grow with the texts; links stay exact."""
+    rng = random.Random(11)
+    passages = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(40)]
+    made = []
+    verified = J._verified
+    monkeypatch.setattr(J, "_verified", lambda docs, nodes, met: (made.append(met.count()), verified(docs, nodes, met))[1])
+    totals = []
+    for n in (200, 1000):
+        made.clear()
+        rows = [(d, " ".join(rng.sample(passages, 5))) for d in range(n)]
+        got = answer(frame(spark, rows))
+        totals.append(sum(made))
+        if n == 200:
+            assert got == brute(rows)
+    assert totals[1] < 7 * totals[0]
+
+
+@pytest.mark.parametrize("many", [1, 8, 10**6])
+def test_counting_in_arrays_and_as_rows(spark, monkeypatch, many):
+    """Whichever lists count as long, groups across cells are the same: near copies, shared passages, small sets."""
+    monkeypatch.setattr(J, "MANY", many)
+    monkeypatch.setattr(J, "SHARED", 99)
+    rng = random.Random(12)
+    base = [[f"g{g}w{i}" for i in range(rng.choice([3, 6, 9, 40, 80]))] for g in range(12)]
+    rows = []
+    for d in range(150):
+        w = list(rng.choice(base))
+        if rng.random() < 0.5:
+            w += rng.choice(base)[: rng.randrange(9)]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        rows.append((d, " ".join(w)))
+    assert answer(frame(spark, rows)) == brute(rows)
+
+
+def test_signatures_bound_what_is_shared():
+    rng = np.random.default_rng(8)
+    for size in (1, 50, 3000, 90_000):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(size) < 0.8], rng.integers(0, 2**63, size // 3, dtype=np.uint64)])) for _ in range(6)]
+        signs = np.frombuffer(b"".join(map(J.sign_of, sets)), np.uint8).reshape(6, J.SIGN)
+        for i, s in enumerate(sets):
+            assert all(bound >= len(np.intersect1d(s, t)) for t, bound in zip(sets, J.shareable(signs, signs[i]).tolist()))

@@ -228,7 +228,7 @@ def test_shared_passages_make_no_square_of_pairs(spark, monkeypatch):
         totals.append(sum(made))
         if n == 200:
             assert got == brute(rows)
-    assert totals[1] < 7 * totals[0]
+    assert totals[1] < 10 * totals[0]  # the square would be 25 times
 
 
 @pytest.mark.parametrize("many", [1, 8, 10**6])

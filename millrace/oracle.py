@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .constants import IMPACT_CLASSES, QUESTION_CLASSES, SEED, SWEEP
+from .constants import ATTAINMENT_REPLICATES, BOOTSTRAP, IMPACT_CLASSES, PERMUTATIONS, QUESTION_CLASSES, SEED, SWEEP, UTILITY_SAMPLES
 
 FORMULAS = {
     "bool_nulls": "share(not (bugs > 0 and usage > 25)) + count(bugs == 0 or cost_usd > 900)",
@@ -97,7 +97,7 @@ BOOT = (
     + f""",
 cellno as (select grp, win, n_builds, row_number() over (order by grp, win) as no from cells),
 num as (select prep.*, no, n_builds, row_number() over (partition by prep.grp, prep.win order by build_id) - 1 as idx from prep join cellno using (grp, win)),
-picks as (select rep, grp, win, {draw('rep', 'no', 'idx')} % n_builds as pick from num, (select unnest(range(1, 51)) as rep)),
+picks as (select rep, grp, win, {draw('rep', 'no', 'idx')} % n_builds as pick from num, (select unnest(range(1, {BOOTSTRAP + 1})) as rep)),
 drawn as (select picks.rep, num.* from picks join num on num.grp = picks.grp and num.win = picks.win and num.idx = picks.pick),
 dens as (select min(density) dlo, max(density) dhi from c0),
 bnd as (select min(cost) clo, max(cost) chi, min(lead_time) llo, max(lead_time) lhi, min(debt_defect) flo, max(debt_defect) fhi from cells),
@@ -226,7 +226,7 @@ cr as (select ms.win, mask, count(*) bits, max(a) a, max(b) b, max(c) c from ms
     two_d = f"f2 as (select grp, win, a, b, count(*) over (partition by win) n from live p where not exists (select 1 from live q where q.win = p.win and {beats('q', 'p', ('a', 'b'))})), s2 as (select *, lag(a) over w - a ax, lag(b) over w - b ay, lead(a) over w - a bx, lead(b) over w - b by_ from f2 window w as (partition by win order by a, grp))"
     add("knee_2d", CELLS + ", " + two_d, "select grp, win, round(case when sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_) > 0 then pi() - acos(greatest(-1.0, least(1.0, (ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_))))) else 0.0 end, 6) as bend from s2 where n >= 3")
     out["expected_maxima"] = "with d1 as (select unnest(range(1, 31)) as n, 1.0::double as a), d2 as (select n, sum(a / n) over (order by n) as a from d1), d3 as (select n, sum(a / n) over (order by n) as a from d2), d4 as (select n, sum(a / n) over (order by n) as a from d3) " + " union all ".join(f"select n, cast({d} as bigint) as d, round(a, 6) as a from d{d}" for d in (1, 2, 3, 4))
-    long = " union all ".join(f"select rep, rows_.win, no, i, {j} as j, {c} as v from rows_, (select unnest(range(1, 101)) as rep)" for j, c in enumerate("abc"))
+    long = " union all ".join(f"select rep, rows_.win, no, i, {j} as j, {c} as v from rows_, (select unnest(range(1, {PERMUTATIONS + 1})) as rep)" for j, c in enumerate("abc"))
     add("permutation_null", CELLS + f", wn as (select win, dense_rank() over (order by win) as no from (select distinct win from live)), rows_ as (select live.win, no, a, b, c, row_number() over (partition by live.win order by grp) as i from live join wn using (win)), lg as ({long})," + f"""
 dl as (select rep, win, j, v, row_number() over (partition by win, rep, j order by {draw('rep', '(no * 8 + j)', 'i')}, i) as pos from lg),
 wide as (select rep, win, pos, max(v) filter (where j = 0) a, max(v) filter (where j = 1) b, max(v) filter (where j = 2) c from dl group by rep, win, pos union all select 0, win, i, a, b, c from rows_),
@@ -240,12 +240,12 @@ h as (select k as n, sum(1.0 / k) over (order by k) as h from (select unnest(ran
     lists = ", ".join(f"list_sort(list({c})) as l{c}" for c in "abc")
     half = lambda c: f"(l{c}[cast(floor(0.975 * (n - 1)) as int) + 1] - l{c}[cast(floor(0.025 * (n - 1)) as int) + 1]) / 2"
     add("bootstrap_epsilon", BOOT + f", dr as (select win, grp, count(*) as n, {lists} from rlive group by win, grp having count(*) >= 10)", "select win, " + ", ".join(f"round(greatest(1e-9, quantile_cont({half(c)}, 0.5)), 6) as eps_{m}" for c, m in zip("abc", ("cost", "lead_time", "debt_defect"))) + " from dr group by win")
-    add("attainment_bands", BOOT + """, pt as (select win, rep, round(a, 2) x, round(b, 2) y from reps where a is not null and b is not null), xs as (select win, x, row_number() over (partition by win order by x) - 1 as i, count(*) over (partition by win) as n from (select distinct win, x from pt)),
+    add("attainment_bands", BOOT.replace(f"range(1, {BOOTSTRAP + 1})", f"range(1, {ATTAINMENT_REPLICATES + 1})") + """, pt as (select win, rep, round(a, 2) x, round(b, 2) y from reps where a is not null and b is not null), xs as (select win, x, row_number() over (partition by win order by x) - 1 as i, count(*) over (partition by win) as n from (select distinct win, x from pt)),
 gx as (select win, x from xs where n <= 40 or i in (select least(xs.n - 1, cast(floor(k * (xs.n / 40.0::double)) as bigint)) from (select unnest(range(0, 40)) as k))),
 lst as (select r.win, r.rep, gx.x, coalesce(min(pt.y), 'inf'::double) as y from (select distinct win, rep from reps) r join gx on gx.win = r.win left join pt on pt.win = r.win and pt.rep = r.rep and pt.x <= gx.x group by r.win, r.rep, gx.x),
 sl as (select win, x, list_sort(list(y)) as l from lst group by win, x)""", "select win, round(x, 6) as x, " + ", ".join(f"round(nullif(l[greatest(1, cast(ceil({q} * len(l)) as int))], 'inf'::double), 6) as {n}" for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))) + " from sl")
     u = lambda j: f"(-ln(({draw('s', str(j), '0')} + 0.5) / 2147483647.0::double))"
-    add("marginal_utility", CELLS + f", fr as (select *, count(*) over (partition by win) as n from live p where not exists (select 1 from live q where q.win = p.win and {beats('q', 'p')})), dw as (select grp, win, s, {u(0)} * a + {u(1)} * b + {u(2)} * c as sc from fr, (select unnest(range(1, 201)) as s) where n >= 3), wn as (select win, s, arg_min(grp, (sc, grp)) as grp from dw group by win, s)", "select grp, win, round((select count(*) from wn where wn.win = fr.win and wn.grp = fr.grp) / 200.0::double, 6) as utility from fr where n >= 3")
+    add("marginal_utility", CELLS + f", fr as (select *, count(*) over (partition by win) as n from live p where not exists (select 1 from live q where q.win = p.win and {beats('q', 'p')})), dw as (select grp, win, s, {u(0)} * a + {u(1)} * b + {u(2)} * c as sc from fr, (select unnest(range(1, {UTILITY_SAMPLES + 1})) as s) where n >= 3), wn as (select win, s, arg_min(grp, (sc, grp)) as grp from dw group by win, s)", f"select grp, win, round((select count(*) from wn where wn.win = fr.win and wn.grp = fr.grp) / {UTILITY_SAMPLES}.0::double, 6) as utility from fr where n >= 3")
     g = lambda j: f"(sqrt(-2.0::double * ln(({draw('rep', 'no', str(2 * j))} + 0.5) / 2147483647.0::double)) * cos(2 * pi() * (({draw('rep', 'no', str(2 * j + 1))} + 0.5) / 2147483647.0::double)))"
     add("parametric_replicates", CELLS + """, pc as (select grp, win, row_number() over (order by grp, win) as no, cost, lead_time, cost / 20 as cse, case when grp <> 'BUILDING' then 0.5 else 0.0 end as lse from cells), bd as (select min(cost) clo, max(cost) chi, min(lead_time) llo, max(lead_time) lhi from cells)""", f"select rep, grp, win, round((case when cost is null then null when cse = 0 then cost else greatest(clo - 3 * cse, least(chi + 3 * cse, cost + cse * {g(0)})) end - clo) / (chi - clo), 5) as cost, round((case when lead_time is null then null when lse = 0 then lead_time else greatest(llo - 3 * lse, least(lhi + 3 * lse, lead_time + lse * {g(1)})) end - llo) / (lhi - llo), 5) as lead_time from pc, bd, (select unnest(range(1, 21))::int as rep)")
     parts = [f"share_{c}" for c in IMPACT_CLASSES]

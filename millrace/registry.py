@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .constants import IMPACT_CLASSES, QUESTION_CLASSES, SENSITIVITY, SWEEP
+from .constants import ATTAINMENT_REPLICATES, BOOTSTRAP, IMPACT_CLASSES, PERMUTATIONS, QUESTION_CLASSES, SENSITIVITY, SWEEP
 from .functions.metrics import DEFAULTS, Metric, by_name
 from .operators import dominance as D
 from .operators import movement, prepare, screen, sessions, tail, uncertainty
@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 OBJECTIVES = ("cost", "lead_time", "debt_defect")
 NORMS = [f"{n}_norm" for n in OBJECTIVES]
 #: Fixed parameters of the registered queries.
-EPSILON, REPLICATES, PERMUTED, QUIET = 0.15, 50, 100, 7
+EPSILON, QUIET = 0.15, 7
 
 
 def r6(c, name: str):
@@ -225,7 +225,7 @@ def delta_moss_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    sizes = screen.permuted_fronts(c, ["win"], ["grp"], NORMS, PERMUTED)
+    sizes = screen.permuted_fronts(c, ["win"], ["grp"], NORMS, PERMUTATIONS)
     n = D.complete(c, NORMS).groupBy("win").agg(F.count("*").alias("n"))
     got = screen.null_model(sizes, ["win"], n, len(NORMS))
     return got.select("win", "n", "observed", r6("mean", "mean"), "p05", "p95", r6("percentile", "percentile"), "verdict", r6("closed_form", "closed_form"))
@@ -234,9 +234,9 @@ def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- uncertainty ------------------------------------------------------------
 
 
-def _replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _replicates(spark: SparkSession, sf_dir: str, replicates: int = BOOTSTRAP) -> DataFrame:
     b, _ = prepared(spark, sf_dir)
-    return cut(uncertainty.bootstrap(b, by_name(DEFAULTS, OBJECTIVES), REPLICATES))
+    return cut(uncertainty.bootstrap(b, by_name(DEFAULTS, OBJECTIVES), replicates))
 
 
 def bootstrap_p_on_front(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,13 +255,13 @@ def bootstrap_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attainment_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = _replicates(spark, sf_dir).withColumns({c: F.round(c, 2) for c in ("cost", "lead_time")})
+    reps = _replicates(spark, sf_dir, ATTAINMENT_REPLICATES).withColumns({c: F.round(c, 2) for c in ("cost", "lead_time")})
     got = uncertainty.attainment(reps, ["win"], "cost", "lead_time")
     return got.select("win", *[r6(c, c) for c in ("x", "p10", "p50", "p90")])
 
 
 def marginal_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = uncertainty.marginal_utility(cells(spark, sf_dir), ["win"], ["grp"], NORMS, 200)
+    got = uncertainty.marginal_utility(cells(spark, sf_dir), ["win"], ["grp"], NORMS)
     return got.select(*KEYS, r6("utility", "utility"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import subprocess
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import Metric
 from ..operators.prepare import blank_to_null, parse_timestamp
+from .gitlog import GitSource, git
 
 # Fixed names under which tools write the same thing.
 COST_FIELDS, TOKEN_FIELDS, COMMIT_FIELDS = ("cost_usd", "usd", "cost"), ("tokens", "total_tokens", "token_count"), ("produced_commits", "commits", "commit_count")
@@ -143,7 +142,7 @@ def read_runs(spark: SparkSession, paths: list[str]) -> list[dict]:
 
 
 def parse_git_log(text: DataFrame) -> DataFrame:
-    """sha, at, author, subject, files, insertions, deletions from rows `value` of `git log --numstat` records.
+    """sha, at, author, subject, files, insertions, deletions from rows `value` of `git log --numstat` records, as a dump has them.
 
     Fields are parted by 0x1f, records by 0x1e; a binary file has no line counts but is a file.
     """
@@ -157,13 +156,13 @@ def parse_git_log(text: DataFrame) -> DataFrame:
     return rows
 
 
-def read_git_log(spark: SparkSession, repo: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Commits without merges of a repository at the driver."""
-    args = ["git", "-C", repo, "log", "--no-merges", "--numstat", "--date=iso-strict", "--pretty=format:%x1e%H%x1f%cI%x1f%an%x1f%s%x1f"]
-    args += [f"--since={since}"] if since else []
-    args += [f"--until={until}"] if until else []
-    done = subprocess.run(args, capture_output=True, text=True, check=False)
-    if done.returncode:
-        raise RuntimeError(f"git log failed: {done.stderr.strip()}")
-    records = [(r,) for r in done.stdout.split("\x1e") if r.strip()]
-    return parse_git_log(spark.createDataFrame(records, "value string"))
+def read_git_log(spark: SparkSession, repo: str | list[str], since: str | None = None, until: str | None = None) -> DataFrame:
+    """Commits without merges of repositories that every executor reaches; see `gitlog`."""
+    spark.dataSource.register(GitSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark refuses readers that take filters without it
+    reader = spark.read.format(GitSource.name()).option("path", repo if isinstance(repo, str) else "\n".join(repo))
+    for k, v in (("since", since), ("until", until)):
+        reader = reader.option(k, v) if v else reader
+    for one in [repo] if isinstance(repo, str) else repo:
+        git(one, "rev-parse", "--git-dir")  # before anything is planned
+    return reader.load()

@@ -216,7 +216,6 @@ class Store:
 
         Builds, report and issues appear together.
         """
-        have = [c for c in RAW_COLUMNS if c in batch.columns]
         if order is None:  # the order of the input, kept for every attempt
             batch, order = cut(batch.withColumn("_input", F.monotonically_increasing_id())), "_input"
 
@@ -224,23 +223,37 @@ class Store:
             ids = blank_to_null(F.trim(F.col("build_id").cast("string"))) if "build_id" in batch.columns else F.lit(None).cast("string")
             buckets = [r[0] for r in batch.select(bucket_of(ids)).distinct().collect()]  # BUCKETS at most
             marked = cut(classify_ingest(batch, self.read("builds", tables, buckets), order))
-            rows = marked.filter("status = 'accepted'").select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast("string").alias(c) for c in RAW_COLUMNS], F.lit(source).alias("source"), F.current_timestamp().alias("ingested_at"))
-            rows = rows.withColumns({c: blank_to_null(F.trim(F.col(f"`{c}`")) if c == "build_id" else F.col(f"`{c}`")) for c in RAW_COLUMNS})
-            counts = {r["status"]: r["n"] for r in marked.groupBy("status").agg(F.count("*").alias("n")).collect()}
-            sizes = {s: counts.get(s, 0) for s in ("accepted", "duplicate", "conflict", "rejected")}
-            ident = f"i-{len(tables.get('ingests', [])) + 1:05d}"  # a folder an ingest
-            report = self.spark.createDataFrame([(ident, datetime.now(timezone.utc), source, *sizes.values())], SCHEMAS["ingests"])
-            new = {"ingests": self._written("ingests", report)}
-            if sizes["accepted"]:
-                new["builds"] = self._written("builds", rows)
-            if sizes["conflict"] or sizes["rejected"]:
-                new["issues"] = self._written("issues", marked.filter(F.col("status").isin("conflict", "rejected")).select(F.lit(ident).alias("ingest_id"), "build_id", "status", "field"))
-            some = lambda s: [(r["build_id"], r["field"]) for r in marked.filter(F.col("status") == s).select("build_id", "field").limit(50).collect()]
-            done = {"ingest_id": ident, **sizes, "conflicts": some("conflict"), "rejections": some("rejected"), "accepted_ids": [b for b, _ in some("accepted")]}
-            return tables | {n: [*tables.get(n, []), part] for n, part in new.items()}, done
+            return self._with_classified(tables, marked, source, {})
 
         return self._change(make)
 
+    def commit_classified(self, marked: DataFrame, batch: str) -> dict | None:
+        """Append the accepted of rows that have status and field already, with report and issues; None if this batch was committed before."""
+        marked = cut(marked)
+
+        def make(tables: Tables) -> tuple[Tables, dict | None]:
+            if any(part.get("batch") == batch for part in tables.get("ingests", [])):
+                return tables, None
+            return self._with_classified(tables, marked, batch, {"batch": batch})
+
+        return self._change(make)
+
+    def _with_classified(self, tables: Tables, marked: DataFrame, source: str, tags: dict) -> tuple[Tables, dict]:
+        rows = marked.filter("status = 'accepted'").select(*[(F.col(f"`{c}`") if c in marked.columns else F.lit(None)).cast("string").alias(c) for c in RAW_COLUMNS], F.lit(source).alias("source"), F.current_timestamp().alias("ingested_at"))
+        rows = rows.withColumns({c: blank_to_null(F.trim(F.col(f"`{c}`")) if c == "build_id" else F.col(f"`{c}`")) for c in RAW_COLUMNS})
+        counts = {r["status"]: r["n"] for r in marked.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        sizes = {s: counts.get(s, 0) for s in ("accepted", "duplicate", "conflict", "rejected")}
+        ident = f"i-{len(tables.get('ingests', [])) + 1:05d}"  # a folder an ingest
+        report = self.spark.createDataFrame([(ident, datetime.now(timezone.utc), source, *sizes.values())], SCHEMAS["ingests"])
+        new = {"ingests": self._written("ingests", report, **tags)}
+        if sizes["accepted"]:
+            new["builds"] = self._written("builds", rows)
+        if sizes["conflict"] or sizes["rejected"]:
+            new["issues"] = self._written("issues", marked.filter(F.col("status").isin("conflict", "rejected")).select(F.lit(ident).alias("ingest_id"), "build_id", "status", "field"))
+        some = lambda s: [(r["build_id"], r["field"]) for r in marked.filter(F.col("status") == s).select("build_id", "field").limit(50).collect()]
+        done = {"ingest_id": ident, **sizes, "conflicts": some("conflict"), "rejections": some("rejected"), "accepted_ids": [b for b, _ in some("accepted")]}
+        return tables | {n: [*tables.get(n, []), part] for n, part in new.items()}, done
+
     def builds(self, groups: list[str] | None = None) -> DataFrame:
         """In order of time, then id, as the texts were given."""
         rows = self.read("builds")

@@ -11,6 +11,7 @@ from millrace.plans.commands import Workbench
 from millrace.sources import fixtures
 from millrace.store import SCHEMAS, Store, StoreChanged, bucket_of, classify_ingest
 from millrace.streaming.ingest import RAW_SCHEMA, daily_counts, ingest_stream
+from millrace.streaming.keyed import ingest_keyed
 
 
 def rows(spark, *rs):
@@ -155,6 +156,34 @@ def test_stream(spark, tmp_path):
     assert spark.table("daily").first()["builds"] == 6
 
 
+def test_keyed_stream(spark, tmp_path):
+    """Micro-batches with twins, conflicts and rejects, a restart in between: what batch ingests of the same rows report."""
+    batches = [
+        [b(1), b(2, cost_usd=""), b(2), b(3, ts=None), b(3), b(None), b(None)],
+        [b(1, cost_usd="5.0"), b(1, build_id=" b1 "), b(2, cost_usd="7"), b(3), b(4, loc_added=" ")],
+        [b(4), b(3, question="features"), b(9), b(10)],
+    ]
+    for row in batches[0][5:]:
+        row["build_id"] = None
+    plain, kept = Store(spark, str(tmp_path / "plain")), Store(spark, str(tmp_path / "keyed"))
+    before = [b(9), b(10, cost_usd="1")]
+    for s in (plain, kept):
+        s.ingest(rows(spark, *before), "before")
+    src = tmp_path / "in"
+    for batch in batches:
+        given = spark.createDataFrame([(*(r.get(c) for c in RAW_COLUMNS), k) for k, r in enumerate(batch)], f"{RAW_SCHEMA}, n long").repartition(3)
+        given.write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(f"{RAW_SCHEMA}, n long").parquet(str(src))
+        ingest_keyed(stream, str(tmp_path / "keyed"), str(tmp_path / "cp"), order="n").awaitTermination()
+        plain.ingest(given, "batch", order="n")
+    sizes = lambda s: [tuple(r) for r in s.read("ingests").orderBy("ingest_id").select("accepted", "duplicate", "conflict", "rejected").collect()]
+    issues = lambda s: sorted(str((r["ingest_id"], r["build_id"], r["status"], r["field"])) for r in s.read("issues").collect())
+    builds = lambda s: sorted(str([r[c] for c in RAW_COLUMNS]) for r in s.builds().collect())
+    assert sizes(kept) == sizes(plain) and issues(kept) == issues(plain) and builds(kept) == builds(plain)
+    marked = kept.builds().limit(1).withColumns({"status": F.lit("accepted"), "field": F.lit(None).cast("string")})
+    assert kept.commit_classified(marked, "stream:0") is None and builds(kept) == builds(plain)  # done already
+
+
 @pytest.fixture(scope="module")
 def bench(spark, tmp_path_factory):
     w = Workbench(spark, str(tmp_path_factory.mktemp("bench") / "db"))

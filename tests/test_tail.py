@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import asof as A
 from millrace.operators import sessions as S
 from millrace.operators import tail as T
-from millrace.sources import files
+from millrace.sources import files, gitlog
 
 DAY0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 COMMITS = "sha string, at timestamp, author string, subject string, files array<string>, insertions long, deletions long"
@@ -183,3 +183,36 @@ def test_git_log(spark):
     assert (r["sha"], r["files"], r["insertions"], r["deletions"], r["at"].hour) == ("abc", ["a/b.py", "logo.png"], 3, 1, 1)
     with pytest.raises(RuntimeError):
         files.read_git_log(spark, "/nowhere")
+
+
+def test_git_source(spark, tmp_path):
+    """Slices of two repositories, without merges, and bounds on time that reach git."""
+    import subprocess
+
+    repos = []
+    for name, n in (("one", 7), ("two", 3)):
+        repo = tmp_path / name
+        repo.mkdir()
+        run = lambda *a, day=1: subprocess.run(["git", *a], cwd=repo, check=True, capture_output=True, env={"PATH": "/usr/bin:/bin:/usr/local/bin", "HOME": str(tmp_path), **{f"GIT_{w}_{k}": v for w in ("AUTHOR", "COMMITTER") for k, v in (("NAME", "me"), ("EMAIL", "me@x"), ("DATE", f"2026-01-{day:02d}T12:00:00+02:00"))}})  # noqa: E731, B023
+        run("init", "-q")
+        for d in range(1, n + 1):
+            (repo / f"f{d}.txt").write_text("a\n" * d)
+            run("add", ".")
+            run("commit", "-qm", f"ABC-{d} add", day=d)
+        repos.append(str(repo))
+    df = files.read_git_log(spark, repos)
+    assert df.count() == 10 and df.filter("insertions = 4").first()["files"] == ["f4.txt"]
+    cut = spark.read.format("millrace_git").option("path", repos[0]).option("slice", 3).load()
+    assert cut.rdd.getNumPartitions() == 3 and sorted(r["subject"] for r in cut.collect()) == [f"ABC-{d} add" for d in range(1, 8)]
+    assert files.read_git_log(spark, repos[0], since="2026-01-05T00:00:00Z").count() == 3
+    some = df.filter((F.col("at") >= F.lit("2026-01-02T10:00:00Z").cast("timestamp")) & (F.col("at") < F.lit("2026-01-04T10:00:00Z").cast("timestamp")) & (F.col("repo") == repos[0]))
+    assert sorted(r["subject"] for r in some.collect()) == ["ABC-2 add", "ABC-3 add"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(at" in plan and ">=" not in plan and repos[0] not in plan  # the comparisons are the source's now
+    reader = gitlog.GitReader({"path": "\n".join(repos)})
+    late = gitlog.GreaterThan(("at",), DAY0 + timedelta(days=4))
+    other = gitlog.EqualTo(("sha",), "x")
+    assert list(reader.pushFilters([late, gitlog.EqualTo(("repo",), repos[0]), other])) == [other]
+    assert reader.repos == repos[:1] and [x for p in reader.partitions() for x in reader.read(p)][-1][4] == "ABC-5 add"
+    with pytest.raises(RuntimeError):
+        files.read_git_log(spark, str(tmp_path))

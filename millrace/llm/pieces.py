@@ -8,7 +8,7 @@ before, with exactly the probability that the path has among all paths.  Draws a
 position), so a row's segmentation is the same whatever the partitioning, and decoding gives the text back.
 
 Units of up to DENSE characters go through the lattice together, as arrays over the distinct units of a chunk;
-longer ones one by one.
+longer ones one by one, a window of characters at a time.
 
 Edge cases: null text: null ids, no pieces, lossless; empty text: no ids; null key: key 0; rows with equal key and text
 get equal ids; texts are encoded whole; an empty table gives an empty result; other columns are ignored.
@@ -16,7 +16,10 @@ get equal ids; texts are encoded whole; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ from .textbatch import U, mix, trim
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.3, 17
 DENSE, CHUNK_CHARS = 40, 200_000
+#: Characters of a long unit whose edges are held at a time.
+WINDOW = 1 << 15
 SPACE, SIGN, LITERAL = 0x20, 0x2581, 0x110000
 
 
@@ -152,37 +157,52 @@ def _dense(lat: Lattice, code: np.ndarray, start: np.ndarray, size: np.ndarray)
     return cum, ids, rows[:-1]
 
 
-def _long(lat: Lattice, code: np.ndarray, key: int, at: int) -> list[tuple[int, int]]:
-    """(end, id) of the pieces of one long unit, sampled backwards; position 0 of the unit is `at` of its text."""
+def _edges(lat: Lattice, code: np.ndarray, lo: int, hi: int) -> tuple[list[int], list[int], list[float], list[int]]:
+    """Edges of a unit that end in lo+1..hi, by end and length: where each end's begin (from lo+1 on), and lengths, weights, ids."""
+    first = max(0, lo - lat.longest)
+    part = code[first:hi]
+    found = lat.find(part, np.arange(len(part), 0, -1))
+    bare = np.flatnonzero(found[0] < 0)
+    weight = lat.logp[np.maximum(found, 0)]
+    if len(bare):  # byte pieces stand in
+        c = part[bare]
+        length = np.select([c == LITERAL, c < 0x80, c < 0x800, c < 0x10000], [3, 1, 2, 3], 4)
+        found[0, bare], weight[0, bare] = -2 - c, lat.byte_logp * length
+    k, i = np.nonzero(found != -1)
+    end = first + i + k + 1
+    kept = np.flatnonzero(end > lo)
+    kept = kept[np.lexsort((k[kept], end[kept]))]
+    k, i, end = k[kept], i[kept], end[kept]
+    return np.searchsorted(end, np.arange(lo + 1, hi + 2)).tolist(), (k + 1).tolist(), weight[k, i].tolist(), found[k, i].tolist()
+
+
+def _long(lat: Lattice, code: np.ndarray, key: int, at: int) -> Iterator[tuple[int, int]]:
+    """(end, id) of the pieces of one long unit, sampled backwards; position 0 of the unit is `at` of its text.
+
+    What is kept of the whole unit is one number a character; edges are made for a WINDOW of it at a time, twice.
+    """
     m = len(code)
-    found = lat.find(code, np.arange(m, 0, -1))
-    alpha, terms = np.full(m + 1, -np.inf), [[]] * (m + 1)
-    alpha[0] = 0.0
-    for j in range(1, m + 1):
-        now = []
-        for k in range(1, min(j, len(found)) + 1):
-            i = int(found[k - 1][j - k])
-            if i >= 0:
-                now.append((alpha[j - k] + lat.logp[i], k, i))
-            elif k == 1:
-                c = int(code[j - 1])
-                length = 3 if c == LITERAL else 1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4
-                now.append((alpha[j - 1] + lat.byte_logp * length, 1, -2 - c))
-        top = max(x[0] for x in now)
-        alpha[j] = top + np.log(sum(np.exp(x[0] - top) for x in now))
-        terms[j] = now
-    u = _uniform(np.full(m + 1, key, np.uint64), np.arange(at, at + m + 1))
-    out, j = [], m
+    alpha = array("d", bytes(8 * (m + 1)))
+    for lo in range(0, m, WINDOW):
+        begin, length, weight, _ = _edges(lat, code, lo, min(m, lo + WINDOW))
+        for j in range(lo + 1, min(m, lo + WINDOW) + 1):
+            base, total = alpha[j - 1], 0.0
+            for e in range(begin[j - lo - 1], begin[j - lo]):
+                total += exp(alpha[j - length[e]] + weight[e] - base)
+            alpha[j] = base + log(total)
+    j = m
     while j:
-        run, pick = 0.0, terms[j][-1]
-        for x in terms[j]:
-            run += np.exp(x[0] - alpha[j])
-            if u[j] < run:
-                pick = x
-                break
-        out.append((j, pick[2]))
-        j -= pick[1]
-    return out
+        lo, hi = (j - 1) // WINDOW * WINDOW, j
+        begin, length, weight, ids = _edges(lat, code, lo, hi)
+        u = _uniform(np.full(hi - lo, key, np.uint64), np.arange(at + lo + 1, at + hi + 1)).tolist()
+        while j > lo:
+            run = 0.0
+            for e in range(begin[j - lo - 1], begin[j - lo]):
+                run += exp(alpha[j - length[e]] + weight[e] - alpha[j])
+                if u[j - lo - 1] < run:
+                    break
+            yield j, ids[e]
+            j -= length[e]
 
 
 def _encode_chunk(texts: list[str], keys: np.ndarray, lat: Lattice) -> list[np.ndarray]:

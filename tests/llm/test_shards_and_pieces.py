@@ -110,7 +110,7 @@ def test_samples_follow_the_lattice(word):
         assert abs(got[g] / n - e) < 5 * math.sqrt(e * (1 - e) / n) + 1e-3
     keys = P.mix(np.arange(3000, dtype=np.uint64)).tolist()
     code = np.array([ord(c) for c in word], np.int64)
-    slow = Counter(tuple(i for _, i in reversed(P._long(lat, code, k, 0))) for k in keys)
+    slow = Counter(tuple(i for _, i in reversed(list(P._long(lat, code, k, 0)))) for k in keys)
     top = max(p, key=p.get)
     assert abs(slow[top] / 3000 - p[top] / total) < 0.05
 
@@ -152,3 +152,16 @@ def test_shards_part_sources_with_one_prefix(spark):
     for r in got:
         held.setdefault(r["shard"], set()).add(r["doc_id"] % 8)
     assert len(got) == 800 and all(len(s) == 1 for s in held.values())
+
+
+def test_long_units(monkeypatch):
+    """Units without a space: whatever the window, the same pieces; a very long one is lossless in bounded time."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmno\u00e9\u65e5\u2581\U0001F600xyz0123") for _ in range(n)) for n in (41, 60, 500, 3000)] + ["the" * 40 + "quick" * 30]
+    want = [P.encode([t], [k])[0].tolist() for k, t in enumerate(texts)]
+    for window in (1, 7, 64):
+        monkeypatch.setattr(P, "WINDOW", window)
+        assert [P.encode([t], [k])[0].tolist() for k, t in enumerate(texts)] == want
+    monkeypatch.undo()
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(1_000_000))
+    assert P.decode(P.encode([text], [1])[0]) == text

@@ -48,9 +48,10 @@ LCS_SHARE, LCS_WITH_ANSWER, ANSWER_SHARE, ANSWER_WORDS, LEAST_WORDS = 0.5, 0.45,
 SHORT_ITEM, SHORT_MORE = 24, 0.1
 TINY_ITEM, TINY_MORE = 12, 0.25
 #: Rare features of an item that a place must hold, where its words allow that; items looked up at once.
-DISTINCT, GROUP = 6, 4096
-#: Runs up to which sums of rows are taken together.
-RUN = 64
+DISTINCT, GROUP = 5, 4096
+#: Runs up to which sums of rows are taken together; counters of places, by a hash.
+RUN, PLACE_BITS = 64, 18
+_SPREAD = U(0x9E3779B97F4A7C15)
 #: Items and their characters that the driver and the tasks hold at a time; a larger benchmark is searched in parts.
 MOST_ITEMS, MOST_CHARS = 200_000, 40_000_000
 
@@ -431,22 +432,26 @@ def _places(w: Words, ids: np.ndarray, index: Index) -> Iterator[tuple[np.ndarra
         at, size = at[size > 0], size[size > 0]
         if not len(at):
             continue
-        f = ids[at].astype(np.int64)
+        f = ids[at]
         item = rare.items[np.arange(int(size.sum())) + np.repeat(rare.post[f] - np.cumsum(size) + size, size)]
-        doc = np.searchsorted(w.bounds, at, "right") - 1
-        doc, at, f = np.repeat(doc, size), np.repeat(at, size), np.repeat(f, size)
-        lo, wide = w.bounds[doc], 2 * rare.size[item]
-        cell = (at - lo) // wide
-        # no two texts share a number: text d has those from lo // wide + 2 d on
-        number = lo // wide + 2 * doc + cell
-        key = item.astype(U) << U(46) | number.astype(U) << U(16) | f.astype(U)
+        doc = (np.searchsorted(w.bounds, at, "right") - 1).astype(np.int32)
+        within = (at - w.bounds[doc]).astype(np.int32)
+        doc, within, f = np.repeat(doc, size), np.repeat(within, size), np.repeat(f, size)
+        wide = (2 * rare.size[item]).astype(np.int32)
+        cell = within // wide
+        # no two texts share a number: text d has those from its first word's place by `wide` + 2 d on
+        number = w.bounds[doc] // wide + (2 * doc + cell)
+        # each feature counts for its cell and for the one before; most of these can't gather enough, whatever is counted twice
         later = np.flatnonzero(cell > 0)
-        key, at = np.unique(np.concatenate([key, key[later] - U(1 << 16)]), return_index=True)
-        one = np.flatnonzero(np.concatenate([[True], key[1:] >> U(16) != key[:-1] >> U(16)]))
+        place = item << 30 | number
+        place, of = np.concatenate([place, place[later] - 1]), np.concatenate([np.arange(len(item)), later])
+        slot = (place.astype(U) * _SPREAD >> U(64 - PLACE_BITS)).astype(np.int64)
+        some = np.flatnonzero(np.bincount(slot, minlength=1 << PLACE_BITS)[slot] >= rare.need[item[of]])
+        key, at = np.unique(place[some].astype(U) << U(16) | f[of[some]].astype(U), return_index=True)
+        one, _ = _runs_of(key >> U(16))
         ok = np.diff(np.append(one, len(key))) >= rare.need[(key[one] >> U(46)).astype(np.int64)]
-        k = at[one[ok]]
-        back = k >= len(cell)
-        k[back] = later[k[back] - len(cell)]
+        at = some[at[one[ok]]]
+        k, back = of[at], at >= len(item)
         yield doc[k], rare.first + item[k], cell[k] - back
 
 

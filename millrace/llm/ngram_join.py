@@ -640,3 +640,25 @@ def keep_first(docs: DataFrame) -> DataFrame:
     blank = again.filter("_millrace_set IS NULL")
     first = again.join(kept, (F.col("_millrace_set") == F.col("_millrace_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_millrace_rep"))).dropDuplicates(["_millrace_set"])
     return plain.unionByName(blank.select(docs.columns)).unionByName(first.select(docs.columns))
+
+
+#: The contract's result by joining all shingles with all.
+SQL = """
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM words
+), members AS (
+    SELECT r, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+    SELECT a.r AS a, b.r AS b FROM members a JOIN members b ON a.g = b.g AND a.r <> b.r
+    GROUP BY a.r, b.r HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+    SELECT r, r AS other FROM sets UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN sets s ON s.r = reach.r JOIN sets o ON o.r = reach.other GROUP BY reach.r
+"""

@@ -7,13 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, infill, linededup
+from . import divergence, infill, linededup, ngram_join
 from .brown import score_documents
 from .decontaminate import contaminated
 from .hilbert import hilbert_shards
 from .langid import identify
 from .licenses import scan_licenses
-from .ngram_join import ngram_jaccard_join
 from .pieces import encode_documents
 from .quality import judge
 from .secrets import scan_secrets
@@ -25,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("set_id")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express whole; tests/llm holds the others against brute force."""
-    return {"op11_fill_in_middle": infill.SQL, "op12_line_dedup": linededup.SQL, "op13_source_divergence": divergence.SQL}
+    return {"op1_ngram_jaccard_join": ngram_join.SQL, "op11_fill_in_middle": infill.SQL, "op12_line_dedup": linededup.SQL, "op13_source_divergence": divergence.SQL}

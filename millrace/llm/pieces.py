@@ -34,6 +34,7 @@ ALPHA, SEED = 0.3, 17
 DENSE, CHUNK_CHARS = 40, 200_000
 #: Characters of a long unit whose edges are held at a time.
 WINDOW = 1 << 15
+NONE, SEVERAL = -1, -2
 SPACE, SIGN, LITERAL = 0x20, 0x2581, 0x110000
 
 
@@ -63,7 +64,8 @@ class Lattice:
         self.weights = np.append(self.logp, -np.inf).astype(np.float32)
         self.longest = max(map(len, self.ids))
         # by length: hashes of all prefixes of pieces, and the id where the prefix is itself a piece
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        none = np.zeros(0, np.int64)
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = [(none.astype(np.uint64), none, none, U(0))]
         for n in range(1, self.longest + 1):
             names = sorted({s[:n] for s in self.ids if len(s) >= n})
             code = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
@@ -71,7 +73,12 @@ class Lattice:
             for j in range(1, n):
                 h = _longer(h, mix(code[:, j]))
             by = np.argsort(h)
-            self.tables.append((h[by], np.array([self.ids.get(s, -1) for s in names], np.int64)[by]))
+            # most hashes are found by their leading bits: the place of the one that has them, NONE, or SEVERAL
+            shift = U(64 - max(4, (4 * len(h)).bit_length()))
+            slot, count = np.unique(h[by] >> shift, return_counts=True)
+            direct = np.full(1 << (64 - int(shift)), NONE, np.int32)
+            direct[slot.astype(np.int64)] = np.where(count == 1, np.cumsum(count) - count, SEVERAL)
+            self.tables.append((h[by], np.array([self.ids.get(s, -1) for s in names], np.int64)[by], direct, shift))
 
     def find(self, code: np.ndarray, room: np.ndarray) -> np.ndarray:
         """[n-1, i] -> id of the piece of n characters that begins at i and ends within room[i], or -1.
@@ -81,13 +88,15 @@ class Lattice:
         h = mix(code.astype(np.uint64))
         out, at, run = [], np.arange(len(code)), h
         for n in range(1, self.longest + 1):
-            keys, ids = self.tables[n]
+            keys, ids, direct, shift = self.tables[n]
             if n > 1:
                 on = room[at] >= n
                 at, run = at[on], run[on]
                 run = _longer(run, h[at + n - 1])
-            k = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
-            on = keys[k] == run
+            k = direct[(run >> shift).astype(np.int64)]
+            many = np.flatnonzero(k == SEVERAL)
+            k[many] = np.minimum(np.searchsorted(keys, run[many]), len(keys) - 1)
+            on = (keys[k] == run) & (k >= 0)
             at, run = at[on], run[on]
             if n > 1 and not len(at):
                 break

@@ -474,9 +474,9 @@ def _likely(w: Words, ids: np.ndarray, index: Index, doc: np.ndarray, item: np.n
         f = index.feature[_slot(own)]
         np.bitwise_or.at(bits, f, U(1) << np.arange(n, dtype=U))
         lo = w.bounds[doc[mine]] + 2 * n * cell[mine]
-        span = lo[:, None] + np.arange(4 * n)
-        inside = span < w.bounds[doc[mine] + 1][:, None]
-        got = np.where(inside, bits[ids[np.where(inside, span, 0)]], U(0))
+        # behind the text's end its last word again, which adds places to look at and loses none
+        span = np.minimum(lo[:, None] + np.arange(4 * n), w.bounds[doc[mine] + 1][:, None] - 1)
+        got = bits[ids[span]]
         bits[f] = 0
         row, _ = np.nonzero(got)
         mask.append(got[got > 0])

@@ -128,10 +128,11 @@ def spans(off: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 def words(array: pa.Array, sep: np.ndarray = SPACES, fold: np.ndarray = FOLD, latin: bool = False) -> Iterator[Words]:
     """Words of each run of texts; A-Z are folded, with `latin` also the capitals from U+00C0 to U+00DE."""
     data, off = buffers(array)
+    folded, inner = fold.tobytes(), (~sep).tobytes()
     for lo, hi in spans(off):
         a, b = int(off[lo]), int(off[hi])
         own = off[lo : hi + 1] - a
-        chunk = fold[data[a:b]]
+        chunk = np.frombuffer(bytearray(data[a:b].tobytes().translate(folded)), np.uint8)
         n = b - a
         if not n:
             none = np.zeros(0, np.int64)
@@ -141,7 +142,7 @@ def words(array: pa.Array, sep: np.ndarray = SPACES, fold: np.ndarray = FOLD, la
             at = np.flatnonzero(chunk[:-1] == 0xC3) + 1
             at = at[(chunk[at] >= 0x80) & (chunk[at] <= 0x9E) & (chunk[at] != 0x97)]
             chunk[at] += 0x20
-        inside = ~sep[chunk]
+        inside = np.frombuffer(chunk.tobytes().translate(inner), bool)
         edge = np.zeros(n + 1, bool)
         edge[own] = True  # no word runs on into the next text
         before = np.empty(n, bool)

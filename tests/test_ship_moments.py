@@ -7,8 +7,8 @@ from millrace.operators import tail
 from millrace.sources import views
 
 
-def test_every_ticket_and_hint(spark, sf_dir):
-    commits = registry._anchored(spark, sf_dir).filter(F.col("key").startswith("ticket:") & ~tail.infra_only(F.col("files")))
+def test_every_cluster_and_hint(spark, sf_dir):
+    commits = registry._feature(spark, sf_dir)
     texts, first = {}, {}
     for r in commits.select("key", "subject", F.unix_micros("at").alias("at")).collect():
         texts.setdefault(r["key"], {r["key"].lower()}).add(r["subject"].lower())

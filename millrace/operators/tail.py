@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import DAYS_PER_MONTH, QUIET_DAYS
+from ..functions.selection import numbered
 from ..session import cut, small
 from .asof import next_event
 from .dominance import front
 
 #: Hints that are broadcast; more are joined by shuffle.
 FEW_HINTS = 100_000
+#: Signatures and groups of them that are broadcast.
+FEW_SIGNATURES = 20_000
 
 # Fixed patterns and words of the clustering rules.
 TICKET = r"\b([A-Z][A-Z0-9]{1,9}-\d+)\b"
@@ -56,50 +59,101 @@ def infra_only(files: Column) -> Column:
     return (F.size(files) > 0) & F.forall(files, lambda f: f.rlike(INFRA))
 
 
-def _agglomerate(rows: pd.DataFrame, threshold: int) -> list[str]:
-    """Greedy single pass in time order: a commit joins the group it overlaps most, if by `threshold`, else starts one."""
-    groups: list[tuple[set, set]] = []
+def _agglomerate(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Greedy single pass: a commit joins the group it overlaps most, if by `threshold`, the earliest of equals, else starts one.
+
+    `rows` has each signature (words and directories) once, at its first commit.  After that some group holds the whole
+    signature, which is the largest overlap it can have: later commits of it join the earliest group that holds it, or start
+    another where the signature is too light, and neither changes any group's words.  Returned are the earliest group of
+    each signature from a commit on (`since`), and a row without a signature for each group that can be joined.  A group
+    that begins inside an earlier one never wins over it, so it cannot and is not kept.
+    """
+    threshold = max(threshold, 1)
+    groups: list[set] = []
+    made: list[int] = []  # signature whose first commit started the group
     holding: dict[tuple[str, str], set[int]] = {}  # word or directory -> groups that hold it
-    place = []
-    for words, dirs in zip(rows["tokens"], rows["dirs"]):
-        words, dirs = set(words), set(dirs)
-        score: dict[int, int] = {}
-        for kind, weight, items in (("d", 2, dirs), ("t", 1, words)):
-            for x in items:
-                for g in holding.get((kind, x), ()):
-                    score[g] = score.get(g, 0) + weight
-        best = min(score, key=lambda g: (-score[g], g)) if score else None
+    recurring: dict[tuple[str, str], list[int]] = {}  # the same -> signatures seen that come again
+    into: dict[int, int] = {}
+    items = [{("d", x): 2 for x in dirs} | {("t", x): 1 for x in words} for words, dirs in zip(rows["tokens"], rows["dirs"])]
+    out = []
+    for n, (own, times) in enumerate(zip(items, rows["times"])):
+        weight = sum(own.values())
+        order = sorted(own, key=lambda x: -len(holding.get(x, ())))
+        spare = k = 0
+        while k < len(order) and spare + own[order[k]] < threshold:  # a group that holds no more than these overlaps too little
+            spare, k = spare + own[order[k]], k + 1
+        near = set().union(*(holding.get(x, ()) for x in order[k:]))
+        score = {g: sum(w for x, w in own.items() if x in groups[g]) for g in near}
+        best = min(score, key=lambda g: (-score[g], g), default=None)
         if best is None or score[best] < threshold:
+            if weight < threshold and (not own or any(own.keys() <= groups[g] for g in holding.get(order[-1], ()))):
+                continue
             best = len(groups)
-            groups.append((set(), set()))
-        groups[best][0].update(words)
-        groups[best][1].update(dirs)
-        for x in dirs:
-            holding.setdefault(("d", x), set()).add(best)
-        for x in words:
-            holding.setdefault(("t", x), set()).add(best)
-        place.append(best)
-    names = [f"cluster:{min(d) if d else f'group-{i}'}#{i}" for i, (_, d) in enumerate(groups)]
-    return [names[g] for g in place]
+            groups.append(set())
+            made.append(n)
+        added = own.keys() - groups[best]
+        groups[best].update(added)
+        for x in added:
+            holding.setdefault(x, set()).add(best)
+        if weight >= threshold:
+            out.append((n, n, best))
+            if times > 1:
+                into[n] = best
+                for x in own:
+                    recurring.setdefault(x, []).append(n)
+        for m in {m for x in added for m in recurring.get(x, ()) if into[m] > best}:
+            if items[m].keys() <= groups[best]:
+                into[m] = best
+                out.append((m, n, best))
+    place = list(zip(rows["us"], rows["sha"]))
+    words, dirs = list(rows["tokens"]), list(rows["dirs"])
+    joined = [(words[m], dirs[m], *place[n], *place[made[g]], None) for m, n, g in out]
+    named = [(None, None, None, None, *place[n], min((x for kind, x in groups[g] if kind == "d"), default=None)) for g, n in enumerate(made)]
+    return pd.DataFrame(joined + named, columns=["tokens", "dirs", "us", "sha", "group_us", "group_sha", "label"]).astype({"us": "Int64", "group_us": "Int64"})
 
 
 def cluster(commits: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     """commits with threshold and key, a row for each threshold.
 
-    Anchored commits need no order and stay distributed.  The rest is one ordered pass for each threshold - each
-    commit's group depends on all before it - so it is one task a threshold, over words and directories only.
+    Anchored commits need no order and stay distributed.  Of the rest each commit's group depends on all before it, but only
+    the first commit of a signature - its words and directories - can change a group.  One ordered pass for each
+    threshold sees the different signatures only; commits then look up theirs, and groups are numbered in ranges of
+    their first commits.
     """
     marked = commits.withColumn("_key", anchor(F.col("subject")))
     levels = F.explode(F.array(*[F.lit(t) for t in thresholds]))
     anchored = marked.filter("_key IS NOT NULL").withColumn("threshold", levels).withColumn("key", F.col("_key"))
-    loose = marked.filter("_key IS NULL").withColumn("threshold", levels)
+    loose = marked.filter("_key IS NULL")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "sha"], kind="stable")
-        return rows[["threshold", "sha"]].assign(key=_agglomerate(rows, int(rows["threshold"].iloc[0])))
+    none = F.array().cast("array<string>")
+    signed = loose.select(
+        F.coalesce("sha", F.lit("")).alias("sha"), F.coalesce(F.unix_micros("at"), F.lit(2**63 - 1)).alias("us"),  # commits without a time come last
+        F.coalesce(F.array_sort(tokens(F.col("subject"))), none).alias("tokens"), F.coalesce(F.array_sort(directories(F.col("files"))), none).alias("dirs"),
+    )
+    signatures = cut(signed.groupBy("tokens", "dirs").agg(F.min(F.struct("us", "sha")).alias("_first"), F.count("*").alias("times")).select("tokens", "dirs", "_first.*", "times"))
 
-    named = loose.select("threshold", "sha", "at", tokens(F.col("subject")).alias("tokens"), directories(F.col("files")).alias("dirs")).groupBy("threshold").applyInPandas(run, "threshold int, sha string, key string")
-    return anchored.drop("_key").unionByName(loose.drop("_key").join(named, ["threshold", "sha"]))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["us", "sha"], kind="stable")
+        threshold = int(rows["threshold"].iloc[0])
+        return _agglomerate(rows, threshold).assign(threshold=threshold)
+
+    told = cut(signatures.withColumn("threshold", levels).groupBy("threshold").applyInPandas(run, "tokens array<string>, dirs array<string>, us long, sha string, group_us long, group_sha string, label string, threshold int"))
+    since = F.struct(F.struct("us", "sha").alias("since"), "group_us", "group_sha")
+    into = told.filter("tokens IS NOT NULL").groupBy("threshold", "tokens", "dirs").agg(F.array_sort(F.collect_list(since)).alias("_into"))
+    place = F.struct("us", "sha")
+    found = signed.withColumn("threshold", levels).join(small(into, FEW_SIGNATURES), ["threshold", "tokens", "dirs"], "left")
+    group = F.element_at(F.filter("_into", lambda x: x["since"] <= place), -1)
+    heavy = 2 * F.size("dirs") + F.size("tokens") >= F.greatest(F.lit(1), F.col("threshold"))
+    found = found.select("threshold", "us", "sha", F.array_min("dirs").alias("_own"), F.when(heavy, group["group_us"]).otherwise(F.col("us")).alias("group_us"), F.when(heavy, group["group_sha"]).otherwise(F.col("sha")).alias("group_sha"))
+    starts = (F.col("us") == F.col("group_us")) & (F.col("sha") == F.col("group_sha"))
+    open_ = told.filter("tokens IS NULL").select("threshold", "group_us", "group_sha", F.col("label").alias("_label"), F.lit(True).alias("_open"))
+    by = ["threshold", "group_us", "group_sha"]
+    groups = numbered(found.filter(starts).select(*by, "_own"), ["threshold"], ["group_us", "group_sha"], "_i").join(small(open_, FEW_SIGNATURES), by, "left")
+    label = F.when(F.col("_open"), F.col("_label")).otherwise(F.col("_own"))
+    groups = groups.withColumn("key", F.concat(F.lit("cluster:"), F.coalesce(label, F.concat(F.lit("group-"), "_i")), F.lit("#"), "_i"))
+    joiners = found.filter(~starts).select("sha", *by).join(small(cut(groups.filter("_open").select(*by, "key")), FEW_SIGNATURES), by)
+    named = groups.select("threshold", F.col("group_sha").alias("sha"), "key").unionByName(joiners.select("threshold", "sha", "key"))
+    return anchored.drop("_key").unionByName(loose.drop("_key").withColumn("threshold", levels).join(named, ["threshold", "sha"]))
 
 
 def anchored(commits: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -40,6 +41,48 @@ def test_greedy_clusters(spark):
     assert "cluster:src/p#0" in got[1]
 
 
+def greedy(rows, threshold):
+    """Key of each (words, directories), by comparing every commit with every group."""
+    groups, place = [], []
+    for words, dirs in rows:
+        scores = [2 * len(dirs & g[1]) + len(words & g[0]) for g in groups]
+        best = max(range(len(groups)), key=lambda i: (scores[i], -i), default=None)
+        if best is None or not scores[best] or scores[best] < threshold:
+            best = len(groups)
+            groups.append((set(), set()))
+        groups[best][0].update(words)
+        groups[best][1].update(dirs)
+        place.append(best)
+    return [f"cluster:{min(groups[i][1], default=f'group-{i}')}#{i}" for i in place]
+
+
+@pytest.mark.parametrize("seed,words,dirs", [(1, 4, 2), (2, 9, 5), (3, 24, 12)])
+def test_greedy_clusters_by_brute_force(spark, seed, words, dirs):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(500):
+        w = {f"word{chr(97 + rng.randrange(words))}{chr(97 + rng.randrange(words) % 7)}" for _ in range(rng.randrange(4))}
+        d = {f"dir{rng.randrange(dirs)}" for _ in range(rng.choice([0, 1, 1, 2]))}
+        rows.append((rng.randrange(200), f"{i:04d}", w, d))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(sha, DAY0 + timedelta(days=at), "x", " ".join(w) or None, sorted(d), 1, 0) for at, sha, w, d in rows], COMMITS).repartition(3)
+    got = {(r["threshold"], r["sha"]): r["key"] for r in T.cluster(df, (1, 2, 3, 4, 6, 9)).collect()}
+    rows.sort(key=lambda r: r[:2])
+    assert len(got) == 6 * 500
+    for t in (1, 2, 3, 4, 6, 9):
+        assert [got[t, r[1]] for r in rows] == greedy([r[2:] for r in rows], t)
+
+
+def test_greedy_clusters_that_never_join(spark):
+    """Each of 40,000 commits of two signatures that stay under the threshold is a group; every pair of them is not compared."""
+    n = 40_000
+    df = spark.range(n).select(F.format_string("%08d", "id").alias("sha"), F.timestamp_seconds("id").alias("at"), F.lit("x").alias("author"), F.lit("speed parser core").alias("subject"), F.array(F.concat(F.lit("src/p"), F.col("id") % 2, F.lit("/a"))).alias("files"), F.lit(1).cast("long").alias("insertions"), F.lit(0).cast("long").alias("deletions"))
+    begun = time.monotonic()
+    got = T.cluster(df, (6,)).select("sha", "key")
+    assert got.filter(F.col("key") != F.concat(F.lit("cluster:src/p"), F.col("sha").cast("long") % 2, F.lit("#"), F.col("sha").cast("long"))).count() == 0
+    assert time.monotonic() - begun < 60 and got.count() == n
+
+
 def test_split_and_survival(spark):
     c = commits(spark, (0, "ONE-1 a", [], 10), (5, "ONE-1 b", [], 5), (30, "ONE-1 c", [], 1), (0, "TWO-2 a", [], 10), (38, "TWO-2 b", [], 10), (0, "SIX-3 a", [], 4), (40, "END-9 z", [], 1))
     ev = spark.createDataFrame([(DAY0 + timedelta(days=1), "one-1"), (DAY0 + timedelta(days=1), "two-2"), (DAY0 - timedelta(days=3), "six-3")], "at timestamp, hint string")

@@ -126,10 +126,10 @@ def cluster(commits: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     loose = marked.filter("_key IS NULL")
 
     none = F.array().cast("array<string>")
-    signed = loose.select(
+    signed = cut(loose.select(  # read three times; what an anchor is takes longest
         F.coalesce("sha", F.lit("")).alias("sha"), F.coalesce(F.unix_micros("at"), F.lit(2**63 - 1)).alias("us"),  # commits without a time come last
         F.coalesce(F.array_sort(tokens(F.col("subject"))), none).alias("tokens"), F.coalesce(F.array_sort(directories(F.col("files"))), none).alias("dirs"),
-    )
+    ))
     signatures = cut(signed.groupBy("tokens", "dirs").agg(F.min(F.struct("us", "sha")).alias("_first"), F.count("*").alias("times")).select("tokens", "dirs", "_first.*", "times"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -161,17 +161,37 @@ def anchored(commits: DataFrame) -> DataFrame:
     return commits.withColumn("key", anchor(F.col("subject"))).filter("key IS NOT NULL")
 
 
+def _bits(hints: DataFrame) -> tuple[DataFrame, int]:
+    """_word, _set: a bit for the hash of each hint, 64 in a row, and by how much a hash is shifted to its bit.
+
+    As many bits as sixteen times the hints, 64 million (a million rows) at most: with more hints more pieces pass that are none.
+    """
+    n = hints.count()
+    size = min(26, max(10, (16 * n).bit_length()))
+    at = F.shiftrightunsigned(F.xxhash64("hint"), 64 - size)
+    bit = F.expr("shiftleft(1L, cast(_at & 63 as int))")
+    return hints.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit).alias("_set")), 64 - size
+
+
 def hinted(clustered: DataFrame, hints: DataFrame, on: list[str]) -> DataFrame:
     """on, hint: the hints (one column, `hint`, lower case) that lie within a cluster's key or within one of its subjects.
 
-    Containment is an equi-join of whole hints with the pieces of a text that are as long as any hint.
+    Containment is an equi-join of whole hints with the pieces of a text that are as long as any hint.  Where hints are too many to
+    broadcast, pieces whose hash no hint has are dropped before they are shuffled.
     """
-    parts = clustered.select(*on, F.lower("subject").alias("_part")).union(clustered.select(*on, F.lower("key").alias("_part"))).distinct()
+    hints = hints.distinct()
+    parts = clustered.select(*on, F.explode(F.array(F.lower("subject"), F.lower("key"))).alias("_part")).distinct()
     sizes = hints.select(F.length("hint").alias("_size")).distinct()
     pieces = parts.join(F.broadcast(sizes), F.length("_part") >= F.col("_size"))  # as many sizes as a hint has characters
     places = F.sequence(F.lit(1), F.length("_part") - F.col("_size") + 1)
     pieces = pieces.select(*on, F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("_part", i, F.col("_size"))))).alias("hint"))
-    return pieces.join(small(hints.distinct(), FEW_HINTS), "hint").select(*on, "hint").distinct()
+    few = small(hints, FEW_HINTS)
+    if few is hints:
+        bits, shift = _bits(hints)
+        at = F.shiftrightunsigned(F.xxhash64("hint"), shift)
+        pieces = pieces.withColumn("_at", at).join(F.broadcast(bits), (F.shiftright("_at", 6) == F.col("_word")) & (F.expr("shiftrightunsigned(_set, cast(_at & 63 as int)) & 1L") == 1), "left_semi").drop("_at").distinct()
+        return pieces.join(hints, "hint", "left_semi").select(*on, "hint")
+    return pieces.join(few, "hint").select(*on, "hint").distinct()
 
 
 def ship_moments(clustered: DataFrame, events: DataFrame, on: list[str]) -> DataFrame:

@@ -26,3 +26,16 @@ def test_hints_of_any_length(spark):
     assert got == {"k1": 1.0, "k2": 4.0, "k3": None}
     blank = hints.unionByName(spark.createDataFrame([("", 10), (None, 11)], "hint string, s long").withColumn("at", F.timestamp_seconds("s")))
     assert {r["key"]: r["t0"].timestamp() for r in tail.ship_moments(rows, blank, ["key"]).collect()} == {"k1": 1.0, "k2": 4.0, "k3": 10.0}
+
+
+def test_pieces_that_are_no_hint_are_not_shuffled(spark, monkeypatch):
+    """With more hints than are broadcast, few of the pieces of a text reach the join with them, and none that is a hint is lost."""
+    monkeypatch.setattr(tail, "FEW_HINTS", 10)
+    rows = spark.range(300).select(F.concat(F.lit("Ticket:"), "id").alias("key"), F.concat(F.lit("ab-"), "id", F.lit(": some longer text of "), F.col("id") % 7).alias("subject"))
+    hints = spark.range(0, 600, 2).select(F.concat(F.lit("ab-"), "id").alias("hint"))
+    names = [f"ab-{i}" for i in range(0, 600, 2)]
+    got = tail.hinted(rows, hints, ["key"])
+    want = {(f"Ticket:{i}", h) for i in range(300) for h in names if h in f"ab-{i}: some longer text of {i % 7}"}
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "BroadcastHashJoin" in plan.toString() and "_set" in plan.toString()

@@ -170,3 +170,16 @@ def test_large_cells_take_selection(spark, monkeypatch):
     assert [x[:3] for x in a] == [x[:3] for x in b] and len(want) == 2
     for x, y in zip(a, b):
         assert x[3:] == pytest.approx(y[3:])
+
+
+def test_draws_of_large_cells(spark, monkeypatch):
+    """A cell of any size is drawn from by the hash of (seed, replicate, cell, draw), as the SQL of the queries has it."""
+    df = spark.range(5000).select(F.lit("a").alias("grp"), F.lit("w").alias("win"), F.format_string("b-%05d", "id").alias("build_id"), (F.col("id") * F.col("id") % 977).cast("double").alias("cost_usd"))
+    plan = Plan(Metric("x", "objective", "min", "sum(cost_usd) + median(cost_usd)").formula, "_m0_")
+    kinds = {t.kind: n for n, t in plan.terms.items()}
+    cost = (np.arange(5000) ** 2 % 977).astype(float)
+    for block in (resample.BLOCK, 700):
+        monkeypatch.setattr(resample, "BLOCK", block)
+        got = {r["rep"]: r for r in resample.replicate_terms(df, [plan], cells.KEYS, 9, 20260910).collect()}
+        for rep, places in enumerate(resample.picks(20260910, 1, np.arange(1, 10), 5000), 1):
+            assert got[rep][kinds["sum"]] == pytest.approx(cost[places].sum()) and got[rep][kinds["median"]] == np.median(cost[places])

@@ -114,6 +114,25 @@ def test_draws(spark):
     assert abs(r["m"] - 0.5) < 0.01 and abs(r["g"]) < 0.03 and abs(r["s"] - 1) < 0.03
 
 
+def test_parametric_of_one_value(spark):
+    """Where all cells agree, differences stay, around 0.5; where they do not, the observed range is the scale."""
+    rows = [("g", "w1", 14.0, 0.5, 2.0, 0.5), ("g", "w2", 14.0, 0.0, 6.0, 0.0), ("h", "w1", 14.0, None, 4.0, 0.5), ("h", "w2", 14.0, 9.0, None, 0.5)]
+    cells = spark.createDataFrame(rows, "grp string, win string, a double, a_se double, b double, b_se double")
+    got = {(r["rep"], r["grp"], r["win"]): (r["a"], r["b"]) for r in uncertainty.parametric(cells, ["a", "b"], 30).collect()}
+    index = spark.range(1, 31).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("cell"))
+    z = {(r["rep"], r["cell"]): (r["a"], r["b"]) for r in index.select("rep", "cell", *[gaussian(F.col("rep"), F.col("cell"), F.lit(j)).alias(n) for j, n in enumerate("ab")]).collect()}
+    assert len(got) == 120
+    for (rep, grp, win), values in got.items():
+        cell = [r[:2] for r in rows].index((grp, win))
+        for j, (lo, hi) in enumerate(((14.0, 14.0), (2.0, 6.0))):
+            point, se = rows[cell][2 + 2 * j : 4 + 2 * j]
+            if point is None or se is None:
+                assert values[j] is None
+                continue
+            drawn = max(lo - 3 * se, min(hi + 3 * se, point + se * z[rep, cell + 1][j]))
+            assert values[j] == pytest.approx(0.5 + (drawn - lo) / 14 if lo == hi else (drawn - lo) / (hi - lo), abs=1e-12)
+
+
 def test_attainment(spark):
     reps = spark.createDataFrame([("k", 1, 0.1, 0.2), *[("k", r, 0.8, 0.3) for r in range(2, 11)]], "k string, rep int, x double, y double")
     got = {r["x"]: (r["p10"], r["p50"], r["p90"]) for r in uncertainty.attainment(reps, ["k"], "x", "y").collect()}
